@@ -7,7 +7,6 @@ highest score of its windows of WINDOW words, which overlap by WINDOW - STRIDE a
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 56
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 12, 8, 4096
 #: The fit's bounds: labelled documents of each class, their length, and words of training excerpts.
-FIT_ROWS, FIT_CHARS, EXCERPT, STEPS, BATCH = 2000, 50_000, 24, 300, 128
-THRESHOLD = 0.7
+FIT_ROWS, FIT_CHARS, EXCERPT, STEPS, BATCH = 1500, 50_000, 20, 140, 128
+THRESHOLD, DECAY = 0.7, 0.02
+#: Share of the clean documents of the fit that may reach the threshold.
+FALSE_ALARMS = 0.002
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -29,9 +30,22 @@ def words_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def trigrams(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + 3].encode()) % CHAR_BUCKETS for i in range(len(marked) - 2)]
+def fresh(ids: np.ndarray) -> np.ndarray:
+    """False where a word repeats the two before it: a long run of one word says no more than two of them."""
+    keep = np.ones(len(ids), bool)
+    keep[2:] = (ids[2:] != ids[1:-1]) | (ids[2:] != ids[:-2])
+    return keep
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character trigrams of "<word>" for each word, one after another, and where each word's begin."""
+    text = "".join(f"<{w}>" for w in words)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(w) for w in words])
+    at = np.cumsum(np.r_[0, lengths])
+    i = np.arange(at[-1]) + 2 * np.repeat(np.arange(len(words)), lengths)
+    mixed = (c[i] * np.uint32(0x9E3779B1)) ^ (c[i + 1] * np.uint32(0x85EBCA77)) ^ (c[i + 2] * np.uint32(0xC2B2AE3D))
+    return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(CHAR_BUCKETS)).astype(np.int64), at
 
 
 def sigmoid(x):
@@ -41,18 +55,20 @@ def sigmoid(x):
 class Network:
     """The parameters, as named arrays: they pickle, and one gradient step walks over them."""
 
-    def __init__(self, vocabulary: dict[str, int], seed: int = 0):
+    def __init__(self, odds: dict[str, float], seed: int = 0):
+        """odds: log odds of the words to know; they start as the first number of each word's embedding."""
         rng = np.random.default_rng(seed)
-        self.vocabulary, d, h = vocabulary, WORD_DIM + CHAR_DIM, HIDDEN
+        self.vocabulary = vocabulary = {w: i + 1 for i, w in enumerate(sorted(odds))}
+        d, h = WORD_DIM + CHAR_DIM, HIDDEN
         make = lambda *shape, s=0.3: (rng.standard_normal(shape) * s).astype(np.float32)
-        self.p = {"word": make(len(vocabulary) + 1, WORD_DIM), "char": make(CHAR_BUCKETS, CHAR_DIM), "v": make(2 * h), "w": make(2 * h), "b": np.zeros(1, np.float32)}
+        self.p = {"word": make(len(vocabulary) + 1, WORD_DIM, s=0.05), "char": make(CHAR_BUCKETS, CHAR_DIM, s=0.05), "v": make(2 * h), "w": make(2 * h), "b": np.zeros(1, np.float32)}
+        self.p["word"][1:, 0] = [np.clip(odds[w] / 2, -1, 3) for w in sorted(odds)]
         for side in "fb":
             self.p |= {f"W{side}": make(d, 3 * h), f"U{side}": make(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
 
     def inputs(self, words: list[str]):
         """Of distinct words: vocabulary rows (0: unknown), trigram rows one after another, and where each word's begin."""
-        grams = [trigrams(w) for w in words]
-        return np.array([self.vocabulary.get(w, 0) for w in words]), np.array([g for x in grams for g in x]), np.cumsum([0, *map(len, grams)])
+        return np.array([self.vocabulary.get(w, 0) for w in words]), *trigrams(words)
 
     def vectors(self, words: list[str]) -> np.ndarray:
         rows, grams, at = self.inputs(words)
@@ -86,7 +102,7 @@ class Network:
         return sigmoid(pooled @ self.p["w"] + self.p["b"])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
-        """Of the mean log loss: by parameter, and by x (steps, windows, dimensions)."""
+        """Of the log loss, in which both classes weigh alike: by parameter, and by x (steps, windows, dimensions)."""
         p, h, (steps, n, _) = self.p, HIDDEN, x.shape
         g = {}
         states, kept = np.zeros((steps, n, 2 * h), np.float32), {}
@@ -105,7 +121,8 @@ class Network:
         a /= a.sum(axis=0)
         pooled = np.einsum("tn,tnd->nd", a, states)
         out = sigmoid(pooled @ p["w"] + p["b"])
-        d = ((out - y) / n).astype(np.float32)
+        weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, n - y.sum()))
+        d = ((out - y) * weight).astype(np.float32)
         g["w"], g["b"] = pooled.T @ d, d.sum(keepdims=True)
         dp = d[:, None] * p["w"]
         da = np.einsum("nd,tnd->tn", dp, states)
@@ -131,7 +148,7 @@ class Network:
             dx += dgate @ p[f"W{side}"].T
         return g, dx, out
 
-    def train(self, windows: list[list[str]], labels: np.ndarray, steps_: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 0):
+    def train(self, windows: list[list[str]], labels: np.ndarray, steps_: int = STEPS, batch: int = BATCH, rate: float = 0.015, seed: int = 0):
         """Adam over shuffled windows of up to EXCERPT words."""
         words = sorted({w for x in windows for w in x})
         number = {w: i for i, w in enumerate(words)}
@@ -163,29 +180,56 @@ class Network:
                 for k, v in g.items():
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.999 * second[k] + 0.001 * v * v
-                    self.p[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8) + rate * DECAY * self.p[k]).astype(np.float32)
 
 
-def excerpts(texts: list[list[str]], labels: np.ndarray, seed: int = 0):
-    """Training windows: of each text that around its strongest word, of a clean one also one at random.
-
-    A label holds for the text, not for each of its windows, so the window is taken where the words speak most for a
-    toxic text: by the log odds of the documents of each class that have the word.
-    """
-    rng, counts = np.random.default_rng(seed), [Counter(), Counter()]
+def log_odds(texts: list[list[str]], labels: np.ndarray) -> dict[str, float]:
+    """Log odds of each class's documents to have a word, for words of five documents or more, less two deviations."""
+    counts = [Counter(), Counter()]
     for ws, y in zip(texts, labels, strict=True):
         counts[int(y)].update(set(ws))
     n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    odds = {w: np.log((counts[1][w] + 0.5) / n[1]) - np.log((counts[0][w] + 0.5) / n[0]) for w in {*counts[0], *counts[1]} if counts[0][w] + counts[1][w] >= 5}
+    odds = {}
+    for w in {*counts[0], *counts[1]}:
+        a, b = counts[1][w], counts[0][w]
+        if a + b >= 5:
+            raw, off = np.log((a + 0.5) / n[1]) - np.log((b + 0.5) / n[0]), 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            odds[w] = float(np.sign(raw) * max(0.0, abs(raw) - off))
+    return odds
+
+
+def excerpts(texts: list[list[str]], labels: np.ndarray, rank, seed: int = 0):
+    """Training windows: of each text that around its highest-ranked word, of a clean one also three at random.
+
+    A label holds for the text, not for each of its windows, so the window is taken where the text is most suspect.
+    """
+    rng = np.random.default_rng(seed)
     windows, y = [], []
     for ws, label in zip(texts, labels, strict=True):
         if ws:
-            best = max(range(len(ws)), key=lambda i: odds.get(ws[i], -1.0))
-            for at in [best] if label else [best, int(rng.integers(len(ws)))]:
+            best = rank(ws)
+            for at in [best] if label else [best, *rng.integers(len(ws), size=3).tolist()]:
                 start = max(0, min(at - int(rng.integers(EXCERPT)), len(ws) - EXCERPT))
                 windows.append(ws[start : start + EXCERPT])
                 y.append(label)
-    return windows, np.array(y, np.float32), {w: i + 1 for i, w in enumerate(sorted(odds))}
+    return windows, np.array(y, np.float32)
+
+
+def taught(texts: list[list[str]], labels: np.ndarray) -> Network:
+    """A network from tokenised texts: windows first by log odds, then by its own scores (hard negatives), and a bias
+    that lets FALSE_ALARMS of the clean texts reach the threshold."""
+    texts = [[w for w, on in zip(ws, fresh(np.array(ws, dtype=object)), strict=True) if on] for ws in texts]
+    odds = log_odds(texts, labels)
+    net = Network(odds)
+    net.train(*excerpts(texts, labels, lambda ws: max(range(len(ws)), key=lambda i: odds.get(ws[i], -1.0))))
+    places = iter(score_words(net, texts)[1])
+    at = {id(ws): next(places) for ws in texts}
+    net.train(*excerpts(texts, labels, lambda ws: at[id(ws)], seed=1), seed=1)
+    clean = np.sort(score_words(net, [ws for ws, y in zip(texts, labels, strict=True) if ws and not y])[0])
+    if len(clean):
+        high = np.clip(clean[int((1 - FALSE_ALARMS) * (len(clean) - 1))], 1e-6, 1 - 1e-6)
+        net.p["b"] -= max(0.0, float(np.log(high / (1 - high)) - np.log(THRESHOLD / (1 - THRESHOLD))) + 0.1)
+    return net
 
 
 def fit(df: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> Network | None:
@@ -198,14 +242,11 @@ def fit(df: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> N
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = one(1).unionByName(one(0))  # 2 * rows ids
-    taught = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= FIT_CHARS).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    y = np.array([r.toxic for r in taught], np.float32)
+    sample = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= FIT_CHARS).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    y = np.array([r.toxic for r in sample], np.float32)
     if len(set(y.tolist())) < 2:
         return None
-    windows, y, vocabulary = excerpts([words_of(r.text) for r in taught], y)
-    net = Network(vocabulary)
-    net.train(windows, y)
-    return net
+    return taught([words_of(r.text) for r in sample], y)
 
 
 def starts_of(n: int) -> range:
@@ -213,32 +254,47 @@ def starts_of(n: int) -> range:
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
-def score_batch(net: Network, texts: list[str | None]) -> list[float]:
-    """The highest window score of each whole text; 0 without a word."""
+def score_words(net: Network, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The highest window score of each tokenised text (0 without a word), and the word in the middle of that window."""
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)) for ws in texts]
+    ids = [x[fresh(x)] for x in ids]
+    best, place = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if not number:
-        return [0.0] * len(texts)
-    gates = np.concatenate([net.gates(part) for part in np.array_split(np.array(list(number), dtype=object), max(1, len(number) // 20_000))])
-    best, index, owner = np.zeros(len(texts)), [], []
+        return best, place
+    names = list(number)
+    gates = np.concatenate([net.gates(names[i : i + 20_000]) for i in range(0, len(names), 20_000)])
+    index, owner, starts = [], [], []
 
     def flush():
         if index:
-            rows, own = np.concatenate(index), np.concatenate(owner)
-            for i in range(0, len(rows), 1024):
-                np.maximum.at(best, own[i : i + 1024], net.scores(gates, rows[i : i + 1024]))
-            index.clear()
-            owner.clear()
-
+            rows, own, at = np.concatenate(index), np.concatenate(owner), np.concatenate(starts)
+            p = np.concatenate([net.scores(gates, rows[i : i + 1024]) for i in range(0, len(rows), 1024)])
+            for k in np.lexsort((-p, own)):  # the first of each owner is its best
+                if p[k] > best[own[k]]:
+                    best[own[k]], place[own[k]] = p[k], min(at[k] + WINDOW // 2, len(ids[own[k]]) - 1)
+        for x in (index, owner, starts):
+            x.clear()
+
+    waiting = 0
     for k, x in enumerate(ids):
         if len(x):
-            at = np.array(starts_of(len(x)))[:, None] + np.arange(WINDOW)
-            index.append(np.where(at < len(x), x[np.minimum(at, len(x) - 1)], -1))
-            owner.append(np.full(len(at), k))
-            if sum(map(len, owner)) >= 8192:
-                flush()
+            at = np.array(starts_of(len(x)))
+            for i in range(0, len(at), 8192):
+                part = at[i : i + 8192, None] + np.arange(WINDOW)
+                index.append(np.where(part < len(x), x[np.minimum(part, len(x) - 1)], -1))
+                owner.append(np.full(len(part), k))
+                starts.append(at[i : i + 8192])
+                waiting += len(part)
+                if waiting >= 8192:
+                    flush()
+                    waiting = 0
     flush()
-    return best.tolist()
+    return best, place
+
+
+def score_batch(net: Network, texts: list[str | None]) -> list[float]:
+    return score_words(net, [words_of(t) for t in texts])[0].tolist()
 
 
 def score(df: DataFrame, net: Network | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -254,7 +310,7 @@ def score(df: DataFrame, net: Network | None, text: str = "text", threshold: flo
     def run(batches):
         for batch in batches:
             column = batch.column(at)
-            for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], 2_000_000):
+            for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], 5_000_000):
                 made = score_batch(sent.value, column[i:j].to_pylist()) if sent.value else [0.0] * (j - i)
                 yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns], pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
 
