@@ -1,9 +1,13 @@
 """Registered queries over the driver's tables, with their oracles."""
 
+from . import business, detection, text
+
+GROUPS = (detection, business, text)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for g in GROUPS for k, v in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for g in GROUPS for k, v in g.ORACLES.items()}

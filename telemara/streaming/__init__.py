@@ -1 +1,118 @@
+"""Structured Streaming: contracts, detection, features and counters with per-key state."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+
+def read_snapshot_stream(spark: SparkSession, path: str, schema, max_files: int = 1, fmt: str = "parquet") -> DataFrame:
+    """Files of a folder as a stream, max_files a batch."""
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
+
+
+def write_metric_points(stream: DataFrame, path: str, checkpoint: str):
+    """Appends (ts, name, value, unit); a missing name is `unknown`, a missing value 0."""
+    filled = stream.withColumns({"name": F.coalesce("name", F.lit("unknown")), "value": F.coalesce("value", F.lit(0.0))})
+    return filled.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Monotonic(StatefulProcessor):
+    """Flags rows older than the newest accepted row of their key; the mark lasts from batch to batch."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle) -> None:
+        self.mark = handle.getValueState("mark", "at double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
+        mark = self.mark.get()[0] if self.mark.exists() else -np.inf
+        late = []
+        for t in pdf["epoch"]:
+            late.append(bool(t < mark))
+            mark = max(mark, t)
+        self.mark.update((float(mark),))
+        yield pd.DataFrame({self.key: [key[0]] * len(pdf), "id": pdf["id"].to_numpy(), "late": late})
+
+    def close(self) -> None:
+        pass
+
+
+def check_monotonic_stream(stream: DataFrame, key: str) -> DataFrame:
+    """Rows (key, id, epoch) of a stream with their verdict; a batch is judged in the order of its ids."""
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Monotonic(key), outputStructType=f"{key} string, id long, late boolean", outputMode="append", timeMode="none")
+
+
+class Trailing(StatefulProcessor):
+    """The trailing z-score of each row from the last `window` values of its key."""
+
+    def __init__(self, key: str, window: int, min_samples: int, threshold: float):
+        self.key, self.window, self.least, self.threshold = key, window, min_samples, threshold
+
+    def init(self, handle) -> None:
+        self.past = handle.getValueState("past", "xs array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
+        past = list(self.past.get()[0]) if self.past.exists() else []
+        out = []
+        for i, x in zip(pdf["id"], pdf["x"], strict=True):
+            z = (x - np.mean(past)) / (np.std(past, ddof=1) + 1e-6) if len(past) >= self.least else 0.0
+            out.append((key[0], int(i), float(z), bool(len(past) >= self.least and abs(z) >= self.threshold)))
+            past = [*past, float(x)][-self.window :]
+        self.past.update((past,))
+        yield pd.DataFrame(out, columns=[self.key, "id", "score", "flag"])
+
+    def close(self) -> None:
+        pass
+
+
+def detect_stream(stream: DataFrame, key: str, window: int = 60, min_samples: int = 15, threshold: float = 3.0) -> DataFrame:
+    """Rows (key, id, x) scored one by one against their key's buffer, as the batch window does."""
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Trailing(key, window, min_samples, threshold), outputStructType=f"{key} string, id long, score double, flag boolean", outputMode="append", timeMode="none")
+
+
+class Rolling(StatefulProcessor):
+    """E5: mean and difference over the last `window` rows of a key, the current one included."""
+
+    def __init__(self, key: str, window: int):
+        self.key, self.window = key, window
+
+    def init(self, handle) -> None:
+        self.past = handle.getValueState("past", "xs array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
+        past, out = list(self.past.get()[0]) if self.past.exists() else [], []
+        for i, x in zip(pdf["id"], pdf["x"], strict=True):
+            last, past = past[-1] if past else None, [*past, float(x)][-self.window :]
+            out.append((key[0], int(i), float(np.mean(past)), float(np.std(past, ddof=1)) if len(past) > 1 else 0.0, 0.0 if last is None else float(x - last)))
+        self.past.update((past,))
+        yield pd.DataFrame(out, columns=[self.key, "id", "x_mean", "x_std", "x_diff"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_features(stream: DataFrame, key: str, window: int = 10) -> DataFrame:
+    """E5: rolling features of a stream (key, id, x)."""
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Rolling(key, window), outputStructType=f"{key} string, id long, x_mean double, x_std double, x_diff double", outputMode="append", timeMode="none")
+
+
+def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """I1 and I3 on a stream: events of each window and label, final once the watermark has passed it."""
+    at = stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+    return at.groupBy(F.window("at", window), *by).agg(F.count("*").alias("n")).select(F.col("window.start").cast("long").alias("window_start"), *by, "n")
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and reads back what it wrote."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path)
