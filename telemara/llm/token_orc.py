@@ -30,7 +30,7 @@ def tokenizer(data: bytes):
 
 
 #: Distinct words that a task remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 #: Python's str.split takes these for white space; the tokenizer does not.
@@ -42,14 +42,41 @@ def chunks(text: str) -> list[str]:
     return CHUNKS.findall(text) if SEPARATORS.search(text) else text.split()
 
 
-def encoded(made, texts: list[str], known: dict) -> list[np.ndarray]:
-    """The ids of each text. The tokenizer drops white space and never joins across it, so each distinct word between
-    white space is encoded once and the ids are put together."""
-    words = [chunks(t) for t in texts]
-    fresh = list({w for ws in words for w in ws if w not in known})
-    for w, e in zip(fresh, made.encode_batch_fast(fresh, add_special_tokens=False) if fresh else (), strict=True):
-        known[w] = e.ids
-    return [np.fromiter((i for w in ws for i in known[w]), dtype=np.int32) for ws in words]
+class Words:
+    """The ids of the words met so far: each is encoded once, many to a call, and told apart by the tokens' places.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row.
+    """
+
+    def __init__(self, made):
+        self.made = made
+        self.clear()
+
+    def clear(self):
+        self.number, self.ids, self.start = {}, [np.zeros(0, np.int32)], [0]
+
+    def learn(self, words: list[str], per: int = 400) -> None:
+        runs = [words[i : i + per] for i in range(0, len(words), per)]
+        for run, e in zip(runs, self.made.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(w) + 1 for w in run])
+            at = np.searchsorted(ends, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right")
+            self.ids.append(np.array(e.ids, dtype=np.int32))
+            self.start += (self.start[-1] + np.cumsum(np.bincount(at, minlength=len(run)))).tolist()
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by end_id, and where each begins."""
+        words, number = [chunks(t) for t in texts], self.number
+        known = len(number)
+        index = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+        if len(number) > known:
+            self.learn(list(number)[known:])
+            self.ids = [np.concatenate(self.ids)]
+        start, closed = np.array(self.start), np.full(1, -1)
+        row = np.concatenate([x for i in index for x in (i, closed)])
+        sizes = np.where(row < 0, 1, np.diff(start)[row] if len(start) > 1 else 1)
+        upto = np.cumsum(sizes)
+        source = np.arange(upto[-1]) - np.repeat(upto - sizes, sizes) + np.repeat(np.where(row < 0, len(self.ids[0]), start[row]), sizes)
+        return np.append(self.ids[0], np.int32(end_id))[source], np.r_[0, upto[row < 0]]
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None) -> None:
@@ -66,15 +93,14 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
     rows = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        made, known = tokenizer(data.value), {}
+        words = Words(tokenizer(data.value))
         for batch in batches:
             texts = batch.column(1)
-            for i, j in slices([len(t.as_buffer()) for t in texts], 2_000_000):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = [np.append(x, np.int32(end_id)) for x in encoded(made, texts[i:j].to_pylist(), known)]
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(offsets, np.concatenate(ids))], names=["doc_id", "ids"])
+            for i, j in slices([len(t.as_buffer()) for t in texts], 3_000_000):
+                if len(words.number) > REMEMBERED:
+                    words.clear()
+                ids, offsets = words.encode(texts[i:j].to_pylist(), end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(offsets.astype(np.int32), ids)], names=["doc_id", "ids"])
 
     rows.mapInArrow(run, "doc_id long, ids array<int>").write.options(**OPTIONS).orc(path)
 
