@@ -27,7 +27,7 @@ from .common import durable, fold, slices, text_bytes
 DEPTH, TOP = 5, 2
 END = 0xFF  # no byte of UTF-8
 BLOCK_BYTES = 24_000_000
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 HALF = math.log(0.5)
 
 
@@ -164,29 +164,32 @@ def tallied(codes: np.ndarray, n: np.ndarray | None = None):
     return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
 
-def pieces_of(texts: list[list[bytes]]):
-    """The documents as bytes, in runs of about CHUNK bytes."""
-    joined = [b" ".join(w) for w in texts]
-    for i, j in slices([len(x) for x in joined], CHUNK):
-        yield i, j, joined[i:j]
+def runs_of(texts: pa.ChunkedArray):
+    """Tokenised documents of a column, in runs of about CHUNK bytes, so that no more are held at a time."""
+    for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], CHUNK):
+        yield i, j, [words_of(t) for t in texts[i:j].to_pylist()]
 
 
 def gather(table: pa.Table, shards: int) -> pa.Table:
     """The distinct words and contexts of a block by shard, with the counts in its training documents."""
-    texts = [words_of(x) for x in table["text"].to_pylist()]
-    learn = table["learn"].to_pylist()
-    counts = Counter(w for ws, on in zip(texts, learn, strict=True) if on for w in ws)
-    for ws, on in zip(texts, learn, strict=True):
-        if not on:
-            for w in ws:
-                if w not in counts:
-                    counts[w] = 0
-    codes, n = [], []
-    for on in (True, False):
-        for _, _, run in pieces_of([ws for ws, x in zip(texts, learn, strict=True) if bool(x) == on]):
-            c, k = tallied(positions(run)[0])
-            codes.append(c)
-            n.append(k if on else np.zeros_like(k))
+    learn, counts = table["learn"].to_pylist(), Counter()
+    codes, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j, texts in runs_of(table["text"]):
+        for on in (True, False):
+            part = [ws for ws, x in zip(texts, learn[i:j], strict=True) if x == on]
+            for ws in part:
+                if on:
+                    counts.update(ws)
+                else:
+                    for w in ws:
+                        counts.setdefault(w, 0)
+            if part:
+                c, k = tallied(positions([b" ".join(ws) for ws in part])[0])
+                codes.append(c)
+                n.append(k if on else np.zeros_like(k))
+        if sum(map(len, codes)) > 3_000_000:
+            c, k = tallied(np.concatenate(codes), np.concatenate(n))
+            codes, n = [c], [k]
     codes, n = tallied(np.concatenate(codes), np.concatenate(n))
     home = (codes % np.uint64(shards)).astype(np.int64)
     order = np.argsort(home, kind="stable")
@@ -243,14 +246,16 @@ def score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     logs = np.concatenate([unpack(x, np.float64) for x in answers["lp"].to_pylist()])
     order = np.argsort(codes)
     codes, logs = codes[order], logs[order]
-    texts = [words_of(x) for x in docs["text"].to_pylist()]
-    of = [np.fromiter(map(count.__getitem__, ws), np.int64, len(ws)) for ws in texts]
-    score, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for i, j, run in pieces_of(texts):
-        z, starts = positions(run)
-        score[i:j] = np.add.reduceat(found(z, codes, logs), starts)
-        n_bytes[i:j] = [len(x) + 1 for x in run]
-    return pa.table({"doc_id": docs["doc_id"], "held_out": pa.array([not x for x in docs["learn"].to_pylist()], pa.bool_()), "n_tokens": pa.array([len(x) + 1 for x in of], pa.int64()), "n_known": pa.array([int((x > 0).sum()) for x in of], pa.int64()), "logs": pa.array([float(np.log10(x + 1.0).sum()) for x in of]), "score": pa.array(score), "n_bytes": pa.array(n_bytes)})
+    made = []
+    for _, _, texts in runs_of(docs["text"]):
+        z, starts = positions([b" ".join(ws) for ws in texts])
+        score = np.add.reduceat(found(z, codes, logs), starts)
+        for ws, x, size in zip(texts, score.tolist(), np.diff(np.r_[starts, len(z)]).tolist(), strict=True):
+            c = np.fromiter(map(count.__getitem__, ws), np.int64, len(ws))
+            made.append((len(ws) + 1, int((c > 0).sum()), float(np.log10(c + 1.0).sum()), x, size))
+    cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+    held = pa.array([not x for x in docs["learn"].to_pylist()], pa.bool_())
+    return pa.table([docs["doc_id"], held, *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes"])
 
 
 def score_texts(df: DataFrame, learn=None, blocks: int | None = None) -> DataFrame:
