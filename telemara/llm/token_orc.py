@@ -29,8 +29,8 @@ def tokenizer(data: bytes):
     return made
 
 
-#: Distinct words that a task remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Distinct words that a Python worker remembers, from task to task; then it starts anew.
+REMEMBERED = 900_000
 
 
 #: Python's str.split takes these for white space; the tokenizer does not.
@@ -79,21 +79,26 @@ class Words:
         return np.append(self.ids[0], np.int32(end_id))[source], np.r_[0, upto[row < 0]]
 
 
+@functools.lru_cache(maxsize=1)
+def remembered(data: bytes) -> Words:
+    return Words(tokenizer(data))
+
+
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None) -> None:
     """Writes (doc_id, ids) as ORC in ascending doc_id: the file names' order is the order of the ids.
 
     df has doc_id and text; null and empty texts hold the end id alone, null ids come first, further columns are
-    not read. Texts move once, by range of doc_id; ties go by text. An empty df leaves a table without rows.
+    not read. Texts move once, by range of doc_id; ties go by a hash of the text. An empty df leaves a table without rows.
     """
     spark = df.sparkSession
     with open(tokenizer_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
 
     def run(batches):
-        words = Words(tokenizer(data.value))
+        words = remembered(data.value)
         for batch in batches:
             texts = batch.column(1)
             for i, j in slices([len(t.as_buffer()) for t in texts], 3_000_000):
