@@ -267,7 +267,7 @@ def score_texts(df: DataFrame, learn=None, blocks: int | None = None) -> DataFra
     """
     learn = fold(F.col("doc_id"), 7) != 2 if learn is None else learn
     spark = df.sparkSession
-    shards = blocks or max(48, math.ceil(text_bytes(df) / BLOCK_BYTES))
+    shards = blocks or max(16, math.ceil(text_bytes(df) / BLOCK_BYTES))
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.octet_length("text")), F.lit(shards)).cast("int")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), block.alias("block"))
     docs = rows.repartition(shards, "block")
