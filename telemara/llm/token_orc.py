@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql.types import LongType
 
 from .common import slices
 
-OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "zlib"}
+OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "zstd"}
 
 
 @functools.lru_cache(maxsize=4)
@@ -34,12 +36,12 @@ REMEMBERED = 900_000
 
 
 #: Python's str.split takes these for white space; the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def chunks(text: str) -> list[str]:
-    return CHUNKS.findall(text) if SEPARATORS.search(text) else text.split()
+    return CHUNKS.findall(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 class Words:
@@ -53,7 +55,8 @@ class Words:
         self.clear()
 
     def clear(self):
-        self.number, self.ids, self.start = {}, [np.zeros(0, np.int32)], [0]
+        self.number = defaultdict(itertools.count().__next__)  # a word not met before gets the next number
+        self.ids, self.start = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
     def learn(self, words: list[str], per: int = 400) -> None:
         runs = [words[i : i + per] for i in range(0, len(words), per)]
@@ -61,17 +64,17 @@ class Words:
             ends = np.cumsum([len(w) + 1 for w in run])
             at = np.searchsorted(ends, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right")
             self.ids.append(np.array(e.ids, dtype=np.int32))
-            self.start += (self.start[-1] + np.cumsum(np.bincount(at, minlength=len(run)))).tolist()
+            self.start.append(self.start[-1][-1] + np.cumsum(np.bincount(at, minlength=len(run))))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by end_id, and where each begins."""
         words, number = [chunks(t) for t in texts], self.number
         known = len(number)
-        index = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+        index = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in words]
         if len(number) > known:
-            self.learn(list(number)[known:])
-            self.ids = [np.concatenate(self.ids)]
-        start, closed = np.array(self.start), np.full(1, -1)
+            self.learn(list(itertools.islice(number, known, None)))
+            self.ids, self.start = [np.concatenate(self.ids)], [np.concatenate(self.start)]
+        start, closed = self.start[0], np.full(1, -1)
         row = np.concatenate([x for i in index for x in (i, closed)])
         sizes = np.where(row < 0, 1, np.diff(start)[row] if len(start) > 1 else 1)
         upto = np.cumsum(sizes)
@@ -85,7 +88,9 @@ def remembered(data: bytes) -> Words:
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None) -> None:
-    """Writes (doc_id, ids) as ORC in ascending doc_id: the file names' order is the order of the ids.
+    """Writes (doc_id, n_tokens, ids) as ORC in ascending doc_id: the file names' order is the order of the ids.
+
+    n_tokens, the length of ids, is a column of its own so that offsets are summed without reading any id.
 
     df has doc_id and text; null and empty texts hold the end id alone, null ids come first, further columns are
     not read. Texts move once, by range of doc_id; ties go by a hash of the text. An empty df leaves a table without rows.
@@ -105,14 +110,15 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
                 if len(words.number) > REMEMBERED:
                     words.clear()
                 ids, offsets = words.encode(texts[i:j].to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(offsets.astype(np.int32), ids)], names=["doc_id", "ids"])
+                lengths = pa.array(np.diff(offsets).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lengths, pa.ListArray.from_arrays(offsets.astype(np.int32), ids)], names=["doc_id", "n_tokens", "ids"])
 
-    rows.mapInArrow(run, "doc_id long, ids array<int>").write.options(**OPTIONS).orc(path)
+    rows.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>").write.options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids), or only those of doc_ids: stripes and row groups without them are skipped by their metadata."""
-    rows = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    """(doc_id, n_tokens, ids), or only those of doc_ids: stripes and row groups without them are skipped by their metadata."""
+    rows = spark.read.schema("doc_id long, n_tokens int, ids array<int>").orc(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
@@ -124,12 +130,12 @@ def ids_crc32(s: pd.Series) -> pd.Series:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the files at path, start being the ids of all documents before it.
 
-    Sums run over rows of three numbers: within a file, and over one row a file.
+    Sums run over rows of three numbers: within a file, and over one row a file, which reads the lengths alone.
     """
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     rows = read_tokens(spark, path).select("doc_id", "ids", name.alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
     rows = rows.select("file", "block", "at", "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
     before = "coalesce(sum(n) over (order by file rows between unbounded preceding and 1 preceding), 0)"
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.expr(before).alias("base"))
+    files = read_tokens(spark, path).select("n_tokens", name.alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.expr(before).alias("base"))
     inside = F.expr("coalesce(sum(n_tokens) over (partition by file order by doc_id, block, at rows between unbounded preceding and 1 preceding), 0)")
     return rows.withColumn("inside", inside).join(files, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
