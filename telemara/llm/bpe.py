@@ -47,51 +47,69 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df without its text, plus `out`: the token ids as little-endian unsigned 32-bit integers.
+#: Bytes of text or ids that a task turns at a time.
+AT_A_TIME = 4_000_000
+
+
+def _coded(texts: pa.Array, enc: tiktoken.Encoding) -> pa.Array:
+    return _binary([encode_text(enc, t.as_py()).tobytes() for t in texts])
+
 
-    The rank file is read by the driver and sent along (its size is that of one vocabulary). Null and empty texts
-    give empty ids. A column of df already named `out` is replaced.
+def _decoded(coded: pa.Array, enc: tiktoken.Encoding) -> pa.Array:
+    return _binary([enc.decode_bytes(np.frombuffer(x.as_py(), dtype="<u4").tolist()) if x.is_valid else None for x in coded])
+
+
+def _mapped(source: DataFrame, at: int, ranks_path: str, pattern: str, made: dict, dropped: bool) -> DataFrame:
+    """source plus the columns of `made`, each a function of the one before it, the first of column number `at`, which
+    goes if `dropped`. One pass; the rank file is read by the driver and sent along (its size is that of one vocabulary).
     """
     with open(ranks_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c not in (text, out)]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(out))
-    schema = source.withColumn(out, F.col(f"`{out}`").cast("binary")).schema
+        ranks = source.sparkSession.sparkContext.broadcast(f.read())
+    kept = [i for i in range(len(source.columns)) if not (dropped and i == at)]
+    schema = source.select(*[F.col(f"`{source.columns[i]}`") for i in kept], *[F.lit(None).cast("binary").alias(k) for k in made]).schema
 
     def run(batches):
         enc = encoder(ranks.value, pattern)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], 4_000_000):
-                ids = [encode_text(enc, t.as_py()).tobytes() for t in texts[i:j]]
-                yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns[:-1]], _binary(ids)], names=batch.schema.names)
+            column = batch.column(at)
+            for i, j in slices([len(x.as_buffer()) if x.is_valid else 0 for x in column], AT_A_TIME):
+                last, columns = column[i:j], []
+                for turn in made.values():
+                    last = turn(last, enc)
+                    columns.append(last)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k)[i:j] for k in kept], *columns], names=[*[batch.schema.names[k] for k in kept], *made])
 
     return source.mapInArrow(run, schema)
 
 
+def _with_text_last(df: DataFrame, text: str, *made: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, *made)], F.col(f"`{text}`").alias(made[0]))
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """df without its text, plus `out`: the token ids as little-endian unsigned 32-bit integers.
+
+    Null and empty texts give empty ids. A column of df already named `out` is replaced.
+    """
+    source = _with_text_last(df, text, out)
+    return _mapped(source, len(source.columns) - 1, ranks_path, pattern, {out: _coded}, True)
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df plus `out`: the bytes that the ids stand for; null ids give null. Bytes need not be valid UTF-8."""
-    with open(ranks_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
     source = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out])
-    at = source.columns.index(ids)
-    schema = source.withColumn(out, F.col(f"`{ids}`")).schema
+    return _mapped(source, source.columns.index(ids), ranks_path, pattern, {out: _decoded}, False)
 
-    def run(batches):
-        enc = encoder(ranks.value, pattern)
-        for batch in batches:
-            coded = batch.column(at)
-            for i, j in slices([len(x.as_buffer()) if x.is_valid else 0 for x in coded], 4_000_000):
-                made = [enc.decode_bytes(np.frombuffer(x.as_py(), dtype="<u4").tolist()) if x.is_valid else None for x in coded[i:j]]
-                yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns], _binary(made)], names=[*batch.schema.names, out])
 
-    return source.mapInArrow(run, schema)
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """decode(encode(df)) in one pass, so that a task needs one Python worker and ids are not sent to and fro."""
+    source = _with_text_last(df, text, ids, out)
+    return _mapped(source, len(source.columns) - 1, ranks_path, pattern, {ids: _coded, out: _decoded}, True)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df without its text, plus n_tokens and the digests of the ids and of the bytes they decode to."""
-    coded = decode(encode(df, ranks_path, pattern, text), ranks_path, pattern)
+    coded = encode_decode(df, ranks_path, pattern, text)
     made = {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
     keep = [c for c in df.columns if c not in (text, "ids", "decoded", *made)]
     return coded.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in made.items()])

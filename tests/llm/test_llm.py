@@ -90,6 +90,8 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs):
     assert bpe.encode_text(enc, long).tolist() == enc.encode_ordinary(long) and len(list(bpe.pieces(long))) > 2
     for r in bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).join(docs.select("doc_id", "text"), "doc_id"), path, public_tokenizers.PATTERN).collect():
         assert bytes(r.decoded) == (r.text or "").encode()
+    once = bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
+    assert sorted(map(str, once.collect())) == sorted(map(str, bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()))
     out = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     assert out.count() == docs.count() and "shard" in out.columns and bpe.round_trip(empty(docs), path, public_tokenizers.PATTERN).count() == 0
 
