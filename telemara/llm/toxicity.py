@@ -310,7 +310,7 @@ def score(df: DataFrame, net: Network | None, text: str = "text", threshold: flo
     def run(batches):
         for batch in batches:
             column = batch.column(at)
-            for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], 5_000_000):
+            for i, j in slices([len(t.as_buffer()) if t.is_valid else 0 for t in column], 2_500_000):
                 made = score_batch(sent.value, column[i:j].to_pylist()) if sent.value else [0.0] * (j - i)
                 yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns], pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
 
