@@ -1,6 +1,8 @@
 """The training-data operators against brute force, on fixtures with nulls, empties, repeats and clashing columns."""
 
+import functools
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -82,6 +84,62 @@ def test_ctw_sums_to_one_and_base_is_exact(spark, docs):
     assert all(r.score < 0 for r in got) and ctw.score_texts(empty(docs)).count() == 0
 
 
+def brute_ctw(learnt, asked):
+    """log10 probability of each asked text after the learnt ones, node by node in dictionaries."""
+    end, depth = bytes([ctw.END]), ctw.DEPTH
+    zeros_ones, children = {}, {}
+
+    def steps(text):
+        padded = end * depth + b" ".join(ctw.words_of(text)) + end
+        for i in range(depth, len(padded)):
+            for j in range(8):
+                prefix = 1 << j | padded[i] >> (8 - j)
+                yield [(padded[i - d : i], prefix) for d in range(depth + 1)], padded[i] >> (7 - j) & 1
+
+    for text in learnt:
+        for path, bit in steps(text):
+            for node, below in zip(path, [*path[1:], None], strict=True):
+                zeros_ones.setdefault(node, [0, 0])[bit] += 1
+                children.setdefault(node, set()).add(below)
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def log_weighted(node):
+        own = log_kt(*zeros_ones.get(node, (0, 0)))
+        if len(node[0]) == depth:
+            return own
+        return float(np.logaddexp(own, sum(log_weighted(c) for c in children.get(node, ())))) + math.log(0.5)
+
+    def log_of(text):
+        total = 0.0
+        for path, bit in steps(text):
+            p = None
+            for node in reversed(path):
+                n = zeros_ones.get(node, (0, 0))
+                kt = (n[bit] + 0.5) / (sum(n) + 1)
+                own = 1.0 if p is None else 0.5 * math.exp(log_kt(*n) - log_weighted(node))
+                p = own * kt + (1 - own) * (p or 0.0)
+            total += math.log10(p)
+        return total
+
+    return [log_of(t) for t in asked]
+
+
+def test_ctw_scores_equal_brute_force(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    learn = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2 for r in rows]
+    assert 0 < sum(learn) < len(rows)
+    want = brute_ctw([r.text for r, on in zip(rows, learn, strict=True) if on], [r.text for r in rows])
+    got = ctw.score_texts(docs, blocks=3).collect()
+    key = lambda x: (str(x[0]), x[1])
+    for (a, x), (b, y) in zip(sorted(((r.doc_id, s) for r, s in zip(rows, want, strict=True)), key=key), sorted(((r.doc_id, r.score) for r in got), key=key), strict=True):
+        assert a == b and x == pytest.approx(y, rel=1e-9)
+    nothing = ctw.score_texts(docs, F.lit(False), blocks=2).where("doc_id = 3").first()
+    assert nothing.bits_per_byte == pytest.approx(8.0) and nothing.n_known == 0 and nothing.train_tokens == 0
+
+
 def test_bpe_equals_the_library_and_round_trips(spark, docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     enc = bpe.encoder(open(path, "rb").read(), public_tokenizers.PATTERN)
