@@ -251,6 +251,19 @@ def test_token_files_read_back(spark, docs, tmp_path):
     assert "PushedFilters: [In(doc_id" in token_orc.read_tokens(spark, path, [7, 9])._jdf.queryExecution().toString()
 
 
+def test_words_have_the_ids_of_whole_texts():
+    made = token_orc.tokenizer(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    words = token_orc.Words(made)
+    hard = "It's, OK!!! ÉTÉ.. x²; ½. (abc)!? ªº. e\u0301. É\u0301! ǅ. İstanbul: ΣΑΣ, 'S 'll. a'll, $$ .,; 9.9.9% ok* OK OK, #tag# été été. <|endoftext|>. <|endoftext|> µ# ß) ÿ& ｆｕｌｌ. 漢字。 漢字. a\x1cb."
+    rng = np.random.default_rng(6)
+    pieces = [*"aAéÉ19.,!?;:$&%*#)('²ºß_-\u0301İΣ", " ", " ", "'s", "'LL", "word"]
+    texts = [hard, "", hard.swapcase(), "  ", *["".join(rng.choice(pieces, 60)) for _ in range(400)]]
+    for some in (texts[:2], texts[2:200], texts[:], texts[100:]):
+        ids, offsets = words.encode(some, 1)
+        want = [e.ids + [1] for e in made.encode_batch(some, add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
 def toxic_rows(n):
     rng = np.random.default_rng(3)
     vocab = np.array([f"w{i}" for i in range(80)])
