@@ -10,11 +10,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import slices
 
@@ -122,9 +120,12 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(s: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in s], dtype="int64")
+def with_crc32(batches):
+    """Replaces the last column, lists of ids, by the crc32 of each list's bytes, read where they lie."""
+    for batch in batches:
+        ids, at = batch.columns[-1].values.to_numpy().astype("<u4", copy=False), batch.columns[-1].offsets.to_pylist()
+        crc = [zlib.crc32(ids[i:j]) for i, j in itertools.pairwise(at)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -133,8 +134,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     Sums run over rows of three numbers: within a file, and over one row a file, which reads the lengths alone.
     """
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = read_tokens(spark, path).select("doc_id", "ids", name.alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
-    rows = rows.select("file", "block", "at", "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    rows = read_tokens(spark, path).select(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    rows = rows.mapInArrow(with_crc32, "file string, block long, at long, doc_id long, n_tokens long, ids_crc32 long")
     before = "coalesce(sum(n) over (order by file rows between unbounded preceding and 1 preceding), 0)"
     files = read_tokens(spark, path).select("n_tokens", name.alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.expr(before).alias("base"))
     inside = F.expr("coalesce(sum(n_tokens) over (partition by file order by doc_id, block, at rows between unbounded preceding and 1 preceding), 0)")
