@@ -30,7 +30,7 @@ def tokenizer(data: bytes):
 
 
 #: Distinct words that a Python worker remembers, from task to task; then it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 1_300_000
 
 
 #: Python's str.split takes these for white space; the tokenizer does not.
