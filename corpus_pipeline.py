@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemara.llm import bpe, language, mixing, simhash, toxicity
+from telemara.llm import bpe, language, mixing, similar, toxicity
 from telemara.llm.common import documents, fresh_path
 from telemara.llm.queries import BPE_RANKS
 
@@ -30,8 +30,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs, width=5, radius=4)
+    """Keeps of each group of near duplicates, shingle sets of Jaccard similarity 0.8 or more, the document with the smallest id."""
+    return similar.drop_similar(docs, width=5, radius=4)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

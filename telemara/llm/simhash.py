@@ -20,25 +20,34 @@ from .components import connected_components
 BUCKET_VARIANTS = 2_000_000
 
 
-def shingle_bits(text: str | None, width: int) -> int:
-    """The SimHash of a text: bit i is set if it is set in over half of the hashes of its word shingles."""
+def shingle_hashes(text: str | None, width: int):
+    """The hashes of a text's word shingles, repeats included, at most 50,000 at a time; nothing for a text without a word."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = max(1, len(words) - width + 1)
     last = ends[min(width, len(words)) - 1 :][:k]
     hash_of = xxhash.xxh64_intdigest
-    tally, n = np.zeros(64, np.int64), 0
     for i in range(0, k, 50_000):
-        h = np.array([hash_of(joined[a:b], 42) for a, b in zip(starts[i : i + 50_000][: k - i].tolist(), last[i : i + 50_000].tolist(), strict=True)], dtype=np.uint64)
+        yield np.array([hash_of(joined[a:b], 42) for a, b in zip(starts[i : i + 50_000][: k - i].tolist(), last[i : i + 50_000].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority_bits(hashes) -> int:
+    tally, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return sum(1 << i for i in np.flatnonzero(2 * tally > n).tolist())
 
 
+def shingle_bits(text: str | None, width: int) -> int:
+    """The SimHash of a text: bit i is set if it is set in over half of the hashes of its word shingles."""
+    return majority_bits(shingle_hashes(text, width))
+
+
 def simhash_column(text: str, width: int):
     @F.pandas_udf(LongType())
     def simhash(s: pd.Series) -> pd.Series:
