@@ -50,15 +50,25 @@ def states(s, d):
 def history_pair(s, d):
     base = inc(s, d).selectExpr("id as incident_id", "'t' || cast(id as string) as title", "severity", "id * 10 as detected_at", "status", "0.5 as confidence", "cast(null as string) as postmortem", "cast(null as bigint) as resolved_at")
     new = base.where("incident_id % 3 = 0").selectExpr("incident_id + 3000 as incident_id", "'n' || cast(incident_id as string) as title", "severity", "detected_at", "'RESOLVED' as status", "0.9 as confidence", "'pm' as postmortem", "incident_id as resolved_at")
-    return base.where("incident_id < 10000"), new
+    return base, new
+
+
+def upserted(s, d, where="true"):
+    base, new = history_pair(s, d)
+    return history.upsert_incidents(base.where(where), new)
 
 
 def children(s, d):
     return load(s, d, "signals").select("incident_id", "signal_id", "metric")
 
 
-def detail(s, d):
-    i = inc(s, d).selectExpr("id as incident_id", "status").where("incident_id < 3000")
+def replaced(s, d, where="true"):
+    new = children(s, d).where("incident_id >= 4000 and incident_id % 2 = 0").selectExpr("incident_id", "signal_id", "'new' as metric")
+    return history.replace_children(children(s, d).where(where), new)
+
+
+def detail(s, d, where="true"):
+    i = inc(s, d).selectExpr("id as incident_id", "status").where(where)
     out = history.incident_detail(i, {"signals": children(s, d)})
     return out.select("incident_id", "status", F.size("signals").alias("n"), F.array_join(F.transform("signals", lambda x: x["metric"]), ",").alias("metrics"))
 
@@ -112,9 +122,12 @@ QUERIES = {
     "realisation_what_if": lambda s, d: finance.realisation_what_if(fin(s, d)).select("rate", F.round("net", 0).alias("net")),
     "period_filter": lambda s, d: finance.period_filter(inc(s, d), 90).select("id", "severity"),
     "stage_waterfall": lambda s, d: finance.stage_waterfall(s.read.parquet(f"{d}/events.parquet"), ["user_id"], "event_type", "ts"),
-    "upsert_incidents": lambda s, d: history.upsert_incidents(*history_pair(s, d)),
-    "replace_children": lambda s, d: history.replace_children(children(s, d).where("incident_id < 5000"), children(s, d).where("incident_id >= 4000 and incident_id % 2 = 0").selectExpr("incident_id", "signal_id", "'new' as metric")),
-    "incident_detail": detail,
+    "upsert_incidents": lambda s, d: upserted(s, d, "incident_id < 10000"),
+    "upsert_incidents_all": upserted,
+    "replace_children": lambda s, d: replaced(s, d, "incident_id < 5000"),
+    "replace_children_all": replaced,
+    "incident_detail": lambda s, d: detail(s, d, "incident_id < 3000"),
+    "incident_detail_all": detail,
     "similar_incidents": lambda s, d: similar(s, d).select("probe_id", "incident_id", "rank", "action"),
     "recent_incidents": lambda s, d: history.recent_incidents(inc(s, d).selectExpr("id as incident_id", "detected_at", "status")).select("incident_id", "status"),
     "recall_experience": lambda s, d: history.recall_experience(similar(s, d)),

@@ -114,6 +114,11 @@ def positions(s, d):
     return series(s, d).select(F.col("id").alias("pos"), "x")
 
 
+def repeated(s, d, times=3):
+    whole = positions(s, d)
+    return shape.repeat_to_size(whole, times * whole.count())
+
+
 def tier_small(s, d):
     x = series(s, d)
     df = x.select(F.col("id").alias("pos"), F.col("x").alias("cpu"), (F.col("y") / 2).alias("net"), (F.col("x") * 2).alias("latency"), (F.col("y") + 1).alias("requests"))
@@ -137,6 +142,7 @@ QUERIES = {
     "join_cyclic": cyclic,
     "assign_round_robin": lambda s, d: shape.assign_round_robin(positions(s, d), ("a", "b", "c"), "2024-01-01", 5).select("pos", "entity", "step", "epoch"),
     "repeat_to_size": lambda s, d: shape.repeat_to_size(positions(s, d).where("pos < 90"), 250),
+    "repeat_to_size_all": repeated,
     "label_by_rules": lambda s, d: shape.label_by_rules(ticks(s, d), [(F.col("cpu") > 60, "BLACK_FRIDAY_TRAFFIC_BURST", True), (F.col("checkout") < 30, "PAYMENT_GATEWAY_OUTAGE", True)]).select("service_id", "tick", "label", "anomalous"),
     "tier_small": tier_small,
     "tier_medium": tier_medium,

@@ -178,6 +178,7 @@ QUERIES = {
     "encode_archetype": lambda s, d: incidents(s, d).select("incident_id", encode_archetype(F.col("archetype")).alias("code")),
     "tokenise_technical": lambda s, d: corpus(s, d).select("id", F.size(tokenise_technical(F.col("text"))).alias("tokens")),
     "chunk_id": lambda s, d: probes(s, d).select("query_id", slug(F.substring(F.regexp_replace("text", "[^A-Za-z0-9 .,-]", ""), 1, 30)).alias("slug")),
+    "chunk_id_all": lambda s, d: probes(s, d).select("query_id", slug(F.regexp_replace("text", "[^A-Za-z0-9 .,-]", "")).alias("slug")),
     "chunk_markdown": lambda s, d: chunks(s, d).groupBy("uri").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
     "bm25_topk": lambda s, d: lexical(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
     "cosine_topk": lambda s, d: semantic(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
