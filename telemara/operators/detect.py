@@ -150,8 +150,8 @@ def calibrate_then_score(baseline: DataFrame, live: DataFrame, score_fn) -> Data
 SIGNAL = ("id", "detector", "emission", "observed", "baseline", "sigma", "severity")
 
 
-def emit_signals(df: DataFrame, keys, order, x, y, chart: bool = True) -> DataFrame:
-    """One row for each detector that fires on a row: z-score, MAD, EWMA and correlation drift, in that order."""
+def emit_signals(df: DataFrame, keys, order, x, y, chart: bool = True, model=None, crit_sq=CRITICAL_11) -> DataFrame:
+    """One row for each detector that fires on a row: z-score, MAD, EWMA, Mahalanobis (given its model) and correlation drift, in that order."""
 
     def rows(scored, detector, emission, baseline, sigma, severity=None):
         s = scored.where("flag").withColumn("sigma", sigma)
@@ -162,14 +162,18 @@ def emit_signals(df: DataFrame, keys, order, x, y, chart: bool = True) -> DataFr
     off = F.col(x) - F.col("mean")
     drift = rows(correlation_drift_score(df, keys, order, x, y), "correlation_drift", 4, F.lit(0.0), F.col("sigma"), F.col("severity"))
     out = z.unionByName(mad).unionByName(drift)
+    if model is not None:
+        critical = math.sqrt(crit_sq)
+        far = mahalanobis_score(df, model, crit_sq).where("emitted")
+        out = out.unionByName(far.select("id", F.lit("mahalanobis").alias("detector"), F.lit(3).alias("emission"), F.round("distance", 2).alias("observed"), F.lit(round(critical, 2)).alias("baseline"), F.round(F.col("distance") - critical, 2).alias("sigma"), "severity"))
     if not chart:
         return out
     return out.unionByName(rows(ewma_chart(df, keys, ["ts", "id"], x), "ewma", 2, F.col("mean"), off / F.greatest(F.lit(1.0), 0.1 * F.abs("mean")), severity_of(off)))
 
 
 def primary_driver(signals: DataFrame, key="id") -> DataFrame:
-    """Of each snapshot's signals the one with the largest deviation, the earlier detector at a tie."""
-    w = Window.partitionBy(key).orderBy(F.abs("sigma").desc(), "emission")
+    """Of each snapshot's signals Mahalanobis, or else the one with the largest deviation, the earlier detector at a tie."""
+    w = Window.partitionBy(key).orderBy((F.col("detector") == "mahalanobis").desc(), F.abs("sigma").desc(), "emission")
     return signals.withColumn("is_primary", F.row_number().over(w) == 1)
 
 

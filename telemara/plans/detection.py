@@ -50,6 +50,11 @@ def signals(s, d):
     return detect.emit_signals(series(s, d), K, O, "x", "y", chart=False)
 
 
+def all_signals(s, d):
+    x = series(s, d)
+    return detect.emit_signals(x, K, O, "x", "y", model=detect.mahalanobis_fit(x, ["x", "y"]), crit_sq=13.815510557964274)
+
+
 def mahalanobis(s, d):
     t = ticks(s, d)
     f = ["p50", "cpu", "revenue"]
@@ -93,6 +98,14 @@ def ensemble(s, d):
     return features.ensemble_decision(both, rec["threshold"]).select("service_id", "tick", "ensemble_score", "is_anomaly")
 
 
+def ensemble_all(s, d):
+    t = labelled(s, d)
+    rec, iso = features.reconstruction_fit(t, FEATURES, k=4), features.iforest_fit(t, ["rps", "p50", "cpu"], trees=20)
+    model = features.classify_fit(t, FEATURES, "label", trees=10, depth=5)
+    both = features.classify(features.iforest_score(features.reconstruction_score(t, rec), iso), model, ["NOMINAL", "CASCADING_THIRD_PARTY_FAILURE"])
+    return features.ensemble_decision(both, rec["threshold"]).select("service_id", "tick", "ensemble_score", "is_anomaly")
+
+
 def standardised(s, d):
     t = ticks(s, d)
     return r6(features.standardise(t, features.standardise_fit(t, ["p50", "cpu"])).select("service_id", "tick", "p50", "cpu"), "p50", "cpu")
@@ -167,6 +180,12 @@ QUERIES = {
     "ingest_verdict": lambda s, d: detect.ingest_verdict(series(s, d), signals(s, d)),
     "batch_anomaly_rate": lambda s, d: detect.batch_anomaly_rate(detect.ingest_verdict(series(s, d), signals(s, d))),
     "detector_breakdown": lambda s, d: detect.detector_breakdown(signals(s, d)),
+    "emit_signals_all": lambda s, d: all_signals(s, d).select("id", "detector", "emission", "severity"),
+    "primary_driver_all": lambda s, d: detect.primary_driver(all_signals(s, d)).where("is_primary").select("id", "detector"),
+    "ingest_verdict_all": lambda s, d: detect.ingest_verdict(series(s, d), all_signals(s, d)),
+    "batch_anomaly_rate_all": lambda s, d: detect.batch_anomaly_rate(detect.ingest_verdict(series(s, d), all_signals(s, d))),
+    "detector_breakdown_all": lambda s, d: detect.detector_breakdown(all_signals(s, d)),
+    "ensemble_decision_all": ensemble_all,
     "ratio_features": lambda s, d: r6(features.ratio_features(ticks(s, d)).select("service_id", "tick", "latency_spread", "tail_ratio", "orders_per_request"), "latency_spread", "tail_ratio", "orders_per_request"),
     "rolling_features": lambda s, d: r6(features.rolling_features(ticks(s, d), ["service_id"], ["tick"], ["cpu", "rps"]).select("service_id", "tick", "cpu_mean", "cpu_std", "cpu_diff", "rps_mean", "rps_diff"), "cpu_mean", "cpu_std", "cpu_diff", "rps_mean"),
     "standardise": standardised,
