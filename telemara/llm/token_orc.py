@@ -24,9 +24,7 @@ def tokenizer(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_str(data.decode())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_str(data.decode())
 
 
 #: Distinct words that a Python worker remembers, from task to task; then it starts anew.
