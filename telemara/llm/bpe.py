@@ -16,8 +16,13 @@ from .common import slices
 
 #: Texts longer than this are cut at safe boundaries before they are encoded.
 LONG = 16_384
-#: A single space between two characters that are no white space: no match of the pattern spans it, and no lookahead sees across it.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: What the pattern's \\s matches.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Places that no match of the pattern spans and no lookahead sees across: before white space; before the last of
+#: several white-space characters, if something else follows; between a letter or digit and these marks.
+SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])|(?<=[{BLANK}])(?=[{BLANK}][^{BLANK}])|(?<=[^\\W_])(?=[!-/:-@\\[-`{{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+#: White space so long that the pattern's matching of it must not be left to the library, which counts its steps on a stack.
+RUN = re.compile(f"[{BLANK}]{{1000,}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -27,19 +32,32 @@ def encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 def pieces(text: str, most: int = LONG):
-    """text in order, cut before the first safe space after each `most` characters; without one, it stays whole."""
+    """(piece, whole) in order: text cut at the first safe place after each `most` characters.
+
+    A long run of white space is a piece that is one match of the pattern as a whole, but for its last character,
+    which may begin the next match. A text without safe places stays in one piece.
+    """
     start = 0
     while len(text) - start > most:
-        cut = SAFE.search(text, start + most)
-        if cut is None:
+        run, cut = RUN.search(text, start, start + most + 1000), SAFE.search(text, start + most)
+        if run is not None:
+            run = RUN.match(text, run.start())  # the search ends early, the run need not
+            end = run.end() - (run.end() < len(text))
+            if run.start() > start:
+                yield text[start : run.start()], False
+            yield text[run.start() : end], True
+            start = end
+        elif cut is None:
             break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+        else:
+            yield text[start : cut.start()], False
+            start = cut.start()
+    if start < len(text) or not text:
+        yield text[start:], False
 
 
 def encode_text(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    ids = [i for piece in pieces(text or "") for i in enc.encode_ordinary(piece)]
+    ids = [i for piece, whole in pieces(text or "") for i in (enc._encode_single_piece(piece.encode()) if whole else enc.encode_ordinary(piece))]
     return np.array(ids, dtype="<u4")
 
 
@@ -108,7 +126,11 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df without its text, plus n_tokens and the digests of the ids and of the bytes they decode to."""
+    """df without its text, plus n_tokens and the digests of the ids and of the bytes they decode to.
+
+    Null and empty texts have no token and the digests of nothing; repeated rows give equal rows; very long texts are
+    cut where no token can span; columns of df named as the new ones are replaced, all others stay.
+    """
     coded = encode_decode(df, ranks_path, pattern, text)
     made = {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
     keep = [c for c in df.columns if c not in (text, "ids", "decoded", *made)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -30,6 +32,56 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has more than one in HOT of all rows; so there are fewer than HOT of them, at any size.
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(hot): the keys that more than one in HOT rows have. rows is durable, as it is read again."""
+    total = rows.count()
+    return rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("hot")
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows and the rest of table, whose first column is unique, where it equals their key; how: inner or left.
+
+    The rows of hot keys meet theirs, fewer than HOT, by a broadcast, all others by a shuffle, so no task gets all
+    the rows of a hot key. The key's name in table must not be in rows.
+    """
+    at = table.columns[0]
+    known = F.broadcast(table.join(F.broadcast(hot), F.col(at) == F.col("hot"), "left_semi"))
+    busy = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left_semi").join(known, F.col(key) == F.col(at), how)
+    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left_anti").join(table, F.col(key) == F.col(at), how)
+    return busy.unionByName(rest).drop(at)
+
+
+def sums_before(df: DataFrame, order: list, **sums: str) -> DataFrame:
+    """df plus, for each name, the sum of an expression over all rows before in `order`, which no two rows share.
+
+    Rows are sorted in ranges; only one row a range, its sums, meets in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(*[F.sum(F.expr(e)).alias(k) for k, e in sums.items()])
+    offsets = totals.select(F.col("range").alias("r"), *[F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"before_{k}") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.select("*", *[F.coalesce(F.sum(F.expr(e)).over(inside), F.lit(0)).alias(f"inside_{k}") for k, e in sums.items()])
+    joined = summed.join(F.broadcast(offsets), F.col("range") == F.col("r"))
+    return joined.select(*df.columns, *[(F.col(f"before_{k}") + F.col(f"inside_{k}")).alias(k) for k in sums])
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns c0, c1 and so on, which clash with no name of ours, and the new name of each."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def others(names: dict[str, str], *added: str) -> list[Column]:
+    """The columns of renamed() under their old names, but for those that what is added replaces, in any case."""
+    return [F.col(new).alias(old) for old, new in names.items() if old.lower() not in added]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import HOT, durable, hot_keys, lookup
 from .components import connected_components
 from .simhash import forest
 
-TILE = 2048
-#: Covers the rounding of float32 products of values up to one, and of the bounds themselves.
-SLACK = 2e-5
+TILE = 4096
+#: float32 holds every integer below 2 ** 24, and so exact sums of this many products of two int8 values.
+EXACT = (1 << 24) // 127**2
+#: An exact integer product is rescaled by two float32 factors: three roundings of 2 ** -24 of a value below 1.1, and the
+#: double-precision rounding of the bounds themselves. The dimension does not enter.
+SLACK = 1e-6
 
 
 def usable(vector: str):
@@ -31,17 +34,27 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(unit - q / scale[:, None], axis=1)
 
 
+def int8_products(qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
+    """The products of all int8 vectors of two tiles as float32; exact integers up to EXACT dimensions at a time."""
+    parts = range(0, qa.shape[1], EXACT)
+    product = None
+    for i in parts:
+        one = qa[:, i : i + EXACT].astype(np.float32) @ qb[:, i : i + EXACT].astype(np.float32).T
+        product = one if product is None else product + (one if len(parts) == 1 else one.astype(np.float64))
+    return product
+
+
 def tile_links(qa, sa, ea, ua, qb, sb, eb, ub, threshold: float):
     """Index pairs of two tiles with cosine >= threshold.
 
     Since |u.w - û.ŵ| <= e_u + (1 + e_u) e_w for unit vectors that lose e_u and e_w, a pair whose int8 product plus
     that bound stays below the threshold is none, one whose product less the bound reaches it is a link, and only
-    those between are multiplied again in double precision. int8 values are exact in float32, in which BLAS works.
+    those between are multiplied again in double precision.
     """
-    a = qa.astype(np.float32) * (1 / sa).astype(np.float32)[:, None]
-    b = qb.astype(np.float32) * (1 / sb).astype(np.float32)[:, None]
-    product = a @ b.T
-    loosest = ea.max() + (1 + ea.max()) * eb.max() + SLACK
+    product = int8_products(qa, qb)
+    product *= (1 / sa)[:, None].astype(product.dtype)
+    product *= (1 / sb)[None, :].astype(product.dtype)
+    loosest = ea.max() + (1 + ea.max()) * eb.max() + 2 * SLACK
     i, j = np.nonzero(product >= np.float32(threshold - loosest))
     near = product[i, j].astype(np.float64)
     bound = ea[i] + (1 + ea[i]) * eb[j] + SLACK
@@ -82,24 +95,29 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", t
     """(id, n_links, component_id, kept) for each row of df: links are pairs with cosine >= threshold.
 
     Null, zero, empty or non-finite vectors, and such with null components, link with nothing; vectors of different
-    lengths never link. Equal vectors are one node that counts its copies. Every pair of tiles of distinct vectors is
-    compared, each in a task of its own; the work is that of all pairs, but no pair is written: a tile pair returns
-    at most a count and a forest edge a vector. Rows that repeat an id are rows of their own.
+    lengths never link. Equal vectors are one node, with a number of its own, that counts its copies. Every pair of
+    tiles of distinct vectors is compared, each in a task of its own; the work is that of all pairs, but no pair is
+    written: a tile pair returns at most a count and a forest edge a vector. Rows that repeat an id are rows of their
+    own; a component's id is the smallest id of its rows that is not null. A row with a null id counts and links like
+    any other; its component_id is null only if no row of its component has an id, and only then is it kept.
     """
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
     good = rows.where(usable("vector"))
-    reps = durable(good.groupBy("vector").agg(F.min(F.coalesce("id", F.lit(-1 << 62))).alias("rep"), F.count("*").alias("copies")))
-    n = reps.count()
+    reps = durable(good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
+    n, copies_of_all = reps.agg(F.count("*"), F.sum("copies")).first()
     tiles = max(1, math.ceil(n / tile))
-    dealt = reps.withColumn("tile", F.pmod(F.xxhash64("rep", F.size("vector")), F.lit(tiles)).cast("int")).withColumn("length", F.size("vector"))
+    dealt = reps.select("vector", "copies", "rep", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int").alias("tile"), F.size("vector").alias("length"))
     sent = dealt.withColumn("peer", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     sent = sent.withColumns({"one": F.least("tile", "peer"), "two": F.greatest("tile", "peer")}).drop("peer")
     sent = sent.repartition(max(1, min(4000, tiles * (tiles + 1) // 2)), "length", "one", "two")
     found = durable(sent.groupBy("length", "one", "two").applyInArrow(lambda t: tile_pair(t, threshold), "rep long, links long, other long"))
-    links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.where("links > 0").groupBy(F.col("rep").alias("own")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("links = 0").select(F.col("other").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "rep")
-    known = reps.join(links, "rep", "left").join(roots, "rep", "left").select(F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    joined = good.join(durable(known), F.col("vector") == F.col("v")).select("id", "n_links", "root")
-    rest = rows.where(~usable("vector")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("root"))
-    out = joined.unionByName(rest)
-    return out.select(F.col("id").alias(id), "n_links", F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))
+    nodes = durable(reps.join(roots, "rep", "left").select("rep", "vector", "least", "copies", F.coalesce("root", "rep").alias("root")))
+    first = nodes.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
+    placed = lookup(nodes, "root", first, hot_keys(nodes, "root")).join(links, F.col("rep") == F.col("own"), "left")
+    known = durable(placed.select(F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"))
+    common = known.where(F.col("copies") * HOT > (copies_of_all or 0)).select(F.col("v").alias("hot"))  # fewer than HOT
+    joined = lookup(good, "vector", known.drop("copies"), common).select("id", "n_links", "component_id")
+    rest = rows.where(~usable("vector")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return joined.unionByName(rest).select(F.col("id").alias(id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -165,7 +165,7 @@ def identify(df: DataFrame, model: Hierarchy | None, text: str = "text") -> Data
     named lang_pred or score are replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")])
     at = source.columns.index(text)
 
     def run(batches):

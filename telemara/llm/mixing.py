@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, word_count
+from .common import durable, others, renamed, sums_before, word_count
 
-CELLS = 1024
+#: A size of a source that so many documents have is dealt to as many cells, each ranked by itself.
+CELL_ROWS = 1000
 MOST = 3
 WEIGHTS = (5, 2, 1)
 
@@ -16,26 +19,28 @@ def targets_of(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataF
     """sources (source, source_size): plus target. Weights repeat over the sources by code point, null last.
 
     A target is the weight times a level, or `most` times the source's size if that is less; the level makes the
-    targets sum to all sizes. That is what resharing every excess by weight comes to. One row a source.
+    targets sum to all sizes. That is what resharing every excess by weight comes to. Ranks and running sums are
+    taken in ranges, so that any number of sources will do.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sources.withColumn("i", F.expr("row_number() over (order by source asc nulls last)"))
-    weighed = ranked.withColumn("w", F.element_at(cycle, ((F.col("i") - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
-    order = "over (order by cap / w, i rows between"
-    filled = weighed.select("*", F.expr(f"coalesce(sum(cap) {order} unbounded preceding and 1 preceding), 0)").alias("spent"), F.expr(f"sum(w) {order} current row and unbounded following)").alias("left"), F.expr("sum(source_size) over ()").alias("all"))
-    level = filled.withColumn("level", (F.col("all") - F.col("spent")) / F.col("left"))
-    holds = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    found = level.withColumn("level", holds).withColumn("level", F.expr("max(level) over ()"))
-    return found.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("level", F.lit(float("inf")))).alias("target"))
+    ranked = sums_before(sources, [F.col("source").asc_nulls_last()], i="1")
+    weighed = ranked.withColumn("w", F.element_at(cycle, (F.col("i") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
+    filled = durable(sums_before(weighed, [F.col("cap") / F.col("w"), F.col("i")], spent="cap", gone="w"))
+    everything, weight = filled.agg(F.sum("source_size"), F.sum("w")).first()
+    level = filled.withColumn("level", (F.lit(everything) - F.col("spent")) / (F.lit(weight) - F.col("gone")))
+    found = level.where(F.col("level") <= F.col("cap") / F.col("w")).agg(F.max("level")).first()[0]
+    return filled.select("source", "source_size", F.least("cap", F.col("w") * F.lit(float("inf") if found is None else found)).alias("target"))
 
 
-def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = 60) -> DataFrame:
+def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
     """targets plus tilt and scale: rate = least(most, exp(tilt * size / scale)) has the target tokens in expectation.
 
     groups (source, size, n) has one row for each size in a source. Among all rates up to `most`, these are the
     nearest to one in relative entropy that meet the source's tokens; the tilt is the dual variable. Newton's method
-    on the dual, for all sources at once: each round is one aggregation of the groups; a step that leaves the bracket
-    is replaced by its middle. A source whose target is `most` times its size has every rate at `most` (null tilt).
+    on the dual, for all sources at once: each round is one aggregation of the groups; a step that leaves the bracket,
+    and every third step, is replaced by its middle. So rounds end for every source by themselves: when its tokens
+    are within 1e-9 of the target, or when no number lies between the ends of its bracket. A source whose target is
+    `most` times its size has every rate at `most` (null tilt).
     """
     state = durable(
         targets.withColumn("key", key("source")).join(groups.where("size > 0").groupBy(key("source").alias("key")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.min("size").alias("least")), "key", "left")
@@ -43,7 +48,7 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST, rounds: int
         .withColumn("free", F.coalesce((F.col("target") > 0) & (F.col("target") < most * F.col("source_size")), F.lit(False)))
     )
     sized = durable(groups.where("size > 0").select(key("source").alias("key"), "size", "n"))
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         x = F.col("size") / F.col("scale")
         raw = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         rate = F.least(raw, F.lit(float(most)))
@@ -54,11 +59,11 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST, rounds: int
         lo, hi = F.when(off < 0, F.greatest("lo", "tilt")).otherwise(F.col("lo")), F.when(off > 0, F.least("hi", "tilt")).otherwise(F.col("hi"))
         moved = state.join(sums, "key", "left").select("*", off.alias("gap"), step.alias("step"), lo.alias("lo2"), hi.alias("hi2"))
         middle = F.when(F.col("lo2") == float("-inf"), 2 * F.col("hi2") - 1).when(F.col("hi2") == float("inf"), 2 * F.col("lo2") + 1).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & (F.abs(F.col("step") - F.col("tilt")) <= 50)
+        inside = F.lit(turn % 3 > 0) & F.col("step").isNotNull() & (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & (F.abs(F.col("step") - F.col("tilt")) <= 50)
         new = F.when(F.col("gap") == 0, F.col("tilt")).when(inside, F.col("step")).otherwise(middle)
         names = [c for c in state.columns if c not in ("tilt", "lo", "hi", "off")]
         state = durable(moved.select(*names, F.when(F.col("free"), new).otherwise(F.col("tilt")).alias("tilt"), F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), F.abs(F.col("gap") / F.col("target")).alias("off")))
-        if state.where("free and off > 1e-9").isEmpty():
+        if state.where("free and off > 1e-9 and tilt > lo and tilt < hi").isEmpty():
             break
     return state.select("key", "source", "source_size", "target", "scale", F.when(F.col("free"), F.round("tilt", 9)).alias("tilt"))
 
@@ -97,12 +102,20 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     Size is the number of words (null: 0). Sources of no words get target 0 and documents of no words no copy. A null
     source is a source; repeated rows are documents of their own. The copies of one size in a source are dealt evenly
     to cells by a hash of the id, and within a cell in the order of that hash, so a size that a third of all rows
-    share is no single task, and reruns agree. An empty df gives no rows. df's columns of the names added go.
+    share is no single task, and reruns agree. An empty df gives no rows. Columns of df named as the four added are
+    replaced, all others come out as they went in.
     """
-    added = ("size", "source_size", "target", "copies", "key", "cell", "order", "base", "k", "all", "rank", "n", "before")
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    plain, name = renamed(df)
+    made = mixed_rows(plain, name[id], name[text], name[source], weights, most)
+    return made.select(*others(name, "size", "source_size", "target", "copies"), "size", "source_size", "target", "copies")
+
+
+def mixed_rows(df: DataFrame, id: str, text: str, source: str, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """df, whose columns have names like c0, plus size, source_size, target and copies."""
+    keep = [F.col(c) for c in df.columns]
     order = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    rows = df.select(*keep, word_count(F.col(text)).alias("size"), key(source).alias("key"), order.alias("order")).withColumn("cell", F.pmod("order", F.lit(CELLS)))
+    n_cells = max(1, -(-df.count() // CELL_ROWS))
+    rows = df.select(*keep, word_count(F.col(text)).alias("size"), key(source).alias("key"), order.alias("order")).withColumn("cell", F.pmod("order", F.lit(n_cells)))
     cells = durable(rows.groupBy("key", "size", "cell").agg(F.count("*").alias("n"), F.first(source).alias("source")))
     groups = durable(cells.groupBy("key", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source")))
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -112,7 +125,7 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     quota = cells.select("key", "size", "cell", "n", F.expr(before).alias("before")).join(copies, ["key", "size"]).join(tilted.select("key", "source_size", "target"), "key")
     share = lambda upto: F.expr(f"(k * ({upto})) div all")
     quota = durable(quota.select("key", "size", "cell", "n", "source_size", "target", (share("before + n") - share("before")).alias("k")))
-    ranked = rows.withColumn("rank", F.expr(f"row_number() over (partition by key, size, cell order by order, `{id}`)"))
+    ranked = rows.withColumn("rank", F.expr(f"row_number() over (partition by key, size, cell order by order, {id})"))
     each = F.expr("k div n + if(rank <= k % n, 1, 0)").cast("int")
     return ranked.join(quota, ["key", "size", "cell"]).select(*keep, "size", "source_size", "target", each.alias("copies"))
 
@@ -123,7 +136,8 @@ def mix_index(df: DataFrame) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def take_mix(df: DataFrame) -> DataFrame:
-    """The mix itself: every row of df as often as it has copies, with df's columns."""
-    made = mix(df).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns])
+def take_mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row of df as often as it has copies, with df's columns, whatever their names."""
+    plain, name = renamed(df)
+    made = mixed_rows(plain, name[id], name[text], name[source]).where("copies > 0")
+    return made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(others(name))

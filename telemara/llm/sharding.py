@@ -7,17 +7,17 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, others, renamed
 
 #: Probes laid in each open interval in each round.
 PROBES = 8
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def keys_of(df: DataFrame, id: str, text: str) -> DataFrame:
+def keys_of(df: DataFrame, id: str, text: str, *kept: str) -> DataFrame:
     """The sort key of each row, high then low, and its size. Equal texts share `high`, so they lie side by side."""
     words = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.xxhash64(words).alias("high"), F.xxhash64(F.coalesce(F.col(id).cast("long"), F.lit(LOW))).alias("low"), (F.octet_length(words) + 1).cast("long").alias("size"))
+    return df.select(*kept, F.xxhash64(words).alias("high"), F.xxhash64(F.coalesce(F.col(id).cast("long"), F.lit(LOW))).alias("low"), (F.octet_length(words) + 1).cast("long").alias("size"))
 
 
 def below(key: tuple[int, int]) -> Column:
@@ -101,26 +101,24 @@ def shard(df: DataFrame, shards: int = 16, tolerance: float = 0.005, id: str = "
     then of the id, and cut where the bytes are nearest to equal: within `tolerance` of a shard's share, or by half
     a row where a single row is larger. Copies of a text stay together unless they are more than a cut can spare, so
     a third of all rows being one text still makes equal shards. Repeated rows (same id and text) always stay
-    together. An empty df gives no rows. Columns of df named size, shard or slot are replaced.
+    together. An empty df gives no rows. Columns of df named size, shard or slot are replaced, all others come out as
+    they went in.
 
     Rows move once, to cells of about `cell_rows` rows within their shard; slots are a cell's offset plus the rank in
     the cell, so no shard is ever sorted in one task.
     """
-    sizes = (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long")
-    keys = durable(keys_of(df, id, text))
+    plain, name = renamed(df)
+    keys = durable(keys_of(plain, name[id], name[text]))
     cuts = splitters(keys, shards, tolerance)
     cells = max(1, keys.count() // (shards * cell_rows))
-    high, low = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.coalesce(F.col(id).cast("long"), F.lit(LOW)))
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("size", "shard", "slot")]
     part = tree(cuts, lambda i: F.lit(i))
-    placed = df.select(*keep, sizes.alias("size"), high.alias("high"), low.alias("low")).withColumn("shard", part)
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("low", "high"), F.lit(cells)))
-    at = keys.select(part.alias("shard"), F.pmod(F.xxhash64("low", "high"), F.lit(cells)).alias("cell"))
-    counts = at.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    cell = F.pmod(F.xxhash64("low", "high"), F.lit(cells))
+    placed = keys_of(plain, name[id], name[text], "*").withColumns({"shard": part, "cell": cell})
+    counts = keys.select(part.alias("shard"), cell.alias("cell")).groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "cell", F.expr("coalesce(sum(n) over (partition by shard order by cell rows between unbounded preceding and 1 preceding), 0)").alias("base"))
     ranked = placed.withColumn("rank", F.expr("row_number() over (partition by shard, cell order by high, low)"))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("size", "shard", "slot")]
-    return ranked.join(offsets, ["shard", "cell"]).select(*kept, "size", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"))
+    slot = (F.col("base") + F.col("rank") - 1).cast("long").alias("slot")
+    return ranked.join(offsets, ["shard", "cell"]).select(*others(name, "size", "shard", "slot"), "size", F.col("shard").cast("int").alias("shard"), slot)
 
 
 def shard_index(df: DataFrame, shards: int = 16) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import durable
+from .common import durable, hot_keys, lookup, renamed
 from .components import connected_components
 
 #: A bucket is to hold about so many variants.
@@ -118,7 +118,7 @@ def near_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     if radius != 2 * half:
         raise ValueError("the radius must be even")
     total = fps.count() * len(flips(64, half))
-    lead = min(20, max(6, math.ceil(math.log2(max(1, total / BUCKET_VARIANTS)))))
+    lead = min(62, max(6, math.ceil(math.log2(max(1, total / BUCKET_VARIANTS)))))
     heads = F.array(*[F.lit(int(x)) for x in flips(lead, half)])
     own = F.shiftrightunsigned("fp", 64 - lead)
     sent = fps.select("fp", F.explode(F.transform(heads, lambda m: m.bitwiseXOR(own))).alias("head"))
@@ -130,26 +130,40 @@ def near_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     return sent.groupBy("head").applyInArrow(run, "a long, b long").distinct()
 
 
+def grouped(df: DataFrame, id: str, text: str, width: int, radius: int) -> DataFrame:
+    """(id, mark, fp, root, component_id) of each row: mark a hash of its text, root its component's fingerprint."""
+    marks = durable(df.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), simhash_column(text, width).alias("fp")))
+    least = durable(marks.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(near_fingerprints(least.select("fp"), radius)).withColumnRenamed("node", "fp")
+    labelled = durable(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    first = labelled.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
+    classes = durable(lookup(labelled, "root", first, hot_keys(labelled, "root")).select(F.col("fp").alias("own"), "root", "component_id"))
+    return lookup(marks, "fp", classes, hot_keys(marks, "fp"))
+
+
+def one_of_each(df: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:
+    """Of each root of groups (id, mark, root, component_id) the row of df with the component's id, as it is; of rows
+    that repeat that id, one with the least hash of its text. A group of null ids keeps one of them."""
+    best = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("mark", "id")).alias("x"), F.count("*").alias("n"))
+    kept = durable(best.select(F.col("x.id").alias("id"), F.col("x.mark").alias("mark"), "n"))
+    rows, name = renamed(df)
+    own = rows.withColumn("own", F.xxhash64(name[text]))
+    rows = own.join(kept, own[name[id]].eqNullSafe(kept["id"]) & (own["own"] == kept["mark"]), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([name[id], "own"])
+    return rows.drop("own").toDF(*df.columns)
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) for each row of df; component_id is the smallest id reachable by links.
 
     Null texts and texts without a word have fingerprint zero, which links like any other; repeated rows are rows; a
-    null id is kept and gets the component of its fingerprint; further columns are not read. Equal fingerprints are
-    one node, so copies cost nothing.
+    null id is kept and gets the component of its fingerprint (null if that has no other id); further columns are not
+    read. Equal fingerprints are one node, so copies cost nothing.
     """
-    marks = durable(df.select(F.col(id).alias("id"), simhash_column(text, width).alias("fp")))
-    least = durable(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_fingerprints(least.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = durable(labelled.join(first, "root").select("fp", "component_id"))
-    return marks.join(classes, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(df, id, text, width, radius).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """One row of df for each group: that with the group's smallest id; of rows that repeat that id, one."""
-    groups = durable(near_duplicates(df, id, text, width, radius))
-    kept = groups.where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col(id).alias("kept_id")).agg(F.count("*").alias("n"))
-    kept = durable(kept)
-    rows = df.join(kept, F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates([id])
+    """One row of df, all its columns as they are, for each group: that with the group's smallest id (see one_of_each)."""
+    return one_of_each(df, durable(grouped(df, id, text, width, radius)), id, text)

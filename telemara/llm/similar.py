@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import HOT, durable, hot_keys, lookup, slices
 from .components import connected_components
-from .simhash import majority_bits, near_fingerprints, shingle_hashes
+from .simhash import majority_bits, near_fingerprints, one_of_each, shingle_hashes
 
 #: Of pairs at similarity 0.8, (1 - 0.8 ** ROWS) ** BANDS = 5e-6 share no band.
 BANDS, ROWS = 40, 6
@@ -38,19 +38,20 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingle_marks(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(id, node, n, fp, keys) of each row: the name and size of its shingle set, its SimHash and its bands' keys."""
+    """(id, mark, node, n, fp, keys) of each row: a hash of the text, the name and size of its shingle set, its SimHash
+    and its bands' keys."""
 
     def run(batches):
         for batch in batches:
-            for i, j in slices([len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column(1)], 3_000_000):
-                hashes = [list(shingle_hashes(t, width)) for t in batch.column(1)[i:j].to_pylist()]
+            for i, j in slices([len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column(2)], 3_000_000):
+                hashes = [list(shingle_hashes(t, width)) for t in batch.column(2)[i:j].to_pylist()]
                 sets = [shingle_set(h) for h in hashes]
                 fp = np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64)
-                columns = [batch.column(0)[i:j], pa.array([name_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), lists([band_keys(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "fp", "keys"])
+                columns = [batch.column(0)[i:j], batch.column(1)[i:j], pa.array([name_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), lists([band_keys(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "node", "n", "fp", "keys"])
 
-    rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {df.schema[id].dataType.simpleString()}, node string, n long, fp long, keys array<long>")
+    rows = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {df.schema[id].dataType.simpleString()}, mark long, node string, n long, fp long, keys array<long>")
 
 
 def shingle_sets(df: DataFrame, text: str, width: int) -> DataFrame:
@@ -66,45 +67,48 @@ def shingle_sets(df: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """(id, component_id) for each row of df; component_id is the smallest id reachable over links of similarity 0.8 or more.
+    """(id, mark, root, component_id) for each row of df: a hash of its text, the number of its component, and the smallest
+    id reachable over links of similarity 0.8 or more (null if no row of the component has an id).
 
     Equal shingle sets are one node, and texts without a word are equal. Nodes meet in a bucket by a MinHash band, or
     by SimHashes that links of `radius` or fewer bits connect. Each is compared with the first of its bucket; then, in
     buckets that still hold several components, all pairs of different components are. Only the sets make a link.
     """
     marks = durable(shingle_marks(df, id, text, width))
-    nodes = durable(marks.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    balls = connected_components(near_fingerprints(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
-    by_ball = nodes.select("node", "n", "fp").join(balls, "fp", "left").select("node", "n", F.xxhash64(F.coalesce("root", "fp")).alias("key"))
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key")).unionByName(by_ball).where("n > 0")
-    firsts = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("in_it")).where("in_it > 1").select("key", "a")
-    met = durable(buckets.join(firsts, "key"))
-    ids = nodes.join(met.select("node").distinct(), "node", "left_semi").select("least").distinct()
-    candidates = df.join(ids, F.col(id).eqNullSafe(F.col("least")), "left_semi")
-    sets = durable(shingle_sets(candidates, text, width).dropDuplicates(["node"]))
+    named = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = durable(named.withColumn("num", F.monotonically_increasing_id()))
+    balls = connected_components(near_fingerprints(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "own")
+    fps = durable(nodes.where("n > 0").select("num", "n", "fp"))
+    by_ball = lookup(fps, "fp", balls, hot_keys(fps, "fp"), "left").select("num", "n", F.xxhash64(F.coalesce("root", "fp")).alias("key"))
+    buckets = nodes.where("n > 0").select("num", "n", F.explode("keys").alias("key")).unionByName(by_ball)
+    firsts = durable(buckets.groupBy("key").agg(F.min("num").alias("a"), F.count("*").alias("in_it")).where("in_it > 1").select(F.col("key").alias("in_key"), "a", "in_it"))
+    crowded = firsts.where(F.col("in_it") * HOT > fps.count() * (BANDS + 1)).select(F.col("in_key").alias("hot"))  # fewer than HOT
+    met = durable(lookup(buckets, "key", firsts.drop("in_it"), crowded))
+    ids = nodes.join(met.select("num").distinct(), "num", "left_semi").select(F.col("least").alias("in_id")).distinct()
+    plain = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    candidates = plain.join(ids, F.col("id").eqNullSafe(F.col("in_id")), "left_semi")
+    sets = durable(shingle_sets(candidates, "text", width).dropDuplicates(["node"]).join(nodes.select("node", "num"), "node").select("num", "hashes"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        both = pairs.join(sets.select(F.col("num").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("hashes").alias("y")), "b")
         return durable(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
 
-    tried = durable(met.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    tried = durable(met.where("num <> a").select("a", F.col("num").alias("b")).distinct())
     links = linked(tried)
-    roots = connected_components(links)
-    placed = met.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    roots = connected_components(links).withColumnRenamed("node", "own")
+    placed = durable(met.join(roots, F.col("num") == F.col("own"), "left").select("key", "num", "n", F.coalesce("root", "num").alias("root")))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = durable(placed.join(several, "key", "left_semi"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("top"))
-    across = open_.join(other, "key").where("node < b and root <> top and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("node").alias("a"), "b").distinct()
+    other = open_.select("key", F.col("num").alias("b"), F.col("n").alias("m"), F.col("root").alias("top"))
+    across = open_.join(other, "key").where("num < b and root <> top and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("num").alias("a"), "b").distinct()
     more = linked(across.join(tried, ["a", "b"], "left_anti"))
-    ends = connected_components(links.unionByName(more))
-    labelled = nodes.select("node", "least").join(ends, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    first = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.select("id", "node").join(labelled.join(first, "root").select("node", "component_id"), "node").select(F.col("id").alias(id), "component_id")
+    ends = connected_components(links.unionByName(more)).withColumnRenamed("node", "own")
+    labelled = durable(nodes.select("node", "num", "least").join(ends, F.col("num") == F.col("own"), "left").select("node", "least", F.coalesce("root", "num").alias("root")))
+    first = labelled.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
+    classes = durable(lookup(labelled, "root", first, hot_keys(labelled, "root")).select(F.col("node").alias("own"), "root", "component_id"))
+    return lookup(marks.select("id", "mark", "node"), "node", classes, hot_keys(marks, "node")).select("id", "mark", "root", "component_id")
 
 
 def drop_similar(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """One row of df for each group: that with the group's smallest id; of rows that repeat that id, one."""
-    groups = durable(similar_groups(df, id, text, width, radius))
-    kept = durable(groups.where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col(id).alias("kept_id")).agg(F.count("*").alias("n")))
-    rows = df.join(kept, F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates([id])
+    """One row of df, all its columns as they are, for each group: that with the group's smallest id (see one_of_each)."""
+    return one_of_each(df, durable(similar_groups(df, id, text, width, radius)), id, text)

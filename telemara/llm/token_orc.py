@@ -131,10 +131,12 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     Sums run over rows of three numbers: within a file, and over one row a file, which reads the lengths alone.
     """
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = read_tokens(spark, path).select(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
-    rows = rows.mapInArrow(with_crc32, "file string, block long, at long, doc_id long, n_tokens long, ids_crc32 long")
-    before = "coalesce(sum(n) over (order by file rows between unbounded preceding and 1 preceding), 0)"
-    files = read_tokens(spark, path).select("n_tokens", name.alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.expr(before).alias("base"))
+    path_ = F.col("_metadata.file_path")
+    part = F.regexp_extract(path_, r"part-(\d+)", 1).cast("long").alias("part")  # by number: beyond 99,999 names no longer sort
+    name = F.element_at(F.split(path_, "/"), -1).alias("file")
+    rows = read_tokens(spark, path).select(part, name, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    rows = rows.mapInArrow(with_crc32, "part long, file string, block long, at long, doc_id long, n_tokens long, ids_crc32 long")
+    before = "coalesce(sum(n) over (order by part, file rows between unbounded preceding and 1 preceding), 0)"
+    files = read_tokens(spark, path).select("n_tokens", part, name).groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).select("file", F.expr(before).alias("base"))
     inside = F.expr("coalesce(sum(n_tokens) over (partition by file order by doc_id, block, at rows between unbounded preceding and 1 preceding), 0)")
     return rows.withColumn("inside", inside).join(files, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices
 
-WINDOW, STRIDE = 64, 56
+#: Windows overlap by more words than a training excerpt has, so one that lies across a border is whole in the next.
+WINDOW, STRIDE = 64, 40
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 12, 8, 4096
 #: The fit's bounds: labelled documents of each class, their length, and words of training excerpts.
 FIT_ROWS, FIT_CHARS, EXCERPT, STEPS, BATCH = 1500, 50_000, 20, 140, 128
@@ -30,13 +31,6 @@ def words_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def fresh(ids: np.ndarray) -> np.ndarray:
-    """False where a word repeats the two before it: a long run of one word says no more than two of them."""
-    keep = np.ones(len(ids), bool)
-    keep[2:] = (ids[2:] != ids[1:-1]) | (ids[2:] != ids[:-2])
-    return keep
-
-
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character trigrams of "<word>" for each word, one after another, and where each word's begin."""
     text = "".join(f"<{w}>" for w in words)
@@ -218,7 +212,6 @@ def excerpts(texts: list[list[str]], labels: np.ndarray, rank, seed: int = 0):
 def taught(texts: list[list[str]], labels: np.ndarray) -> Network:
     """A network from tokenised texts: windows first by log odds, then by its own scores (hard negatives), and a bias
     that lets FALSE_ALARMS of the clean texts reach the threshold."""
-    texts = [[w for w, on in zip(ws, fresh(np.array(ws, dtype=object)), strict=True) if on] for ws in texts]
     odds = log_odds(texts, labels)
     net = Network(odds)
     net.train(*excerpts(texts, labels, lambda ws: max(range(len(ws)), key=lambda i: odds.get(ws[i], -1.0))))
@@ -236,13 +229,14 @@ def fit(df: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> N
     """A network from at most `rows` labelled documents of each class, chosen by a hash of their ids.
 
     df: doc_id, text; labels: doc_id, toxic (a document is toxic if any of its rows says so; null labels teach
-    nothing). Only documents of FIT_CHARS characters or less teach. None if either class has no document.
+    nothing; of the texts that repeat an id the least teaches). Only documents of FIT_CHARS characters or less teach.
+    None if either class has no document.
     """
     learn = fold(F.col("doc_id"), 3) != 1 if learn is None else learn
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = one(1).unionByName(one(0))  # 2 * rows ids
-    sample = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= FIT_CHARS).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    sample = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= FIT_CHARS).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).orderBy("doc_id").collect()
     y = np.array([r.toxic for r in sample], np.float32)
     if len(set(y.tolist())) < 2:
         return None
@@ -258,7 +252,6 @@ def score_words(net: Network, texts: list[list[str]]) -> tuple[np.ndarray, np.nd
     """The highest window score of each tokenised text (0 without a word), and the word in the middle of that window."""
     number: dict[str, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)) for ws in texts]
-    ids = [x[fresh(x)] for x in ids]
     best, place = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if not number:
         return best, place
@@ -304,7 +297,7 @@ def score(df: DataFrame, net: Network | None, text: str = "text", threshold: flo
     score or predicted are replaced; repeated rows score alike.
     """
     sent = df.sparkSession.sparkContext.broadcast(net)
-    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("score", "predicted")])
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("score", "predicted")])
     at = source.columns.index(text)
 
     def run(batches):

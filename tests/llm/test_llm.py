@@ -283,7 +283,9 @@ def test_toxicity_finds_planted_words(spark, docs):
     out = toxicity.predictions(df, df).join(df.select("doc_id", "toxic"), "doc_id").collect()
     held = [r for r in out if r.held_out]
     assert len(out) == 600 and np.mean([r.predicted == r.toxic for r in held]) > 0.95
-    assert [list(toxicity.starts_of(n)) for n in (0, 1, 64, 65)] == [[0], [0], [0], [0, 56]]
+    for n in (0, 1, 64, 65, 104, 105, 1000):  # every word is in a window, and so is every run as long as a training excerpt
+        at = list(toxicity.starts_of(n))
+        assert at[0] == 0 and at[-1] + toxicity.WINDOW >= n and all(b - a <= toxicity.WINDOW - toxicity.EXCERPT for a, b in zip(at, at[1:]))
     none = toxicity.score(docs, None).collect()
     assert len(none) == docs.count() and {r.score for r in none} == {0.0}
 
