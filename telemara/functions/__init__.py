@@ -45,9 +45,10 @@ def tokenise_technical(text: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    """lower case, punctuation dropped, blanks and dashes as one dash."""
-    kept = F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9_\s-]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"[\s-]+", "-"), "^-|-$", "")
+    """lower case, only letters, digits and _ of any script, and every run of blanks, _ and - as one dash."""
+    bare = F.regexp_replace(F.lower(title), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    kept = F.regexp_replace(bare, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f-]", "")
+    return F.regexp_replace(kept, r"(?U)[\s\x1c-\x1f_-]+", "-")
 
 
 def chunk_id(stem: Column, title: Column) -> Column:

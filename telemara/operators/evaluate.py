@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import settled
+
 LIMITS = {"precision": (">=", 0.90), "recall": (">=", 0.88), "false_positive_rate": ("<=", 0.025), "p99_ms": ("<", 15.0)}
 
 
@@ -77,13 +79,17 @@ def psi(base: DataFrame, cur: DataFrame, col: str, edges) -> DataFrame:
 def ks_two_sample(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """The largest gap between two empirical distributions, and its asymptotic tail probability.
 
-    Counts of equal values come first, so the running sums see one row a distinct value.
+    Counts of equal values come first. Running sums are taken in ranges of values; of each range only its totals meet.
     """
     both = base.select(F.col(col).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(cur.select(F.col(col).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     by = both.where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, whole = Window.partitionBy(F.lit(0)).orderBy("v"), Window.partitionBy(F.lit(0))
-    gap = by.select(F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole)).alias("d"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))
-    top = gap.agg(F.max("d").alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
+    ranges = settled(by.orderBy("v").withColumn("r", F.spark_partition_id()))
+    totals = ranges.groupBy("r").agg(F.sum("a").alias("in_a"), F.sum("b").alias("in_b"))
+    before, whole = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    offsets = totals.select(F.col("r").alias("at"), *[F.coalesce(F.sum(f"in_{x}").over(before), F.lit(0)).alias(f"off_{x}") for x in "ab"], F.sum("in_a").over(whole).alias("n"), F.sum("in_b").over(whole).alias("m"))
+    w = Window.partitionBy("r").orderBy("v")
+    upto = ranges.join(F.broadcast(offsets), F.col("r") == F.col("at")).select("n", "m", *[(F.sum(x).over(w) + F.col(f"off_{x}")).alias(x) for x in "ab"])  # a row a range is broadcast
+    top = upto.agg(F.max(F.abs(F.col("a") / F.col("n") - F.col("b") / F.col("m"))).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
     lam = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("d")
     tail = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 6)), F.lit(0.0))
     return top.select("d", F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)).alias("p_value"))

@@ -48,26 +48,22 @@ def incident_financials(incidents: DataFrame, a: Assumptions = Assumptions()) ->
 
 
 def executive_kpis(fin: DataFrame, a: Assumptions = Assumptions()) -> DataFrame:
-    """H2: the one row of headline figures; an empty input gives zeros and a payback of 999 days."""
-    real = ~F.col("is_false_positive")
-    total = lambda c: F.coalesce(F.round(F.sum(c), 2), F.lit(0.0))
-    mean = lambda c: F.coalesce(F.avg(F.when(real, F.col(c))), F.lit(0.0))
-    net = F.coalesce(F.sum("realized_net_savings"), F.lit(0.0))
-    base, took = mean("baseline_mttr_minutes"), mean("actual_mttr_minutes")
-    return fin.agg(
-        F.count("*").alias("total_incidents"),
-        F.count_if(F.col("status") == "RESOLVED").alias("resolved_incidents"),
-        F.coalesce(F.round(F.try_divide(F.count_if("is_false_positive") * 100.0, F.count("*")), 2), F.lit(0.0)).alias("false_positive_pct"),
-        F.round(base, 2).alias("baseline_mttr"),
-        F.round(took, 2).alias("actual_mttr"),
-        F.coalesce(F.round(F.try_divide((base - took) * 100, base), 2), F.lit(0.0)).alias("mttr_reduction_pct"),
-        total("engineering_hours_saved").alias("hours_saved"),
-        total("downtime_savings_gross").alias("downtime_savings"),
-        total("total_gross_value_delivered").alias("gross_value"),
-        F.round(net, 2).alias("net_savings"),
-        F.round((net - a.platform_cost) * 100 / a.platform_cost, 2).alias("roi_pct"),
-        F.when(net > 0, F.round(a.platform_cost * 365 / net, 2)).otherwise(999.0).alias("payback_days"),
-    )
+    """H2: the one row of headline figures. Resolved counts no false positive. Where all are false positives the assumed
+    minutes of an open incident stand for the mean; an empty input gives zeros, no return and a payback of 999 days."""
+    real, none = ~F.col("is_false_positive"), F.count("*") == 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    base = F.coalesce(F.avg(F.when(real, F.col("baseline_mttr_minutes"))), F.lit(a.baseline_minutes))
+    took = F.when(none, 0.0).otherwise(F.coalesce(F.avg(F.when(real, F.col("actual_mttr_minutes"))), F.lit(a.open_minutes)))
+    less = F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), base - took))
+    net = total("realized_net_savings")
+    figures = {
+        "false_positive_pct": F.coalesce(F.try_divide(F.count_if("is_false_positive") * 100.0, F.count("*")), F.lit(0.0)), "baseline_mttr": base, "actual_mttr": took, "mttr_reduction": less,
+        "mttr_reduction_pct": F.coalesce(F.try_divide(less * 100, base), F.lit(0.0)), "hours_saved": total("engineering_hours_saved"), "labour_saved": total("engineering_cost_saved"), "downtime_savings": total("downtime_savings_gross"),
+        "gross_value": total("total_gross_value_delivered"), "net_savings": net, "platform_cost": F.lit(a.platform_cost), "roi_pct": F.when(none, 0.0).otherwise((net - a.platform_cost) * 100 / a.platform_cost),
+    }
+    counts = {"total_incidents": F.count("*"), "resolved_incidents": F.count_if((F.col("status") == "RESOLVED") & real), "false_positives": F.count_if("is_false_positive")}
+    payback = F.when(net > 0, F.round(F.try_divide(F.lit(a.platform_cost * 365), net), 1)).otherwise(999.0)
+    return fin.agg(*[v.alias(k) for k, v in counts.items()], *[F.round(v, 2).alias(k) for k, v in figures.items()], payback.alias("payback_days"))
 
 
 def service_impact(fin: DataFrame) -> DataFrame:
@@ -128,7 +124,7 @@ def bi_measures(fin: DataFrame) -> DataFrame:
 def denormalised_fact(fact: DataFrame, dims: list[tuple[DataFrame, str]]) -> DataFrame:
     """The fact with its dimensions; rows without a partner stay."""
     for dim, key in dims:
-        fact = fact.join(F.broadcast(dim), key, "left")  # dimension tables of a few rows by design
+        fact = fact.join(dim, key, "left")  # Spark broadcasts a dimension that it sees to be small
     return fact
 
 

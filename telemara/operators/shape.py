@@ -31,7 +31,7 @@ def align_by_position(*dfs: DataFrame, pos: str = "pos") -> DataFrame:
 
 def join_cyclic(df: DataFrame, short: DataFrame, pos: str = "pos") -> DataFrame:
     """Row i with row i mod n of a shorter series."""
-    n = short.count()
+    n = max(1, short.count())
     return df.withColumn("_m", F.col(pos) % n).join(short.withColumnRenamed(pos, "_m"), "_m").drop("_m")
 
 
@@ -55,24 +55,10 @@ def label_by_rules(df: DataFrame, rules, default=("NOMINAL", False)) -> DataFram
     return df.withColumns({"label": ordered_rules([(p, a) for p, a, _ in rules], default[0]), "anomalous": ordered_rules([(p, f) for p, _, f in rules], default[1])})
 
 
-def _tier(df, services, start, step_s, columns, rules):
-    return label_by_rules(assign_round_robin(df, services, start, step_s).withColumns(columns), rules)
-
-
-def tier_small(df: DataFrame, services=("checkout-service",), start="2024-01-01", step_s=300) -> DataFrame:
-    """Four aligned series (cpu, net, latency, requests) as snapshots with derived latencies, errors and orders."""
-    cpu, net, lat, req = (F.greatest(F.lit(0.0), F.col(c)) for c in ("cpu", "net", "latency", "requests"))
-    c = {"cpu": F.least(F.lit(100.0), cpu), "egress": F.round(net, 2), "p50": F.round(lat, 2), "p95": F.round(lat * 2.2, 2), "p99": F.round(lat * 3.5, 2), "rps": F.round(req, 2), "c5xx": F.when(cpu > 85, F.floor(req * 0.08)).otherwise(F.floor(req * 0.001)), "orders": F.floor(req * 0.12)}
-    return _tier(df, services, start, step_s, c, [(cpu > 85, "BLACK_FRIDAY_TRAFFIC_BURST", True), (lat > 200, "CASCADING_THIRD_PARTY_FAILURE", True)])
-
-
-def tier_medium(df: DataFrame, services, start="2024-01-01", step_s=5) -> DataFrame:
-    """Channels 0, 1, 2, 5, 11 and 19 of a matrix, scaled to metrics."""
-    ch = lambda i: F.col("values")[i]
-    c = {"cpu": F.least(F.lit(100.0), ch(0) * 100), "memory": F.least(F.lit(100.0), ch(1) * 100), "egress": ch(2) * 120, "pool": F.least(F.lit(100.0), ch(5) * 100), "p50": 15 + ch(11) * 80, "db_latency": 4 + ch(19) * 60}
-    return _tier(df, services, start, step_s, c, [(ch(5) > 0.85, "DB_CONNECTION_POOL_SATURATION", True), (ch(1) > 0.85, "MEMORY_LEAK_GC_PAUSE", True), (ch(11) > 0.85, "CASCADING_THIRD_PARTY_FAILURE", True)])
-
-
-def tier_difficult(df: DataFrame, services, start="2024-01-01", step_s=60) -> DataFrame:
-    """Bids with cyclic occupancy: a crash below 0.05, a surge above 1.2 or from an occupancy of 0.35."""
-    return _tier(df, services, start, step_s, {"rps": F.round(F.col("bid") * 100, 2), "checkout": F.when(F.col("bid") < 0.05, 12.0).otherwise(99.0)}, [(F.col("bid") < 0.05, "PAYMENT_GATEWAY_OUTAGE", True), ((F.col("bid") > 1.2) | (F.col("occupancy") > 0.35), "BLACK_FRIDAY_TRAFFIC_BURST", True)])
+def concatenate(*dfs: DataFrame, pos: str = "pos") -> DataFrame:
+    """Series one after another: the positions of each go on from the end of the one before."""
+    out, before = None, 0
+    for df in dfs:
+        moved = df.withColumn(pos, F.col(pos) + before)
+        out, before = (moved if out is None else out.unionByName(moved)), before + df.count()
+    return out

@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, with their oracles."""
 
-from . import business, detection, text
+from . import business, detection, text, tiers
 
-GROUPS = (detection, business, text)
+GROUPS = (detection, tiers, business, text)
 
 
 def queries() -> dict:

@@ -13,6 +13,9 @@ DIALECT = {
 }
 BASE = {
     "series": "select event_id as id, event_type as k, {E} as epoch, ts, value as x, cast(user_id as double) as y from events",
+    "snaps": """select event_id as id, event_type as k, ts, least(100.0, v) as infra_cpu_percent, 20 + 0.2 * least(300.0, v) as infra_memory_percent, v * 2 + 5 as infra_network_egress_mbps, v * 3 + user_id % 50 as app_requests_per_sec,
+        10 + v as app_latency_p95_ms, 12 + v * 2 + event_id * 7919 % 31 as app_latency_p99_ms, cast(event_id * 31 % 101 as double) / 128 as app_error_rate, cast(user_id % 100 as double) as db_pool_utilization, 0.4 * v + event_id % 13 as db_query_latency_ms,
+        v + user_id % 97 as biz_order_volume, 100 - least(100.0, 0.2 * v) as biz_checkout_success_rate from (select *, value * 1.0123457 as v from events)""",
     "ticks": """select 'svc-' || cast(user_id % 5 as string) as service_id, {E} {DIV} 21600 as tick, count(*) as rps, sum(case when event_type = 'error' then 1 else 0 end) as c5xx,
         sum(case when user_id % 7 = 0 and event_type <> 'error' then 1 else 0 end) as c4xx, sum(case when user_id % 7 <> 0 and event_type <> 'error' then 1 else 0 end) as c2xx,
         sum(case when event_type = 'purchase' then 1 else 0 end) as orders, round(sum(case when event_type = 'purchase' then value else 0 end), 2) as revenue,
@@ -61,5 +64,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names, or a local one where it names none."""
     import uuid
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -177,8 +177,7 @@ QUERIES = {
     "parse_ts": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_timestamp(parse_ts(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))).alias("epoch")),
     "encode_archetype": lambda s, d: incidents(s, d).select("incident_id", encode_archetype(F.col("archetype")).alias("code")),
     "tokenise_technical": lambda s, d: corpus(s, d).select("id", F.size(tokenise_technical(F.col("text"))).alias("tokens")),
-    "chunk_id": lambda s, d: probes(s, d).select("query_id", slug(F.substring(F.regexp_replace("text", "[^A-Za-z0-9 .,-]", ""), 1, 30)).alias("slug")),
-    "chunk_id_all": lambda s, d: probes(s, d).select("query_id", slug(F.regexp_replace("text", "[^A-Za-z0-9 .,-]", "")).alias("slug")),
+    "chunk_id": lambda s, d: probes(s, d).select("query_id", slug(F.concat(F.lit(" _"), "text", F.lit("_-é!"))).alias("slug")),
     "chunk_markdown": lambda s, d: chunks(s, d).groupBy("uri").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
     "bm25_topk": lambda s, d: lexical(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
     "cosine_topk": lambda s, d: semantic(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
@@ -239,7 +238,7 @@ ORACLES = {
     "parse_ts": "select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events",
     "encode_archetype": x(["incidents"], "select id as incident_id, case archetype when 'DB_CONNECTION_POOL_SATURATION' then 1 when 'MEMORY_LEAK_GC_PAUSE' then 2 when 'CASCADING_THIRD_PARTY_FAILURE' then 3 when 'PAYMENT_GATEWAY_OUTAGE' then 4 when 'BLACK_FRIDAY_TRAFFIC_BURST' then 5 else 0 end as code from incidents"),
     "tokenise_technical": x(["corpus"], f"select id, len({TOK})::int as tokens from corpus"),
-    "chunk_id": x(["probes"], "select query_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(substr(regexp_replace(text, '[^A-Za-z0-9 .,-]', '', 'g'), 1, 30))), '[^a-z0-9_\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-|-$', '', 'g') as slug from probes"),
+    "chunk_id": x(["probes"], "select query_id, regexp_replace(regexp_replace(trim(lower(' _' || text || '_-é!')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g') as slug from probes"),
     "bm25_topk": x(["corpus", "probes"], f"{BM} select query_id, id, round(score, 3) as score from lex where rank <= 5"),
     "cosine_topk": x(["corpus", "probes"], f"{TF} select query_id, id, round(score, 3) as score from sem where rank <= 5"),
     "rrf_fuse": x(["corpus", "probes"], f"{FU} select * from fu"),

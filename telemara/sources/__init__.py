@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def read_series(spark: SparkSession, path: str, name: str = "value") -> DataFram
     return raw.select(F.expr("try_to_timestamp(a)").alias("ts"), F.expr("try_cast(b as double)").alias(name)).where(f"ts is not null and {name} is not null")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, *order, pos: str = "pos") -> DataFrame:
+    """df plus the position of each row in `order`: sorted in ranges, and only a row count of each range meets elsewhere."""
+    return indexed(settled(df.orderBy(*order)), pos)
+
+
 def indexed(df: DataFrame, pos: str = "pos") -> DataFrame:
     """df plus the position of each row in reading order: counts of the partitions before it, then the row's own number.
 
@@ -53,7 +71,7 @@ def read_channel_matrix(spark: SparkSession, path: str, max_rows: int | None = N
     lines = lines if max_rows is None else lines.where(F.col("raw") < max_rows)
     values = F.transform(F.split(F.trim("value"), r"[,\s]+"), lambda t: t.try_cast("double"))
     kept = lines.select("raw", values.alias("values")).where("not exists(values, v -> v is null)")
-    return indexed(kept.orderBy("raw")).select("pos", "values")
+    return numbered(kept, "raw").select("pos", "values")
 
 
 def read_labels(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
