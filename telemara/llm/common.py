@@ -32,27 +32,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: A key is hot if it has more than one in HOT of all rows; so there are fewer than HOT of them, at any size.
+#: A key is hot if it has more than one in HOT of all rows, and 100 at least; so there are fewer than HOT of them, at any size.
 HOT = 1000
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(hot): the keys that more than one in HOT rows have. rows is durable, as it is read again."""
-    total = rows.count()
-    return rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("hot")
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The hot keys of rows, fewer than HOT. rows is durable, as it is read again."""
+    return hot_among(rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")))
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+def hot_among(counts: DataFrame) -> list:
+    """The hot keys of a table (key, n); null is never hot."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    edge = max(100, (total or 0) / HOT)
+    return [r[0] for r in counts.where((F.col("n") > edge) & F.col("key").isNotNull()).select("key").collect()] if (most or 0) > edge else []
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, hot: list, how: str = "inner") -> DataFrame:
     """rows and the rest of table, whose first column is unique, where it equals their key; how: inner or left.
 
     The rows of hot keys meet theirs, fewer than HOT, by a broadcast, all others by a shuffle, so no task gets all
-    the rows of a hot key. The key's name in table must not be in rows.
+    the rows of a hot key. The names of table's columns must not be in rows.
     """
     at = table.columns[0]
-    known = F.broadcast(table.join(F.broadcast(hot), F.col(at) == F.col("hot"), "left_semi"))
-    busy = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left_semi").join(known, F.col(key) == F.col(at), how)
-    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left_anti").join(table, F.col(key) == F.col(at), how)
-    return busy.unionByName(rest).drop(at)
+    if not hot:
+        return rows.join(table, F.col(key) == F.col(at), how).drop(at)
+    busy = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    known = F.broadcast(table.where(F.col(at).isin(hot)))
+    return rows.where(busy).join(known, F.col(key) == F.col(at), how).unionByName(rows.where(~busy).join(table, F.col(key) == F.col(at), how)).drop(at)
 
 
 def sums_before(df: DataFrame, order: list, **sums: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, durable, hot_keys, lookup
+from .common import durable, hot_among, hot_keys, lookup
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").where("a <> b")
     ends = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     moves = []
-    while not ends.isEmpty():
+    while True:
         rank = lambda x: F.struct(F.xxhash64(x, F.lit(len(moves))).alias("h"), F.col(x).alias("to"))  # noqa: B023, E731
         near = durable(ends.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("low"), F.count("*").alias("n")).select("node", F.least("low", rank("node")).alias("low"), "n"))
-        hot = near.where(F.col("n") * HOT > near.agg(F.sum("n")).first()[0]).select(F.col("node").alias("hot"))
+        if near.isEmpty():
+            break
+        hot = hot_among(near.select(F.col("node").alias("key"), "n"))
         step = durable(lookup(ends, "b", near.select("node", "low"), hot).groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low")).select("node", F.col("low.to").alias("to")))
         moves.append(step)
         left = lookup(lookup(ends, "a", step.select("node", F.col("to").alias("c")), hot), "b", step.select("node", F.col("to").alias("d")), hot)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, durable, hot_keys, lookup
+from .common import durable, hot_among, hot_keys, lookup
 from .components import connected_components
 from .simhash import forest
 
@@ -104,7 +104,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", t
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
     good = rows.where(usable("vector"))
     reps = durable(good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
-    n, copies_of_all = reps.agg(F.count("*"), F.sum("copies")).first()
+    n = reps.count()
     tiles = max(1, math.ceil(n / tile))
     dealt = reps.select("vector", "copies", "rep", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int").alias("tile"), F.size("vector").alias("length"))
     sent = dealt.withColumn("peer", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
@@ -116,8 +116,11 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", t
     nodes = durable(reps.join(roots, "rep", "left").select("rep", "vector", "least", "copies", F.coalesce("root", "rep").alias("root")))
     first = nodes.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
     placed = lookup(nodes, "root", first, hot_keys(nodes, "root")).join(links, F.col("rep") == F.col("own"), "left")
-    known = durable(placed.select(F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"))
-    common = known.where(F.col("copies") * HOT > (copies_of_all or 0)).select(F.col("v").alias("hot"))  # fewer than HOT
-    joined = lookup(good, "vector", known.drop("copies"), common).select("id", "n_links", "component_id")
+    known = durable(placed.select(F.col("vector").alias("v"), F.xxhash64("vector").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("n")))
+    hot = hot_among(known.select("key", "n"))
+    busy = lambda key: key.isin(hot) if hot else F.lit(False)
+    common = good.where(busy(F.xxhash64("vector"))).join(F.broadcast(known.where(busy(F.col("key")))), F.col("vector") == F.col("v"))  # fewer than HOT vectors
+    others = good.where(~busy(F.xxhash64("vector"))).join(known, F.col("vector") == F.col("v"))
+    joined = common.unionByName(others).select("id", "n_links", "component_id")
     rest = rows.where(~usable("vector")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return joined.unionByName(rest).select(F.col("id").alias(id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

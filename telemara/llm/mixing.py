@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +36,17 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST) -> DataFram
     groups (source, size, n) has one row for each size in a source. Among all rates up to `most`, these are the
     nearest to one in relative entropy that meet the source's tokens; the tilt is the dual variable. Newton's method
     on the dual, for all sources at once: each round is one aggregation of the groups; a step that leaves the bracket,
-    and every third step, is replaced by its middle. So rounds end for every source by themselves: when its tokens
-    are within 1e-9 of the target, or when no number lies between the ends of its bracket. A source whose target is
-    `most` times its size has every rate at `most` (null tilt).
+    or is over half as long as the one before, is replaced by the bracket's middle. So rounds end for every source by
+    themselves: when its tokens are within 1e-9 of the target, where it stays, or when no number lies between the bracket's ends. A
+    source whose target is `most` times its size has every rate at `most` (null tilt).
     """
     state = durable(
         targets.withColumn("key", key("source")).join(groups.where("size > 0").groupBy(key("source").alias("key")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.min("size").alias("least")), "key", "left")
-        .withColumns({"tilt": F.lit(0.0), "lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "off": F.lit(1.0)})
+        .withColumns({"tilt": F.lit(0.0), "lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "off": F.lit(1.0), "moved": F.lit(float("inf"))})
         .withColumn("free", F.coalesce((F.col("target") > 0) & (F.col("target") < most * F.col("source_size")), F.lit(False)))
     )
     sized = durable(groups.where("size > 0").select(key("source").alias("key"), "size", "n"))
-    for turn in itertools.count(1):
+    while True:
         x = F.col("size") / F.col("scale")
         raw = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         rate = F.least(raw, F.lit(float(most)))
@@ -59,10 +57,10 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = MOST) -> DataFram
         lo, hi = F.when(off < 0, F.greatest("lo", "tilt")).otherwise(F.col("lo")), F.when(off > 0, F.least("hi", "tilt")).otherwise(F.col("hi"))
         moved = state.join(sums, "key", "left").select("*", off.alias("gap"), step.alias("step"), lo.alias("lo2"), hi.alias("hi2"))
         middle = F.when(F.col("lo2") == float("-inf"), 2 * F.col("hi2") - 1).when(F.col("hi2") == float("inf"), 2 * F.col("lo2") + 1).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        inside = F.lit(turn % 3 > 0) & F.col("step").isNotNull() & (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & (F.abs(F.col("step") - F.col("tilt")) <= 50)
-        new = F.when(F.col("gap") == 0, F.col("tilt")).when(inside, F.col("step")).otherwise(middle)
-        names = [c for c in state.columns if c not in ("tilt", "lo", "hi", "off")]
-        state = durable(moved.select(*names, F.when(F.col("free"), new).otherwise(F.col("tilt")).alias("tilt"), F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), F.abs(F.col("gap") / F.col("target")).alias("off")))
+        inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo2")) & (F.col("step") < F.col("hi2")) & (F.abs(F.col("step") - F.col("tilt")) <= F.least(F.lit(50.0), F.col("moved") / 2))
+        new = F.when(F.abs(F.col("gap")) <= 1e-9 * F.col("target"), F.col("tilt")).when(inside, F.col("step")).otherwise(middle)
+        names = [c for c in state.columns if c not in ("tilt", "lo", "hi", "off", "moved")]
+        state = durable(moved.select(*names, F.when(F.col("free"), new).otherwise(F.col("tilt")).alias("tilt"), F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), F.abs(F.col("gap") / F.col("target")).alias("off"), F.abs(new - F.col("tilt")).alias("moved")))
         if state.where("free and off > 1e-9 and tilt > lo and tilt < hi").isEmpty():
             break
     return state.select("key", "source", "source_size", "target", "scale", F.when(F.col("free"), F.round("tilt", 9)).alias("tilt"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, durable, hot_keys, lookup, slices
+from .common import durable, hot_among, hot_keys, lookup, slices
 from .components import connected_components
 from .simhash import majority_bits, near_fingerprints, one_of_each, shingle_hashes
 
@@ -70,21 +70,25 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     """(id, mark, root, component_id) for each row of df: a hash of its text, the number of its component, and the smallest
     id reachable over links of similarity 0.8 or more (null if no row of the component has an id).
 
-    Equal shingle sets are one node, and texts without a word are equal. Nodes meet in a bucket by a MinHash band, or
-    by SimHashes that links of `radius` or fewer bits connect. Each is compared with the first of its bucket; then, in
-    buckets that still hold several components, all pairs of different components are. Only the sets make a link.
+    Equal shingle sets are one node, and texts without a word are equal. Nodes meet in a bucket by a MinHash band or by
+    an equal SimHash, and as pairs by a link of `radius` or fewer bits between SimHashes. Each node is compared with the
+    first of its bucket; then, in buckets that still hold several components, all pairs of different components are.
+    Only the sets make a link.
     """
     marks = durable(shingle_marks(df, id, text, width))
     named = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = durable(named.withColumn("num", F.monotonically_increasing_id()))
-    balls = connected_components(near_fingerprints(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "own")
-    fps = durable(nodes.where("n > 0").select("num", "n", "fp"))
-    by_ball = lookup(fps, "fp", balls, hot_keys(fps, "fp"), "left").select("num", "n", F.xxhash64(F.coalesce("root", "fp")).alias("key"))
-    buckets = nodes.where("n > 0").select("num", "n", F.explode("keys").alias("key")).unionByName(by_ball)
+    full = nodes.where("n > 0")
+    alike = full.groupBy("fp").agg(F.min("num").alias("first"))
+    balls = near_fingerprints(alike.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    of = lambda x: alike.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x))
+    near = balls.join(of("a"), "fp_a").join(of("b"), "fp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    buckets = full.select("num", "n", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
     firsts = durable(buckets.groupBy("key").agg(F.min("num").alias("a"), F.count("*").alias("in_it")).where("in_it > 1").select(F.col("key").alias("in_key"), "a", "in_it"))
-    crowded = firsts.where(F.col("in_it") * HOT > fps.count() * (BANDS + 1)).select(F.col("in_key").alias("hot"))  # fewer than HOT
-    met = durable(lookup(buckets, "key", firsts.drop("in_it"), crowded))
-    ids = nodes.join(met.select("num").distinct(), "num", "left_semi").select(F.col("least").alias("in_id")).distinct()
+    met = durable(lookup(buckets, "key", firsts.drop("in_it"), hot_among(firsts.select(F.col("in_key").alias("key"), F.col("in_it").alias("n")))))
+    tried = durable(met.where("num <> a").select("a", F.col("num").alias("b")).unionByName(near).distinct())
+    wanted = met.select("num").unionByName(tried.select(F.explode(F.array("a", "b")).alias("num"))).distinct()
+    ids = nodes.join(wanted, "num", "left_semi").select(F.col("least").alias("in_id")).distinct()
     plain = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     candidates = plain.join(ids, F.col("id").eqNullSafe(F.col("in_id")), "left_semi")
     sets = durable(shingle_sets(candidates, "text", width).dropDuplicates(["node"]).join(nodes.select("node", "num"), "node").select("num", "hashes"))
@@ -93,17 +97,21 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
         both = pairs.join(sets.select(F.col("num").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("hashes").alias("y")), "b")
         return durable(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"))
 
-    tried = durable(met.where("num <> a").select("a", F.col("num").alias("b")).distinct())
-    links = linked(tried)
-    roots = connected_components(links).withColumnRenamed("node", "own")
+    roots = connected_components(linked(tried)).withColumnRenamed("node", "own")
     placed = durable(met.join(roots, F.col("num") == F.col("own"), "left").select("key", "num", "n", F.coalesce("root", "num").alias("root")))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = durable(placed.join(several, "key", "left_semi"))
     other = open_.select("key", F.col("num").alias("b"), F.col("n").alias("m"), F.col("root").alias("top"))
-    across = open_.join(other, "key").where("num < b and root <> top and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("num").alias("a"), "b").distinct()
-    more = linked(across.join(tried, ["a", "b"], "left_anti"))
-    ends = connected_components(links.unionByName(more)).withColumnRenamed("node", "own")
-    labelled = durable(nodes.select("node", "num", "least").join(ends, F.col("num") == F.col("own"), "left").select("node", "least", F.coalesce("root", "num").alias("root")))
+    across = open_.join(other, "key").where("num < b and root <> top and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("num").alias("a"), "b", "root", "top").distinct()
+    more = linked(across.join(tried, ["a", "b"], "left_anti").select("a", "b"))
+    labels = nodes.select("node", "num", "least").join(roots, F.col("num") == F.col("own"), "left").select("node", "num", "least", F.coalesce("root", "num").alias("root"))
+    if not more.isEmpty():
+        labels = durable(labels)
+        root_of = lambda x: labels.select(F.col("num").alias(f"num_{x}"), F.col("root").alias(f"root_{x}"))
+        joined = more.join(root_of("a"), F.col("a") == F.col("num_a")).join(root_of("b"), F.col("b") == F.col("num_b"))
+        tops = connected_components(joined.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("top"))
+        labels = labels.join(tops, F.col("root") == F.col("was"), "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+    labelled = durable(labels.select("node", "least", "root"))
     first = labelled.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
     classes = durable(lookup(labelled, "root", first, hot_keys(labelled, "root")).select(F.col("node").alias("own"), "root", "component_id"))
     return lookup(marks.select("id", "mark", "node"), "node", classes, hot_keys(marks, "node")).select("id", "mark", "root", "component_id")
