@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, fold, slices, text_bytes
 
-DEPTH, TOP = 5, 2
+DEPTH, TOP = 7, 2
 END = 0xFF  # no byte of UTF-8
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 14_000_000
 CHUNK = 1_500_000
 HALF = math.log(0.5)
 
@@ -288,7 +288,7 @@ def score_texts(df: DataFrame, learn=None, blocks: int | None = None) -> DataFra
     levels = crown(above.groupBy("byte", "prefix").agg(*[F.sum(x).alias(x) for x in "abw"]).collect())  # 256 * 255 rows at most
 
     def logs_of(t: pa.Table) -> pa.Table:
-        return pa.table({"shard": (t["code"].to_numpy() % shards).astype(np.int32), "code": t["code"], "log": code_logs(t["code"].to_numpy(), t["n"].to_numpy(), levels)})
+        return pa.table({"shard": (t["code"].to_numpy().astype(np.uint64) % np.uint64(shards)).astype(np.int32), "code": t["code"], "log": code_logs(t["code"].to_numpy(), t["n"].to_numpy(), levels)})
 
     logs = branch.groupBy("branch").applyInArrow(logs_of, "shard int, code long, log double")
     answers = durable(got.groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, ANSWERED))
