@@ -98,30 +98,31 @@ def _depths(tree, x):
 
 
 def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.05, seed=42):
-    """Isolation trees, one a group, each grown in a task of its own from `sample` rows; the cut by contamination."""
+    """Isolation trees, one a group, each grown in a task of its own from `sample` rows; the cut by contamination.
+
+    Give it nominal rows. A row is a candidate of a tree by a hash of its values and the tree's number, at a rate that
+    gives twice the sample; each tree takes those with the least hashes. So the trees depend on the rows alone.
+    """
     import pickle
 
     n = max(1, df.count())
-    draw = df.select(*[F.col(f).cast("double").alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if n <= 4 * sample else None
-    if draw is None:
-        per = min(1.0, 2.0 * sample / n)
-        picked = [F.when(F.rand(seed + t) < per, F.lit(t)) for t in range(trees)]
-        draw = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.explode(F.array_compact(F.array(*picked))).alias("tree"))
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    every = df.select(*values, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = every.withColumn("h", F.xxhash64(*features, "tree", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < min(1.0, 2.0 * sample / n) * (1 << 30))
 
     def build(key, pdf):
         rng = np.random.default_rng(seed + int(key[0]))
-        x = pdf[list(features)].to_numpy(float)
-        x = x[rng.permutation(len(x))[:sample]]
+        x = pdf.sort_values(["h", *features], kind="stable")[list(features)].to_numpy(float)[:sample]
         return pd.DataFrame({"tree": [key[0]], "size": [len(x)], "body": [pickle.dumps(_grow(x, rng, 0, int(np.ceil(np.log2(max(2, len(x)))))))]})
 
-    grown = draw.groupBy("tree").applyInPandas(build, "tree int, size int, body binary").collect()  # `trees` rows
+    grown = drawn.groupBy("tree").applyInPandas(build, "tree int, size int, body binary").collect()  # `trees` rows
     model = {"features": list(features), "size": max(r["size"] for r in grown), "trees": [pickle.loads(bytes(r["body"])) for r in sorted(grown, key=lambda r: r["tree"])]}
-    cut = iforest_score(df, model | {"cut": 2.0}).agg(F.percentile("iso_score", 1 - contamination)).first()[0]
+    cut = _isolation(df, model).agg(F.percentile("iso_raw", 1 - contamination)).first()[0]
     return model | {"cut": float(cut)}
 
 
-def iforest_score(df: DataFrame, model) -> DataFrame:
-    """Anomaly score (0 to 1) and flag above the model's cut."""
+def _isolation(df: DataFrame, model) -> DataFrame:
+    """df plus iso_raw: 2 to the power of minus the mean depth of a row over the depth expected of the sample."""
     sent = df.sparkSession.sparkContext.broadcast(model["trees"])
     norm = max(_path_length(model["size"]), 1e-9)
 
@@ -130,7 +131,14 @@ def iforest_score(df: DataFrame, model) -> DataFrame:
         x = cols.to_numpy(float)
         return pd.Series(np.power(2.0, -np.mean([_depths(t, x) for t in sent.value], axis=0) / norm))
 
-    return df.withColumn("iso_score", score(F.struct(*[F.col(f).cast("double").alias(f) for f in model["features"]]))).withColumn("iso_flag", F.col("iso_score") > model["cut"])
+    return df.withColumn("iso_raw", score(F.struct(*[F.col(f).cast("double").alias(f) for f in model["features"]])))
+
+
+def iforest_score(df: DataFrame, model) -> DataFrame:
+    """Anomaly score, a half at the model's cut and between 0 and 1, and the flag of rows beyond the cut."""
+    raw = F.col("iso_raw")
+    near = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + raw - model["cut"])), 4)
+    return _isolation(df, model).withColumns({"iso_score": near, "iso_flag": raw > model["cut"]}).drop("iso_raw")
 
 
 def reconstruction_fit(df: DataFrame, features, k=6, sigmas=3.0):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk_id, ordered_rules, tokenise_technical
+from ..sources import settled
 
 
 def chunk_markdown(df: DataFrame, uri: str = "uri", text: str = "text", min_chars: int = 60) -> DataFrame:
@@ -30,14 +33,10 @@ def chunk_markdown(df: DataFrame, uri: str = "uri", text: str = "text", min_char
 
 
 def bm25_index(chunks: DataFrame, id: str = "id", text: str = "text"):
-    """postings (id, term, tf), lengths (id, length), idf (term, idf) and the row (n, avg length)."""
+    """postings (id, length, term, tf) and the row (n, avg_length)."""
     tokens = chunks.select(F.col(id).alias("id"), tokenise_technical(F.col(text)).alias("t"))
-    lengths = tokens.select("id", F.size("t").alias("length"))
-    postings = tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return postings, lengths, idf, stats
+    postings = tokens.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return postings, tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_length"))
 
 
 def ranked(scored: DataFrame, k: int, query: str = "query_id") -> DataFrame:
@@ -46,10 +45,17 @@ def ranked(scored: DataFrame, k: int, query: str = "query_id") -> DataFrame:
 
 
 def bm25_topk(index, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """the k best texts of each query (query_id, text); repeated query terms count again, ties by id."""
-    postings, lengths, idf, stats = index
+    """the k best texts of each query (query_id, text); repeated query terms count again, ties by id.
+
+    Only postings of the queries' terms are counted: Spark takes that filter below the count, to the tokens. Their
+    document frequencies are all that idf needs.
+    """
+    postings, stats = index
     terms = queries.select("query_id", F.explode(tokenise_technical(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = terms.join(idf, "term").join(postings, "term").join(lengths, "id").join(F.broadcast(stats))
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+    idf = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_length")
+    hit = asked.join(terms.join(idf, "term"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
     return ranked(scored, k)
@@ -63,25 +69,36 @@ def grams(text):
 
 
 def tfidf_fit(chunks: DataFrame, id: str = "id", text: str = "text"):
-    """unit vectors as rows (id, term, weight), and idf (term, idf); the exact vocabulary of words and pairs."""
-    tf = chunks.select(F.col(id).alias("id"), F.explode(grams(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """weights (id, term, raw), idf (term, idf) and lengths (id, length); raw over length is a unit vector.
+
+    The vocabulary of words and pairs is exact. Counts are kept in the shared folder, as they are read three times.
+    """
+    tf = settled(chunks.select(F.col(id).alias("id"), F.explode(grams(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
     n = chunks.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return unit(tf.join(idf, "term"), "id"), idf
+    idf = settled(tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weights = weighed(tf, idf, "id")
+    return weights, idf, lengths_of(weights, "id")
 
 
-def unit(tf: DataFrame, key: str) -> DataFrame:
-    raw = tf.select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+def weighed(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    return tf.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+
+
+def lengths_of(weights: DataFrame, key: str) -> DataFrame:
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
 
 
 def cosine_topk(index, queries: DataFrame, k: int = 5, minimum: float = 0.0) -> DataFrame:
-    """the k texts nearest to each query by cosine, above `minimum`."""
-    vectors, idf = index
+    """the k texts nearest to each query by cosine, above `minimum`.
+
+    Only weights of the queries' terms meet them; a text's length divides its sum at the end.
+    """
+    weights, idf, lengths = index
     tf = queries.select("query_id", F.explode(grams(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    q = unit(tf.join(idf, "term"), "query_id").withColumnRenamed("weight", "q")
-    scored = q.join(vectors, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 4).alias("score"))
+    q = weighed(tf, idf, "query_id")
+    q = q.join(lengths_of(q, "query_id"), "query_id").select("query_id", "term", (F.col("raw") / F.col("length")).alias("q"))
+    dots = weights.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("raw")).alias("dot"))
+    scored = dots.join(lengths, "id").select("query_id", "id", F.round(F.col("dot") / F.col("length"), 4).alias("score"))
     return ranked(scored.where(F.col("score") > minimum), k)
 
 
@@ -94,12 +111,27 @@ def rrf_fuse(lex: DataFrame, sem: DataFrame, k: int = 60) -> DataFrame:
     return j.select("query_id", "id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.round(rank("r1") + rank("r2"), 6).alias("rrf"))
 
 
-def rerank_and_cite(fused: DataFrame, top_k: int = 5, min_relevance: float = 0.35) -> DataFrame:
-    """lexical and semantic scores weighed .45 to .55, the best top_k of each query with their citation."""
+def rerank_and_cite(fused: DataFrame, top_k: int = 5, min_relevance: float = 0.35, chunks: DataFrame | None = None, doc_type: str | None = None) -> DataFrame:
+    """lexical and semantic scores weighed .45 to .55, the best top_k of each query with their citation.
+
+    chunks (id, uri, section, doc_type) give the citation [file#chunk: section] and let doc_type choose among the
+    candidates; without them a citation is [doc-id].
+    """
     peak = F.greatest(F.lit(1.0), F.max("lexical").over(Window.partitionBy("query_id")))
     scored = fused.withColumn("rerank", F.round(0.45 * F.least(F.lit(1.0), F.col("lexical") / peak) + 0.55 * F.col("semantic"), 4)).where(F.col("rerank") >= min_relevance)
+    cite = F.format_string("[doc-%s]", F.col("id").cast("string"))
+    if chunks is not None:
+        named = chunks.select("id", F.format_string("[%s#%s: %s]", F.element_at(F.split("uri", "/"), -1), F.col("id").cast("string"), F.col("section")).alias("cited"), "doc_type")
+        scored = scored.join(named, "id")
+        scored, cite = (scored if doc_type is None else scored.where(F.col("doc_type") == doc_type)), F.col("cited")
     w = Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), F.col("rrf").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("citation", F.format_string("[doc-%s]", F.col("id").cast("string")))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("citation", cite).drop("cited", "doc_type")
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, min_relevance: float = 0.35, doc_type: str | None = None, candidates: int = 15) -> DataFrame:
+    """F5, F7, F8 and F9 in a row: the evidence of each query (query_id, text) among chunks (id, text, uri, section, doc_type)."""
+    lex, sem = bm25_topk(bm25_index(chunks), queries, candidates), cosine_topk(tfidf_fit(chunks), queries, candidates)
+    return rerank_and_cite(rrf_fuse(lex, sem), top_k, min_relevance, chunks, doc_type)
 
 
 def diagnostic_query(incidents: DataFrame, service="service_id", metric="metric", archetype="archetype") -> DataFrame:
@@ -111,8 +143,17 @@ def diagnostic_query(incidents: DataFrame, service="service_id", metric="metric"
 
 
 def memory_search(entries: DataFrame, queries: DataFrame, top_k: int = 3, min_similarity: float = 0.05) -> DataFrame:
-    """nearest entries with a grade: strong from .65, moderate from .35."""
-    top = cosine_topk(tfidf_fit(entries), queries, top_k, min_similarity)
+    """nearest entries with a grade: strong from .65, moderate from .35.
+
+    Where queries have a service_id that is not null, only entries of that service count.
+    """
+    if "service_id" not in queries.columns or "service_id" not in entries.columns:
+        top = cosine_topk(tfidf_fit(entries), queries, top_k, min_similarity)
+    else:
+        found = cosine_topk(tfidf_fit(entries), queries, 2**31 - 1, min_similarity).drop("rank")
+        of = entries.select("id", F.col("service_id").alias("of"))
+        kept = found.join(of, "id").join(queries.select("query_id", "service_id"), "query_id").where("service_id is null or service_id = of")
+        top = ranked(kept.drop("of", "service_id"), top_k)
     return top.withColumn("grade", F.when(F.col("score") >= 0.65, "STRONG").when(F.col("score") >= 0.35, "MODERATE").otherwise("WEAK"))
 
 
@@ -124,12 +165,31 @@ def postmortem_facts(df: DataFrame, uri: str = "uri", text: str = "text") -> Dat
     return df.select(F.col(uri).alias("uri"), nonempty(F.regexp_extract(t, r"(?m)^# +(.+)$", 1)).alias("title"), nonempty(F.regexp_extract(t, r"(INC-[0-9A-Za-z-]+)", 1)).alias("incident_id"), nonempty(F.regexp_extract(t, r"([a-z]+(?:-[a-z]+)*-(?:service|processing|core))", 1)).alias("service_id"), F.array_compact(F.array(*tags)).alias("tags"))
 
 
-def vector_topk(base: DataFrame, queries: DataFrame, id: str, vec: str, k: int, block: int = 1) -> DataFrame:
-    """the k nearest vectors of each query by cosine; queries are a stated set, compared with all rows."""
-    def normed(df, a, b):
-        length = F.sqrt(F.aggregate(F.transform(vec, lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
-        return df.select(F.col(id).alias(a), F.transform(vec, lambda x: x.cast("double") / length).alias(b))
+def vector_topk(base: DataFrame, queries: DataFrame, id: str, vec: str, k: int, block: int = 4096) -> DataFrame:
+    """the k nearest vectors of each query by cosine; queries are a stated set, compared with all rows.
 
-    pairs = normed(base, "id", "v").join(F.broadcast(normed(queries, "query_id", "q")), F.col("id") != F.col("query_id"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return ranked(pairs.select("query_id", "id", dot.alias("score")), k)
+    Both sides are dealt to blocks, and each pair of blocks is one matrix product that keeps k rows a query; the best
+    k of those remain. Vectors are of one length; null and zero vectors are left out. Ties, to twelve places, by id.
+    """
+    sides = [(df.where(F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)).select(F.col(id).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")), max(1, -(-df.count() // block))) for df in (base, queries)]
+    (rows, n), (asked, m) = sides
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    left = rows.select(deal(n).alias("b"), every(m).alias("q"), F.lit(False).alias("asks"), "id", "v")
+    right = asked.select(every(n).alias("b"), deal(m).alias("q"), F.lit(True).alias("asks"), "id", "v")
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, asks = t["id"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False)
+        v = np.stack(t["v"].to_numpy()) if t.num_rows else np.zeros((0, 1))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        own, order = ids[asks], np.argsort(ids[~asks], kind="stable")
+        other = ids[~asks][order]
+        score = np.round(v[asks] @ v[~asks][order].T, 12)
+        score[own[:, None] == other[None, :]] = -2.0
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(score, top, axis=1).ravel()
+        keep = value > -2.0
+        return pa.table({"query_id": np.repeat(own, top.shape[1])[keep], "id": other[top.ravel()][keep], "score": value[keep]})
+
+    found = left.unionByName(right).groupBy("b", "q").applyInArrow(best, "query_id long, id long, score double")
+    return ranked(found, k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered_rules
+from .retrieve import diagnostic_query, retrieve
 
 #: Action, risk and whether it always needs approval, by what the primary metric or archetype names.
 ACTIONS = [
@@ -82,28 +83,88 @@ def revise_until_grounded(df: DataFrame, max_revisions: int = 2) -> DataFrame:
     return out
 
 
+#: Target, parameters and justification of each action; {s} stands for the service.
+PLANS = {
+    "EXPAND_DB_CONNECTION_POOL": ("{s}/aurora-postgres-pool", {"current_max_connections": "100", "proposed_max_connections": "250", "idle_timeout_seconds": "30", "rollback_command": "aws rds modify-db-parameter-group --parameter 'name=max_connections,value=100'"}, "Connection pool of {s} is saturated: a higher ceiling and a strict idle limit end the starvation of its clients."),
+    "ROLLING_CONTAINER_RESTART": ("k8s-deployment/{s}", {"max_unavailable": "20%", "capture_heap_dump": "true", "rollback_command": "kubectl rollout undo deployment/{s}"}, "Memory of {s} is above 85% with growing collection pauses: restart it in turns and keep a heap dump."),
+    "ENGAGE_CIRCUIT_BREAKER": ("envoy-cluster/{s}/downstream-partner", {"consecutive_5xx": "5", "base_ejection_time_seconds": "60", "max_ejection_percent": "100", "rollback_command": "envoy admin /reset-outlier-detection"}, "Timeouts upstream of {s} cascade: shed the failing calls and answer from the cache."),
+    "FAILOVER_PAYMENT_GATEWAY": ("payment-routing-mesh/gateway-router", {"primary_provider": "stripe", "failover_target": "adyen", "traffic_shift_percent": "100", "rollback_command": "restore the primary payment route"}, "The payment provider is out: route checkouts to the second provider."),
+    "SCALE_HORIZONTAL_POD_AUTOSCALER": ("k8s-hpa/{s}", {"min_replicas": "10", "max_replicas": "50", "target_cpu_percent": "60", "rollback_command": "kubectl scale deployment {s} --replicas=3"}, "{s} meets a legitimate burst of traffic: add replicas ahead of it."),
+    "CONTINUOUS_OBSERVABILITY_MONITORING": ("telemetry-agent/{s}", {"polling_interval_seconds": "5"}, "Signals are within their baselines: keep watching."),
+}
+
+
+def _filled(text: str) -> Column:
+    """A text with the service in the place of {s}."""
+    parts = text.split("{s}")
+    pieces = [x for i, part in enumerate(parts) for x in ([F.col("service_id")] if i else []) + [F.lit(part)]]
+    return F.concat(*pieces) if len(parts) > 1 else F.lit(text)
+
+
 def remediation_proposal(df: DataFrame) -> DataFrame:
-    """Action, target, risk and whether a human must approve."""
+    """Action, target, parameters, risk, justification and whether a human must approve."""
     rules = [(_says(w, a), x) for w, a, *x in ACTIONS]
     pick = lambda i: ordered_rules([(p, F.lit(x[i])) for p, x in rules], DEFAULT_ACTION[i])
     grave = F.col("severity").isin("CRITICAL", "HIGH")
     approval = ordered_rules([(p, grave if x[2] is None else F.lit(x[2])) for p, x in rules], DEFAULT_ACTION[2])
-    return df.withColumns({"action": pick(0), "risk": pick(1), "needs_approval": approval, "target": F.concat(F.col("service_id"), F.lit("/"), F.lower(pick(0)))})
+    out = df.withColumns({"action": pick(0), "risk": pick(1), "needs_approval": approval})
+    chosen = lambda value: ordered_rules([(F.col("action") == a, value(p)) for a, p in PLANS.items()])
+    mapped = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), _filled(v))])
+    return out.withColumns({"target": chosen(lambda p: _filled(p[0])), "parameters": chosen(lambda p: mapped(p[1])), "justification": chosen(lambda p: _filled(p[2]))})
 
 
 def approval_routing(df: DataFrame) -> DataFrame:
-    """What needs approval and has none waits, the rest is executed."""
+    """What needs approval and has none waits, the rest is executed; with the text of the result."""
     approved = F.coalesce("approved", F.lit(False)) if "approved" in df.columns else F.lit(False)
-    return df.withColumn("status", F.when(F.col("needs_approval") & ~approved, "HUMAN_APPROVAL_PENDING").otherwise("REMEDIATION_EXECUTED"))
+    token = F.col("token") if "token" in df.columns else F.lit(None).cast("string")
+    waits = F.col("needs_approval") & ~approved
+    waiting = F.concat(F.lit("DRY_RUN_PASSED: "), "action", F.lit(" on "), "target", F.lit(" awaits approval"), F.coalesce(F.concat(F.lit(" by token "), token), F.lit("")))
+    done = F.concat(F.lit("SIMULATION_SUCCESS: "), "action", F.lit(" on "), "target", F.coalesce(F.concat(F.lit(" (token "), token, F.lit(")")), F.lit("")), F.lit(", parameters "), F.to_json("parameters"))
+    return df.withColumn("status", F.when(waits, "HUMAN_APPROVAL_PENDING").otherwise("REMEDIATION_EXECUTED")).withColumn("result", F.when(waits, waiting).otherwise(done))
+
 
+def cite_incidents(driven: DataFrame, chunks: DataFrame, top_k: int = 4, min_relevance: float = 0.35, doc_type: str | None = None) -> DataFrame:
+    """F10 and F9 for incidents: citation, the best one, and evidence, how many there are; equal queries are asked once."""
+    asked = diagnostic_query(driven)
+    queries = asked.select(F.col("query").alias("query_id"), F.col("query").alias("text")).distinct()
+    found = retrieve(chunks, queries, top_k, min_relevance, doc_type)
+    best = found.groupBy("query_id").agg(F.min_by("citation", "rank").alias("citation"), F.count("*").alias("evidence"))
+    return asked.join(best.withColumnRenamed("query_id", "query"), "query", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
 
-def triage_incidents(incidents: DataFrame, signals: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """Driver, citation, hypothesis, grounding, action and route of each incident, as one plan."""
+
+def triage_incidents(incidents: DataFrame, signals: DataFrame, citations: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Driver, evidence, hypothesis, grounding, action and route of each incident, as one plan.
+
+    Evidence is retrieved from chunks (id, text, uri, section, doc_type), or given as citations (incident_id, citation).
+    """
     driven = triage_driver(incidents, signals)
-    cited = driven.withColumn("citation", F.lit(None).cast("string")) if citations is None else driven.join(citations, "incident_id", "left")
+    if chunks is not None:
+        cited = cite_incidents(driven, chunks)
+    else:
+        cited = (driven.withColumn("citation", F.lit(None).cast("string")) if citations is None else driven.join(citations, "incident_id", "left")).withColumn("evidence", F.col("citation").isNotNull().cast("long"))
     return approval_routing(remediation_proposal(revise_until_grounded(cited)))
 
 
+def audit_rows(triaged: DataFrame) -> DataFrame:
+    """(incident_id, step, agent, action, detail): what each agent did to an incident, in order.
+
+    An incident without a signal ends at its triage.
+    """
+    c, text = F.col, lambda *xs: F.to_json(F.struct(*xs))
+    quiet = F.col("triage_status") == "RESOLVED"
+    entry = lambda agent, action, *xs: F.struct(F.lit(agent).alias("agent"), F.lit(action).alias("action"), text(*xs).alias("detail"))
+    steps = [
+        entry("statistician", "QUANTITATIVE_TRIAGE", c("metric").alias("primary_driver"), c("sigma").alias("max_sigma")),
+        entry("retriever", "RETRIEVE_EVIDENCE", c("evidence").alias("retrieved_count"), F.coalesce("citation", F.lit("none")).alias("top_citation")),
+        entry("investigator", "DIAGNOSE_ROOT_CAUSE", c("confidence"), F.size("trace").alias("reasoning_steps_count")),
+        entry("validator", "EVALUATE_GROUNDING", F.round("grounding", 4).alias("grounding_score"), c("is_grounded"), c("revisions").alias("revision_count")),
+        entry("action_agent", "FORMULATE_REMEDIATION", c("action").alias("action_type"), c("risk").alias("risk_level"), c("status")),
+    ]
+    gate = F.when(c("status") == "HUMAN_APPROVAL_PENDING", entry("approval_gate", "AWAIT_OPERATOR_SIGN_OFF", c("target"), c("status")))
+    all_ = F.when(quiet, F.array(entry("statistician", "TRIAGE", F.lit("no anomaly signals").alias("result")))).otherwise(F.array_compact(F.array(*steps, gate)))
+    return triaged.select("incident_id", F.posexplode(all_).alias("step", "x")).select("incident_id", "step", "x.*")
+
+
 def apply_approvals(pending: DataFrame, approvals: DataFrame) -> DataFrame:
     """The outcome of each approval: unknown incident, wrong status, wrong token, or executed."""
     j = approvals.join(pending.select("incident_id", "status", F.col("token").alias("want")), "incident_id", "left")

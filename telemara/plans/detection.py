@@ -88,14 +88,14 @@ def calibrated(s, d):
 
 
 def iforest(s, d):
-    t = ticks(s, d)
-    m = features.iforest_fit(t, ["rps", "p50", "cpu"], trees=40)
+    t = labelled(s, d)
+    m = features.iforest_fit(t.where("label = 0"), ["rps", "p50", "cpu"], trees=40)
     return features.iforest_score(t, m).select("service_id", "tick", "iso_score", "iso_flag")
 
 
 def reconstruction(s, d):
-    t = ticks(s, d)
-    m = features.reconstruction_fit(t, FEATURES, k=4)
+    t = labelled(s, d)
+    m = features.reconstruction_fit(t.where("label = 0"), FEATURES, k=4)
     return features.top_attributions(features.reconstruction_score(t, m)).select("service_id", "tick", "mse", "ae_flag", "top")
 
 
@@ -114,7 +114,8 @@ def importance(s, d):
 
 def ensemble(s, d):
     t = labelled(s, d)
-    rec, iso = features.reconstruction_fit(t, FEATURES, k=4), features.iforest_fit(t, ["rps", "p50", "cpu"], trees=20)
+    nominal = t.where("label = 0")
+    rec, iso = features.reconstruction_fit(nominal, FEATURES, k=4), features.iforest_fit(nominal, ["rps", "p50", "cpu"], trees=20)
     model = features.classify_fit(t, FEATURES, "label", trees=10, depth=5)
     both = features.classify(features.iforest_score(features.reconstruction_score(t, rec), iso), model, ["NOMINAL", "CASCADING_THIRD_PARTY_FAILURE"])
     return features.ensemble_decision(both, rec["threshold"]).select("service_id", "tick", "ensemble_score", "is_anomaly")

@@ -34,6 +34,8 @@ BASE = {
     "requests": "select event_id as id, {E} as epoch, event_type as kind, '/v1/' || event_type || '/' || cast(event_id as string) as path, case when event_type = 'error' then 500 else 200 end as status, value / 1000 as seconds from events",
     "corpus": "select doc_id as id, text from documents",
     "probes": "select item_id as query_id, text from benchmark",
+    "runbooks": """select item_id as id, case item_id % 5 when 0 then 'PostgreSQL connection pool max_connections saturation' when 1 then 'memory leak garbage collection stop-the-world heap restart' when 2 then 'timeout circuit breaker downstream failure'
+        when 3 then 'payment gateway failure failover decline' else 'nominal operation' end || ' ' || text as text, 'kb/runbooks/item_' || cast(item_id as string) || '.md' as uri, 'Overview' as section, case when item_id % 2 = 0 then 'runbook' else 'postmortem' end as doc_type from benchmark""",
     "judged": "select d.doc_id as id, l.toxic as y, case when d.n_chars % 10 < 2 then 1 else 0 end as p, l.quality as q from documents d join labels l on l.doc_id = d.doc_id",
 }
 NEEDS = {"dirty": ["ticks"]}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sources, streaming
 from ..functions import encode_archetype, parse_ts, slug, tokenise_technical
 from ..operators import detect, finance, history, retrieve, shape, triage
+from . import business, detection
 from .testbed import duck, load, scratch
 
 
@@ -53,8 +54,16 @@ def cited(s, d):
     return incidents(s, d).select("incident_id", F.when(F.col("incident_id") % 3 != 0, F.concat(F.lit("[runbook-"), (F.col("incident_id") % 5).cast("string"), F.lit("]"))).alias("citation"))
 
 
+def runbooks(s, d):
+    return load(s, d, "runbooks")
+
+
 def triaged(s, d):
-    return triage.triage_incidents(incidents(s, d), signals(s, d), cited(s, d))
+    return triage.triage_incidents(incidents(s, d), signals(s, d), chunks=runbooks(s, d))
+
+
+def with_citation(s, d):
+    return driven(s, d).join(cited(s, d), "incident_id", "left")
 
 
 def driven(s, d):
@@ -68,9 +77,9 @@ def approvals(s, d):
 
 
 def scenarios(s, d):
-    t = triaged(s, d).where("archetype is not null")
+    t = triaged(s, d)
     wanted = F.array(F.when(F.col("incident_id") % 2 == 0, F.col("action")).otherwise("OTHER"))
-    return history.rag_scenario_eval(t.select("incident_id", "action", "grounding", F.array_compact(F.array("citation")).alias("citations"), F.array(F.lit("runbook-1"), F.lit("runbook-2")).alias("expected_terms"), wanted.alias("expected_actions")))
+    return history.rag_scenario_eval(t.select("incident_id", "action", "grounding", F.array_compact(F.array("citation")).alias("citations"), F.array(F.lit("item_1"), F.lit("item_2")).alias("expected_terms"), wanted.alias("expected_actions")))
 
 
 def snapshots(s, d):
@@ -96,57 +105,89 @@ def read_snapshots(s, d):
 def read_series(s, d):
     path = scratch(s, "series")
     s.read.parquet(f"{d}/events.parquet").select(F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("a"), F.when(F.col("event_id") % 10 == 0, "bad").otherwise(F.col("value").cast("string")).alias("b")).write.csv(path)
-    return sources.read_series(s, path).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return sources.read_series(s, path).select(F.unix_timestamp("ts").alias("epoch"), "value")
 
 
 def read_matrix(s, d):
     path = scratch(s, "matrix")
     e = s.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id")
-    e.select(F.when(F.col("vec_id") % 9 == 0, "1, x, 2").otherwise(F.array_join(F.transform(F.slice("embedding", 1, 4), lambda v: F.round(v * 100, 4).cast("string")), ","))).coalesce(1).write.text(path)
-    return sources.read_channel_matrix(s, path).select("pos", F.size("values").alias("width"))
+    e.select(F.when(F.col("vec_id") % 9 == 0, "1, x, 2").otherwise(F.array_join(F.transform("embedding", lambda v: F.round(v.cast("double") * 100, 4).cast("string")), ","))).write.text(path)
+    return sources.read_channel_matrix(s, path).select("pos", F.posexplode("values").alias("channel", "value"))
 
 
 def read_labels(s, d):
     path = scratch(s, "labels")
-    s.read.parquet(f"{d}/labels.parquet").orderBy("doc_id").select(F.col("toxic").cast("string")).coalesce(1).write.text(path)
+    s.read.parquet(f"{d}/labels.parquet").orderBy("doc_id").select(F.col("toxic").cast("string")).write.text(path)
     return sources.read_labels(s, path)
 
 
 def read_corpus(s, d):
+    """One *.md file a conversation, read back."""
     path = scratch(s, "corpus")
-    markdown(s, d).select(F.concat(F.col("text"), F.lit("\n"))).write.option("lineSep", "\n\n\n").text(path)
-    return s.read.text(path).agg(F.count("*").alias("n"))
+    plain = dict(extension="md", sep="\x01", quote="\x00", escape="\x00", comment="\x02", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    lines = markdown(s, d).select(F.regexp_extract("uri", "conv_(.*)\\.md", 1).alias("conv"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines.repartition("conv").sortWithinPartitions("conv", "i").select("conv", F.col("line")).write.partitionBy("conv").options(**plain).csv(path)
+    return sources.read_markdown_corpus(s, path).select(F.regexp_extract("uri", "conv=([^/]*)/", 1).cast("long").alias("conv_id"), F.regexp_replace("text", "\n$", "").alias("text"))
+
+
+def flat_csv(s, d):
+    path = scratch(s, "flat")
+    t = load(s, d, "ticks")
+    t.write.csv(path, header=True)
+    return sources.read_flat_telemetry(s, path, ", ".join(f"{n} {k}" for n, k in t.dtypes))
+
+
+def dimensions(s, d):
+    """Incidents with what the written dimension tables say of their severity and archetype."""
+    path = scratch(s, "dims")
+    sources.write_dimensions(s, path)
+    read = lambda name: s.read.csv(f"{path}/dim_{name}", header=True, schema=sources.DIMENSIONS[name][0])
+    return incidents(s, d).join(read("severity"), "severity", "left").join(read("archetype"), "archetype", "left").select("incident_id", "rank", "hourly_rate", "code")
+
+
+FACTS = ["severity", "service_id", "archetype", "status", "actual_mttr_minutes", "mttr_reduction_minutes", "hourly_downtime_rate", "baseline_downtime_cost", "downtime_savings_gross", "engineering_hours_saved", "engineering_cost_saved"]
 
 
 def fact_csv(s, d):
     path = scratch(s, "fact")
     sources.write_fact_csv(finance.incident_financials(load(s, d, "incidents")), path)
-    return s.read.csv(path, header=True).select(F.col("id").cast("long").alias("id"), F.col("date_key").cast("int").alias("date_key"))
+    fact = s.read.csv(path, header=True)
+    number = [c for c in FACTS if c not in ("severity", "service_id", "archetype", "status")]
+    return fact.select(F.col("id").cast("long").alias("id"), F.col("date_key").cast("int").alias("date_key"), "detected_at", "resolved_at", *[F.col(c).cast("double").alias(c) if c in number else F.col(c) for c in FACTS])
 
 
 def kpi_json(s, d):
     path = scratch(s, "kpi")
     fin = finance.incident_financials(load(s, d, "incidents"))
     sources.write_kpi_json(finance.executive_kpis(fin), {"services": finance.service_impact(fin), "archetypes": finance.archetype_pareto(fin)}, path)
-    return s.read.json(path).select("total_incidents", F.size("services").cast("long").alias("services"), F.size("archetypes").cast("long").alias("archetypes"))
+    return s.read.json(path).select("total_incidents", "downtime_savings", F.size("archetypes").cast("long").alias("archetypes"), F.explode("services").alias("x")).select("total_incidents", "downtime_savings", "archetypes", "x.service_id", "x.incidents", F.round("x.savings", 2).alias("savings"))
 
 
 def tier_file(s, d):
     path = scratch(s, "tier")
     build = lambda spark: load(spark, d, "ticks")
     sources.materialise_tier(s, path, build)
-    return sources.materialise_tier(s, path, build).agg(F.count("*").alias("n"))
+    again = sources.materialise_tier(s, path, lambda spark: build(spark).limit(0))
+    return again.select("service_id", "tick", "rps", "orders", "revenue", "p50", "p95", "p99", "cpu", "checkout")
 
 
-def event_stream(s, d):
+def stateful(s):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = scratch(s, "events")
-    load(s, d, "series").selectExpr("id", "k", "ts", "cast(epoch as double) as epoch", "x").repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
-    return sources_stream(s, path)
 
 
-def sources_stream(s, path):
-    return streaming.read_snapshot_stream(s, path, s.read.parquet(path).schema, 100)
+def sliced(s, df, name, slices=3):
+    """df as files of ascending ids, written one after the other, and read as a stream of one slice a batch."""
+    path = scratch(s, name)
+    top = df.agg(F.max("id")).first()[0] or 0
+    for i in range(slices):
+        lo, hi = top * i // slices, top * (i + 1) // slices + (i == slices - 1)
+        df.where((F.col("id") >= lo) & (F.col("id") < hi)).coalesce(1).write.mode("append").parquet(path)
+    return streaming.read_snapshot_stream(s, path, s.read.parquet(path).schema, 1)
+
+
+def event_stream(s, d):
+    stateful(s)
+    return sliced(s, load(s, d, "series").selectExpr("id", "k", "ts", "cast(epoch as double) as epoch", "x"), "events")
 
 
 def run(s, stream, mode="append"):
@@ -154,23 +195,38 @@ def run(s, stream, mode="append"):
 
 
 def detect_stream(s, d):
-    return run(s, streaming.detect_stream(event_stream(s, d).select("k", "id", "x"), "k")).select("id", F.round("score", 6).alias("score"), "flag")
+    stateful(s)
+    snaps = load(s, d, "snaps")
+    signals = streaming.detect_stream(sliced(s, snaps, "snaps"), "k", model=detect.mahalanobis_fit(snaps, detection.PAIR), crit_sq=detection.CRITICAL_2)
+    return run(s, signals).select("id", "k", "metric", "detector", "emission", "observed", "baseline", "sigma", "severity", "explicit", F.to_json("metadata").alias("details"))
 
 
 def monotonic_stream(s, d):
-    late = event_stream(s, d).select("k", "id", (F.col("epoch") - F.when(F.col("id") % 20 == 0, 86400).otherwise(0)).alias("epoch"))
+    late = event_stream(s, d).select("k", "id", (F.col("epoch") - F.when(F.col("id") % 20 == 0, 86400).otherwise(0)).alias("epoch"), (F.col("id") % 11 != 0).alias("passed"), (F.col("id") % 1000 < 2).alias("reset"))
     return run(s, streaming.check_monotonic_stream(late, "k")).select("id", "late")
 
 
+WATCHED = ["infra_cpu_percent", "infra_memory_percent", "app_latency_p99_ms", "app_requests_per_sec", "db_query_latency_ms"]
+
+
 def feature_stream(s, d):
-    return run(s, streaming.stream_features(event_stream(s, d).select("k", "id", "x"), "k")).select("id", F.round("x_mean", 6).alias("x_mean"), F.round("x_diff", 6).alias("x_diff"))
+    stateful(s)
+    snaps = load(s, d, "snaps").select("id", "k", *WATCHED)
+    return run(s, streaming.stream_features(sliced(s, snaps, "features"), "k", WATCHED)).select("id", *[F.round(f"{m}_{x}", n).alias(f"{m}_{x}") for m in WATCHED for x, n in (("mean", 11), ("std", 6), ("diff", 9))])  # no value lies half-way there
 
 
 def metric_points(s, d):
     path = scratch(s, "points")
-    points = event_stream(s, d).selectExpr("ts", "case when id % 10 = 0 then null else k end as name", "x as value", "'ms' as unit")
+    points = event_stream(s, d).selectExpr("id", "ts", "case when id % 10 = 0 then null else k end as name", "case when id % 15 = 0 then null else x end as value", "'ms' as unit", "case when id % 4 > 0 then map('kind', k) end as dimensions")
     streaming.write_metric_points(points, path, scratch(s, "state")).awaitTermination()
-    return s.read.parquet(path).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return s.read.parquet(path).select("id", "name", "value", "unit", F.to_json("dimensions").alias("dimensions"))
+
+
+def snapshot_stream(s, d):
+    path = scratch(s, "snapshots")
+    snapshots(s, d).write.json(path)
+    whole = run(s, streaming.read_snapshot_stream(s, path, sources.SNAPSHOT_DDL, 1, "json"))
+    return shape.flatten_snapshots(whole).select("service_id", "infra_cpu_percent", "app_http_5xx_count", F.round("app_error_rate", 6).alias("app_error_rate"), "biz_revenue_usd", "simulated_root_cause")
 
 
 QUERIES = {
@@ -189,20 +245,26 @@ QUERIES = {
     "vector_topk": lambda s, d: retrieve.vector_topk(e := s.read.parquet(f"{d}/embeddings.parquet"), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "triage_driver": lambda s, d: driven(s, d).select("incident_id", "metric", "sigma", "triage_status"),
     "tier_breakdown": lambda s, d: triage.tier_breakdown(signals(s, d)).select("incident_id", "metrics"),
-    "hypothesis": lambda s, d: triage.hypothesis(driven(s, d).join(cited(s, d), "incident_id", "left")).select("incident_id", "confidence"),
-    "grounding_score": lambda s, d: triage.grounding_score(triage.hypothesis(driven(s, d).join(cited(s, d), "incident_id", "left"))).select("incident_id", F.round("grounding", 4).alias("grounding"), "is_grounded"),
-    "revise_until_grounded": lambda s, d: triage.revise_until_grounded(driven(s, d).join(cited(s, d), "incident_id", "left")).select("incident_id", F.round("grounding", 4).alias("grounding"), "revisions"),
-    "remediation_proposal": lambda s, d: triage.remediation_proposal(driven(s, d)).select("incident_id", "action", "risk", "needs_approval"),
-    "approval_routing": lambda s, d: triage.approval_routing(triage.remediation_proposal(driven(s, d))).select("incident_id", "status"),
-    "triage_incidents": lambda s, d: triaged(s, d).select("incident_id", "action", "status", "confidence"),
-    "apply_approvals": lambda s, d: approvals(s, d).groupBy("outcome").agg(F.count("*").alias("n")),
-    "rag_scenario_eval": lambda s, d: scenarios(s, d).select("incident_id", "context_precision", "action_match", "passed"),
+    "hypothesis": lambda s, d: triage.hypothesis(with_citation(s, d)).select("incident_id", "hypothesis", "confidence", F.array_join("trace", "|").alias("trace")),
+    "grounding_score": lambda s, d: triage.grounding_score(triage.hypothesis(with_citation(s, d))).select("incident_id", F.round("grounding", 4).alias("grounding"), "is_grounded"),
+    "revise_until_grounded": lambda s, d: triage.revise_until_grounded(with_citation(s, d)).select("incident_id", "hypothesis", F.round("grounding", 4).alias("grounding"), "revisions"),
+    "remediation_proposal": lambda s, d: triage.remediation_proposal(driven(s, d)).select("incident_id", "action", "risk", "needs_approval", "target", F.to_json("parameters").alias("parameters"), "justification"),
+    "approval_routing": lambda s, d: triage.approval_routing(triage.remediation_proposal(driven(s, d))).select("incident_id", "status", "result"),
+    "triage_incidents": lambda s, d: triaged(s, d).select("incident_id", "action", "status", "confidence", "query", "citation", "evidence", F.round("grounding", 4).alias("grounding"), "revisions", "hypothesis"),
+    "triage_audit": lambda s, d: triage.audit_rows(triaged(s, d)),
+    "retrieve": lambda s, d: retrieve.retrieve(runbooks(s, d), probes(s, d), doc_type="runbook").select("query_id", "id", "rank", "citation"),
+    "apply_approvals": lambda s, d: approvals(s, d).select("incident_id", "outcome"),
+    "rag_scenario_eval": lambda s, d: scenarios(s, d).select("incident_id", F.round("grounding", 4).alias("grounding"), "context_precision", "context_recall", "action_match", "passed"),
     "rag_macro_eval": lambda s, d: history.rag_macro_eval(scenarios(s, d)),
     "flatten_snapshots": lambda s, d: shape.flatten_snapshots(snapshots(s, d)).select("service_id", "trace_id", "infra_cpu_percent", "app_http_2xx_count"),
     "read_snapshots": read_snapshots,
+    "read_snapshot_stream": snapshot_stream,
     "read_series": read_series,
     "read_channel_matrix": read_matrix,
     "read_labels": read_labels,
+    "read_markdown_corpus": read_corpus,
+    "read_flat_telemetry": flat_csv,
+    "write_dimensions": dimensions,
     "materialise_tier": tier_file,
     "write_fact_csv": fact_csv,
     "write_kpi_json": kpi_json,
@@ -233,6 +295,52 @@ ACT = f"case when contains({M}, 'pool') or contains({A}, 'DB_CONNECTION_POOL') t
 CONF = f"case when contains({M}, 'pool') or contains({A}, 'DB_CONNECTION_POOL') then 0.96 when contains({M}, 'memory') or contains({A}, 'MEMORY_LEAK') then 0.94 when contains({M}, 'latency') or contains({A}, 'THIRD_PARTY') then 0.93 when contains({M}, 'checkout') or contains({M}, 'order') or contains({A}, 'PAYMENT_GATEWAY') then 0.97 else 0.85 end::double"
 AC = f"{DR}, ac as (select *, {ACT} as action, {CONF} as confidence from dr), ro as (select *, case when action in ('EXPAND_DB_CONNECTION_POOL', 'ROLLING_CONTAINER_RESTART', 'FAILOVER_PAYMENT_GATEWAY') then true when action = 'ENGAGE_CIRCUIT_BREAKER' then severity in ('CRITICAL', 'HIGH') else false end as needs from ac), rt as (select *, case when needs then 'HUMAN_APPROVAL_PENDING' else 'REMEDIATION_EXECUTED' end as status from ro)"
 IS = ["incidents", "signals"]
+DQ = """, dq as (select *, concat_ws(' ', service_id, metric, case when contains(metric, 'pool') then 'PostgreSQL connection pool max_connections saturation' when contains(metric, 'memory') then 'memory leak garbage collection stop-the-world heap restart' when contains(metric, 'latency') or contains(metric, 'error_rate') then 'timeout circuit breaker downstream failure'
+    when contains(metric, 'checkout') then 'payment gateway failure failover decline' end, replace(archetype, '_', ' ')) as query from dr), qs as (select distinct query as query_id, query as text from dq)"""
+FUSED = FU.replace("from corpus", "from runbooks")
+RANKED = ", rr as (select *, round(0.45 * least(1.0, lexical / greatest(1.0, max(lexical) over (partition by query_id))) + 0.55 * semantic, 4) as rerank from fu), cr as (select query_id, id, row_number() over (partition by query_id order by rerank desc, rrf desc, id) as rank, '[item_' || id::varchar || '.md#' || id::varchar || ': Overview]' as citation from rr {0}where rerank >= 0.35)"
+RUNBOOKS_ONLY = RANKED.format("join runbooks using (id) ").replace("where rerank", "where doc_type = 'runbook' and rerank")
+FOUND = f"{DR}{DQ}{FUSED.replace('from probes', 'from qs')}{RANKED.format('')}, ci as (select query_id, count(*) as evidence, max(case when rank = 1 then citation end) as citation from cr where rank <= 4 group by 1), cx as (select dq.*, citation, coalesce(evidence, 0) as evidence from dq left join ci on query = query_id)"
+GIVEN = f"{DR}, cx as (select *, case when incident_id % 3 <> 0 then '[runbook-' || (incident_id % 5)::varchar || ']' end as citation from dr)"
+
+
+def grounded_sql():
+    """From cx: the hypothesis before and after one revision, h0 and h1, with their grounding, and what is left at the end."""
+    cite = "coalesce(citation, '[No Citation Available]')"
+    tests = [f"contains({M}, 'pool') or contains({A}, 'DB_CONNECTION_POOL')", f"contains({M}, 'memory') or contains({A}, 'MEMORY_LEAK')", f"contains({M}, 'latency') or contains({A}, 'THIRD_PARTY')", f"contains({M}, 'checkout') or contains({M}, 'order') or contains({A}, 'PAYMENT_GATEWAY')"]
+    what = ["connection pool saturated, clients starve for a connection", "heap memory leak with stop-the-world pauses", "third party times out and starves the worker threads", "payment gateway outage declines transactions"]
+    cause = "case " + " ".join(f"when {t} then service_id || ': {w}, as in ' || {cite}" for t, w in zip(tests, what, strict=True)) + f" else 'anomaly in ' || service_id || ' driven by ' || coalesce(metric, 'unknown_metric') || ', evidence ' || {cite} end"
+    tokens = lambda c, t: f"len(list_filter(string_split(lower({c}), '_'), lambda w: length(w) > 3 and contains(lower({t}), w))) > 0"
+
+    def score(t):
+        metric = f"case when metric is null then contains(lower({t}), 'nominal') or contains(lower({t}), 'no active') else contains({t}, metric) or {tokens('metric', t)} end"
+        checks = [f"contains({t}, service_id)", metric, f"case when citation is null then metric is null else contains({t}, citation) end", f"coalesce({tokens('archetype', t)}, false)"]
+        return f"({' + '.join(f'({c})::int' for c in checks)}) / (3 + (archetype is not null)::int)::double"
+
+    return f""", h0 as (select *, {cause} as hyp, list_filter([case when metric is not null then 'driver ' || metric end, case when archetype is not null then 'archetype ' || archetype end, case when citation is not null then 'evidence ' || citation end], lambda w: w is not null) as tr,
+        ' (revised: ' || concat_ws(' ', 'anchor to', service_id, metric, coalesce(citation, '')) || ')' as note from cx),
+        h1 as (select *, concat_ws(' ', hyp, nullif(array_to_string(tr, ' '), '')) as t0, concat_ws(' ', hyp || note, array_to_string(list_append(tr, note), ' ')) as t1 from h0), h2 as (select *, {score('t0')} as g0, {score('t1')} as g1 from h1),
+        en as (select *, case when g0 >= 0.95 then 0 when g1 >= 0.95 then 1 else 2 end as revisions, case when g0 >= 0.95 then g0 else g1 end as grounding, case when g0 >= 0.95 then hyp else hyp || note end as hypothesis, len(tr) + (g0 < 0.95)::int as steps from h2)"""
+
+
+def by_action(value):
+    quoted = lambda t: "'" + t.replace("'", "''").replace("{s}", "' || service_id || '") + "'"
+    return "case action " + " ".join(f"when '{a}' then {quoted(value(p))}" for a, p in triage.PLANS.items()) + " end"
+
+
+TARGET, WHY = by_action(lambda p: p[0]), by_action(lambda p: p[2])
+PARAMS = by_action(lambda p: "{" + ",".join(f'"{k}":"{v}"' for k, v in p[1].items()) + "}")
+RISK = "case action when 'ENGAGE_CIRCUIT_BREAKER' then 'MEDIUM' when 'SCALE_HORIZONTAL_POD_AUTOSCALER' then 'LOW' when 'CONTINUOUS_OBSERVABILITY_MONITORING' then 'LOW' else 'HIGH' end"
+ROUTED = f", ac as (select *, {ACT} as action, {CONF} as confidence from en), ro as (select *, case when action in ('EXPAND_DB_CONNECTION_POOL', 'ROLLING_CONTAINER_RESTART', 'FAILOVER_PAYMENT_GATEWAY') then true when action = 'ENGAGE_CIRCUIT_BREAKER' then severity in ('CRITICAL', 'HIGH') else false end as needs from ac), rt as (select *, case when needs then 'HUMAN_APPROVAL_PENDING' else 'REMEDIATION_EXECUTED' end as status from ro)"
+WHOLE = f"{FOUND}{grounded_sql()}{ROUTED}"
+ALL = ["incidents", "signals", "runbooks"]
+SCENE = f"{WHOLE}, se as (select incident_id, round(grounding, 4) as grounding, case when citation is null then 0.0 when contains(lower(citation), 'item_1') or contains(lower(citation), 'item_2') then 1.0 else 0.0 end::double as context_precision, (incident_id % 2 = 0)::int::double as action_match from rt), sv as (select *, case when context_precision > 0 then 1.0 else 0.5 end::double as context_recall from se), sp as (select *, grounding >= 0.95 and context_precision >= 0.7 and context_recall >= 0.8 and action_match = 1 as passed from sv)"
+AUDIT = f"""{WHOLE}, au as (select incident_id, 0 as step, 'statistician' as agent, case when metric is null then 'TRIAGE' else 'QUANTITATIVE_TRIAGE' end as action, case when metric is null then '{{"result":"no anomaly signals"}}' else '{{"primary_driver":"' || metric || '","max_sigma":' || sigma::varchar || '}}' end as detail from rt
+    union all select incident_id, 1, 'retriever', 'RETRIEVE_EVIDENCE', '{{"retrieved_count":' || evidence::varchar || ',"top_citation":"' || coalesce(citation, 'none') || '"}}' from rt where metric is not null
+    union all select incident_id, 2, 'investigator', 'DIAGNOSE_ROOT_CAUSE', '{{"confidence":' || confidence::varchar || ',"reasoning_steps_count":' || steps::varchar || '}}' from rt where metric is not null
+    union all select incident_id, 3, 'validator', 'EVALUATE_GROUNDING', '{{"grounding_score":' || round(grounding, 4)::varchar || ',"is_grounded":' || (grounding >= 0.95)::varchar || ',"revision_count":' || revisions::varchar || '}}' from rt where metric is not null
+    union all select incident_id, 4, 'action_agent', 'FORMULATE_REMEDIATION', '{{"action_type":"' || action || '","risk_level":"' || {RISK} || '","status":"' || status || '"}}' from rt where metric is not null
+    union all select incident_id, 5, 'approval_gate', 'AWAIT_OPERATOR_SIGN_OFF', '{{"target":"' || {TARGET} || '","status":"' || status || '"}}' from rt where metric is not null and needs)"""
 
 ORACLES = {
     "parse_ts": "select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events",
@@ -245,24 +353,34 @@ ORACLES = {
     "rerank_and_cite": x(["corpus", "probes"], f"{FU}, rr as (select *, round(0.45 * least(1.0, lexical / greatest(1.0, max(lexical) over (partition by query_id))) + 0.55 * semantic, 4) as rerank from fu) select query_id, id, lexical, semantic, rrf, rerank, row_number() over (partition by query_id order by rerank desc, rrf desc, id) as rank, '[doc-' || id::varchar || ']' as citation from rr where rerank >= 0.35 qualify rank <= 5"),
     "memory_search": x(["corpus", "probes"], f"{TF} select query_id, id, case when score >= 0.65 then 'STRONG' when score >= 0.35 then 'MODERATE' else 'WEAK' end as grade from (select *, row_number() over (partition by query_id order by score desc, id) as k from sx where score > 0.05) where k <= 3"),
     "diagnostic_query": x(IS, f"{DR} select incident_id, concat_ws(' ', service_id, metric, case when contains(metric, 'pool') then 'PostgreSQL connection pool max_connections saturation' when contains(metric, 'memory') then 'memory leak garbage collection stop-the-world heap restart' when contains(metric, 'latency') or contains(metric, 'error_rate') then 'timeout circuit breaker downstream failure' when contains(metric, 'checkout') then 'payment gateway failure failover decline' end, replace(archetype, '_', ' ')) as query from dr"),
-    "vector_topk": "with v as (select vec_id, embedding::double[] as e from embeddings) select q.vec_id as query_id, v.vec_id as id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.e, v.e) desc, v.vec_id) as rank, round(list_cosine_similarity(q.e, v.e), 6) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0 qualify rank <= 5",
+    "vector_topk": "with v as (select vec_id, embedding::double[] as e from embeddings) select q.vec_id as query_id, v.vec_id as id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.e, v.e), 12) desc, v.vec_id) as rank, round(list_cosine_similarity(q.e, v.e), 6) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0 qualify rank <= 5",
     "triage_driver": x(IS, f"{DR} select incident_id, metric, sigma, case when metric is null then 'RESOLVED' else 'INVESTIGATING' end as triage_status from dr"),
     "tier_breakdown": x(["signals"], "select incident_id, string_agg(distinct metric, ',' order by metric) as metrics from signals group by 1"),
-    "hypothesis": x(IS, f"{AC} select incident_id, confidence from ac"),
-    "remediation_proposal": x(IS, f"{AC} select incident_id, action, case action when 'ENGAGE_CIRCUIT_BREAKER' then 'MEDIUM' when 'SCALE_HORIZONTAL_POD_AUTOSCALER' then 'LOW' when 'CONTINUOUS_OBSERVABILITY_MONITORING' then 'LOW' else 'HIGH' end as risk, needs as needs_approval from ro"),
-    "approval_routing": x(IS, f"{AC} select incident_id, status from rt"),
-    "triage_incidents": x(IS, f"{AC} select incident_id, action, status, confidence from rt"),
-    "apply_approvals": x(IS, f"{AC} select case when incident_id % 50 = 0 then 'NOT_FOUND' when status <> 'HUMAN_APPROVAL_PENDING' then 'BAD_STATUS' when incident_id % 7 = 0 then 'FORBIDDEN' else 'EXECUTED' end as outcome, count(*) as n from rt group by 1"),
+    "hypothesis": x(IS, f"{GIVEN}{grounded_sql()} select incident_id, hyp as hypothesis, {CONF} as confidence, array_to_string(tr, '|') as trace from en"),
+    "grounding_score": x(IS, f"{GIVEN}{grounded_sql()} select incident_id, round(g0, 4) as grounding, g0 >= 0.95 as is_grounded from en"),
+    "revise_until_grounded": x(IS, f"{GIVEN}{grounded_sql()} select incident_id, hypothesis, round(grounding, 4) as grounding, revisions from en"),
+    "remediation_proposal": x(IS, f"{AC} select incident_id, action, {RISK} as risk, needs as needs_approval, {TARGET} as target, {PARAMS} as parameters, {WHY} as justification from ro"),
+    "approval_routing": x(IS, f"{AC} select incident_id, status, case when needs then 'DRY_RUN_PASSED: ' || action || ' on ' || {TARGET} || ' awaits approval' else 'SIMULATION_SUCCESS: ' || action || ' on ' || {TARGET} || ', parameters ' || {PARAMS} end as result from rt"),
+    "triage_incidents": x(ALL, f"{WHOLE} select incident_id, action, status, confidence, query, citation, evidence, round(grounding, 4) as grounding, revisions, hypothesis from rt"),
+    "triage_audit": x(ALL, f"{AUDIT} select * from au"),
+    "retrieve": x(["runbooks", "probes"], f"{FUSED}{RUNBOOKS_ONLY} select * from cr where rank <= 5"),
+    "rag_scenario_eval": x(ALL, f"{SCENE} select incident_id, grounding, context_precision, context_recall, action_match, passed from sp"),
+    "rag_macro_eval": x(ALL, f"{SCENE} select round(avg(grounding), 4) as grounding, round(avg(context_precision), 4) as context_precision, round(avg(context_recall), 4) as context_recall, round(avg(action_match), 4) as action_match, bool_and(passed) as all_passed from sp"),
+    "apply_approvals": x(ALL, f"{WHOLE} select incident_id + case when incident_id % 50 = 0 then 1000000000 else 0 end as incident_id, case when incident_id % 50 = 0 then 'NOT_FOUND' when status <> 'HUMAN_APPROVAL_PENDING' then 'BAD_STATUS' when incident_id % 7 = 0 then 'FORBIDDEN' else 'EXECUTED' end as outcome from rt"),
     "flatten_snapshots": x(["ticks"], "select service_id, 'tr-' || service_id || '-' || tick::varchar as trace_id, cpu as infra_cpu_percent, c2xx::int as app_http_2xx_count from ticks"),
     "read_snapshots": x(["ticks"], "select service_id, cpu as infra_cpu_percent, c5xx::int as app_http_5xx_count, round(coalesce(c5xx / nullif(c2xx + c4xx + c5xx, 0)::double, 0.0), 6) as app_error_rate, revenue as biz_revenue_usd, '' as simulated_root_cause from ticks"),
-    "read_series": "select count(*) as n, round(sum(value), 2) as total from events where event_id % 10 <> 0",
+    "read_snapshot_stream": x(["ticks"], "select service_id, cpu as infra_cpu_percent, c5xx::int as app_http_5xx_count, round(coalesce(c5xx / nullif(c2xx + c4xx + c5xx, 0)::double, 0.0), 6) as app_error_rate, revenue as biz_revenue_usd, '' as simulated_root_cause from ticks"),
+    "read_series": "select epoch(date_trunc('second', ts))::bigint as epoch, value from events where event_id % 10 <> 0",
     "read_labels": "select toxic as label, row_number() over (order by doc_id) - 1 as pos from labels",
-    "read_channel_matrix": "select row_number() over (order by vec_id) - 1 as pos, 4 as width from embeddings where vec_id % 9 <> 0",
-    "materialise_tier": x(["ticks"], "select count(*) as n from ticks"),
-    "write_fact_csv": x(["incidents"], "select id, strftime(detected_at, '%Y%m%d')::int as date_key from incidents"),
-    "write_kpi_json": x(["incidents"], "select count(*) as total_incidents, count(distinct service_id) as services, count(distinct coalesce(archetype, 'x')) as archetypes from incidents"),
-    "write_metric_points": "select case when event_id % 10 = 0 then 'unknown' else event_type end as name, count(*) as n, round(sum(value), 2) as total from events group by 1",
-    "detect_stream": "with z as (select event_id as id, value as x, count(value) over w as n, avg(value) over w as m, stddev_samp(value) over w as sd from events window w as (partition by event_type order by event_id rows between 60 preceding and 1 preceding)) select id, round(case when n >= 15 then (x - m) / (sd + 1e-6) else 0.0 end, 6) as score, n >= 15 and abs((x - m) / (sd + 1e-6)) >= 3.0 as flag from z",
-    "check_monotonic_stream": "with e as (select event_id as id, event_type as k, floor(epoch(ts)) - case when event_id % 20 = 0 then 86400 else 0 end as t from events) select id, coalesce(t < max(t) over (partition by k order by id rows between unbounded preceding and 1 preceding), false) as late from e",
-    "stream_features": "select event_id as id, round(avg(value) over (partition by event_type order by event_id rows between 9 preceding and current row), 6) as x_mean, round(coalesce(value - lag(value) over (partition by event_type order by event_id), 0.0), 6) as x_diff from events",
+    "read_channel_matrix": "select pos, k - 1 as channel, round(e[k]::double * 100, 4) as value from (select row_number() over (order by vec_id) - 1 as pos, embedding as e from embeddings where vec_id % 9 <> 0), range(1, 65) t(k)",
+    "materialise_tier": x(["ticks"], "select service_id, tick, rps, orders, revenue, p50, p95, p99, cpu, checkout from ticks"),
+    "read_flat_telemetry": x(["ticks"], "select * from ticks"),
+    "read_markdown_corpus": "select conv_id, '# Conversation ' || conv_id::varchar || chr(10) || string_agg('## ' || role || ' turn ' || turn::varchar || chr(10) || text, chr(10) order by turn) as text from conversations group by conv_id",
+    "write_dimensions": x(["incidents"], "select id as incident_id, case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 when 'LOW' then 4 end as rank, case severity when 'CRITICAL' then 180000.0 when 'HIGH' then 120000.0 when 'MEDIUM' then 25000.0 when 'LOW' then 5000.0 end::double as hourly_rate, case archetype when 'NOMINAL' then 0 when 'DB_CONNECTION_POOL_SATURATION' then 1 when 'MEMORY_LEAK_GC_PAUSE' then 2 when 'CASCADING_THIRD_PARTY_FAILURE' then 3 when 'PAYMENT_GATEWAY_OUTAGE' then 4 when 'BLACK_FRIDAY_TRAFFIC_BURST' then 5 end as code from incidents"),
+    "write_fact_csv": business.f("select fin.id, strftime(fin.detected_at, '%Y%m%d')::int as date_key, strftime(fin.detected_at, '%Y-%m-%dT%H:%M:%SZ') as detected_at, strftime(i.resolved_at, '%Y-%m-%dT%H:%M:%SZ') as resolved_at, " + ", ".join(f"fin.{c}" for c in FACTS) + " from fin join incidents i on i.id = fin.id"),
+    "write_kpi_json": business.f(", t as (select count(*) as total_incidents, round(sum(downtime_savings_gross), 2) as downtime_savings, count(distinct archetype) as archetypes from fin) select t.*, service_id, count(*) as incidents, round(sum(downtime_savings_gross), 2) as savings from fin, t group by all"),
+    "write_metric_points": "select event_id as id, case when event_id % 10 = 0 then 'unknown' else event_type end as name, case when event_id % 15 = 0 then 0.0 else value end as value, 'ms' as unit, case when event_id % 4 > 0 then '{\"kind\":\"' || event_type || '\"}' else '{}' end as dimensions from events",
+    "detect_stream": detection.ORACLES["emit_signals"],
+    "check_monotonic_stream": "with e as (select event_id as id, event_type as k, floor(epoch(ts)) - case when event_id % 20 = 0 then 86400 else 0 end as t, event_id % 11 <> 0 as ok, sum((event_id % 1000 < 2)::int) over (partition by event_type order by event_id) as run from events) select id, ok and coalesce(t < max(case when ok then t end) over (partition by k, run order by id rows between unbounded preceding and 1 preceding), false) as late from e",
+    "stream_features": duck(["snaps"], "select id, " + ", ".join(f"round(avg({m}) over w, 11) as {m}_mean, round(coalesce(stddev_samp({m}) over w, 0.0), 6) as {m}_std, round(coalesce({m} - lag({m}) over (partition by k order by id), 0.0), 9) as {m}_diff" for m in WATCHED) + " from snaps window w as (partition by k order by id rows between 9 preceding and current row)"),
 }

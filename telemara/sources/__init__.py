@@ -65,18 +65,25 @@ def indexed(df: DataFrame, pos: str = "pos") -> DataFrame:
     return marked.join(F.broadcast(bases), "_p").withColumn(pos, F.col("_base") + F.col("_i")).drop("_at", "_p", "_i", "_base")
 
 
+def lines(spark: SparkSession, path: str, pos: str) -> DataFrame:
+    """(pos, value) of the lines of the text files at path, in the order of the files' names and of the lines in them."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return numbered(spark.read.text(path).select("value", *at), "file", "block", "at", pos=pos).select(pos, "value")
+
+
 def read_channel_matrix(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """A4: (pos, values) of lines of doubles split by commas or blanks; a line with a bad token is dropped."""
-    lines = indexed(spark.read.text(path), "raw")
-    lines = lines if max_rows is None else lines.where(F.col("raw") < max_rows)
+    raw = lines(spark, path, "raw")
+    raw = raw if max_rows is None else raw.where(F.col("raw") < max_rows)
     values = F.transform(F.split(F.trim("value"), r"[,\s]+"), lambda t: t.try_cast("double"))
-    kept = lines.select("raw", values.alias("values")).where("not exists(values, v -> v is null)")
+    kept = raw.select("raw", values.alias("values")).where("not exists(values, v -> v is null)")
     return numbered(kept, "raw").select("pos", "values")
 
 
 def read_labels(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """A5: (pos, label) of one integer a line; blank lines are skipped."""
-    rows = indexed(spark.read.text(path).where("trim(value) <> ''").select(F.expr("try_cast(trim(value) as int)").alias("label")))
+    raw = lines(spark, path, "raw").where("trim(value) <> ''")
+    rows = numbered(raw.select("raw", F.expr("try_cast(trim(value) as int)").alias("label")), "raw").select("pos", "label")
     return rows if max_rows is None else rows.where(F.col("pos") < max_rows)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import math
+import warnings
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators.detect import CRITICAL_11, ENGINE, Chart, Engine, chi_square_tail
+
 
 def read_snapshot_stream(spark: SparkSession, path: str, schema, max_files: int = 1, fmt: str = "parquet") -> DataFrame:
     """Files of a folder as a stream, max_files a batch."""
@@ -15,11 +22,17 @@ def read_snapshot_stream(spark: SparkSession, path: str, schema, max_files: int
 
 
 def write_metric_points(stream: DataFrame, path: str, checkpoint: str):
-    """Appends (ts, name, value, unit); a missing name is `unknown`, a missing value 0."""
-    filled = stream.withColumns({"name": F.coalesce("name", F.lit("unknown")), "value": F.coalesce("value", F.lit(0.0))})
+    """Appends (ts, name, value, unit, dimensions); a missing name is `unknown`, a missing value 0, missing dimensions none."""
+    empty = F.lit(None).cast("map<string,string>") if "dimensions" not in stream.columns else F.col("dimensions")
+    filled = stream.withColumns({"name": F.coalesce("name", F.lit("unknown")), "value": F.coalesce("value", F.lit(0.0)), "dimensions": F.coalesce(empty, F.create_map().cast("map<string,string>"))})
     return filled.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def in_order(rows, order: list[str]) -> pd.DataFrame:
+    """The rows of a key in one batch, whose size the source's files a trigger bound, in order."""
+    return pd.concat(list(rows)).sort_values(order, kind="stable", ignore_index=True)
+
+
 class Monotonic(StatefulProcessor):
     """Flags rows older than the newest accepted row of their key; the mark lasts from batch to batch."""
 
@@ -30,12 +43,13 @@ class Monotonic(StatefulProcessor):
         self.mark = handle.getValueState("mark", "at double")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
+        pdf = in_order(rows, ["id"])
         mark = self.mark.get()[0] if self.mark.exists() else -np.inf
         late = []
-        for t in pdf["epoch"]:
-            late.append(bool(t < mark))
-            mark = max(mark, t)
+        for t, passed, reset in zip(pdf["epoch"], pdf["passed"], pdf["reset"], strict=True):
+            mark = -np.inf if reset else mark
+            late.append(bool(passed and t < mark))
+            mark = max(mark, t) if passed else mark
         self.mark.update((float(mark),))
         yield pd.DataFrame({self.key: [key[0]] * len(pdf), "id": pdf["id"].to_numpy(), "late": late})
 
@@ -44,64 +58,157 @@ class Monotonic(StatefulProcessor):
 
 
 def check_monotonic_stream(stream: DataFrame, key: str) -> DataFrame:
-    """Rows (key, id, epoch) of a stream with their verdict; a batch is judged in the order of its ids."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Monotonic(key), outputStructType=f"{key} string, id long, late boolean", outputMode="append", timeMode="none")
+    """Rows (key, id, epoch) of a stream with their verdict; a batch is judged in the order of its ids.
+
+    A row whose column `passed` is false has failed a check before: it is not late and does not move the mark. A true
+    `reset` forgets the key's mark before the row. Both columns may be missing.
+    """
+    given = {c: F.coalesce(c, F.lit(d)) if c in stream.columns else F.lit(d) for c, d in (("passed", True), ("reset", False))}
+    rows = stream.select(key, "id", F.col("epoch").cast("double").alias("epoch"), *[v.alias(k) for k, v in given.items()])
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Monotonic(key), outputStructType=f"{key} string, id long, late boolean", outputMode="append", timeMode="none")
+
+
+def trailing(past: np.ndarray, new: np.ndarray, width: int, current: bool) -> np.ndarray:
+    """A window a row of `new`: the `width` values before it (or up to it), NaN where there are none yet."""
+    series = np.concatenate([np.full(width, np.nan), past, new])
+    first = width + len(past) - (width - 1 if current else width)
+    return np.lib.stride_tricks.sliding_window_view(series, width)[first : first + len(new)]
 
 
-class Trailing(StatefulProcessor):
-    """The trailing z-score of each row from the last `window` values of its key."""
+def cents(x: float) -> float:
+    """Two decimal places, halves up, as Spark rounds."""
+    return float(Decimal(repr(float(x))).quantize(Decimal("0.01"), ROUND_HALF_UP)) + 0.0
 
-    def __init__(self, key: str, window: int, min_samples: int, threshold: float):
-        self.key, self.window, self.least, self.threshold = key, window, min_samples, threshold
+
+def severity(sigma: float) -> str:
+    return next((name for least, name in ((5, "CRITICAL"), (3.5, "HIGH"), (2.5, "MEDIUM")) if abs(sigma) >= least), "LOW")
+
+
+class Watch(StatefulProcessor):
+    """All detectors of an engine on each row of a key: the last values and the charts' states go from batch to batch."""
+
+    def __init__(self, key: str, order: list[str], engine: Engine, model, crit_sq: float, gate: float):
+        self.key, self.order, self.engine, self.model, self.crit_sq, self.gate = key, order, engine, model, crit_sq, gate
+        e = engine
+        self.metrics = sorted({m for m, _ in e.zscore} | {m for m, _ in e.mad} | {m for m, *_ in e.ewma} | {m for a, b, _ in e.pairs for m in (a, b)})
 
     def init(self, handle) -> None:
-        self.past = handle.getValueState("past", "xs array<double>")
+        self.state = handle.getValueState("state", "text string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
-        past = list(self.past.get()[0]) if self.past.exists() else []
-        out = []
-        for i, x in zip(pdf["id"], pdf["x"], strict=True):
-            z = (x - np.mean(past)) / (np.std(past, ddof=1) + 1e-6) if len(past) >= self.least else 0.0
-            out.append((key[0], int(i), float(z), bool(len(past) >= self.least and abs(z) >= self.threshold)))
-            past = [*past, float(x)][-self.window :]
-        self.past.update((past,))
-        yield pd.DataFrame(out, columns=[self.key, "id", "score", "flag"])
+        pdf, e = in_order(rows, self.order), self.engine
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {"past": {}, "charts": [None] * len(e.ewma)}
+        past = {m: np.array(held["past"].get(m, []), float) for m in self.metrics}
+        new = {m: pdf[m].to_numpy(float) for m in self.metrics}
+        charts = [Chart(lam=lam, direction=way, state=st) for (_, lam, way), st in zip(e.ewma, held["charts"], strict=True)]
+        out: list[tuple] = []
+        for at in range(0, len(pdf), 4096):
+            part = {m: x[at : at + 4096] for m, x in new.items()}
+            out += self.signals(pdf.iloc[at : at + 4096], past, part, charts)
+            past = {m: np.concatenate([past[m], part[m]])[-e.window :] for m in self.metrics}
+        self.state.update((json.dumps({"past": {m: x.tolist() for m, x in past.items()}, "charts": [c.state() for c in charts]}),))
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=[self.key, "id", "metric", "detector", "emission", "observed", "baseline", "sigma", "severity", "explicit", "details"])
+
+    def signals(self, pdf, past, new, charts):
+        e, ids, out, n = self.engine, pdf["id"].tolist(), [], 0
+
+        def put(flags, metric, detector, at, observed, baseline, sigma, grave, details, explicit=False):
+            for i in np.flatnonzero(flags):
+                text = json.dumps({k: v[i] if isinstance(v[i], str) else str(cents(v[i])) for k, v in details.items()}, separators=(",", ":"))
+                out.append((ids[i], metric, detector, at, cents(observed[i]), cents(baseline[i]), cents(sigma[i]), grave(i), explicit, text))
+
+        beyond = lambda z, edge, way: {"upper": z >= edge, "lower": z <= -edge, "both": np.abs(z) >= edge}[way]
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            for m, way in e.zscore:
+                w, x = trailing(past[m], new[m], e.window, False), new[m]
+                mean, std = np.nanmean(w, axis=1), np.nanstd(w, axis=1, ddof=1)
+                z = (x - mean) / (std + 1e-6)
+                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.z_limit, way), m, "z_score", n, x, mean, z, lambda i, z=z: severity(z[i]), {"window_std": std})
+                n += 1
+            for m, way in e.mad:
+                w, x = trailing(past[m], new[m], e.window, False), new[m]
+                middle = np.nanmedian(w, axis=1)
+                mad = np.nanmedian(np.abs(w - middle[:, None]), axis=1)
+                z = 0.6745 * (x - middle) / (mad + 1e-6)
+                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.mad_limit, way), m, "modified_z_score", n, x, middle, z, lambda i, z=z: severity(z[i]), {"window_mad": mad})
+                n += 1
+            for (m, _, _), chart in zip(e.ewma, charts, strict=True):
+                z, flag, mean, low, high = (np.array(c) for c in zip(*chart.path(new[m].tolist()), strict=True))
+                off = z - mean
+                put(flag.astype(bool), m, "ewma", n, new[m], mean, off / np.maximum(1.0, 0.1 * np.abs(mean)), lambda i, off=off: severity(off[i]), {"ucl": high, "lcl": low})
+                n += 1
+            if self.model is not None:
+                features, centre, inverse = self.model
+                d = pdf[features].to_numpy(float) - np.asarray(centre)
+                parts = np.abs(d * (d @ inverse))
+                square = np.maximum(0.0, np.einsum("ij,ij->i", d @ inverse, d))
+                share = np.round(parts / (parts.sum(axis=1) + 1e-9)[:, None], 4)
+                far, edge = np.sqrt(square), math.sqrt(self.crit_sq)
+                details = {"p_value": [f"{chi_square_tail(s, len(features)):.2e}" for s in square], "top_contributor": [features[k] for k in share.argmax(axis=1)], "top_attribution_pct": [str(float(s)) for s in share.max(axis=1)]}
+                put((square >= self.crit_sq) & (far >= self.gate * edge), "multivariate_system_state", "mahalanobis", n, far, np.full(len(d), edge), far - edge, lambda i: "CRITICAL" if far[i] > self.gate * edge else "HIGH", details, True)
+            n += 1
+            for a, b, expected in e.pairs:
+                x, y = trailing(past[a], new[a], e.pair_window, True), trailing(past[b], new[b], e.pair_window, True)
+                sx, sy = np.nanstd(x, axis=1), np.nanstd(y, axis=1)
+                r = np.nanmean((x - np.nanmean(x, axis=1)[:, None]) * (y - np.nanmean(y, axis=1)[:, None]), axis=1) / (sx * sy)
+                drift = np.abs(r - expected)
+                firm = (np.sum(~np.isnan(x), axis=1) >= e.min_samples) & (sx > 1e-6) & (sy > 1e-6)
+                put(firm & (drift >= e.drift_limit), f"correlation_{a}_vs_{b}", "correlation_drift", n, r, np.full(len(r), expected), 5 * drift, lambda i, drift=drift: "HIGH" if drift[i] > 0.8 else "MEDIUM", {"drift_delta": drift})
+                n += 1
+        return out
 
     def close(self) -> None:
         pass
 
 
-def detect_stream(stream: DataFrame, key: str, window: int = 60, min_samples: int = 15, threshold: float = 3.0) -> DataFrame:
-    """Rows (key, id, x) scored one by one against their key's buffer, as the batch window does."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Trailing(key, window, min_samples, threshold), outputStructType=f"{key} string, id long, score double, flag boolean", outputMode="append", timeMode="none")
+def detect_stream(stream: DataFrame, key: str, order=("ts", "id"), engine: Engine = ENGINE, model=None, crit_sq: float = CRITICAL_11, gate: float = 1.5) -> DataFrame:
+    """The signals of D10 on a stream, row by row as the batch finds them; each batch is taken in order.
+
+    A key's state is its last `engine.window` values of each metric and its charts, whatever the stream's length.
+    """
+    schema = f"{key} string, id long, metric string, detector string, emission int, observed double, baseline double, sigma double, severity string, explicit boolean, details string"
+    made = stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Watch(key, list(order), engine, model, crit_sq, gate), outputStructType=schema, outputMode="append", timeMode="none")
+    return made.withColumn("metadata", F.from_json("details", "map<string,string>")).drop("details")
 
 
 class Rolling(StatefulProcessor):
-    """E5: mean and difference over the last `window` rows of a key, the current one included."""
+    """E5: mean, deviation and difference of metrics over the last `window` rows of a key, the current one included."""
 
-    def __init__(self, key: str, window: int):
-        self.key, self.window = key, window
+    def __init__(self, key: str, metrics: list[str], window: int):
+        self.key, self.metrics, self.window = key, metrics, window
 
     def init(self, handle) -> None:
-        self.past = handle.getValueState("past", "xs array<double>")
+        self.past = handle.getValueState("past", "text string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("id", kind="stable")
-        past, out = list(self.past.get()[0]) if self.past.exists() else [], []
-        for i, x in zip(pdf["id"], pdf["x"], strict=True):
-            last, past = past[-1] if past else None, [*past, float(x)][-self.window :]
-            out.append((key[0], int(i), float(np.mean(past)), float(np.std(past, ddof=1)) if len(past) > 1 else 0.0, 0.0 if last is None else float(x - last)))
-        self.past.update((past,))
-        yield pd.DataFrame(out, columns=[self.key, "id", "x_mean", "x_std", "x_diff"])
+        pdf = in_order(rows, ["id"])
+        past = json.loads(self.past.get()[0]) if self.past.exists() else {m: [] for m in self.metrics}
+        out = pd.concat([pd.Series([key[0]] * len(pdf), name=self.key), pdf["id"], pdf[self.metrics].astype(float)], axis=1)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            for m in self.metrics:
+                x = pdf[m].to_numpy(float)
+                w = trailing(np.array(past[m], float), x, self.window, True)
+                out[f"{m}_mean"], out[f"{m}_std"] = np.nanmean(w, axis=1), np.nan_to_num(np.nanstd(w, axis=1, ddof=1))
+                out[f"{m}_diff"] = np.diff(x, prepend=past[m][-1] if past[m] else x[0])
+                past[m] = [*past[m], *x.tolist()][-self.window :]
+        self.past.update((json.dumps(past),))
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def stream_features(stream: DataFrame, key: str, window: int = 10) -> DataFrame:
-    """E5: rolling features of a stream (key, id, x)."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Rolling(key, window), outputStructType=f"{key} string, id long, x_mean double, x_std double, x_diff double", outputMode="append", timeMode="none")
+def stream_features(stream: DataFrame, key: str, metrics: list[str], window: int = 10, scaler: dict | None = None) -> DataFrame:
+    """E5: (key, id), the metrics, and their rolling mean, deviation and difference, as the batch features have them.
+
+    scaler: column -> (mean, deviation) of the training rows; with it the vector comes out standardised.
+    """
+    made = [f"{m}_{k}" for m in metrics for k in ("mean", "std", "diff")]
+    schema = f"{key} string, id long, " + ", ".join(f"{c} double" for c in [*metrics, *made])
+    out = stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Rolling(key, list(metrics), window), outputStructType=schema, outputMode="append", timeMode="none")
+    return out if scaler is None else out.select(key, "id", *[((F.col(c) - scaler[c][0]) / (scaler[c][1] + 1e-6)).alias(c) if c in scaler else F.col(c) for c in [*metrics, *made]])
 
 
 def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
