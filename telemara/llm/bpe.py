@@ -56,8 +56,8 @@ def pieces(text: str, most: int = LONG):
         yield text[start:], False
 
 
-def encode_text(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    ids = [i for piece, whole in pieces(text or "") for i in (enc._encode_single_piece(piece.encode()) if whole else enc.encode_ordinary(piece))]
+def encode_text(enc: tiktoken.Encoding, text: str | None, most: int = LONG) -> np.ndarray:
+    ids = [i for piece, whole in pieces(text or "", most) for i in (enc._encode_single_piece(piece.encode()) if whole else enc.encode_ordinary(piece))]
     return np.array(ids, dtype="<u4")
 
 

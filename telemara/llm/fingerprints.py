@@ -84,9 +84,9 @@ def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) whose id is among ids; a broadcast only up to BROADCAST_IDS of them."""
-    small = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    """The rows (id, text) whose id, null or not, is among ids; a broadcast only up to BROADCAST_IDS of them."""
+    small, wanted = ids.count() <= BROADCAST_IDS, ids.select(F.col("id").alias("wanted"))
+    return rows.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
 
 def edited(text: str, follower: str) -> str:

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from telemara.llm import bpe, components, ctw, embeddings, fingerprints, language, mixing, sharding, simhash, token_orc, toxicity
 
@@ -239,7 +240,7 @@ def test_mix_meets_its_targets(spark, docs):
 def test_token_files_read_back(spark, docs, tmp_path):
     path, t = str(tmp_path / "orc"), public_tokenizers.path("word_bpe_49k.json")
     token_orc.write_tokens(docs, path, t, partitions=3)
-    made = token_orc.tokenizer(open(t, "rb").read())
+    made = Tokenizer.from_file(t)
     want = [(r.doc_id, made.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in docs.select("doc_id", "text").collect()]
     assert sorted(map(str, want)) == sorted(str((r.doc_id, list(r.ids))) for r in token_orc.read_tokens(spark, path).collect())
     index = sorted(token_orc.token_index(spark, path).collect(), key=lambda r: r.start)
@@ -252,8 +253,8 @@ def test_token_files_read_back(spark, docs, tmp_path):
 
 
 def test_words_have_the_ids_of_whole_texts():
-    made = token_orc.tokenizer(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
-    words = token_orc.Words(made)
+    made = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = token_orc.Words(token_orc.tokenizer(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()))
     hard = "It's, OK!!! ÉTÉ.. x²; ½. (abc)!? ªº. e\u0301. É\u0301! ǅ. İstanbul: ΣΑΣ, 'S 'll. a'll, $$ .,; 9.9.9% ok* OK OK, #tag# été été. <|endoftext|>. <|endoftext|> µ# ß) ÿ& ｆｕｌｌ. 漢字。 漢字. a\x1cb."
     rng = np.random.default_rng(6)
     pieces = [*"aAéÉ19.,!?;:$&%*#)('²ºß_-\u0301İΣ", " ", " ", "'s", "'LL", "word"]
