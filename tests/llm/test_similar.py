@@ -50,3 +50,19 @@ def test_stage_links_all_pairs_from_similarity_08(spark, tmp_path):
     got = [r.doc_id for r in out.select("doc_id").collect()]
     want = brute_kept(rows)
     assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) - 100
+
+
+def test_crowded_buckets_are_compared_in_full(spark, tmp_path, monkeypatch):
+    """Many copies of one text with a few words changed each: most pairs lie below the threshold, some above, in one bucket."""
+    monkeypatch.setattr("telemara.llm.similar.TILE", 40)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        made = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            made[at] = str(rng.choice(["x", "y"]))
+        rows.append((i, " ".join(made)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in pipeline.one_of_near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert got == brute_kept(rows) and 5 < len(got) < 150
