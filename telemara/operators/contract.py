@@ -18,6 +18,48 @@ def check_schema(required=(), ranges=None) -> Column:
     return F.when(F.size(failed) > 0, F.concat(F.lit("fields: "), F.array_join(failed, ",")))
 
 
+PERCENT, POSITIVE, COUNT, TEXT = ("double", 0.0, 100.0), ("double", 0.0, None), ("bigint", 0.0, None), ("string", None, None)
+#: Kind and range of each field of a snapshot; a star marks what may be missing.
+PAYLOAD = {
+    "timestamp": ("timestamp", None, None), "trace_id": TEXT, "service_id": TEXT,
+    "infrastructure": {"cpu_percent": PERCENT, "memory_percent": PERCENT, "disk_io_mbps": POSITIVE, "network_egress_mbps": POSITIVE, "network_ingress_mbps": POSITIVE},
+    "application": {"service_id": ("string", 2, 64), "endpoint": TEXT, "requests_per_sec": POSITIVE, "latency_p50_ms": POSITIVE, "latency_p95_ms": POSITIVE, "latency_p99_ms": POSITIVE, "http_2xx_count*": COUNT, "http_4xx_count*": COUNT, "http_5xx_count*": COUNT},
+    "database": {"db_instance_id": TEXT, "active_connections": COUNT, "connection_pool_utilization": PERCENT, "query_latency_mean_ms": POSITIVE, "slow_queries_per_sec*": POSITIVE, "row_lock_waits*": COUNT},
+    "business": {"order_volume": COUNT, "revenue_usd": POSITIVE, "checkout_success_rate": PERCENT, "cart_abandonment_rate": PERCENT},
+}
+
+
+def check_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """C1 on raw JSON: df plus error_code and error_message. Text that is no JSON object is an UNKNOWN_ERROR; a field that is
+    missing, of the wrong type, out of its range or of the wrong length fails the schema, and the message names it."""
+    plain = lambda fields: ", ".join(f"`{k.rstrip('*')}`: {f'struct<{plain(v)}>' if isinstance(v, dict) else 'string'}" for k, v in fields.items())
+    parsed = df.withColumn("parsed_", F.from_json(payload, f"struct<{plain(PAYLOAD)}, `_corrupt`: string>", {"columnNameOfCorruptRecord": "_corrupt"}))
+    failed = []
+
+    def check(fields, path):
+        for name, rule in fields.items():
+            spot = f"{path}.{name.rstrip('*')}"
+            if isinstance(rule, dict):
+                check(rule, spot)
+                continue
+            kind, low, high = rule
+            text = F.col(f"parsed_{spot}")
+            value = text if kind == "string" else text.try_cast(kind)
+            bad = F.lit(False) if name.endswith("*") else text.isNull()
+            bad = bad | (text.isNotNull() & value.isNull())
+            measure = F.length(text) if kind == "string" else value
+            for edge, beyond in ((low, lambda x, e: x < e), (high, lambda x, e: x > e)):
+                bad = bad if edge is None else bad | F.coalesce(beyond(measure, edge), F.lit(False))
+            failed.append(F.when(bad, F.lit(spot[1:])))
+
+    check(PAYLOAD, "")
+    names = parsed.withColumn("failed_", F.array_compact(F.array(*failed)))
+    broken = F.col("parsed_").isNull() | F.col("parsed_._corrupt").isNotNull()
+    code = F.when(broken, "UNKNOWN_ERROR").when(F.size("failed_") > 0, SCHEMA)
+    message = F.when(broken, "the payload is no JSON object").when(F.size("failed_") > 0, F.concat(F.lit("fields: "), F.array_join("failed_", ",")))
+    return names.withColumns({"error_code": code, "error_message": message}).drop("parsed_", "failed_")
+
+
 def check_latency_order(p50="p50", p95="p95", p99="p99") -> Column:
     """The three percentiles must not fall."""
     bad = (F.col(p50) > F.col(p95)) | (F.col(p95) > F.col(p99))
@@ -51,11 +93,18 @@ def judged(df: DataFrame, keys, ts, order, required, ranges, bounds) -> DataFram
     return timed.withColumns({"error_code": code, "error_message": message}).drop("m1", "m2", "m3", "late", "mark")
 
 
+def judged_rows(df: DataFrame, required, ranges, bounds) -> DataFrame:
+    """C6 by C1 to C3 alone, which need no other row: df plus error_code and error_message."""
+    marked = df.withColumns({"m1": check_schema(required, ranges), "m2": check_latency_order(), "m3": check_bounds(bounds)})
+    code = F.when(F.col("m1").isNotNull(), SCHEMA).when(F.col("m2").isNotNull(), CROSS).when(F.col("m3").isNotNull(), BOUNDS)
+    return marked.withColumns({"error_code": code, "error_message": F.coalesce("m1", "m2", "m3")}).drop("m1", "m2", "m3")
+
+
 def split_quarantine(checked: DataFrame, ids) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and envelopes of the rejected with their payload as JSON."""
+    """Valid rows, and envelopes of the rejected with their payload as JSON and the time of their rejection."""
     valid = checked.where("error_code is null").drop("error_code", "error_message")
     payload = F.to_json(F.struct(*[c for c in checked.columns if not c.startswith("error_")]))
-    return valid, checked.where("error_code is not null").select(*ids, "error_code", "error_message", payload.alias("raw_payload"))
+    return valid, checked.where("error_code is not null").select(*ids, "error_code", "error_message", payload.alias("raw_payload"), F.current_timestamp().alias("quarantined_at"))
 
 
 def compliance_report(checked: DataFrame, by) -> DataFrame:

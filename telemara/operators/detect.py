@@ -351,6 +351,11 @@ def batch_anomaly_rate(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count("*").alias("total"), bad.alias("anomalous"), F.round(F.coalesce(F.try_divide(bad * 100.0, F.count("*")), F.lit(0.0)), 2).alias("rate"))
 
 
+def anomalous_ids(verdicts: DataFrame, key="id") -> DataFrame:
+    """The ids of the anomalous snapshots, a row each, as there may be any number of them."""
+    return verdicts.where("verdict = 'ANOMALOUS'").select(key)
+
+
 def detector_breakdown(signals: DataFrame) -> DataFrame:
     """Signals of each detector."""
     return signals.groupBy("detector").agg(F.count("*").alias("n"))

@@ -24,6 +24,14 @@ def classification_report(df: DataFrame, y, yhat, classes) -> DataFrame:
     return j.select("class", p.alias("precision"), r.alias("recall"), div(2 * p * r, p + r).alias("f1"), "support")
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """The macro and the weighted averages of a classification report, as rows of their own."""
+    total = F.sum("support")
+    mean = lambda c: {"macro": F.avg(c), "weighted": F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), total), F.lit(0.0))}
+    rows = [F.struct(F.lit(k).alias("class"), *[mean(c)[k].alias(c) for c in ("precision", "recall", "f1")], total.alias("support")) for k in ("macro", "weighted")]
+    return report.agg(F.array(*rows).alias("x")).select(F.inline("x"))
+
+
 def confusion_matrix(df: DataFrame, y, yhat, classes) -> DataFrame:
     """Counts of label by prediction, every class present."""
     spark = df.sparkSession
@@ -39,6 +47,21 @@ def binary_rates(df: DataFrame, y, yhat) -> DataFrame:
     return df.agg(div(F.count_if(F.col(y) == F.col(yhat)), F.count("*")).alias("accuracy"), div(F.count_if(neg & (F.col(yhat) == 1)), F.count_if(neg)).alias("false_positive_rate"), div(F.count_if(pos & (F.col(yhat) == 1)), F.count_if(pos)).alias("recall"), div(F.count_if(pos & (F.col(yhat) == 1)), F.count_if(F.col(yhat) == 1)).alias("precision"))
 
 
+def recall_by_detector(df: DataFrame, y, detectors) -> DataFrame:
+    """For each 0/1 column the share of positive rows that it flags; without a positive row 0."""
+    pos = F.col(y) == 1
+    rows = [F.struct(F.lit(d).alias("detector"), F.coalesce(F.try_divide(F.count_if(pos & (F.col(d) == 1)) * 1.0, F.count_if(pos)), F.lit(0.0)).alias("recall")) for d in detectors]
+    return df.agg(F.array(*rows).alias("x")).select(F.inline("x"))
+
+
+def sorted_percentiles(df: DataFrame, by, value, qs=(0.5, 0.95, 0.99)) -> DataFrame:
+    """The values at the positions floor(n q) of each group in order, counted from 0."""
+    w = Window.partitionBy(*by)
+    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == at(q), F.col("v"))).alias(f"p{round(q * 100)}") for q in qs])
+
+
 def latency_percentiles(df: DataFrame, by, value, qs=(0.5, 0.95, 0.99)) -> DataFrame:
     """Exact interpolated percentiles of each group."""
     return df.groupBy(*by).agg(*[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in qs])

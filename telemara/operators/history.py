@@ -32,10 +32,17 @@ def incident_detail(inc: DataFrame, children: dict[str, DataFrame], key="inciden
 
 
 def similar_incidents(inc: DataFrame, rem: DataFrame, probes: DataFrame, limit=5) -> DataFrame:
-    """For each probe (probe_id, service_id) the newest incidents of its service with their latest remediation."""
+    """For each probe (probe_id, service_id) the newest incidents of its service with their latest remediation.
+
+    A probe may name a metric or an archetype too; where it is not null, an incident must have the same.
+    """
     last = rem.withColumn("i", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.col("at").desc(), "action"))).where("i = 1").select("incident_id", "action")
     w = Window.partitionBy("probe_id").orderBy(F.col("detected_at").desc(), F.col("incident_id").desc())
-    near = probes.join(inc, "service_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    both = probes.join(inc.select("*", *[F.col(c).alias(f"own_{c}") for c in ("metric", "archetype") if c in inc.columns]).drop("metric", "archetype"), "service_id")
+    for c in ("metric", "archetype"):
+        if c in probes.columns:
+            both = both.where(F.col(c).isNull() | (F.col(c) == F.col(f"own_{c}"))).drop(c)
+    near = both.drop("own_metric", "own_archetype").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return near.join(last, "incident_id", "left")
 
 
@@ -44,12 +51,18 @@ def recent_incidents(inc: DataFrame, n=50) -> DataFrame:
     return inc.orderBy(F.col("detected_at").desc(), F.col("incident_id").desc()).limit(n)
 
 
-def recall_experience(similar: DataFrame) -> DataFrame:
-    """For each probe the remediations of its similar incidents by frequency, and a warning from two episodes on."""
+def recall_experience(similar: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """For each probe the remediations of its similar incidents by frequency, and a warning from two episodes on;
+    with matches (probe_id, id, grade, rank) of the memory also those, best first. A probe needs either to have a row."""
     by = similar.where("action is not null").groupBy("probe_id", "action").agg(F.count("*").alias("n"))
     ranked = by.groupBy("probe_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "action"))), lambda s: s["action"]), ",").alias("actions"))
     episodes = similar.groupBy("probe_id").agg(F.count("*").alias("episodes"))
-    return episodes.join(ranked, "probe_id", "left").withColumn("recurring", F.col("episodes") >= 2)
+    known = episodes.join(ranked, "probe_id", "left")
+    if matches is not None:
+        text = F.concat_ws(":", F.col("id").cast("string"), "grade")
+        found = matches.groupBy("probe_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda m: m["t"]), ",").alias("memories"))
+        known = known.join(found, "probe_id", "full").withColumn("episodes", F.coalesce("episodes", F.lit(0)))
+    return known.withColumn("recurring", F.col("episodes") >= 2)
 
 
 def active_investigations(states: DataFrame, now: int, ttl_s=86_400, key="incident_id") -> DataFrame:

@@ -165,6 +165,11 @@ def postmortem_facts(df: DataFrame, uri: str = "uri", text: str = "text") -> Dat
     return df.select(F.col(uri).alias("uri"), nonempty(F.regexp_extract(t, r"(?m)^# +(.+)$", 1)).alias("title"), nonempty(F.regexp_extract(t, r"(INC-[0-9A-Za-z-]+)", 1)).alias("incident_id"), nonempty(F.regexp_extract(t, r"([a-z]+(?:-[a-z]+)*-(?:service|processing|core))", 1)).alias("service_id"), F.array_compact(F.array(*tags)).alias("tags"))
 
 
+def postmortem_incidents(facts: DataFrame) -> DataFrame:
+    """the facts that name an incident, as resolved incidents with their report's title and tags."""
+    return facts.where("incident_id is not null").select("incident_id", F.coalesce("title", "uri").alias("title"), "service_id", F.lit("RESOLVED").alias("status"), "tags")
+
+
 def vector_topk(base: DataFrame, queries: DataFrame, id: str, vec: str, k: int, block: int = 4096) -> DataFrame:
     """the k nearest vectors of each query by cosine; queries are a stated set, compared with all rows.
 

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import error_rate, ordered_rules
 
-METRICS = ("cpu", "checkout", "rps", "p50", "p95", "p99", "orders", "revenue")
+#: The thirteen named metrics of a snapshot.
+METRICS = (
+    "infra_cpu_percent", "infra_memory_percent", "infra_disk_io_mbps", "infra_network_egress_mbps", "app_requests_per_sec", "app_latency_p50_ms", "app_latency_p95_ms", "app_latency_p99_ms", "app_error_rate",
+    "db_pool_utilization", "db_query_latency_ms", "biz_order_volume", "biz_checkout_success_rate",
+)
 
 
 def flatten_snapshots(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise_endpoint
-from ..operators import evaluate, finance, history, metrics
+from ..operators import evaluate, finance, history, metrics, retrieve
 from .testbed import duck, load
 
 EDGES = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5]
@@ -73,9 +73,9 @@ def detail(s, d):
 
 
 def similar(s, d):
-    i = inc(s, d).selectExpr("id as incident_id", "service_id", "id * 7 % 10007 as detected_at")
+    i = inc(s, d).selectExpr("id as incident_id", "service_id", "archetype", "id * 7 % 10007 as detected_at")
     rem = i.where("incident_id % 2 = 0").selectExpr("incident_id", "detected_at as at", "'act-' || cast(incident_id % 5 as string) as action")
-    probes = s.range(25).selectExpr("id as probe_id", "'svc-' || cast(id as string) as service_id")
+    probes = s.range(25).selectExpr("id as probe_id", "'svc-' || cast(id as string) as service_id", "case when id % 2 = 0 then 'MEMORY_LEAK_GC_PAUSE' end as archetype")
     return history.similar_incidents(i, rem, probes)
 
 
@@ -87,13 +87,33 @@ def minute_ratio(s, d):
     return metrics.ratio_alert(req(s, d), F.col("status") == 500, "epoch", 3600, 0.2)
 
 
+def report(s, d):
+    made = evaluate.classification_report(judged(s, d), "y", "p", [0, 1])
+    both = made.withColumn("class", F.col("class").cast("string")).unionByName(evaluate.report_averages(made))
+    return both.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def recalled(s, d):
+    """Experience of each probe: its incidents and what the memory of its service holds."""
+    text = F.element_at(F.array(*[F.lit(t) for t in ASKED]), (F.col("probe_id") % 4 + 1).cast("int"))
+    asked = s.range(25).select(F.col("id").alias("probe_id"), F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("service_id")).withColumn("text", text).withColumnRenamed("probe_id", "query_id")
+    entries = load(s, d, "runbooks").select("id", "text", F.concat(F.lit("svc-"), (F.col("id") % 25).cast("string")).alias("service_id"))
+    found = retrieve.memory_search(entries, asked).select(F.col("query_id").alias("probe_id"), "id", "grade", "rank")
+    return history.recall_experience(similar(s, d), found)
+
+
+ASKED = ("connection pool saturation", "heap restart of a memory leak", "downstream timeout failure", "payment gateway decline")
+
+
 def drifted(s, d):
     x = load(s, d, "series")
     return x.where("id % 2 = 0"), x.where("id % 2 = 1")
 
 
 QUERIES = {
-    "classification_report": lambda s, d: evaluate.classification_report(judged(s, d), "y", "p", [0, 1]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")}),
+    "classification_report": report,
+    "recall_by_detector": lambda s, d: evaluate.recall_by_detector(judged(s, d), "y", ["p", "q"]).withColumn("recall", F.round("recall", 6)),
+    "sorted_percentiles": lambda s, d: evaluate.sorted_percentiles(req(s, d), ["kind"], "seconds"),
     "confusion_matrix": lambda s, d: evaluate.confusion_matrix(judged(s, d), "y", "p", [0, 1]),
     "binary_rates": lambda s, d: evaluate.binary_rates(judged(s, d), "y", "p"),
     "latency_percentiles": lambda s, d: evaluate.latency_percentiles(req(s, d), ["kind"], "seconds").withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")}),
@@ -126,7 +146,7 @@ QUERIES = {
     "incident_detail": detail,
     "similar_incidents": lambda s, d: similar(s, d).select("probe_id", "incident_id", "rank", "action"),
     "recent_incidents": lambda s, d: history.recent_incidents(inc(s, d).selectExpr("id as incident_id", "detected_at", "status")).select("incident_id", "status"),
-    "recall_experience": lambda s, d: history.recall_experience(similar(s, d)),
+    "recall_experience": recalled,
     "active_investigations": lambda s, d: history.active_investigations(states(s, d), 15000, 3000).select("incident_id", "epoch", "status"),
     "patch_state": lambda s, d: history.patch_state(inc(s, d).selectExpr("id as incident_id", "status", "service_id"), inc(s, d).where("id % 4 = 0").selectExpr("id as incident_id", "'PATCHED' as status", "cast(null as string) as service_id")),
     "count_by_labels": lambda s, d: metrics.count_by_labels(req(s, d), ["kind", "status"]),
@@ -161,10 +181,14 @@ BK = ", ".join(f"({e})" for e in EDGES)
 BUCKETS = f", b as (select kind, le, count(*) filter (where seconds <= le) as cum, count(*) as count, sum(seconds) as sum from requests, (values {BK}, ('inf'::double)) t(le) group by kind, le)"
 RATIO = ", ra as (select epoch // 3600 * 3600 as window_start, count(*) filter (where status = 500) / count(*)::double as ratio from requests group by 1)"
 RATES = "select count(*) filter (where y = p) / count(*)::double as accuracy, count(*) filter (where y = 0 and p = 1) / (count(*) filter (where y = 0))::double as false_positive_rate, count(*) filter (where y = 1 and p = 1) / (count(*) filter (where y = 1))::double as recall, count(*) filter (where y = 1 and p = 1) / (count(*) filter (where p = 1))::double as precision from judged"
-SIM = ", i as (select id as incident_id, service_id, id * 7 % 10007 as detected_at from incidents), pr as (select r as probe_id, 'svc-' || r::varchar as service_id from range(25) t(r)), s as (select probe_id, i.incident_id, row_number() over (partition by probe_id order by detected_at desc, i.incident_id desc) as rank, case when i.incident_id % 2 = 0 then 'act-' || (i.incident_id % 5)::varchar end as action from pr join i using (service_id) qualify rank <= 5)"
+SIM = ", i as (select id as incident_id, service_id, archetype as own, id * 7 % 10007 as detected_at from incidents), pr as (select r as probe_id, 'svc-' || r::varchar as service_id, case when r % 2 = 0 then 'MEMORY_LEAK_GC_PAUSE' end as archetype from range(25) t(r)), s as (select probe_id, i.incident_id, row_number() over (partition by probe_id order by detected_at desc, i.incident_id desc) as rank, case when i.incident_id % 2 = 0 then 'act-' || (i.incident_id % 5)::varchar end as action from pr join i using (service_id) where archetype is null or archetype = own qualify rank <= 5)"
 
 ORACLES = {
-    "classification_report": x(["judged"], ", c as (select unnest([0, 1]) as class), m as (select class, (select count(*) from judged where y = class and p = class) as tp, (select count(*) from judged where y = class) as support, (select count(*) from judged where p = class) as got from c) select class, round(coalesce(tp / nullif(got, 0)::double, 0), 6) as precision, round(coalesce(tp / nullif(support, 0)::double, 0), 6) as recall, round(coalesce(2.0 * tp / nullif(got + support, 0), 0), 6) as f1, support from m"),
+    "classification_report": x(["judged"], """, c as (select unnest([0, 1]) as class), m as (select class, (select count(*) from judged where y = class and p = class) as tp, (select count(*) from judged where y = class) as support, (select count(*) from judged where p = class) as got from c), t as (select class::varchar as class, coalesce(tp / nullif(got, 0)::double, 0) as precision, coalesce(tp / nullif(support, 0)::double, 0) as recall, coalesce(2.0 * tp / nullif(got + support, 0), 0) as f1, support from m),
+        u as (select * from t union all select 'macro', avg(precision), avg(recall), avg(f1), sum(support) from t union all select 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from t)
+        select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support::bigint as support from u"""),
+    "recall_by_detector": x(["judged"], "select 'p' as detector, round(count(*) filter (where y = 1 and p = 1) / (count(*) filter (where y = 1))::double, 6) as recall from judged union all select 'q', round(count(*) filter (where y = 1 and q = 1) / (count(*) filter (where y = 1))::double, 6) from judged"),
+    "sorted_percentiles": x(["requests"], "select kind, max(seconds) filter (where i = floor(n * 0.5)) as p50, max(seconds) filter (where i = floor(n * 0.95)) as p95, max(seconds) filter (where i = floor(n * 0.99)) as p99 from (select kind, seconds, row_number() over (partition by kind order by seconds) - 1 as i, count(*) over (partition by kind) as n from requests) group by kind"),
     "confusion_matrix": x(["judged"], "select y, count(*) filter (where p = 0) as pred_0, count(*) filter (where p = 1) as pred_1 from judged group by y"),
     "binary_rates": x(["judged"], RATES),
     "latency_percentiles": x(["requests"], "select kind, round(quantile_cont(seconds, 0.5), 6) as p50, round(quantile_cont(seconds, 0.95), 6) as p95, round(quantile_cont(seconds, 0.99), 6) as p99 from requests group by kind"),
@@ -201,7 +225,6 @@ ORACLES = {
     "incident_detail": x(["incidents", "signals"], "select i.id as incident_id, i.status, nullif(count(s.signal_id), 0)::int as n, string_agg(s.metric, ',' order by s.signal_id, s.metric) as metrics from incidents i left join signals s on s.incident_id = i.id group by 1, 2"),
     "similar_incidents": x(["incidents"], f"{SIM} select probe_id, incident_id, rank, action from s"),
     "recent_incidents": x(["incidents"], "select id as incident_id, status from incidents order by detected_at desc, id desc limit 50"),
-    "recall_experience": x(["incidents"], f"{SIM}, c as (select probe_id, action, count(*) as n from s where action is not null group by 1, 2), l as (select probe_id, string_agg(action, ',' order by n desc, action) as actions from c group by 1) select e.probe_id, e.episodes, l.actions, e.episodes >= 2 as recurring from (select probe_id, count(*) as episodes from s group by 1) e left join l using (probe_id)"),
     "active_investigations": x(["incidents"], "select incident_id, epoch, status from (select id % 2000 as incident_id, id as epoch, status, row_number() over (partition by id % 2000 order by id desc, status) as i from incidents) where i = 1 and epoch > 12000 and status <> 'RESOLVED'"),
     "patch_state": x(["incidents"], "select id as incident_id, case when id % 4 = 0 then 'PATCHED' else status end as status, service_id from incidents"),
     "count_by_labels": x(["requests"], "select kind, status, count(*) as n from requests group by 1, 2"),

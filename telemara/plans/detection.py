@@ -145,7 +145,7 @@ def repeated(s, d):
 
 QUERIES = {
     "error_rate": lambda s, d: ticks(s, d).select("service_id", "tick", F.round(error_rate(F.col("c2xx"), F.col("c4xx"), F.col("c5xx")), 6).alias("error_rate")),
-    "metrics_long": lambda s, d: shape.metrics_long(ticks(s, d), ["service_id", "tick"]),
+    "metrics_long": lambda s, d: shape.metrics_long(snaps(s, d), ["id"]),
     "align_by_position": aligned,
     "join_cyclic": cyclic,
     "assign_round_robin": lambda s, d: shape.assign_round_robin(positions(s, d), ("a", "b", "c"), "2024-01-01", 5).select("pos", "entity", "step", "epoch"),
@@ -170,6 +170,7 @@ QUERIES = {
     "primary_driver": drivers,
     "ingest_verdict": verdicts,
     "batch_anomaly_rate": lambda s, d: detect.batch_anomaly_rate(verdicts(s, d)),
+    "anomalous_ids": lambda s, d: detect.anomalous_ids(verdicts(s, d)),
     "detector_breakdown": lambda s, d: detect.detector_breakdown(signals(s, d)),
     "ratio_features": lambda s, d: r6(features.ratio_features(ticks(s, d)).select("service_id", "tick", "latency_spread", "tail_ratio", "orders_per_request"), "latency_spread", "tail_ratio", "orders_per_request"),
     "rolling_features": lambda s, d: r6(features.rolling_features(ticks(s, d), ["service_id"], ["tick"], ["cpu", "rps"]).select("service_id", "tick", "cpu_mean", "cpu_std", "cpu_diff", "rps_mean", "rps_diff"), "cpu_mean", "cpu_std", "cpu_diff", "rps_mean"),
@@ -260,7 +261,7 @@ def sig(body):
 
 ORACLES = {
     "error_rate": x(["ticks"], "select service_id, tick, round(coalesce(cast(c5xx as double) / nullif(c2xx + c4xx + c5xx, 0), 0.0), 6) as error_rate from ticks"),
-    "metrics_long": x(["ticks"], " union all ".join(f"select service_id, tick, '{m}' as metric, cast({m} as double) as value from ticks" for m in shape.METRICS)),
+    "metrics_long": x(["snaps"], " union all ".join(f"select id, '{m}' as metric, cast({m} as double) as value from snaps" for m in shape.METRICS)),
     "align_by_position": x(["series"], "select pos, view, click from (select row_number() over (order by id) - 1 as pos, x as view from series where k = 'view') join (select row_number() over (order by id) - 1 as pos, x as click from series where k = 'click') using (pos)"),
     "join_cyclic": x(["series"], ", a as (select row_number() over (order by id) - 1 as pos, x as a from series where k = 'view'), b as (select row_number() over (order by id) - 1 as pos, x as b from series where k = 'click') select a.pos, a.a, b.b from a join b on b.pos = a.pos % (select count(*) from b)"),
     "assign_round_robin": x(["series"], "select id as pos, case id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as entity, id // 3 as step, 1704067200 + 5 * (id // 3) as epoch from series"),
@@ -284,6 +285,7 @@ ORACLES = {
     "primary_driver": sig(f", {SIG}, {P} select id, metric, detector from p where i = 1"),
     "ingest_verdict": sig(f", {V} select * from v"),
     "batch_anomaly_rate": sig(f", {V} select count(*) as total, count(*) filter (where verdict = 'ANOMALOUS') as anomalous, round(count(*) filter (where verdict = 'ANOMALOUS') * 100.0 / count(*), 2) as rate from v"),
+    "anomalous_ids": sig(f", {V} select id from v where verdict = 'ANOMALOUS'"),
     "detector_breakdown": sig(f", {SIG} select detector, count(*) as n from sig group by 1"),
     "ratio_features": x(["ticks"], "select service_id, tick, round(p99 - p50, 6) as latency_spread, round(p99 / (p50 + 1e-6), 6) as tail_ratio, round(orders / (rps + 1e-6), 6) as orders_per_request from ticks"),
     "rolling_features": x(["ticks"], f"select service_id, tick, round(avg(cpu) {TW}, 6) as cpu_mean, round(coalesce(stddev_samp(cpu) {TW}, 0.0), 6) as cpu_std, round(coalesce(cpu - lag(cpu) over (partition by service_id order by tick), 0.0), 6) as cpu_diff, round(avg(rps) {TW}, 6) as rps_mean, cast(coalesce(rps - lag(rps) over (partition by service_id order by tick), 0) as double) as rps_diff from ticks"),

@@ -13,7 +13,7 @@ DIALECT = {
 }
 BASE = {
     "series": "select event_id as id, event_type as k, {E} as epoch, ts, value as x, cast(user_id as double) as y from events",
-    "snaps": """select event_id as id, event_type as k, ts, least(100.0, v) as infra_cpu_percent, 20 + 0.2 * least(300.0, v) as infra_memory_percent, v * 2 + 5 as infra_network_egress_mbps, v * 3 + user_id % 50 as app_requests_per_sec,
+    "snaps": """select event_id as id, event_type as k, ts, least(100.0, v) as infra_cpu_percent, 20 + 0.2 * least(300.0, v) as infra_memory_percent, v * 2 + 5 as infra_network_egress_mbps, 5 + 0.1 * v as infra_disk_io_mbps, 5 + 0.6 * v as app_latency_p50_ms, v * 3 + user_id % 50 as app_requests_per_sec,
         10 + v as app_latency_p95_ms, 12 + v * 2 + event_id * 7919 % 31 as app_latency_p99_ms, cast(event_id * 31 % 101 as double) / 128 as app_error_rate, cast(user_id % 100 as double) as db_pool_utilization, 0.4 * v + event_id % 13 as db_query_latency_ms,
         case when event_id % 1000 < 300 then cast(user_id % 97 as double) else v + user_id % 97 end as biz_order_volume, 100 - least(100.0, 0.2 * v) as biz_checkout_success_rate from (select *, value * 1.0123457 as v from events)""",
     "ticks": """select 'svc-' || cast(user_id % 5 as string) as service_id, {E} {DIV} 21600 as tick, count(*) as rps, sum(case when event_type = 'error' then 1 else 0 end) as c5xx,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import encode_archetype, parse_ts, slug, tokenise_technical
-from ..operators import detect, finance, history, retrieve, shape, triage
+from ..operators import contract, detect, finance, history, retrieve, shape, triage
 from . import business, detection
 from .testbed import duck, load, scratch
 
@@ -130,6 +130,40 @@ def read_corpus(s, d):
     return sources.read_markdown_corpus(s, path).select(F.regexp_extract("uri", "conv=([^/]*)/", 1).cast("long").alias("conv_id"), F.regexp_replace("text", "\n$", "").alias("text"))
 
 
+def reports(s, d):
+    """Conversations as reports; some name an incident, a service and what went wrong."""
+    n = F.regexp_extract("uri", "conv_(.*)\\.md", 1).cast("long")
+    more = F.when(n % 3 == 0, F.concat(F.lit("\nINC-2024-"), n.cast("string"), F.lit(" hit the payment-service and its Database")))
+    return markdown(s, d).select("uri", F.concat("text", F.coalesce(more, F.lit("\nno incident"))).alias("text"))
+
+
+def payloads(s, d):
+    """Snapshots as JSON text, some of them broken: no JSON, a measure that is no number, a service name that is too short."""
+    t = snapshots(s, d).select((F.unix_timestamp("timestamp") / 21600).cast("long").alias("tick"), "service_id", F.to_json(F.struct(*snapshots(s, d).columns)).alias("payload"))
+    text = F.when(F.col("tick") % 7 == 0, F.regexp_replace("payload", '"cpu_percent":[0-9.E-]+', '"cpu_percent":"high"')).otherwise(F.col("payload"))
+    text = F.when(F.col("tick") % 5 == 0, F.regexp_replace(text, '"service_id":"[^"]*","endpoint"', '"service_id":"x","endpoint"')).otherwise(text)
+    text = F.when(F.col("tick") % 3 == 0, F.regexp_replace(text, '"order_volume":[0-9]+,', "")).otherwise(text)
+    return t.select("service_id", "tick", F.when(F.col("tick") % 11 == 0, F.concat(F.lit("not "), text)).otherwise(text).alias("payload"))
+
+
+def quarantined_stream(s, d):
+    stateful(s)
+    dirty = load(s, d, "dirty")
+    valid, rejected = scratch(s, "valid"), scratch(s, "rejected")
+    judge = lambda batch: contract.judged_rows(batch, **detection.CHECKS)
+    streaming.quarantine_stream(sliced(s, dirty, "dirty"), judge, ["id"], valid, rejected, scratch(s, "state")).awaitTermination()
+    good = s.read.parquet(valid).select("id", F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
+    return good.unionByName(s.read.parquet(rejected).select("id", "error_code", "error_message"))
+
+
+def active_stream(s, d):
+    """The states that are active when the whole stream has been read."""
+    stateful(s)
+    news = run(s, streaming.active_stream(sliced(s, business.states(s, d).withColumn("id", F.col("epoch")), "states").select("incident_id", "epoch", "status"), "incident_id"))
+    last = news.groupBy("incident_id").agg(F.max_by(F.struct("epoch", "status", "active"), "epoch").alias("x")).select("incident_id", "x.*")
+    return last.where("active").select("incident_id", "epoch", "status")
+
+
 def flat_csv(s, d):
     path = scratch(s, "flat")
     t = load(s, d, "ticks")
@@ -234,14 +268,18 @@ QUERIES = {
     "encode_archetype": lambda s, d: incidents(s, d).select("incident_id", encode_archetype(F.col("archetype")).alias("code")),
     "tokenise_technical": lambda s, d: corpus(s, d).select("id", F.size(tokenise_technical(F.col("text"))).alias("tokens")),
     "chunk_id": lambda s, d: probes(s, d).select("query_id", slug(F.concat(F.lit(" _"), "text", F.lit("_-é!"))).alias("slug")),
-    "chunk_markdown": lambda s, d: chunks(s, d).groupBy("uri").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
+    "chunk_markdown": lambda s, d: chunks(s, d).select("chunk_id", "uri", "doc_title", "section_title", "doc_type", "token_count", F.md5("content").alias("digest")),
     "bm25_topk": lambda s, d: lexical(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
     "cosine_topk": lambda s, d: semantic(s, d, 5).select("query_id", "id", F.round("score", 3).alias("score")),
     "rrf_fuse": lambda s, d: fused(s, d),
     "rerank_and_cite": lambda s, d: retrieve.rerank_and_cite(fused(s, d)),
     "diagnostic_query": lambda s, d: retrieve.diagnostic_query(driven(s, d)).select("incident_id", "query"),
     "memory_search": lambda s, d: retrieve.memory_search(corpus(s, d), probes(s, d)).select("query_id", "id", "grade"),
-    "postmortem_facts": lambda s, d: retrieve.postmortem_facts(markdown(s, d)).select("uri", "title", F.array_join("tags", ",").alias("tags")),
+    "postmortem_facts": lambda s, d: retrieve.postmortem_facts(reports(s, d)).select("uri", "title", "incident_id", "service_id", F.array_join("tags", ",").alias("tags")),
+    "postmortem_incidents": lambda s, d: retrieve.postmortem_incidents(retrieve.postmortem_facts(reports(s, d))).select("incident_id", "title", "service_id", "status"),
+    "check_payload": lambda s, d: contract.check_payload(payloads(s, d)).select("service_id", "tick", "error_code", "error_message"),
+    "quarantine_stream": quarantined_stream,
+    "active_stream": active_stream,
     "vector_topk": lambda s, d: retrieve.vector_topk(e := s.read.parquet(f"{d}/embeddings.parquet"), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "triage_driver": lambda s, d: driven(s, d).select("incident_id", "metric", "sigma", "triage_status"),
     "tier_breakdown": lambda s, d: triage.tier_breakdown(signals(s, d)).select("incident_id", "metrics"),
@@ -342,11 +380,23 @@ AUDIT = f"""{WHOLE}, au as (select incident_id, 0 as step, 'statistician' as age
     union all select incident_id, 4, 'action_agent', 'FORMULATE_REMEDIATION', '{{"action_type":"' || action || '","risk_level":"' || {RISK} || '","status":"' || status || '"}}' from rt where metric is not null
     union all select incident_id, 5, 'approval_gate', 'AWAIT_OPERATOR_SIGN_OFF', '{{"target":"' || {TARGET} || '","status":"' || status || '"}}' from rt where metric is not null and needs)"""
 
+REPORTS = "with r as (select conv_id, 'kb/runbooks/conv_' || conv_id::varchar || '.md' as uri, '# Conversation ' || conv_id::varchar || chr(10) || string_agg('## ' || role || ' turn ' || turn::varchar || chr(10) || text, chr(10) order by turn) || case when conv_id % 3 = 0 then chr(10) || 'INC-2024-' || conv_id::varchar || ' hit the payment-service and its Database' else chr(10) || 'no incident' end as body from conversations group by conv_id)"
+
 ORACLES = {
     "parse_ts": "select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events",
     "encode_archetype": x(["incidents"], "select id as incident_id, case archetype when 'DB_CONNECTION_POOL_SATURATION' then 1 when 'MEMORY_LEAK_GC_PAUSE' then 2 when 'CASCADING_THIRD_PARTY_FAILURE' then 3 when 'PAYMENT_GATEWAY_OUTAGE' then 4 when 'BLACK_FRIDAY_TRAFFIC_BURST' then 5 else 0 end as code from incidents"),
     "tokenise_technical": x(["corpus"], f"select id, len({TOK})::int as tokens from corpus"),
     "chunk_id": x(["probes"], "select query_id, regexp_replace(regexp_replace(trim(lower(' _' || text || '_-é!')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g') as slug from probes"),
+    "chunk_markdown": "select 'conv_' || conv_id::varchar || '#' || role || '-turn-' || turn::varchar as chunk_id, 'kb/runbooks/conv_' || conv_id::varchar || '.md' as uri, 'Conversation ' || conv_id::varchar as doc_title, role || ' turn ' || turn::varchar as section_title, 'runbook' as doc_type, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> ''))::int as token_count, md5(body) as digest from (select *, trim('## ' || role || ' turn ' || turn::varchar || chr(10) || text) as body from conversations) where length(body) >= 60",
+    "postmortem_facts": f"{REPORTS} select uri, 'Conversation ' || conv_id::varchar as title, case when conv_id % 3 = 0 then 'INC-2024-' || conv_id::varchar end as incident_id, nullif(regexp_extract(body, '([a-z]+(?:-[a-z]+)*-(?:service|processing|core))', 1), '') as service_id, array_to_string(list_filter(['database', 'memory', 'latency', 'payment', 'traffic', 'timeout'], lambda w: contains(lower(body), w)), ',') as tags from r",
+    "postmortem_incidents": f"{REPORTS} select 'INC-2024-' || conv_id::varchar as incident_id, 'Conversation ' || conv_id::varchar as title, nullif(regexp_extract(body, '([a-z]+(?:-[a-z]+)*-(?:service|processing|core))', 1), '') as service_id, 'RESOLVED' as status from r where conv_id % 3 = 0",
+    "check_payload": x(["ticks"], ", f as (select service_id, tick, list_filter([case when tick % 7 = 0 then 'infrastructure.cpu_percent' end, case when tick % 5 = 0 then 'application.service_id' end, case when tick % 3 = 0 then 'business.order_volume' end], lambda w: w is not null) as bad from ticks) select service_id, tick, case when tick % 11 = 0 then 'UNKNOWN_ERROR' when len(bad) > 0 then 'SCHEMA_VALIDATION_FAILED' end as error_code, case when tick % 11 = 0 then 'the payload is no JSON object' when len(bad) > 0 then 'fields: ' || array_to_string(bad, ',') end as error_message from f"),
+    "quarantine_stream": x(["dirty"], "select id, case when cpu is null or cpu < 0 or cpu > 100 or p50 < 0 then 'SCHEMA_VALIDATION_FAILED' when p50 > p95 or p95 > p99 then 'CROSS_FIELD_INVARIANT_VIOLATION' when checkout < 0 or checkout > 100 then 'BOUNDS_OUT_OF_RANGE' end as error_code, case when cpu is null or cpu < 0 or cpu > 100 then 'fields: cpu' || case when p50 < 0 then ',p50' else '' end when p50 < 0 then 'fields: p50' when p50 > p95 or p95 > p99 then 'p50=' || cast(round(cast(p50 as decimal(38, 10)), 2) as decimal(38, 2))::varchar || ' p95=' || cast(round(cast(p95 as decimal(38, 10)), 2) as decimal(38, 2))::varchar || ' p99=' || cast(round(cast(p99 as decimal(38, 10)), 2) as decimal(38, 2))::varchar when checkout < 0 or checkout > 100 then 'checkout' end as error_message from dirty"),
+    "active_stream": x(["incidents"], "select incident_id, epoch, status from (select id % 2000 as incident_id, id as epoch, status, row_number() over (partition by id % 2000 order by id desc) as i from incidents) where i = 1 and status <> 'RESOLVED'"),
+    "recall_experience": x(["incidents", "runbooks"], f"""{business.SIM}, pq as (select probe_id as query_id, case probe_id % 4 when 0 then '{business.ASKED[0]}' when 1 then '{business.ASKED[1]}' when 2 then '{business.ASKED[2]}' else '{business.ASKED[3]}' end as text from pr){TF.replace('from corpus', 'from runbooks').replace('from probes', 'from pq')},
+        me as (select query_id as probe_id, string_agg(id::varchar || ':' || case when score >= 0.65 then 'STRONG' when score >= 0.35 then 'MODERATE' else 'WEAK' end, ',' order by k) as memories from (select *, row_number() over (partition by query_id order by score desc, id) as k from sx where score > 0.05 and id % 25 = query_id) where k <= 3 group by 1),
+        c as (select probe_id, action, count(*) as n from s where action is not null group by 1, 2), l as (select probe_id, string_agg(action, ',' order by n desc, action) as actions from c group by 1), e as (select probe_id, count(*) as episodes from s group by 1)
+        select coalesce(e.probe_id, me.probe_id) as probe_id, coalesce(e.episodes, 0) as episodes, l.actions, me.memories, coalesce(e.episodes, 0) >= 2 as recurring from e left join l using (probe_id) full join me on me.probe_id = e.probe_id"""),
     "bm25_topk": x(["corpus", "probes"], f"{BM} select query_id, id, round(score, 3) as score from lex where rank <= 5"),
     "cosine_topk": x(["corpus", "probes"], f"{TF} select query_id, id, round(score, 3) as score from sem where rank <= 5"),
     "rrf_fuse": x(["corpus", "probes"], f"{FU} select * from fu"),

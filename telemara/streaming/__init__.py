@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators.contract import split_quarantine
 from ..operators.detect import CRITICAL_11, ENGINE, Chart, Engine, chi_square_tail
 
 
@@ -211,6 +212,50 @@ def stream_features(stream: DataFrame, key: str, metrics: list[str], window: int
     return out if scaler is None else out.select(key, "id", *[((F.col(c) - scaler[c][0]) / (scaler[c][1] + 1e-6)).alias(c) if c in scaler else F.col(c) for c in [*metrics, *made]])
 
 
+def quarantine_stream(stream: DataFrame, judge, ids, valid: str, rejected: str, checkpoint: str):
+    """C6 on a stream: judge(batch) adds error_code and error_message; valid rows and envelopes go to a table each.
+
+    A batch that is run again after a failure overwrites its own folder in both tables.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        good, bad = split_quarantine(judge(batch), ids)
+        good.write.mode("overwrite").parquet(f"{valid}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Investigation(StatefulProcessor):
+    """The latest state of an incident; it expires after a time without news, and goes when resolved."""
+
+    def __init__(self, key: str, ttl_s: int):
+        self.key, self.ttl_s = key, ttl_s
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", "epoch long, status string", self.ttl_s * 1000)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        last = in_order(rows, ["epoch"]).iloc[-1]
+        epoch, status = int(last["epoch"]), str(last["status"])
+        if self.state.exists() and self.state.get()[0] > epoch:
+            epoch, status = self.state.get()
+        if status == "RESOLVED":
+            self.state.clear()
+        else:
+            self.state.update((epoch, status))
+        yield pd.DataFrame({self.key: [key[0]], "epoch": [epoch], "status": [status], "active": [status != "RESOLVED"]})
+
+    def close(self) -> None:
+        pass
+
+
+def active_stream(stream: DataFrame, key: str, ttl_s: int = 86_400) -> DataFrame:
+    """G16 on a stream (key, epoch, status): after each batch the state of every incident with news, and whether it is active."""
+    schema = f"{key} long, epoch long, status string, active boolean"
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Investigation(key, ttl_s), outputStructType=schema, outputMode="append", timeMode="processingtime")
+
+
 def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """I1 and I3 on a stream: events of each window and label, final once the watermark has passed it."""
     at = stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
