@@ -227,13 +227,13 @@ def quarantine_stream(stream: DataFrame, judge, ids, valid: str, rejected: str,
 
 
 class Investigation(StatefulProcessor):
-    """The latest state of an incident; it expires after a time without news, and goes when resolved."""
+    """The latest state of an incident; it goes when resolved."""
 
-    def __init__(self, key: str, ttl_s: int):
-        self.key, self.ttl_s = key, ttl_s
+    def __init__(self, key: str):
+        self.key = key
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "epoch long, status string", self.ttl_s * 1000)
+        self.state = handle.getValueState("state", "epoch long, status string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         last = in_order(rows, ["epoch"]).iloc[-1]
@@ -250,10 +250,13 @@ class Investigation(StatefulProcessor):
         pass
 
 
-def active_stream(stream: DataFrame, key: str, ttl_s: int = 86_400) -> DataFrame:
-    """G16 on a stream (key, epoch, status): after each batch the state of every incident with news, and whether it is active."""
+def active_stream(stream: DataFrame, key: str) -> DataFrame:
+    """G16 on a stream (key, epoch, status): after each batch the state of every incident with news, and whether it is active.
+
+    A reader leaves out states older than the time to live, as active_investigations does.
+    """
     schema = f"{key} long, epoch long, status string, active boolean"
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Investigation(key, ttl_s), outputStructType=schema, outputMode="append", timeMode="processingtime")
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Investigation(key), outputStructType=schema, outputMode="append", timeMode="none")
 
 
 def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
