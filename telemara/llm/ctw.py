@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, fold, slices, text_bytes
 
-DEPTH, TOP = 6, 2
+DEPTH, TOP = 5, 2
 END = 0xFF  # no byte of UTF-8
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 24_000_000
 CHUNK = 1_500_000
 HALF = math.log(0.5)
 
