@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, embeddings, fingerprints, language, merkle, mixing, periodic, sharding, simhash, token_orc, toxicity
+from . import bpe, ctw, embeddings, fingerprints, language, merkle, mixing, periodic, personal, sharding, simhash, token_orc, toxicity
 from .common import documents, fresh_path
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -63,8 +63,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_index(documents(spark, sf_dir))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_index(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_ctw, op3_bpe, op4_simhash, op5_shards, op6_vectors, op7_mix, op8_token_orc, op9_toxicity, op10_language, op11_periodic, op12_merkle)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_ctw, op3_bpe, op4_simhash, op5_shards, op6_vectors, op7_mix, op8_token_orc, op9_toxicity, op10_language, op11_periodic, op12_merkle, op13_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
