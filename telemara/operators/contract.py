@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 SCHEMA, CROSS, BOUNDS, MONOTONIC = "SCHEMA_VALIDATION_FAILED", "CROSS_FIELD_INVARIANT_VIOLATION", "BOUNDS_OUT_OF_RANGE", "TIMESTAMP_NON_MONOTONIC"
 
 
@@ -75,11 +77,10 @@ def check_monotonic(df: DataFrame, keys, ts, order, passed: Column) -> DataFrame
     """C4: df plus `late`: rows that passed and are older than an accepted row before them.
 
     The mark is the largest time among the earlier rows that passed the other checks: a late row is older than it and
-    cannot raise it, so it needs no state.
+    cannot raise it, so it needs no state. It is scanned in ranges, so a service of any size is many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(F.when(passed, F.col(ts))).over(w)
-    return df.withColumn("mark", mark).withColumn("late", passed & F.coalesce(F.col(ts) < F.col("mark"), F.lit(False)))
+    marked = running(df, keys, order, {"mark": ("max", F.when(passed, F.col(ts)))})
+    return marked.withColumn("late", passed & F.coalesce(F.col(ts) < F.col("mark"), F.lit(False)))
 
 
 def judged(df: DataFrame, keys, ts, order, required, ranges, bounds) -> DataFrame:

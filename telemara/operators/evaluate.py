@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import settled
+from .scan import ranked_values
 
 LIMITS = {"precision": (">=", 0.90), "recall": (">=", 0.88), "false_positive_rate": ("<=", 0.025), "p99_ms": ("<", 15.0)}
 
@@ -54,17 +55,31 @@ def recall_by_detector(df: DataFrame, y, detectors) -> DataFrame:
     return df.agg(F.array(*rows).alias("x")).select(F.inline("x"))
 
 
+def percentiles(df: DataFrame, by, value, qs=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact percentiles of each group in two ways: p50 and so on interpolated at (n - 1) q, s50 and so on the value at
+    floor(n q) in rising order, counted from 0. Both come from one selection of ranks, which brings no large group together.
+    """
+    place = lambda n, q: (n - 1) * F.lit(float(q))
+    sorted_at = lambda n, q: F.least(F.floor(n * F.lit(float(q))), n - 1)
+    ranks = lambda n: F.array(*[x.cast("long") for q in qs for x in (F.floor(place(n, q)), F.ceil(place(n, q)), sorted_at(n, q))])
+    found = ranked_values(df, by, value, ranks).withColumn("value", F.col("value").cast("double"))
+    n = F.col("n")
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
+    made = []
+    for q in qs:
+        low, high, part = at(F.floor(place(n, q))), at(F.ceil(place(n, q))), F.max(place(n, q) - F.floor(place(n, q)))
+        made += [(low * (1 - part) + high * part).alias(f"p{round(q * 100)}"), at(sorted_at(n, q)).alias(f"s{round(q * 100)}")]
+    return found.groupBy(*by).agg(*made)
+
+
 def sorted_percentiles(df: DataFrame, by, value, qs=(0.5, 0.95, 0.99)) -> DataFrame:
     """The values at the positions floor(n q) of each group in order, counted from 0."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == at(q), F.col("v"))).alias(f"p{round(q * 100)}") for q in qs])
+    return percentiles(df, by, value, qs).select(*by, *[F.col(f"s{round(q * 100)}").alias(f"p{round(q * 100)}") for q in qs])
 
 
 def latency_percentiles(df: DataFrame, by, value, qs=(0.5, 0.95, 0.99)) -> DataFrame:
     """Exact interpolated percentiles of each group."""
-    return df.groupBy(*by).agg(*[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in qs])
+    return percentiles(df, by, value, qs).select(*by, *[f"p{round(q * 100)}" for q in qs])
 
 
 def quality_gate(metrics: DataFrame, limits=None) -> DataFrame:

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import settled
+from .detect import in_blocks
+from .scan import ranked_values, running
+
 
 def ratio_features(df: DataFrame, p50="p50", p99="p99", orders="orders", rps="rps", db="revenue") -> DataFrame:
     """Spread and ratios; a missing base column counts as 0."""
@@ -24,6 +28,31 @@ def rolling_features(df: DataFrame, keys, order, cols, window=10) -> DataFrame:
     return df.withColumns(made)
 
 
+#: The base metrics of a feature vector, and those of them that roll, in their order.
+BASE = (
+    "infra_cpu_percent", "infra_memory_percent", "infra_disk_io_mbps", "infra_network_egress_mbps", "infra_network_ingress_mbps", "app_requests_per_sec", "app_latency_p50_ms", "app_latency_p95_ms",
+    "app_latency_p99_ms", "app_http_2xx_count", "app_http_4xx_count", "app_http_5xx_count", "app_error_rate", "db_active_connections", "db_pool_utilization", "db_query_latency_ms",
+    "db_slow_queries_per_sec", "db_row_lock_waits", "biz_order_volume", "biz_revenue_usd", "biz_checkout_success_rate", "biz_cart_abandonment_rate",
+)
+ROLLING = ("infra_cpu_percent", "infra_memory_percent", "app_latency_p95_ms", "db_pool_utilization", "biz_checkout_success_rate")
+RATIOS = ("app_latency_spread_p99_p50", "app_latency_ratio_p99_p50", "biz_orders_per_request", "db_query_to_app_latency_ratio")
+VECTOR = (*BASE, *RATIOS, *[f"{c}_{kind}" for c in ROLLING for kind in ("roll_mean", "roll_std", "delta")])
+
+
+def vector_features(df: DataFrame, keys, order, window=10) -> DataFrame:
+    """E1 and E2 as one: df plus the 41 columns of VECTOR; a base metric that df lacks, or that is null, counts as 0.
+
+    Rolling values reach back window - 1 rows of the same key; keys of any length are many tasks.
+    """
+    base = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in BASE})
+    c, e = F.col, 1e-6
+    p50, p99 = c("app_latency_p50_ms"), c("app_latency_p99_ms")
+    made = (p99 - p50, p99 / (p50 + e), c("biz_order_volume") / (c("app_requests_per_sec") + e), c("db_query_latency_ms") / (p50 + e))
+    whole = base.withColumns(dict(zip(RATIOS, made, strict=True)))
+    rolled = in_blocks(whole, keys, order, window - 1, lambda b, k: rolling_features(b, k, order, ROLLING, window))
+    return rolled.withColumnsRenamed({f"{m}_{a}": f"{m}_{b}" for m in ROLLING for a, b in (("mean", "roll_mean"), ("std", "roll_std"), ("diff", "delta"))})
+
+
 def standardise_fit(df: DataFrame, cols) -> dict:
     """Mean and population deviation plus 1e-6 of each column, from one aggregation."""
     r = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -41,9 +70,21 @@ def standardise(df: DataFrame, model: dict) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label, id, test=0.25, seed=42) -> DataFrame:
-    """Df plus is_test: the given share of each label, by a hash of the id."""
-    w = Window.partitionBy(label).orderBy(F.crc32(F.concat_ws("-", F.col(id).cast("string"), F.lit(str(seed)))), id)
-    return df.withColumn("is_test", F.row_number().over(w) <= F.floor(F.count("*").over(Window.partitionBy(label)) * test))
+    """Df plus is_test: of each label floor(n * test) rows, those first by a hash of the id, then by id.
+
+    Each label's hash to cut at is selected by counts, so no label's rows are brought together; only rows whose hash is
+    that very one are numbered. Null labels are a label, null ids count as empty text.
+    """
+    hashed = settled(df.withColumn("_h", F.crc32(F.concat_ws("-", F.col(id).cast("string"), F.lit(str(seed))))))
+    take = lambda n: F.floor(n * F.lit(float(test)))
+    cuts = ranked_values(hashed, [label], "_h", lambda n: F.array(F.greatest(take(n) - 1, F.lit(0)))).select(F.col(label).alias("_l"), F.col("value").alias("_cut"), take(F.col("n")).alias("_take"))
+    cut = hashed.join(F.broadcast(settled(cuts)), F.col(label).eqNullSafe(F.col("_l")))  # a row a label
+    less = cut.groupBy("_l").agg(F.count_if(F.col("_h") < F.col("_cut")).alias("_less")).withColumnRenamed("_l", "_m")
+    known = cut.join(F.broadcast(settled(less)), F.col("_l").eqNullSafe(F.col("_m")))
+    sure, ties = known.where("_h <> _cut"), known.where("_h = _cut")
+    tied = running(ties, ["_l"], [id], {"_n": ("sum", F.lit(1))}, current=True)
+    both = sure.withColumn("is_test", F.expr("_h < _cut and _take > 0")).unionByName(tied.withColumn("is_test", F.expr("_less + _n <= _take")), allowMissingColumns=True)
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], "is_test")
 
 
 def classify_fit(df: DataFrame, features, label, trees=40, depth=8, seed=42):

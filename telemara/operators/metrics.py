@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .detect import in_blocks
+from .scan import running
+
 
 def count_by_labels(df: DataFrame, labels) -> DataFrame:
     """I1."""
@@ -25,11 +30,45 @@ def rate_over_window(df: DataFrame, by, epoch, window_s=300) -> DataFrame:
     return df.groupBy(*by, start).agg((F.count("*") / window_s).alias("rate"))
 
 
-def counter_rate(samples: DataFrame, by, epoch, value) -> DataFrame:
-    """I3 for counter samples: increase since the sample before; after a reset the value itself."""
-    w = Window.partitionBy(*by).orderBy(epoch)
-    before = F.lag(value).over(w)
-    return samples.withColumn("increase", F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)))
+def range_rate(samples: DataFrame, by, epoch, value, window_s=300, step_s=60) -> DataFrame:
+    """I3 for counter samples: (by, evaluated, rate), the increase a second over the last window_s seconds at each multiple of step_s.
+
+    A window is (evaluated - window_s, evaluated]. A value below the one before it is a reset, which adds that one. The increase is
+    carried on to the window's ends where a sample lies within 1.1 mean distances of them, else by half a mean distance,
+    and never back beyond the time at which the counter was 0. Windows with fewer than two samples have no rate.
+    Samples of one step are summed up first, then sent to the window_s / step_s windows they are in.
+    """
+    by, names = list(by), [f"_k{i}" for i in range(len(by))]
+    rows = samples.where(F.col(value).isNotNull() & F.col(epoch).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(by, names, strict=True)], F.col(epoch).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    one = rows.groupBy(*names, "t").agg(F.max("v").alias("v"))  # of samples of one time the larger
+    past = running(one, names, ["t"], {"before": ("max", F.struct("t", "v"))})
+    fall = F.when(F.col("before.v") > F.col("v"), F.col("before.v")).otherwise(0.0)
+    pane = (F.ceil(F.col("t") / step_s) * step_s).cast("long")
+    first, last = F.min(F.struct("t", "v", "fall")), F.max(F.struct("t", "v"))
+    panes = past.withColumn("fall", fall).groupBy(*names, pane.alias("pane")).agg(F.count("*").alias("n"), F.sum("fall").alias("falls"), first.alias("first"), last.alias("last"))
+    seen = panes.select("*", F.explode(F.sequence(F.col("pane"), F.col("pane") + window_s - step_s, F.lit(step_s).cast("long"))).alias("evaluated"))
+    w = seen.groupBy(*names, "evaluated").agg(F.sum("n").alias("n"), F.sum("falls").alias("falls"), F.min("first").alias("a"), F.max("last").alias("z")).where("n > 1")
+    grown, span = F.col("z.v") - F.col("a.v") + F.col("falls") - F.col("a.fall"), F.col("z.t") - F.col("a.t")
+    mean = span / (F.col("n") - 1)
+    near = lambda x: F.when(x < mean * 1.1, x).otherwise(mean / 2)
+    head = near(F.col("a.t") - (F.col("evaluated") - window_s))
+    zero = F.when((grown > 0) & (F.col("a.v") >= 0), span * F.col("a.v") / grown)
+    reach = span + F.least(head, zero) + near(F.col("evaluated") - F.col("z.t"))
+    return w.select(*[F.col(n).alias(k) for k, n in zip(by, names, strict=True)], "evaluated", (grown * reach / span / window_s).alias("rate"))
+
+
+def as_of(samples: DataFrame, by, epoch, value, step_s=5, stale_s=300) -> DataFrame:
+    """(by, evaluated, value): at each multiple of step_s the last sample of the key, if it is less than stale_s old.
+
+    Of samples of one time the larger value counts. Each sample is sent to the evaluations from its own time up to the
+    next sample, so no evaluation is looked up.
+    """
+    by = list(by)
+    one = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(epoch).cast("double").alias("_t")).agg(F.max(value).alias("value"))
+    placed = running(one, by, [F.col("_t").desc()], {"_next": ("min", F.col("_t"))})
+    begin = F.ceil(F.col("_t") / step_s).cast("long")
+    end = F.ceil(F.least(F.coalesce("_next", F.lit(float("inf"))), F.col("_t") + stale_s) / step_s).cast("long") - 1
+    return placed.where(begin <= end).select(*by, F.explode(F.sequence(begin, end)).alias("evaluated"), "value").withColumn("evaluated", F.col("evaluated") * step_s)
 
 
 def histogram_quantile(buckets: DataFrame, by, q: float) -> DataFrame:
@@ -49,13 +88,64 @@ def ratio_alert(df: DataFrame, predicate, epoch, window_s=300, threshold=0.2) ->
 
 
 def alert_state(series: DataFrame, by, epoch, predicate, for_s: int) -> DataFrame:
-    """Inactive, pending or firing at each evaluation: firing once the condition has held for for_s seconds."""
-    w = Window.partitionBy(*by).orderBy(epoch)
-    on = series.withColumn("on", F.coalesce(predicate, F.lit(False)))
-    run = on.withColumn("run", F.sum((~F.col("on")).cast("int")).over(w))
-    since = F.min(F.when(F.col("on"), F.col(epoch))).over(Window.partitionBy(*by, "run"))
-    held = run.withColumn("held", F.col(epoch) - since)
-    return held.withColumn("state", F.when(~F.col("on"), "inactive").when(F.col("held") >= for_s, "firing").otherwise("pending")).drop("run", "on", "held")
+    """Inactive, pending or firing at each evaluation: firing once the condition has held for for_s seconds.
+
+    One scan finds the evaluation before each, another the last one at which the condition began to hold.
+    """
+    on = series.withColumn("_on", F.coalesce(predicate, F.lit(False)))
+    seen = running(on, by, [epoch], {"_before": ("max", F.struct(F.col(epoch), F.col("_on").alias("on")))})
+    begun = F.when(F.col("_on") & ~F.coalesce(F.col("_before.on"), F.lit(False)), F.col(epoch))
+    held = running(seen, by, [epoch], {"_since": ("max", begun)}, current=True).withColumn("_held", F.col(epoch) - F.col("_since"))
+    return held.withColumn("state", F.when(~F.col("_on"), "inactive").when(F.col("_held") >= for_s, "firing").otherwise("pending")).drop("_on", "_before", "_since", "_held")
+
+
+def active_alerts(on: DataFrame, by, for_s: int, step_s: int = 5) -> DataFrame:
+    """Pending or firing for each evaluation (by, evaluated) of on, at which a rule's condition held; any other is inactive.
+
+    An evaluation that is missing ends what has been held so far, as a condition without a value does.
+    """
+    by = list(by)
+    seen = running(on, by, ["evaluated"], {"_before": ("max", F.col("evaluated"))})
+    begun = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("evaluated") - step_s), F.col("evaluated"))
+    held = running(seen, by, ["evaluated"], {"_since": ("max", begun)}, current=True)
+    return held.select(*by, "evaluated", F.when(F.col("evaluated") - F.col("_since") >= for_s, "firing").otherwise("pending").alias("state"))
+
+
+#: The rules' bounds and how long each must hold, in seconds.
+RULES = {"HighAnomalyDetectionLatencySLA": (0.015, 120), "ElevatedAnomalyRate": (0.20, 180), "DegradedSubsystemHealth": (0.0, 60), "LowRAGGroundingScore": (0.95, 120), "HighHTTP5xxErrorRate": (0.01, 120)}
+
+
+def _share(rates: DataFrame, part) -> DataFrame:
+    """(evaluated, value): the part of all rates; without a rate in the part there is no value, nor where all are 0."""
+    return rates.groupBy("evaluated").agg(F.sum(F.when(part, F.col("rate"))).alias("part"), F.sum("rate").alias("whole")).select("evaluated", F.try_divide("part", "whole").alias("value")).where("value is not null")
+
+
+def _median_of(rates: DataFrame, q: float) -> DataFrame:
+    buckets = rates.groupBy("evaluated", "le").agg(F.sum("rate").alias("cum"))
+    return histogram_quantile(buckets, ["evaluated"], q).select("evaluated", F.col("quantile").alias("value"))
+
+
+def alert_rules(latency: DataFrame, snapshots: DataFrame, health: DataFrame, grounding: DataFrame, requests: DataFrame, step_s: int = 5, window_s: int = 300) -> DataFrame:
+    """(alert, subsystem, evaluated, state) of the five rules at every evaluation at which one is pending or firing.
+
+    latency, grounding: samples (le, epoch, value) of cumulative buckets, further labels allowed; snapshots: samples
+    (anomaly_detected, epoch, value), the label as text; health: samples (subsystem, epoch, value); requests: samples
+    (status_code, epoch, value), the label as text. All columns but epoch and value are labels of their series.
+    """
+    labels = lambda df: [c for c in df.columns if c not in ("epoch", "value")]
+    rate = lambda df: range_rate(df, labels(df), "epoch", "value", window_s, step_s)
+    bound = {k: v[0] for k, v in RULES.items()}
+    high, many, down, low, failed = RULES
+    on = {
+        high: _median_of(rate(latency), 0.99).where(F.col("value") > bound[high]),
+        many: _share(rate(snapshots), F.col("anomaly_detected") == "true").where(F.col("value") > bound[many]),
+        down: as_of(health, ["subsystem"], "epoch", "value", step_s).where(F.col("value") == bound[down]),
+        low: _median_of(rate(grounding), 0.50).where(F.col("value") < bound[low]),
+        failed: _share(rate(requests), F.col("status_code").rlike("^5..$")).where(F.col("value") > bound[failed]),
+    }
+    state = lambda k: active_alerts(on[k].select((F.col("subsystem") if k == down else F.lit("")).alias("subsystem"), "evaluated"), ["subsystem"], RULES[k][1], step_s)
+    made = [state(k).select(F.lit(k).alias("alert"), "subsystem", "evaluated", "state") for k in on]
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
 def remediation_pipeline(df: DataFrame) -> DataFrame:
@@ -70,7 +160,11 @@ def latest_health(df: DataFrame, subsystem, epoch, value) -> DataFrame:
 
 
 def threshold_alarm(series: DataFrame, by, epoch, value, threshold: float, periods: int) -> DataFrame:
-    """An alarm where the value has been above the threshold for n periods in a row."""
-    w = Window.partitionBy(*by).orderBy(epoch).rowsBetween(-(periods - 1), 0)
-    full = (F.count("*").over(w) == periods) & (F.sum((F.col(value) > threshold).cast("int")).over(w) == periods)
-    return series.withColumn("alarm", full)
+    """An alarm where the value has been above the threshold for n periods in a row; keys of any length are many tasks."""
+
+    def scored(df, keys):
+        w = Window.partitionBy(*keys).orderBy(epoch).rowsBetween(-(periods - 1), 0)
+        full = (F.count("*").over(w) == periods) & (F.sum((F.col(value) > threshold).cast("int")).over(w) == periods)
+        return df.withColumn("alarm", full)
+
+    return in_blocks(series, list(by), [epoch], periods - 1, scored)

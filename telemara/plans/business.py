@@ -87,6 +87,18 @@ def minute_ratio(s, d):
     return metrics.ratio_alert(req(s, d), F.col("status") == 500, "epoch", 3600, 0.2)
 
 
+def samples(s, d, name):
+    return load(s, d, f"{name}_samples")
+
+
+def rates(s, d):
+    return metrics.range_rate(samples(s, d, "request"), ["status_code"], "epoch", "value").withColumn("rate", F.round("rate", 9))
+
+
+def alerts(s, d):
+    return metrics.alert_rules(*[samples(s, d, n) for n in ("latency", "snapshot", "health", "grounding", "request")])
+
+
 def report(s, d):
     made = evaluate.classification_report(judged(s, d), "y", "p", [0, 1])
     both = made.withColumn("class", F.col("class").cast("string")).unionByName(evaluate.report_averages(made))
@@ -152,6 +164,9 @@ QUERIES = {
     "count_by_labels": lambda s, d: metrics.count_by_labels(req(s, d), ["kind", "status"]),
     "histogram_buckets": lambda s, d: buckets(s, d).where("le < 1").select("kind", "le", "cum", "count", F.round("sum", 4).alias("sum")),
     "rate_over_window": lambda s, d: metrics.rate_over_window(req(s, d), ["kind"], "epoch").withColumn("rate", F.round("rate", 8)),
+    "range_rate": rates,
+    "alert_rules": alerts,
+    "as_of": lambda s, d: metrics.as_of(samples(s, d, "health"), ["subsystem"], "epoch", "value"),
     "histogram_quantile": lambda s, d: metrics.histogram_quantile(buckets(s, d), ["kind"], 0.95).withColumn("quantile", F.round("quantile", 6)),
     "ratio_alert": lambda s, d: minute_ratio(s, d).withColumn("ratio", F.round("ratio", 6)),
     "alert_state": lambda s, d: metrics.alert_state(minute_ratio(s, d).withColumn("g", F.lit("all")), ["g"], "window_start", F.col("firing"), 7200).select("window_start", "state"),
@@ -183,6 +198,33 @@ RATIO = ", ra as (select epoch // 3600 * 3600 as window_start, count(*) filter (
 RATES = "select count(*) filter (where y = p) / count(*)::double as accuracy, count(*) filter (where y = 0 and p = 1) / (count(*) filter (where y = 0))::double as false_positive_rate, count(*) filter (where y = 1 and p = 1) / (count(*) filter (where y = 1))::double as recall, count(*) filter (where y = 1 and p = 1) / (count(*) filter (where p = 1))::double as precision from judged"
 SIM = ", i as (select id as incident_id, service_id, archetype as own, id * 7 % 10007 as detected_at from incidents), pr as (select r as probe_id, 'svc-' || r::varchar as service_id, case when r % 2 = 0 then 'MEMORY_LEAK_GC_PAUSE' end as archetype from range(25) t(r)), s as (select probe_id, i.incident_id, row_number() over (partition by probe_id order by detected_at desc, i.incident_id desc) as rank, case when i.incident_id % 2 = 0 then 'act-' || (i.incident_id % 5)::varchar end as action from pr join i using (service_id) where archetype is null or archetype = own qualify rank <= 5)"
 
+def rate_sql(name: str, label: str, step: int) -> str:
+    """Rates over five minutes of one stand-in of samples, as name_r (label, evaluated, rate)."""
+    return f"""{name}_l as (select *, lag(value) over w as pv, lag(epoch) over w as pt from {name} window w as (partition by {label} order by epoch)),
+    {name}_g as (select distinct {label}, unnest(range(cast(ceil(epoch / {step}.0) * {step} as bigint), cast(ceil(epoch / {step}.0) * {step} as bigint) + 300, {step})) as evaluated from {name}),
+    {name}_w as (select g.{label}, g.evaluated, count(*) as n, min(epoch) as a, max(epoch) as z, arg_min(value, epoch) as av, arg_max(value, epoch) as zv, sum(case when pv > value and pt > evaluated - 300 then pv else 0 end) as falls from {name}_g g join {name}_l l on l.{label} = g.{label} and l.epoch > evaluated - 300 and l.epoch <= evaluated group by 1, 2),
+    {name}_x as (select *, zv - av + falls as grown, (z - a)::double as span, (z - a)::double / (n - 1) as mean from {name}_w where n > 1),
+    {name}_y as (select *, case when a - (evaluated - 300) < mean * 1.1 then a - (evaluated - 300) else mean / 2 end as head, case when evaluated - z < mean * 1.1 then evaluated - z else mean / 2 end as tail from {name}_x),
+    {name}_r as (select {label}, evaluated, grown * (span + case when grown > 0 and av >= 0 then least(head, span * av / grown) else head end + tail) / span / 300 as rate from {name}_y)"""
+
+
+AS_OF = """gl as (select *, lead(epoch) over (partition by subsystem order by epoch) as nt from health_samples),
+    gauges as (select subsystem, unnest(range(cast(ceil(epoch / 5.0) * 5 as bigint), cast(ceil(least(coalesce(nt, 1e18), epoch + 300) / 5.0) * 5 as bigint), 5)) as evaluated, value from gl)"""
+
+
+def alerts_sql() -> str:
+    """The five rules: what holds at each evaluation, then runs without a gap of more than five seconds."""
+    quantile = lambda name, q: f"""{name}_b as (select *, max(rate) over (partition by evaluated) as whole, coalesce(lag(le) over w, 0) as low, coalesce(lag(rate) over w, 0) as below from {name}_r window w as (partition by evaluated order by le)),
+    {name}_q as (select evaluated, arg_min(case when isinf(le) then low else low + (le - low) * coalesce(({q} * whole - below) / nullif(rate - below, 0), 0.0) end, le) as value from {name}_b where rate >= {q} * whole and whole > 0 group by evaluated)"""
+    share = lambda name, part: f"{name}_q as (select evaluated, sum(rate) filter (where {part}) / nullif(sum(rate), 0) as value from {name}_r group by evaluated)"
+    made = [rate_sql(f"{n}_samples", label, 5) for n, label in (("latency", "le"), ("snapshot", "anomaly_detected"), ("grounding", "le"), ("request", "status_code"))]
+    made += [quantile("latency_samples", "0.99"), quantile("grounding_samples", "0.50"), share("snapshot_samples", "anomaly_detected = 'true'"), share("request_samples", "status_code like '5__'"), AS_OF]
+    pick = lambda alert, table, when, s, who="''": f"select '{alert}' as alert, {who} as subsystem, evaluated, {s} as hold from {table} where {when}"
+    on = " union all ".join((pick("HighAnomalyDetectionLatencySLA", "latency_samples_q", "value > 0.015::double", 120), pick("ElevatedAnomalyRate", "snapshot_samples_q", "value > 0.2::double", 180), pick("DegradedSubsystemHealth", "gauges", "value = 0", 60, "subsystem"), pick("LowRAGGroundingScore", "grounding_samples_q", "value < 0.95::double", 120), pick("HighHTTP5xxErrorRate", "request_samples_q", "value > 0.01::double", 120)))
+    return ", ".join(made) + f""", hit as ({on}), run as (select *, evaluated - 5 * row_number() over (partition by alert, subsystem order by evaluated) as island from hit)
+    select alert, subsystem, evaluated, case when evaluated - min(evaluated) over (partition by alert, subsystem, island) >= hold then 'firing' else 'pending' end as state from run"""
+
+
 ORACLES = {
     "classification_report": x(["judged"], """, c as (select unnest([0, 1]) as class), m as (select class, (select count(*) from judged where y = class and p = class) as tp, (select count(*) from judged where y = class) as support, (select count(*) from judged where p = class) as got from c), t as (select class::varchar as class, coalesce(tp / nullif(got, 0)::double, 0) as precision, coalesce(tp / nullif(support, 0)::double, 0) as recall, coalesce(2.0 * tp / nullif(got + support, 0), 0) as f1, support from m),
         u as (select * from t union all select 'macro', avg(precision), avg(recall), avg(f1), sum(support) from t union all select 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from t)
@@ -229,6 +271,9 @@ ORACLES = {
     "patch_state": x(["incidents"], "select id as incident_id, case when id % 4 = 0 then 'PATCHED' else status end as status, service_id from incidents"),
     "count_by_labels": x(["requests"], "select kind, status, count(*) as n from requests group by 1, 2"),
     "histogram_buckets": x(["requests"], f"{BUCKETS} select kind, le::double as le, cum, count, round(sum, 4) as sum from b where le < 1"),
+    "range_rate": x(["request_samples"], ", " + rate_sql("request_samples", "status_code", 60) + " select status_code, evaluated, round(rate, 9) as rate from request_samples_r"),
+    "alert_rules": x([f"{n}_samples" for n in ("latency", "snapshot", "health", "grounding", "request")], ", " + alerts_sql()),
+    "as_of": x(["health_samples"], f", {AS_OF} select subsystem, evaluated, value from gauges"),
     "rate_over_window": x(["requests"], "select kind, epoch // 300 * 300 as window_start, round(count(*) / 300.0::double, 8) as rate from requests group by 1, 2"),
     "histogram_quantile": x(["requests"], f"{BUCKETS}, q as (select *, coalesce(lag(le) over (partition by kind order by le), 0) as low, coalesce(lag(cum) over (partition by kind order by le), 0) as below from b), h as (select *, row_number() over (partition by kind order by le) as i from q where cum >= 0.95 * count) select kind, round(case when isinf(le) then low else low + (le - low) * (0.95 * count - below) / (cum - below) end, 6) as quantile from h where i = 1"),
     "ratio_alert": x(["requests"], f"{RATIO} select window_start, round(ratio, 6) as ratio, ratio > 0.2 as firing from ra"),

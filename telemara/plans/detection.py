@@ -173,7 +173,7 @@ QUERIES = {
     "anomalous_ids": lambda s, d: detect.anomalous_ids(verdicts(s, d)),
     "detector_breakdown": lambda s, d: detect.detector_breakdown(signals(s, d)),
     "ratio_features": lambda s, d: r6(features.ratio_features(ticks(s, d)).select("service_id", "tick", "latency_spread", "tail_ratio", "orders_per_request"), "latency_spread", "tail_ratio", "orders_per_request"),
-    "rolling_features": lambda s, d: r6(features.rolling_features(ticks(s, d), ["service_id"], ["tick"], ["cpu", "rps"]).select("service_id", "tick", "cpu_mean", "cpu_std", "cpu_diff", "rps_mean", "rps_diff"), "cpu_mean", "cpu_std", "cpu_diff", "rps_mean"),
+    "rolling_features": lambda s, d: r6(detect.in_blocks(ticks(s, d), ["service_id"], ["tick"], 9, lambda b, k: features.rolling_features(b, k, ["tick"], ["cpu", "rps"])).select("service_id", "tick", "cpu_mean", "cpu_std", "cpu_diff", "rps_mean", "rps_diff"), "cpu_mean", "cpu_std", "cpu_diff", "rps_mean"),
     "standardise": standardised,
     "stratified_split": lambda s, d: features.stratified_split(series(s, d), "k", "id").select("id", "is_test"),
     "classify_archetype": classified,

@@ -36,9 +36,17 @@ BASE = {
     "probes": "select item_id as query_id, text from benchmark",
     "runbooks": """select item_id as id, case item_id % 5 when 0 then 'PostgreSQL connection pool max_connections saturation' when 1 then 'memory leak garbage collection stop-the-world heap restart' when 2 then 'timeout circuit breaker downstream failure'
         when 3 then 'payment gateway failure failover decline' else 'nominal operation' end || ' ' || text as text, 'kb/runbooks/item_' || cast(item_id as string) || '.md' as uri, 'Overview' as section, case when item_id % 2 = 0 then 'runbook' else 'postmortem' end as doc_type from benchmark""",
+    "scrapes": "select event_id as id, 1700000000 + event_id * 3 + event_id % 3 as epoch, event_id {DIV} 700 as run, event_type as kind from events where event_id % 1000 < 900",
+    "request_samples": "select status_code, epoch, cast(count(*) over (partition by status_code, run order by id) as double) as value from (select *, case when kind = 'error' and (id {DIV} 400) % 3 = 0 then '500' else '200' end as status_code from scrapes)",
+    "snapshot_samples": "select anomaly_detected, epoch, cast(count(*) over (partition by anomaly_detected, run order by id) as double) as value from (select *, case when id % 3 = 0 and (id {DIV} 300) % 2 = 0 then 'true' else 'false' end as anomaly_detected from scrapes)",
+    "latency_samples": """select le, epoch, value from (select id, epoch, le, cast(sum(case when v <= le then 1 else 0 end) over (partition by le, run order by id) as double) as value from (select *, cast((id % 20) * (1 + (id {DIV} 500) % 2) as double) / 2000 as v from scrapes)
+        cross join (select cast(x as double) as le from (values ('0.0005'), ('0.001'), ('0.002'), ('0.005'), ('0.01'), ('0.015'), ('0.025'), ('0.05'), ('inf')) t(x))) where id % 5 = 4""",
+    "grounding_samples": """select le, epoch, value from (select id, epoch, le, cast(sum(case when v <= le then 1 else 0 end) over (partition by le, run order by id) as double) as value from (select *, cast(100 - (id % 10) * (1 + (id {DIV} 600) % 2) as double) / 100 as v from scrapes)
+        cross join (select cast(x as double) as le from (values ('0.7'), ('0.8'), ('0.85'), ('0.9'), ('0.95'), ('0.98'), ('1.0'), ('inf')) t(x))) where id % 5 = 4""",
+    "health_samples": "select 'subsystem-' || cast(k as string) as subsystem, epoch, cast(case when (id {DIV} 250 + k) % 4 = 0 then 0 else 1 end as double) as value from scrapes cross join (select 0 as k union all select 1 union all select 2) where id % 4 = k",
     "judged": "select d.doc_id as id, l.toxic as y, case when d.n_chars % 10 < 2 then 1 else 0 end as p, l.quality as q from documents d join labels l on l.doc_id = d.doc_id",
 }
-NEEDS = {"dirty": ["ticks"]}
+NEEDS = {"dirty": ["ticks"]} | {f"{n}_samples": ["scrapes"] for n in ("request", "snapshot", "latency", "grounding", "health")}
 
 
 def cte(names, engine: str) -> str:
