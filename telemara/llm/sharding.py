@@ -20,6 +20,38 @@ def keys_of(df: DataFrame, id: str, text: str, *kept: str) -> DataFrame:
     return df.select(*kept, F.xxhash64(words).alias("high"), F.xxhash64(F.coalesce(F.col(id).cast("long"), F.lit(LOW))).alias("low"), (F.octet_length(words) + 1).cast("long").alias("size"))
 
 
+#: Repeats of one row that a task numbers, or lays out, at a time.
+CHUNK = 65_536
+
+
+def spread_out(counts: DataFrame) -> DataFrame:
+    """(high, low, size) for each row of a table of which counts has (high, low, size, n): a repeat's low is numbered().
+
+    The repeats of a row are laid out in chunks, so that no task gets all of those of one row.
+    """
+    ones = counts.where("n = 1").select("high", "low", "size")
+    many = counts.where("n > 1").select("high", "low", "size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))).alias("chunk")).repartition("high", "low", "chunk")
+    each = many.select("high", "size", "low", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("nth"))
+    return ones.unionByName(each.select("high", numbered("nth").alias("low"), "size"))
+
+
+def numbered(nth: str) -> Column:
+    """The low key of the nth of equal rows, the first of which keeps its own."""
+    return F.when(F.col(nth) == 0, F.col("low")).otherwise(F.xxhash64("low", nth))
+
+
+def apart(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows, whose repeats get a low of their own each: they are numbered from 0 in groups of about one in CHUNK repeats."""
+    again = counts.where("n > 1").select("high", "low", F.lit(True).alias("again"))
+    marked = rows.withColumn("spread", F.pmod(F.monotonically_increasing_id(), F.lit(CHUNK))).join(again, ["high", "low"], "left")
+    held = durable(marked.where("again").drop("again"))
+    groups = held.groupBy("high", "low", "spread").agg(F.count("*").alias("m"))
+    offsets = groups.select("high", "low", "spread", F.expr("coalesce(sum(m) over (partition by high, low order by spread rows between unbounded preceding and 1 preceding), 0)").alias("offset"))
+    inner = held.withColumn("inner", F.expr("row_number() over (partition by high, low, spread order by size) - 1")).join(offsets, ["high", "low", "spread"])
+    separate = inner.withColumn("nth", F.col("inner") + F.col("offset")).withColumn("low", numbered("nth"))
+    return marked.where("again is null").select(*rows.columns).unionByName(separate.select(*rows.columns))
+
+
 def below(key: tuple[int, int]) -> Column:
     high, low = key
     return F.col("high") < high if low == LOW else (F.col("high") < high) | ((F.col("high") == high) & (F.col("low") < low))
@@ -100,22 +132,25 @@ def shard(df: DataFrame, shards: int = 16, tolerance: float = 0.005, id: str = "
     Size is the UTF-8 bytes of the text plus one; a null text counts as empty. Rows are sorted by a hash of the text,
     then of the id, and cut where the bytes are nearest to equal: within `tolerance` of a shard's share, or by half
     a row where a single row is larger. Copies of a text stay together unless they are more than a cut can spare, so
-    a third of all rows being one text still makes equal shards. Repeated rows (same id and text) always stay
-    together. An empty df gives no rows. Columns of df named size, shard or slot are replaced, all others come out as
+    a third of all rows being one text still makes equal shards; so do rows that repeat id and text, each of which has
+    a key of its own beyond the first. An empty df gives no rows. Columns of df named size, shard or slot are replaced, all others come out as
     they went in.
 
     Rows move once, to cells of about `cell_rows` rows within their shard; slots are a cell's offset plus the rank in
     the cell, so no shard is ever sorted in one task.
     """
     plain, name = renamed(df)
-    keys = durable(keys_of(plain, name[id], name[text]))
+    counts = durable(keys_of(plain, name[id], name[text]).groupBy("high", "low").agg(F.first("size").alias("size"), F.count("*").alias("n")))
+    repeated = not counts.where("n > 1").isEmpty()
+    keys = durable(spread_out(counts)) if repeated else counts
     cuts = splitters(keys, shards, tolerance)
     cells = max(1, keys.count() // (shards * cell_rows))
     part = tree(cuts, lambda i: F.lit(i))
     cell = F.pmod(F.xxhash64("low", "high"), F.lit(cells))
-    placed = keys_of(plain, name[id], name[text], "*").withColumns({"shard": part, "cell": cell})
-    counts = keys.select(part.alias("shard"), cell.alias("cell")).groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    offsets = counts.select("shard", "cell", F.expr("coalesce(sum(n) over (partition by shard order by cell rows between unbounded preceding and 1 preceding), 0)").alias("base"))
+    rows = keys_of(plain, name[id], name[text], "*")
+    placed = (apart(rows, counts) if repeated else rows).withColumns({"shard": part, "cell": cell})
+    held = keys.select(part.alias("shard"), cell.alias("cell")).groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    offsets = held.select("shard", "cell", F.expr("coalesce(sum(n) over (partition by shard order by cell rows between unbounded preceding and 1 preceding), 0)").alias("base"))
     ranked = placed.withColumn("rank", F.expr("row_number() over (partition by shard, cell order by high, low)"))
     slot = (F.col("base") + F.col("rank") - 1).cast("long").alias("slot")
     return ranked.join(offsets, ["shard", "cell"]).select(*others(name, "size", "shard", "slot"), "size", F.col("shard").cast("int").alias("shard"), slot)
