@@ -39,18 +39,26 @@ RATIOS = ("app_latency_spread_p99_p50", "app_latency_ratio_p99_p50", "biz_orders
 VECTOR = (*BASE, *RATIOS, *[f"{c}_{kind}" for c in ROLLING for kind in ("roll_mean", "roll_std", "delta")])
 
 
+def with_ratios(df: DataFrame) -> DataFrame:
+    """Df, which has the base metrics, plus the columns of RATIOS."""
+    c, e = F.col, 1e-6
+    p50, p99 = c("app_latency_p50_ms"), c("app_latency_p99_ms")
+    made = (p99 - p50, p99 / (p50 + e), c("biz_order_volume") / (c("app_requests_per_sec") + e), c("db_query_latency_ms") / (p50 + e))
+    return df.withColumns(dict(zip(RATIOS, made, strict=True)))
+
+
+def with_rolled_names(df: DataFrame) -> DataFrame:
+    """df with the rolling columns named as in VECTOR."""
+    return df.withColumnsRenamed({f"{m}_{a}": f"{m}_{b}" for m in ROLLING for a, b in (("mean", "roll_mean"), ("std", "roll_std"), ("diff", "delta"))})
+
+
 def vector_features(df: DataFrame, keys, order, window=10) -> DataFrame:
     """E1 and E2 as one: df plus the 41 columns of VECTOR; a base metric that df lacks, or that is null, counts as 0.
 
     Rolling values reach back window - 1 rows of the same key; keys of any length are many tasks.
     """
     base = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in BASE})
-    c, e = F.col, 1e-6
-    p50, p99 = c("app_latency_p50_ms"), c("app_latency_p99_ms")
-    made = (p99 - p50, p99 / (p50 + e), c("biz_order_volume") / (c("app_requests_per_sec") + e), c("db_query_latency_ms") / (p50 + e))
-    whole = base.withColumns(dict(zip(RATIOS, made, strict=True)))
-    rolled = in_blocks(whole, keys, order, window - 1, lambda b, k: rolling_features(b, k, order, ROLLING, window))
-    return rolled.withColumnsRenamed({f"{m}_{a}": f"{m}_{b}" for m in ROLLING for a, b in (("mean", "roll_mean"), ("std", "roll_std"), ("diff", "delta"))})
+    return with_rolled_names(in_blocks(with_ratios(base), keys, order, window - 1, lambda b, k: rolling_features(b, k, order, ROLLING, window)))
 
 
 def standardise_fit(df: DataFrame, cols) -> dict:

@@ -95,8 +95,11 @@ def _summing(batches, size: int):
     yield pa.RecordBatch.from_pydict({"body": [total.tobytes()], "n": [n]}, schema=pa.schema([("body", pa.binary()), ("n", pa.int64())]))
 
 
-def summed_gradients(blocks: DataFrame, p: dict) -> tuple[np.ndarray, float, int]:
-    """Gradients and loss of all vectors of blocks, and their number; one small row comes from each of few tasks."""
+def summed_gradients(blocks: DataFrame, p: dict, tasks: int | None = None) -> tuple[np.ndarray, float, int]:
+    """Gradients and loss of all vectors of blocks, and their number; one small row comes from each of few tasks.
+
+    tasks: how many blocks has, counted if not given.
+    """
     sent = blocks.sparkSession.sparkContext.broadcast(p)
     d, size = len(p["b4"]), flat(p).size + 1
 
@@ -110,15 +113,15 @@ def summed_gradients(blocks: DataFrame, p: dict) -> tuple[np.ndarray, float, int
         yield pa.RecordBatch.from_pydict({"body": [total.tobytes()], "n": [n]}, schema=pa.schema([("body", pa.binary()), ("n", pa.int64())]))
 
     sums = blocks.select("body").mapInArrow(run, "body binary, n long")
-    if blocks.rdd.getNumPartitions() > DIRECT:
+    if (blocks.rdd.getNumPartitions() if tasks is None else tasks) > DIRECT:
         sums = sums.repartition(DIRECT // 4).mapInArrow(lambda b: _summing(b, size), "body binary, n long")
     rows = sums.collect()
     sent.unpersist()
-    total = np.sum([np.frombuffer(bytes(r.body), np.float64) for r in rows], axis=0)
+    total = sum((np.frombuffer(bytes(r.body), np.float64) for r in rows), np.zeros(size))
     return total[:-1], float(total[-1]), sum(r.n for r in rows)
 
 
-def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6, sigmas: float = 3.0, epochs: int = 45, batches: int = 4, rate: float = 0.01, seed: int = 42) -> dict:
+def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6, sigmas: float = 3.0, epochs: int = 30, batches: int = 8, rate: float = 0.02, seed: int = 42) -> dict:
     """An autoencoder of the standardised features of df, which holds nominal rows; threshold mean + sigmas deviations.
 
     An epoch is one round for each batch of rows. Nulls, NaN and infinities are standardised as by E4. Without rows the
@@ -130,11 +133,12 @@ def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6,
     blocks = packed(standardise(df.select(*features), scale), features, batches).persist()
     try:
         parts = [blocks.where(F.col("batch") == k) for k in range(batches)]
+        tasks = blocks.rdd.getNumPartitions()
         w, first, second, t, losses = flat(p), np.zeros(flat(p).size), np.zeros(flat(p).size), 0, []
         for _ in range(epochs):
             total, rows = 0.0, 0
             for part in parts:
-                g, loss, n = summed_gradients(part, shaped(w, p))
+                g, loss, n = summed_gradients(part, shaped(w, p), tasks)
                 total, rows = total + loss, rows + n
                 if n:
                     g, t = g / n, t + 1

@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, with their oracles."""
 
-from . import business, detection, text, tiers
+from . import business, detection, models, text, tiers
 
-GROUPS = (detection, tiers, business, text)
+GROUPS = (detection, tiers, models, business, text)
 
 
 def queries() -> dict:

@@ -176,11 +176,11 @@ QUERIES = {
     "rolling_features": lambda s, d: r6(detect.in_blocks(ticks(s, d), ["service_id"], ["tick"], 9, lambda b, k: features.rolling_features(b, k, ["tick"], ["cpu", "rps"])).select("service_id", "tick", "cpu_mean", "cpu_std", "cpu_diff", "rps_mean", "rps_diff"), "cpu_mean", "cpu_std", "cpu_diff", "rps_mean"),
     "standardise": standardised,
     "stratified_split": lambda s, d: features.stratified_split(series(s, d), "k", "id").select("id", "is_test"),
-    "classify_archetype": classified,
-    "feature_importance": importance,
-    "isolation_forest": iforest,
-    "reconstruction_error": reconstruction,
-    "ensemble_decision": ensemble,
+    "classify_archetype_ticks": classified,
+    "feature_importance_ticks": importance,
+    "isolation_forest_ticks": iforest,
+    "reconstruction_error_ticks": reconstruction,
+    "ensemble_decision_ticks": ensemble,
 }
 
 W60 = "over (partition by k order by ts, id rows between 60 preceding and 1 preceding)"

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import error_rate
+from ..functions import ARCHETYPES, encode_archetype, error_rate
 from ..operators import boosting, features, reconstruction
+from ..sources import settled
 from . import tiers
 
 FLAT = {
@@ -23,4 +24,56 @@ def telemetry(s, d):
     one = lambda name: tiers.QUERIES[name](s, d).withColumn("tier", F.lit(name.removeprefix("tier_")))
     whole = reduce(lambda a, b: a.unionByName(b), map(one, tiers.QUERIES))
     flat = whole.select("tier", "service_id", "epoch", "pos", *[F.col(v).cast("double").alias(k) for k, v in FLAT.items()], error_rate(F.col("http_2xx_count"), F.col("http_4xx_count"), F.col("http_5xx_count")).alias("app_error_rate"), "label")
-    return features.encode_archetype(flat, "label").withColumnRenamed("label_code", "y")
+    return flat.withColumn("y", encode_archetype(F.col("label")))
+
+
+KEYS, ORDER, AT = ["tier", "service_id"], ["epoch", "pos"], ["tier", "service_id", "epoch", "pos"]
+ROUNDS, DEPTH, EPOCHS, TREES = 12, 3, 30, 60
+
+
+def vectors(s, d):
+    """The 41 features of all snapshots, with E6's split by a number that no two share."""
+    whole = features.vector_features(telemetry(s, d), KEYS, ORDER)
+    return settled(features.stratified_split(whole.withColumn("sample", F.xxhash64(*AT)), "y", "sample"))
+
+
+def both(s, d):
+    whole = vectors(s, d)
+    return whole.where("not is_test"), whole.where("is_test")
+
+
+def boosted(train):
+    return boosting.boost_fit(train, features.VECTOR, "y", len(ARCHETYPES), rounds=ROUNDS, depth=DEPTH, rate=0.3)
+
+
+def classified(s, d):
+    train, test = both(s, d)
+    made = boosting.boost_classify(test, boosted(train), list(ARCHETYPES))
+    return made.select(*AT, "label", "predicted", "confidence", F.to_json("probabilities").alias("probabilities"))
+
+
+def importance(s, d):
+    return boosting.gain_importance(s, boosted(both(s, d)[0]))
+
+
+def isolated(s, d):
+    train, test = both(s, d)
+    return features.iforest_score(test, features.iforest_fit(train.where("y = 0"), features.VECTOR, trees=TREES, contamination=0.03)).select(*AT, "label", "iso_score", "iso_flag")
+
+
+def reconstructed(s, d):
+    train, test = both(s, d)
+    model = reconstruction.autoencoder_fit(train.where("y = 0"), features.VECTOR, epochs=EPOCHS)
+    return reconstruction.top_attributions(reconstruction.reconstruction_score(test, model)).select(*AT, "label", "mse", "z_deviation", "ae_flag", "top")
+
+
+def ensemble(s, d):
+    train, test = both(s, d)
+    nominal = train.where("y = 0")
+    net, forest = reconstruction.autoencoder_fit(nominal, features.VECTOR, epochs=EPOCHS), features.iforest_fit(nominal, features.VECTOR, trees=TREES, contamination=0.03)
+    made = boosting.boost_classify(features.iforest_score(reconstruction.reconstruction_score(test, net), forest), boosted(train), list(ARCHETYPES))
+    return features.ensemble_decision(made, net["threshold"]).select(*AT, "label", "predicted", "ensemble_score", "is_anomaly")
+
+
+QUERIES = {"classify_archetype": classified, "feature_importance": importance, "isolation_forest": isolated, "reconstruction_error": reconstructed, "ensemble_decision": ensemble}
+ORACLES: dict[str, str] = {}

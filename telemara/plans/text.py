@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import encode_archetype, parse_ts, slug, tokenise_technical
-from ..operators import contract, detect, finance, history, retrieve, shape, triage
+from ..operators import contract, detect, features, finance, history, retrieve, shape, triage
 from . import business, detection
 from .testbed import duck, load, scratch
 
@@ -156,12 +156,23 @@ def quarantined_stream(s, d):
     return good.unionByName(s.read.parquet(rejected).select("id", "error_code", "error_message"))
 
 
+def ordered_quarantine(s, d):
+    """As quarantined_stream, with the order of time as fourth check in the same pass."""
+    stateful(s)
+    valid, rejected = scratch(s, "valid"), scratch(s, "rejected")
+    judge = lambda rows: contract.judged_rows(rows, **detection.CHECKS)
+    streaming.quarantine_stream(sliced(s, load(s, d, "dirty"), "dirty"), judge, ["id"], valid, rejected, scratch(s, "state"), "service_id", "stamp", "id").awaitTermination()
+    good = s.read.parquet(valid).select("id", F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
+    return good.unionByName(s.read.parquet(rejected).select("id", "error_code", "error_message"))
+
+
 def active_stream(s, d):
-    """The states that are active when the whole stream has been read."""
+    """The states that are active when the whole stream has been read, as the stream's own state holds them."""
     stateful(s)
-    news = run(s, streaming.active_stream(sliced(s, business.states(s, d).withColumn("id", F.col("epoch")), "states").select("incident_id", "epoch", "status"), "incident_id"))
-    last = news.groupBy("incident_id").agg(F.max_by(F.struct("epoch", "status", "active"), "epoch").alias("x")).select("incident_id", "x.*")
-    return last.where("active").select("incident_id", "epoch", "status")
+    states = sliced(s, business.states(s, d).withColumn("id", F.col("epoch")), "states").select("incident_id", "epoch", "status")
+    checkpoint = scratch(s, "state")
+    streaming.run_until_idle(streaming.active_stream(states, "incident_id"), scratch(s, "out"), checkpoint)
+    return streaming.live_investigations(s, checkpoint, "incident_id")
 
 
 def flat_csv(s, d):
@@ -249,6 +260,33 @@ def feature_stream(s, d):
     return run(s, streaming.stream_features(sliced(s, snaps, "features"), "k", WATCHED)).select("id", *[F.round(f"{m}_{x}", n).alias(f"{m}_{x}") for m in WATCHED for x, n in (("mean", 11), ("std", 6), ("diff", 9))])  # no value lies half-way there
 
 
+#: The base metrics that the stand-in for snapshots lacks, as both engines write them.
+MORE = {
+    "infra_network_ingress_mbps": "cast(id % 83 as double)", "app_http_2xx_count": "cast(id * 13 % 97 as double)", "app_http_4xx_count": "cast(id % 7 as double)", "app_http_5xx_count": "cast(id % 5 as double)", "db_active_connections": "cast(id * 7 % 89 as double)",
+    "db_slow_queries_per_sec": "cast(id % 3 as double)", "db_row_lock_waits": "cast(id % 4 as double)", "biz_revenue_usd": "biz_order_volume * 48.5", "biz_cart_abandonment_rate": "100 - biz_checkout_success_rate",
+}
+
+
+def full_snaps(s, d):
+    return load(s, d, "snaps").withColumns({k: F.expr(v) for k, v in MORE.items()}).select("id", "k", *features.BASE)
+
+
+def shown_vectors(df):
+    return df.select("id", *[F.round(c, 6).alias(c) for c in features.VECTOR])
+
+
+def batch_vectors(s, d):
+    return shown_vectors(features.vector_features(full_snaps(s, d), ["k"], ["id"]))
+
+
+def vector_stream(s, d):
+    """The vectors of a stream, standardised by a scaler of the same rows in a batch."""
+    stateful(s)
+    snaps = full_snaps(s, d)
+    scaler = features.standardise_fit(features.vector_features(snaps, ["k"], ["id"]), features.VECTOR)
+    return shown_vectors(run(s, streaming.stream_vectors(sliced(s, snaps, "vectors"), "k", scaler)))
+
+
 def metric_points(s, d):
     path = scratch(s, "points")
     points = event_stream(s, d).selectExpr("id", "ts", "case when id % 10 = 0 then null else k end as name", "case when id % 15 = 0 then null else x end as value", "'ms' as unit", "case when id % 4 > 0 then map('kind', k) end as dimensions")
@@ -280,6 +318,7 @@ QUERIES = {
     "check_payload": lambda s, d: contract.check_payload(payloads(s, d)).select("service_id", "tick", "error_code", "error_message"),
     "quarantine_stream": quarantined_stream,
     "active_stream": active_stream,
+    "quarantine_stream_ordered": ordered_quarantine,
     "vector_topk": lambda s, d: retrieve.vector_topk(e := s.read.parquet(f"{d}/embeddings.parquet"), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "triage_driver": lambda s, d: driven(s, d).select("incident_id", "metric", "sigma", "triage_status"),
     "tier_breakdown": lambda s, d: triage.tier_breakdown(signals(s, d)).select("incident_id", "metrics"),
@@ -310,6 +349,8 @@ QUERIES = {
     "detect_stream": detect_stream,
     "check_monotonic_stream": monotonic_stream,
     "stream_features": feature_stream,
+    "stream_vectors": vector_stream,
+    "vector_features": batch_vectors,
 }
 
 
@@ -317,6 +358,12 @@ def x(names, body):
     return duck(names, body.replace("{", "{{").replace("}", "}}"))
 
 
+SHOWN = " || ' ' || ".join(f"'{p}=' || cast(round(cast({p} as decimal(38, 10)), 2) as decimal(38, 2))::varchar" for p in ("p50", "p95", "p99"))
+VECTORS = (
+    ", f as (select *, " + ", ".join(f"{v} as {k}" for k, v in MORE.items()) + " from snaps), r as (select *, app_latency_p99_ms - app_latency_p50_ms as app_latency_spread_p99_p50, app_latency_p99_ms / (app_latency_p50_ms + 1e-6) as app_latency_ratio_p99_p50, biz_order_volume / (app_requests_per_sec + 1e-6) as biz_orders_per_request, db_query_latency_ms / (app_latency_p50_ms + 1e-6) as db_query_to_app_latency_ratio from f), v as (select *, "
+    + ", ".join(f"avg({m}) over w as {m}_roll_mean, coalesce(stddev_samp({m}) over w, 0.0) as {m}_roll_std, coalesce({m} - lag({m}) over (partition by k order by id), 0.0) as {m}_delta" for m in features.ROLLING)
+    + " from r window w as (partition by k order by id rows between 9 preceding and current row))"
+)
 TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9_#-]+'), lambda t: length(t) > 1 or regexp_full_match(t, '[0-9]'))"
 BM = f""", dt as (select id, {TOK} as t from corpus), ln as (select id, len(t) as length from dt), st as (select count(*) as n, avg(length) as al from ln), po as (select id, term, count(*) as tf from (select id, unnest(t) as term from dt) group by 1, 2),
 idf as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) as idf from po, st group by term, n), qt as (select query_id, term, count(*) as times from (select query_id, unnest({TOK}) as term from probes) group by 1, 2),
@@ -432,5 +479,9 @@ ORACLES = {
     "write_metric_points": "select event_id as id, case when event_id % 10 = 0 then 'unknown' else event_type end as name, case when event_id % 15 = 0 then 0.0 else value end as value, 'ms' as unit, case when event_id % 4 > 0 then '{\"kind\":\"' || event_type || '\"}' else '{}' end as dimensions from events",
     "detect_stream": detection.ORACLES["emit_signals"],
     "check_monotonic_stream": "with e as (select event_id as id, event_type as k, floor(epoch(ts)) - case when event_id % 20 = 0 then 86400 else 0 end as t, event_id % 11 <> 0 as ok, sum((event_id % 1000 < 2)::int) over (partition by event_type order by event_id) as run from events) select id, ok and coalesce(t < max(case when ok then t end) over (partition by k, run order by id rows between unbounded preceding and 1 preceding), false) as late from e",
+    "stream_vectors": duck(["snaps"], VECTORS + " select id, " + ", ".join(f"round(({c} - avg({c}) over ()) / (stddev_pop({c}) over () + 1e-6), 6) as {c}" for c in features.VECTOR) + " from v"),
+    "vector_features": duck(["snaps"], VECTORS + " select id, " + ", ".join(f"round({c}, 6) as {c}" for c in features.VECTOR) + " from v"),
+    "quarantine_stream_ordered": x(["dirty"], f""", {detection.J.replace("j1 as (select *,", "j1 as (select *, case when cpu is null or cpu < 0 or cpu > 100 then 'fields: cpu' || case when p50 < 0 then ',p50' else '' end when p50 < 0 then 'fields: p50' when p50 > p95 or p95 > p99 then " + SHOWN + " when checkout < 0 or checkout > 100 then 'checkout' end as said,")}
+        select id, error_code, coalesce(said, case when error_code is not null then cast(stamp as varchar) || ' < ' || cast(mark as varchar) end) as error_message from j"""),
     "stream_features": duck(["snaps"], "select id, " + ", ".join(f"round(avg({m}) over w, 11) as {m}_mean, round(coalesce(stddev_samp({m}) over w, 0.0), 6) as {m}_std, round(coalesce({m} - lag({m}) over (partition by k order by id), 0.0), 9) as {m}_diff" for m in WATCHED) + " from snaps window w as (partition by k order by id rows between 9 preceding and current row)"),
 }

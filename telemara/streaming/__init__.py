@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.contract import split_quarantine
+from ..operators import features
+from ..operators.contract import MONOTONIC, split_quarantine
 from ..operators.detect import CRITICAL_11, ENGINE, Chart, Engine, chi_square_tail
 
 
@@ -174,10 +175,13 @@ def detect_stream(stream: DataFrame, key: str, order=("ts", "id"), engine: Engin
 
 
 class Rolling(StatefulProcessor):
-    """E5: mean, deviation and difference of metrics over the last `window` rows of a key, the current one included."""
+    """E5: mean, deviation and difference of metrics over the last `window` rows of a key, the current one included.
 
-    def __init__(self, key: str, metrics: list[str], window: int):
-        self.key, self.metrics, self.window = key, metrics, window
+    carried: columns of doubles that pass through.
+    """
+
+    def __init__(self, key: str, metrics: list[str], window: int, carried: list[str] | None = None):
+        self.key, self.metrics, self.window, self.carried = key, metrics, window, metrics if carried is None else carried
 
     def init(self, handle) -> None:
         self.past = handle.getValueState("past", "text string")
@@ -185,7 +189,7 @@ class Rolling(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         pdf = in_order(rows, ["id"])
         past = json.loads(self.past.get()[0]) if self.past.exists() else {m: [] for m in self.metrics}
-        out = pd.concat([pd.Series([key[0]] * len(pdf), name=self.key), pdf["id"], pdf[self.metrics].astype(float)], axis=1)
+        out = pd.concat([pd.Series([key[0]] * len(pdf), name=self.key), pdf["id"], pdf[self.carried].astype(float)], axis=1)
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", RuntimeWarning)
             for m in self.metrics:
@@ -201,47 +205,102 @@ class Rolling(StatefulProcessor):
         pass
 
 
-def stream_features(stream: DataFrame, key: str, metrics: list[str], window: int = 10, scaler: dict | None = None) -> DataFrame:
-    """E5: (key, id), the metrics, and their rolling mean, deviation and difference, as the batch features have them.
-
-    scaler: column -> (mean, deviation) of the training rows; with it the vector comes out standardised.
-    """
+def stream_features(stream: DataFrame, key: str, metrics: list[str], window: int = 10) -> DataFrame:
+    """E5: (key, id), the metrics, and their rolling mean, deviation and difference, as the batch features have them."""
     made = [f"{m}_{k}" for m in metrics for k in ("mean", "std", "diff")]
     schema = f"{key} string, id long, " + ", ".join(f"{c} double" for c in [*metrics, *made])
-    out = stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Rolling(key, list(metrics), window), outputStructType=schema, outputMode="append", timeMode="none")
-    return out if scaler is None else out.select(key, "id", *[((F.col(c) - scaler[c][0]) / (scaler[c][1] + 1e-6)).alias(c) if c in scaler else F.col(c) for c in [*metrics, *made]])
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Rolling(key, list(metrics), window), outputStructType=schema, outputMode="append", timeMode="none")
+
+
+def stream_vectors(stream: DataFrame, key: str, scaler: dict | None = None, window: int = 10) -> DataFrame:
+    """E5: (key, id) and the 41 columns of VECTOR, as vector_features has them of the rows in the order of id.
+
+    stream: key, id and base metrics; one that is missing or null counts as 0. A key's state is its last `window` values
+    of the rolling metrics. scaler: of standardise_fit over the vectors of training rows; with it, they come standardised.
+    """
+    base = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in stream.columns else F.lit(0.0).alias(c) for c in features.BASE]
+    made = [f"{m}_{k}" for m in features.ROLLING for k in ("mean", "std", "diff")]
+    schema = f"{key} string, id long, " + ", ".join(f"{c} double" for c in [*features.BASE, *made])
+    rolling = Rolling(key, list(features.ROLLING), window, list(features.BASE))
+    out = stream.select(key, "id", *base).groupBy(key).transformWithStateInPandas(statefulProcessor=rolling, outputStructType=schema, outputMode="append", timeMode="none")
+    whole = features.with_rolled_names(features.with_ratios(out)).select(key, "id", *features.VECTOR)
+    return whole if scaler is None else features.standardise(whole, scaler)
+
+
+class Judge(StatefulProcessor):
+    """The mark of C4 for rows that C1 to C3 let pass; a row comes and goes as text, so that no type changes."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle) -> None:
+        self.mark = handle.getValueState("mark", "at double, text string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        pdf = in_order(rows, ["place"])
+        at, text = self.mark.get() if self.mark.exists() else (-np.inf, None)
+        marks = []
+        for t, shown, passed in zip(pdf["at"], pdf["shown"], pdf["passed"], strict=True):
+            late = bool(passed and t < at)
+            marks.append(text if late else None)
+            if passed and t > at:
+                at, text = float(t), shown
+        if text is not None:
+            self.mark.update((at, text))
+        yield pd.DataFrame({"body": pdf["body"], "late_than": marks})
+
+    def close(self) -> None:
+        pass
+
+
+def judged_stream(stream: DataFrame, judge, key: str, ts: str, place: str) -> DataFrame:
+    """Stream plus error_code and error_message, C1 to C3 by judge(stream), then C4 in the order of the long `place`.
+
+    A key's state is the newest accepted time. Rows must come in batches in that order, as files are read.
+    """
+    known = judge(stream)
+    sent = known.select(F.col(key).cast("string").alias("key"), F.col(place).cast("long").alias("place"), F.col(ts).cast("double").alias("at"), F.col(ts).cast("string").alias("shown"), F.col("error_code").isNull().alias("passed"), F.to_json(F.struct(*known.columns)).alias("body"))
+    out = sent.groupBy("key").transformWithStateInPandas(statefulProcessor=Judge("key"), outputStructType="body string, late_than string", outputMode="append", timeMode="none")
+    row = out.select(F.from_json("body", known.schema).alias("x"), "late_than").select("x.*", "late_than")
+    late = F.col("late_than").isNotNull()
+    made = {"error_code": F.when(late, MONOTONIC).otherwise(F.col("error_code")), "error_message": F.when(late, F.concat(F.col(ts).cast("string"), F.lit(" < "), F.col("late_than"))).otherwise(F.col("error_message"))}
+    return row.withColumns(made).drop("late_than")
 
 
-def quarantine_stream(stream: DataFrame, judge, ids, valid: str, rejected: str, checkpoint: str):
-    """C6 on a stream: judge(batch) adds error_code and error_message; valid rows and envelopes go to a table each.
+def quarantine_stream(stream: DataFrame, judge, ids, valid: str, rejected: str, checkpoint: str, key: str | None = None, ts: str | None = None, place: str | None = None):
+    """C6 on a stream: valid rows and envelopes go to a table each; each batch is computed once.
 
-    A batch that is run again after a failure overwrites its own folder in both tables.
+    judge(stream) adds error_code and error_message by C1 to C3. With key, ts and place, C4 follows in the same pass, with
+    its mark in the stream's state. A batch that is run again after a failure overwrites its own folder in both tables.
     """
+    checked = judge(stream) if key is None else judged_stream(stream, judge, key, ts, place)
 
     def split(batch: DataFrame, number: int) -> None:
-        good, bad = split_quarantine(judge(batch), ids)
-        good.write.mode("overwrite").parquet(f"{valid}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        kept = batch.persist()
+        try:
+            good, bad = split_quarantine(kept, ids)
+            good.write.mode("overwrite").parquet(f"{valid}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        finally:
+            kept.unpersist()
 
-    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return checked.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Investigation(StatefulProcessor):
-    """The latest state of an incident; it goes when resolved."""
+    """The latest state of an incident. A resolved one stays as a mark against late rows; both go ttl_s after their last change."""
 
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, key: str, ttl_s: int):
+        self.key, self.ttl_s = key, ttl_s
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "epoch long, status string")
+        self.state = handle.getValueState("state", "epoch long, status string", 1000 * self.ttl_s)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         last = in_order(rows, ["epoch"]).iloc[-1]
         epoch, status = int(last["epoch"]), str(last["status"])
         if self.state.exists() and self.state.get()[0] > epoch:
-            epoch, status = self.state.get()
-        if status == "RESOLVED":
-            self.state.clear()
+            epoch, status = self.state.get()  # late news change nothing, and do not put off the end
         else:
             self.state.update((epoch, status))
         yield pd.DataFrame({self.key: [key[0]], "epoch": [epoch], "status": [status], "active": [status != "RESOLVED"]})
@@ -250,13 +309,24 @@ class Investigation(StatefulProcessor):
         pass
 
 
-def active_stream(stream: DataFrame, key: str) -> DataFrame:
+def active_stream(stream: DataFrame, key: str, ttl_s: int = 86_400) -> DataFrame:
     """G16 on a stream (key, epoch, status): after each batch the state of every incident with news, and whether it is active.
 
-    A reader leaves out states older than the time to live, as active_investigations does.
+    An incident's state is kept for ttl_s seconds after its last change, resolved or not; of equal epochs the later row
+    counts. live_investigations() reads what is active now.
     """
     schema = f"{key} long, epoch long, status string, active boolean"
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Investigation(key), outputStructType=schema, outputMode="append", timeMode="none")
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Investigation(key, ttl_s), outputStructType=schema, outputMode="append", timeMode="processingTime")
+
+
+def live_investigations(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """(key, epoch, status) of the incidents that active_stream holds active, read from its state below `checkpoint`.
+
+    States whose time to live is over are left out, as they go with the next batch.
+    """
+    held = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    left = held.where(F.col("value.ttlExpirationMs") > F.unix_millis(F.current_timestamp()))
+    return left.select(F.col(f"key.{key}").alias(key), "value.value.*").where("status <> 'RESOLVED'")
 
 
 def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -271,3 +341,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def run_until_idle(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """As run_to_table for a stream whose state has a time to live, which never ends by itself: it is stopped after a
+    third batch in a row without rows (the first after a restart may be one of before), when all that is there has been read."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    try:
+        while not query.awaitTermination(0.2):
+            seen = {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+            if len(seen) > 2 and not any(seen[k] for k in sorted(seen)[-3:]):
+                break
+    finally:
+        query.stop()
+    return stream.sparkSession.read.parquet(path)

@@ -95,6 +95,6 @@ def test_ensemble_is_its_formula(spark):
 def test_queries_cover_every_tick(spark):
     q, n = queries(), detection.ticks(spark, SF).count()
     for name in ("isolation_forest", "reconstruction_error", "classify_archetype", "ensemble_decision"):
-        assert q[name](spark, SF).count() == n
+        assert q[f"{name}_ticks"](spark, SF).count() == n
     assert q["stratified_split"](spark, SF).where("is_test").count() == sum(r["n"] // 4 for r in detection.series(spark, SF).groupBy("k").agg(F.count("*").alias("n")).collect())
-    assert 0 < q["feature_importance"](spark, SF).count() <= 8
+    assert 0 < q["feature_importance_ticks"](spark, SF).count() <= 8
