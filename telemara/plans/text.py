@@ -275,8 +275,13 @@ def shown_vectors(df):
     return df.select("id", *[F.round(c, 6).alias(c) for c in features.VECTOR])
 
 
+def places(c: str) -> int:
+    """Decimal places at which no value of a column lies half-way between two roundings."""
+    return 6 if c in features.RATIOS[1:] or c.endswith("_std") else 11
+
+
 def batch_vectors(s, d):
-    return shown_vectors(features.vector_features(full_snaps(s, d), ["k"], ["id"]))
+    return features.vector_features(full_snaps(s, d), ["k"], ["id"]).select("id", *[F.round(c, places(c)).alias(c) for c in features.VECTOR])
 
 
 def vector_stream(s, d):
@@ -480,7 +485,7 @@ ORACLES = {
     "detect_stream": detection.ORACLES["emit_signals"],
     "check_monotonic_stream": "with e as (select event_id as id, event_type as k, floor(epoch(ts)) - case when event_id % 20 = 0 then 86400 else 0 end as t, event_id % 11 <> 0 as ok, sum((event_id % 1000 < 2)::int) over (partition by event_type order by event_id) as run from events) select id, ok and coalesce(t < max(case when ok then t end) over (partition by k, run order by id rows between unbounded preceding and 1 preceding), false) as late from e",
     "stream_vectors": duck(["snaps"], VECTORS + " select id, " + ", ".join(f"round(({c} - avg({c}) over ()) / (stddev_pop({c}) over () + 1e-6), 6) as {c}" for c in features.VECTOR) + " from v"),
-    "vector_features": duck(["snaps"], VECTORS + " select id, " + ", ".join(f"round({c}, 6) as {c}" for c in features.VECTOR) + " from v"),
+    "vector_features": duck(["snaps"], VECTORS + " select id, " + ", ".join(f"round({c}, {places(c)}) as {c}" for c in features.VECTOR) + " from v"),
     "quarantine_stream_ordered": x(["dirty"], f""", {detection.J.replace("j1 as (select *,", "j1 as (select *, case when cpu is null or cpu < 0 or cpu > 100 then 'fields: cpu' || case when p50 < 0 then ',p50' else '' end when p50 < 0 then 'fields: p50' when p50 > p95 or p95 > p99 then " + SHOWN + " when checkout < 0 or checkout > 100 then 'checkout' end as said,")}
         select id, error_code, coalesce(said, case when error_code is not null then cast(stamp as varchar) || ' < ' || cast(mark as varchar) end) as error_message from j"""),
     "stream_features": duck(["snaps"], "select id, " + ", ".join(f"round(avg({m}) over w, 11) as {m}_mean, round(coalesce(stddev_samp({m}) over w, 0.0), 6) as {m}_std, round(coalesce({m} - lag({m}) over (partition by k order by id), 0.0), 9) as {m}_diff" for m in WATCHED) + " from snaps window w as (partition by k order by id rows between 9 preceding and current row)"),
