@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk_id, ordered_rules, tokenise_technical
-from ..sources import settled
+from ..sources import scratch, settled
+from .textindex import SEMANTIC, TextIndex
 
 
 def chunk_markdown(df: DataFrame, uri: str = "uri", text: str = "text", min_chars: int = 60) -> DataFrame:
@@ -88,20 +89,46 @@ def lengths_of(weights: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
 
 
-def cosine_topk(index, queries: DataFrame, k: int = 5, minimum: float = 0.0) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, tf) of queries (query_id, text) for F7."""
+    return queries.select("query_id", F.explode(grams(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+
+
+def search_lexical(index: TextIndex, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """F5 over a stored index."""
+    terms = queries.select(F.explode(tokenise_technical(F.col("text"))).alias("term"))
+    return bm25_topk(index.lexical(terms), queries, k, k1, b)
+
+
+def search_semantic(index: TextIndex, queries: DataFrame, k: int = 5, minimum: float = 0.0, services: DataFrame | None = None) -> DataFrame:
+    """F7 over a stored index. services (id, service_id): a query with a service_id finds only texts of that service."""
+    return cosine_topk(index.semantic(query_terms(queries).select("term")), queries, k, minimum, services)
+
+
+def cosine_topk(index, queries: DataFrame, k: int = 5, minimum: float = 0.0, services: DataFrame | None = None) -> DataFrame:
     """the k texts nearest to each query by cosine, above `minimum`.
 
-    Only weights of the queries' terms meet them; a text's length divides its sum at the end.
+    Only weights of the queries' terms meet them; a text's length divides its sum at the end. With services (id,
+    service_id), weights of another service than the query's never meet it.
     """
     weights, idf, lengths = index
-    tf = queries.select("query_id", F.explode(grams(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    q = weighed(tf, idf, "query_id")
+    q = weighed(query_terms(queries), idf, "query_id")
     q = q.join(lengths_of(q, "query_id"), "query_id").select("query_id", "term", (F.col("raw") / F.col("length")).alias("q"))
-    dots = weights.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("raw")).alias("dot"))
+    met = weights.join(q, "term") if services is None else _of_service(weights, q, queries, services)
+    dots = met.groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("raw")).alias("dot"))
     scored = dots.join(lengths, "id").select("query_id", "id", F.round(F.col("dot") / F.col("length"), 4).alias("score"))
     return ranked(scored.where(F.col("score") > minimum), k)
 
 
+def _of_service(weights: DataFrame, q: DataFrame, queries: DataFrame, services: DataFrame) -> DataFrame:
+    """Pairs of weights and query weights of one term, and of one service where the query names one."""
+    asked = q.join(queries.select("query_id", "service_id"), "query_id")
+    named = weights.join(services.select("id", "service_id"), "id").join(asked.where("service_id is not null"), ["term", "service_id"])
+    free = weights.join(asked.where("service_id is null"), "term")
+    keep = ["query_id", "id", "q", "raw"]
+    return named.select(*keep).unionByName(free.select(*keep))
+
+
 def rrf_fuse(lex: DataFrame, sem: DataFrame, k: int = 60) -> DataFrame:
     """F8: reciprocal ranks of two lists added up; a text missing from one has rank 999 there."""
     a = lex.select("query_id", "id", F.col("score").alias("lexical"), F.col("rank").alias("r1"))
@@ -130,7 +157,8 @@ def rerank_and_cite(fused: DataFrame, top_k: int = 5, min_relevance: float = 0.3
 
 def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, min_relevance: float = 0.35, doc_type: str | None = None, candidates: int = 15) -> DataFrame:
     """F5, F7, F8 and F9 in a row: the evidence of each query (query_id, text) among chunks (id, text, uri, section, doc_type)."""
-    lex, sem = bm25_topk(bm25_index(chunks), queries, candidates), cosine_topk(tfidf_fit(chunks), queries, candidates)
+    index = TextIndex.build(chunks, scratch(chunks.sparkSession, "index"))
+    lex, sem = search_lexical(index, queries, candidates), search_semantic(index, queries, candidates)
     return rerank_and_cite(rrf_fuse(lex, sem), top_k, min_relevance, chunks, doc_type)
 
 
@@ -147,13 +175,9 @@ def memory_search(entries: DataFrame, queries: DataFrame, top_k: int = 3, min_si
 
     Where queries have a service_id that is not null, only entries of that service count.
     """
-    if "service_id" not in queries.columns or "service_id" not in entries.columns:
-        top = cosine_topk(tfidf_fit(entries), queries, top_k, min_similarity)
-    else:
-        found = cosine_topk(tfidf_fit(entries), queries, 2**31 - 1, min_similarity).drop("rank")
-        of = entries.select("id", F.col("service_id").alias("of"))
-        kept = found.join(of, "id").join(queries.select("query_id", "service_id"), "query_id").where("service_id is null or service_id = of")
-        top = ranked(kept.drop("of", "service_id"), top_k)
+    index = TextIndex.build(entries, scratch(entries.sparkSession, "index"), kinds=(SEMANTIC,))
+    both = "service_id" in queries.columns and "service_id" in entries.columns
+    top = search_semantic(index, queries, top_k, min_similarity, entries if both else None)
     return top.withColumn("grade", F.when(F.col("score") >= 0.65, "STRONG").when(F.col("score") >= 0.35, "MODERATE").otherwise("WEAK"))
 
 

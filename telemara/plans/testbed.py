@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import scratch as scratch
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 DIALECT = {
     "spark": {"E": "unix_timestamp(cast(ts as timestamp))", "DIV": "div", "Q": "percentile", "MIN": "make_dt_interval(0, 0, cast(o_orderkey % 120 + 1 as int), 0)", "DAY": "date_format(o_orderdate, 'yyyyMMdd')"},
@@ -68,15 +68,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(names, body: str) -> str:
     return f"{cte(names, 'duckdb')} {body.format(**DIALECT['duckdb'])}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the cluster names, or a local one where it names none."""
-    import uuid
-
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if top is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sources, streaming
 from ..functions import encode_archetype, parse_ts, slug, tokenise_technical
 from ..operators import contract, detect, features, finance, history, retrieve, shape, triage
+from ..operators.textindex import LEXICAL, SEMANTIC, TextIndex
 from . import business, detection
 from .testbed import duck, load, scratch
 
@@ -20,11 +21,13 @@ def probes(s, d):
 
 
 def lexical(s, d, k=15):
-    return retrieve.bm25_topk(retrieve.bm25_index(corpus(s, d)), probes(s, d), k)
+    index = TextIndex.build(corpus(s, d), scratch(s, "index"), kinds=(LEXICAL,))
+    return retrieve.search_lexical(index, probes(s, d), k)
 
 
 def semantic(s, d, k=15):
-    return retrieve.cosine_topk(retrieve.tfidf_fit(corpus(s, d)), probes(s, d), k)
+    index = TextIndex.build(corpus(s, d), scratch(s, "index"), kinds=(SEMANTIC,))
+    return retrieve.search_semantic(index, probes(s, d), k)
 
 
 def fused(s, d):

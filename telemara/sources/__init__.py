@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def read_series(spark: SparkSession, path: str, name: str = "value") -> DataFram
     return raw.select(F.expr("try_to_timestamp(a)").alias("ts"), F.expr("try_cast(b as double)").alias(name)).where(f"ts is not null and {name} is not null")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below that of spark.checkpoint.dir; only a local session may do without that setting."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext
