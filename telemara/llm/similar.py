@@ -89,19 +89,19 @@ def tile_links(t: pa.Table) -> pa.Table:
     num, root, n, tile = (t[c].to_numpy() for c in ("num", "root", "n", "tile"))
     one, two = int(t["one"][0].as_py()), int(t["two"][0].as_py())
     size = n[:, None] + n[None, :]
-    near = (9 * common_shingles([x.values.to_numpy() for x in t["brief"].combine_chunks()]) >= 4 * size) & (root[:, None] != root[None, :])
+    near = (9 * common_shingles([x.values.to_numpy() for x in t["hashes"].combine_chunks()]) >= 4 * size) & (root[:, None] != root[None, :])
     i, j = np.nonzero(np.triu(near) if one == two else near & (tile[:, None] == one) & (tile[None, :] == two))
     a, b = forest(num[i], num[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def across(open_: DataFrame, briefs: DataFrame) -> DataFrame:
+def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """open_ (key, num, n, root), members of buckets that hold several components: (a, b), edges that join those that
     any two members of a bucket link. Tiles of TILE members meet in a task each, and no pair but a forest's is written."""
     sizes = open_.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = open_.join(sizes, F.col("key") == F.col("of")).withColumn("tile", F.pmod(F.xxhash64("num"), F.col("tiles")).cast("int"))
-    sent = dealt.join(briefs, "num").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = sent.select("key", "num", "n", "root", "tile", F.least("tile", "peer").alias("one"), F.greatest("tile", "peer").alias("two"), "brief")
+    sent = dealt.join(sets, "num").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = sent.select("key", "num", "n", "root", "tile", F.least("tile", "peer").alias("one"), F.greatest("tile", "peer").alias("two"), "hashes")
     return pairs.groupBy("key", "one", "two").applyInArrow(tile_links, "a long, b long")
 
 
@@ -112,8 +112,7 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     Equal shingle sets are one node, and texts without a word are equal. Nodes meet in a bucket by a MinHash band or by
     an equal SimHash, and as pairs by a link of `radius` or fewer bits between SimHashes. Each node is compared with one
     of its bucket, chosen by a hash; then, in buckets that still hold several components, all are compared with all,
-    tile by tile, and only edges that join components are written. Only the sets make a link; tiles hold them as 31-bit
-    hashes, by which one pair in about 100,000 of texts with 150 shingles each seems to share one more than it does.
+    tile by tile, and only edges that join components are written. Only the sets make a link, in tiles too.
     """
     marks = durable(shingle_marks(df, id, text, width))
     named = marks.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
@@ -141,8 +140,7 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     placed = durable(met.join(roots, F.col("num") == F.col("own"), "left").select("key", "num", "n", F.coalesce("root", "num").alias("root")))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = durable(placed.join(several, "key", "left_semi"))
-    briefs = sets.select("num", F.array_distinct(F.transform("hashes", lambda h: F.shiftrightunsigned(h, 33).cast("int"))).alias("brief"))
-    more = durable(across(open_, briefs))
+    more = durable(across(open_, sets))
     labels = nodes.select("node", "num", "least").join(roots, F.col("num") == F.col("own"), "left").select("node", "num", "least", F.coalesce("root", "num").alias("root"))
     if not more.isEmpty():
         labels = durable(labels)
