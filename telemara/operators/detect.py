@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from itertools import pairwise
@@ -10,6 +11,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,20 +263,64 @@ ENGINE = Engine(
 )
 
 
+def _middle(w: np.ndarray) -> np.ndarray:
+    """Medians of rows, of what is not NaN in them."""
+    out, whole = np.full(len(w), np.nan), ~np.isnan(w).any(axis=1)
+    out[whole] = np.median(w[whole], axis=1) if whole.any() else []
+    if not whole.all():
+        out[~whole] = np.nanmedian(w[~whole], axis=1)
+    return out
+
+
+def _window_stats(columns: dict[str, np.ndarray], e: Engine) -> dict[str, np.ndarray]:
+    """What _signals() needs of the windows of rows in order: counts, means, deviations, medians and covariances by name."""
+    n = len(next(iter(columns.values()))) if columns else 0
+
+    def before(m: str, width: int, current: bool) -> np.ndarray:
+        padded = np.concatenate([np.full(width, np.nan), columns[m]])
+        return np.lib.stride_tricks.sliding_window_view(padded, width)[1:] if current else np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
+
+    out = {}
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        for i, (m, _) in enumerate(e.zscore):
+            w = before(m, e.window, False)
+            out |= {f"zn_{i}": (~np.isnan(w)).sum(axis=1), f"zm_{i}": np.nanmean(w, axis=1), f"zs_{i}": np.nanstd(w, axis=1, ddof=1)}
+        for i, (m, _) in enumerate(e.mad):
+            w = before(m, e.window, False)
+            middle = _middle(w)
+            out |= {f"n_{i}": (~np.isnan(w)).sum(axis=1), f"median_{i}": middle, f"mad_{i}": _middle(np.abs(w - middle[:, None]))}
+        for i, (a, b, _) in enumerate(e.pairs):
+            x, y = before(a, e.pair_window, True), before(b, e.pair_window, True)
+            both = np.isnan(x) | np.isnan(y)
+            u, v = np.where(both, np.nan, x), np.where(both, np.nan, y)
+            cov = np.nanmean((u - np.nanmean(u, axis=1)[:, None]) * (v - np.nanmean(v, axis=1)[:, None]), axis=1)
+            out |= {f"pn_{i}": np.minimum(np.arange(n) + 1, e.pair_window), f"px_{i}": np.nanstd(x, axis=1), f"py_{i}": np.nanstd(y, axis=1), f"pc_{i}": cov}
+    return out
+
+
 def score_all(df: DataFrame, keys, order, engine: Engine = ENGINE, blocks: int | None = 10_000) -> DataFrame:
-    """df plus one struct column s0, s1 ... a detector, in the engine's order: the signal where it fires, else null."""
+    """df plus one struct column s0, s1 ... a detector, in the engine's order: the signal where it fires, else null.
+
+    Windows are taken block by block with vectors, one Arrow table a block: `blocks` rows and the window before them. With
+    blocks None a whole key is one table.
+    """
     charts = {f"ewma_{i}": (m, {"lam": lam, "direction": way}) for i, (m, lam, way) in enumerate(engine.ewma)}
     charted = ewma_charts(df, keys, order, charts) if charts else df
+    watched = list(dict.fromkeys([m for m, _ in (*engine.zscore, *engine.mad)] + [m for a, b, _ in engine.pairs for m in (a, b)]))
+    named = list(_window_stats({m: np.zeros(1) for m in watched}, engine))
+    whole = [n for n in named if n.startswith(("zn_", "n_", "pn_"))]
 
     def windows(b: DataFrame, k) -> DataFrame:
-        w, pw = _trailing(k, order, -engine.window, -1), _trailing(k, order, -(engine.pair_window - 1), 0)
-        stats = {}
-        for i, (m, _) in enumerate(engine.zscore):
-            stats |= {f"zn_{i}": F.count(m).over(w), f"zm_{i}": F.avg(m).over(w), f"zs_{i}": F.stddev_samp(m).over(w)}
-        for i, (a, c, _) in enumerate(engine.pairs):
-            stats |= {f"pn_{i}": F.count("*").over(pw), f"px_{i}": F.stddev_pop(a).over(pw), f"py_{i}": F.stddev_pop(c).over(pw), f"pc_{i}": F.covar_pop(a, c).over(pw)}
-        b = b.withColumns(stats) if stats else b
-        return _with_mad(b, w, [F.col(m) for m, _ in engine.mad], engine.window) if engine.mad else b
+        def add(t: pa.Table) -> pa.Table:
+            t = t.take(pc.sort_indices(t, sort_keys=[(o, "ascending") for o in order], null_placement="at_start"))
+            made = _window_stats({m: t[m].to_numpy().astype(float) for m in watched}, engine)
+            for name in named:
+                t = t.append_column(name, pa.array(made[name], pa.int64() if name in whole else pa.float64()))
+            return t
+
+        schema = ", ".join(f"`{n}` {t}" for n, t in b.dtypes) + "".join(f", `{n}` {'bigint' if n in whole else 'double'}" for n in named)
+        return b.groupBy(*k).applyInArrow(add, schema) if named else b
 
     scored = in_blocks(charted, keys, order, engine.window, windows, blocks) if blocks else windows(charted, list(keys))
     return scored.select(*df.columns, *[s.alias(f"s{i}") for i, s in enumerate(_signals(engine))])

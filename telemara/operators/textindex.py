@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16
+#: Postings to a folder, folders at most, and postings that a task sorts and writes.
+PER_FOLDER, FOLDERS, PER_TASK = 200_000, 256, 4_000_000
 LEXICAL, SEMANTIC = "lexical", "semantic"
 
 
@@ -31,8 +32,8 @@ def tokens_of(kind: str, text: str | None) -> list[str]:
     return WORD.findall(text) if kind == SEMANTIC else [t for t in TECHNICAL.findall(text) if len(t) > 1 or t.isdigit()]
 
 
-def bucket_of(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def counted(chunks: DataFrame, id: str, text: str, kinds=(LEXICAL, SEMANTIC)) -> DataFrame:
@@ -69,12 +70,13 @@ class TextIndex:
     """An index below a folder that all executors reach. ids keep the type `id_type` of the indexed column."""
 
     def __init__(self, spark: SparkSession, path: str, id_type: str, kinds=(LEXICAL, SEMANTIC)):
-        self.spark, self.path, self.id_type, self.kinds, self.segments = spark, path.rstrip("/"), id_type, kinds, 0
+        self.spark, self.path, self.id_type, self.kinds, self.segments, self.buckets = spark, path.rstrip("/"), id_type, kinds, 0, 0
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str, id: str = "id", text: str = "text", kinds=(LEXICAL, SEMANTIC)) -> TextIndex:
-        """the index of chunks, whose ids are unique."""
+    def build(cls, chunks: DataFrame, path: str, id: str = "id", text: str = "text", kinds=(LEXICAL, SEMANTIC), buckets: int = 0) -> TextIndex:
+        """the index of chunks, whose ids are unique; the number of folders follows from the postings, if not given."""
         made = cls(chunks.sparkSession, path, dict(chunks.dtypes)[id], kinds)
+        made.buckets = buckets
         made.merge(chunks, None, id, text)
         return made
 
@@ -86,9 +88,13 @@ class TextIndex:
             (gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct().write.parquet(f"{at}/gone")
         if added is not None:
             counted(added, id, text, self.kinds).write.parquet(f"{at}/documents")  # texts are tokenised once
-            rows = self.spark.read.parquet(f"{at}/documents").select("kind", "id", "length", F.inline(F.arrays_zip("term", "tf")))
-            placed = rows.select("kind", bucket_of("term").alias("bucket"), "term", "id", "length", "tf")
-            placed.repartition("kind", "bucket", F.xxhash64("id") % 4).sortWithinPartitions("kind", "bucket", "term").write.partitionBy("kind", "bucket").parquet(f"{at}/postings")
+            held = self.spark.read.parquet(f"{at}/documents")
+            size = held.agg(F.coalesce(F.sum(F.size("term")), F.lit(0))).first()[0]
+            self.buckets = self.buckets or min(FOLDERS, 1 + size // PER_FOLDER)
+            parts = 1 + size // (self.buckets * len(self.kinds) * PER_TASK)
+            rows = held.select("kind", "id", "length", F.inline(F.arrays_zip("term", "tf")))
+            placed = rows.select("kind", bucket_of("term", self.buckets).alias("bucket"), "term", "id", "length", "tf")
+            placed.repartition("kind", "bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("kind", "bucket", "term").write.partitionBy("kind", "bucket").parquet(f"{at}/postings")
         self.segments += 1
         if SEMANTIC in self.kinds:
             self._derive()
@@ -130,7 +136,7 @@ class TextIndex:
     def postings(self, kind: str, terms: DataFrame, exact: bool = True) -> DataFrame:
         """(id, term, tf, length) of the postings of terms (term): only their folders are read. Unless exact, what else is
         in those folders comes too, for a join on the term that follows anyway."""
-        buckets = [r[0] for r in terms.select(bucket_of("term").alias("b")).distinct().collect()]  # BUCKETS rows at most
+        buckets = [r[0] for r in terms.select(bucket_of("term", self.buckets).alias("b")).distinct().collect()]  # a row a folder at most
         rows = self._live("postings").where((F.col("kind") == kind) & F.col("bucket").isin(buckets or [-1]))
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi") if exact else rows
         return rows.select(F.col("id").cast(self.id_type).alias("id"), "term", "tf", "length")
@@ -141,7 +147,7 @@ class TextIndex:
 
     def semantic(self, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """For cosine: weights (id, term, raw) and idf (term, idf) of terms, and the vectors' lengths (id, length)."""
-        buckets = [r[0] for r in terms.select(bucket_of("term").alias("b")).distinct().collect()]
+        buckets = [r[0] for r in terms.select(bucket_of("term", self.buckets).alias("b")).distinct().collect()]
         asked = terms.select("term").distinct()
         idf = self.spark.read.parquet(self._table("idf")).where(F.col("bucket").isin(buckets or [-1])).drop("bucket").join(asked, "term", "left_semi")
         weights = self.postings(SEMANTIC, terms, False).join(idf, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))

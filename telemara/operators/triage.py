@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered_rules
+from ..sources import settled
 from .retrieve import diagnostic_query, retrieve
 
 #: Action, risk and whether it always needs approval, by what the primary metric or archetype names.
@@ -126,7 +127,7 @@ def approval_routing(df: DataFrame) -> DataFrame:
 def cite_incidents(driven: DataFrame, chunks: DataFrame, top_k: int = 4, min_relevance: float = 0.35, doc_type: str | None = None) -> DataFrame:
     """F10 and F9 for incidents: citation, the best one, and evidence, how many there are; equal queries are asked once."""
     asked = diagnostic_query(driven)
-    queries = asked.select(F.col("query").alias("query_id"), F.col("query").alias("text")).distinct()
+    queries = settled(asked.select(F.col("query").alias("query_id"), F.col("query").alias("text")).distinct())  # read by each search
     found = retrieve(chunks, queries, top_k, min_relevance, doc_type)
     best = found.groupBy("query_id").agg(F.min_by("citation", "rank").alias("citation"), F.count("*").alias("evidence"))
     return asked.join(best.withColumnRenamed("query_id", "query"), "query", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))

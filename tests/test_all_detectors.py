@@ -107,5 +107,5 @@ def test_verdicts_count_every_detector(spark):
 
 def test_a_confident_class_is_an_anomaly(spark):
     sure = {(r.service_id, r.tick) for r in detection.classified(spark, SF).where("predicted <> 'NOMINAL' and confidence > 0.75").collect()}
-    flagged = {(r.service_id, r.tick) for r in queries()["ensemble_decision"](spark, SF).where("is_anomaly").collect()}
+    flagged = {(r.service_id, r.tick) for r in queries()["ensemble_decision_ticks"](spark, SF).where("is_anomaly").collect()}
     assert sure and sure <= flagged
