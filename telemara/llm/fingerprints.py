@@ -94,18 +94,24 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - k] + follower[:k]
 
 
-PAIR = StructType([StructField(n, LongType() if n in ("id", "next_id", "n_chars") else StringType()) for n in ("id", "next_id", "n_chars", "sha", "own", "edit", "next")])
+LONGS, TEXTS = ("id", "next_id", "mark", "next_mark", "n_chars"), ("sha", "own", "edit", "next")
+PAIR = StructType([StructField(n, LongType() if n in LONGS else StringType()) for n in (*LONGS, *TEXTS)])
 
 
-def pair_row(doc_id, text, next_id, follower):
-    """Ids, length, digest of the edited text and the three wide hashes of a document and its follower."""
+def mark_of(text: str) -> int:
+    """XXH64 with seed 42 as a signed number, which is Spark's xxhash64 of the text; beside its id it names a row's text."""
+    return (xxhash.xxh64_intdigest(text.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def pair_row(doc_id, text, next_id, follower, own=None, next_=None):
+    """Ids, marks, length, digest of the edited text and the three wide hashes of a document and its follower."""
     made = edited(text, follower)
-    return doc_id, next_id, len(text), hashlib.sha256(made.encode()).hexdigest(), wide_hash(canonical(text)), wide_hash(canonical(made)), wide_hash(canonical(follower))
+    return doc_id, next_id, mark_of(text), mark_of(follower), len(text), hashlib.sha256(made.encode()).hexdigest(), own or wide_hash(canonical(text)), wide_hash(canonical(made)), next_ or wide_hash(canonical(follower))
 
 
 def _pair_up(batches):
     """Each row of a sorted range with its follower; the last row of a range is left to its edge."""
-    schema = pa.schema([(n, pa.int64() if n in ("id", "next_id", "n_chars") else pa.string()) for n in ("id", "next_id", "n_chars", "sha", "own", "edit", "next")])
+    schema = pa.schema([(n, pa.int64() if n in LONGS else pa.string()) for n in (*LONGS, *TEXTS)])
     held, mark = None, None
     for batch in batches:
         out = []
@@ -113,8 +119,7 @@ def _pair_up(batches):
             text = text.as_py()
             now = wide_hash(canonical(text))
             if held is not None and held[0] == place:
-                made = edited(held[2], text)
-                out.append((held[1], doc_id, len(held[2]), hashlib.sha256(made.encode()).hexdigest(), mark, wide_hash(canonical(made)), now))
+                out.append(pair_row(held[1], held[2], doc_id, text, mark, now))
             held, mark = (place, doc_id, text), now
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -124,7 +129,7 @@ def _pair_up(batches):
 def _edge_row(i: pd.Series, t: pd.Series, j: pd.Series, u: pd.Series) -> pd.DataFrame:
     none = lambda x: None if pd.isna(x) else int(x)
     rows = [pair_row(none(a), b, none(c), d) for a, b, c, d in zip(i, t, j, u, strict=True)]
-    return pd.DataFrame(rows, columns=["id", "next_id", "n_chars", "sha", "own", "edit", "next"]).astype({"id": "Int64", "next_id": "Int64"})
+    return pd.DataFrame(rows, columns=[*LONGS, *TEXTS]).astype({"id": "Int64", "next_id": "Int64"})
 
 
 def successive(df: DataFrame, partitions: int) -> DataFrame:
@@ -157,20 +162,26 @@ def successive(df: DataFrame, partitions: int) -> DataFrame:
 def fingerprint_edits(df: DataFrame) -> DataFrame:
     """For op1: fingerprints of every text and of its edited text, and their likeness (an exact digest: 1 or 0).
 
-    df has doc_id and text; null texts count as empty, further columns are not read, repeated rows give equal rows.
+    df has doc_id and text; null texts count as empty, further columns are not read. Null ids come last. Rows that share
+    an id are rows of their own, in descending order of their texts; the texts compared are named by id and XXH64, so that
+    they are not multiplied. All rows of one id are ordered in one task.
     """
     spark = df.sparkSession
     pairs = durable(successive(df, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     marks = pairs.select(F.explode(F.array_distinct(F.array("own", "edit"))).alias("bucket"))
     crowded = durable(marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     rows = df.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     own = durable(pairs.join(crowded, pairs.own == crowded.bucket, "left_semi").select("id").distinct())
-    edits = durable(pairs.where("own <> edit").join(crowded, pairs.edit == crowded.bucket, "left_semi").select(F.col("edit").alias("bucket"), "id", "next_id"))
-    need = durable(edits.select(F.explode(F.array("id", "next_id")).alias("id")).distinct())
-    texts = durable(texts_of(rows, need))
-    follower = texts.select(F.col("id").alias("next_id"), F.col("text").alias("follower"))
-    made = edits.join(texts, "id").join(follower, "next_id").select("bucket", F.expr("concat(left(text, length(text) - length(text) div 3), left(follower, length(text) div 3))").alias("text"))
-    members = texts_of(rows, own).select(bucket_column("text").alias("bucket"), "text").unionByName(made)
+    edits = durable(pairs.where("own <> edit").join(crowded, pairs.edit == crowded.bucket, "left_semi").select(F.col("edit").alias("bucket"), "id", "mark", "next_id", "next_mark").distinct())
+    need = edits.select(F.explode(F.array(F.struct("id", "mark"), F.struct(F.col("next_id").alias("id"), F.col("next_mark").alias("mark")))).alias("x"))
+    need = durable(need.select(F.col("x.id").alias("wanted"), F.col("x.mark").alias("wanted_mark")).distinct())
+    texts = durable(rows.join(need, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("wanted_mark")), "left_semi").dropDuplicates(["id", "mark"]))
+    self_ = texts.select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
+    follower = texts.select(F.col("id").alias("j"), F.col("mark").alias("n"), F.col("text").alias("follower"))
+    both = edits.join(self_, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).join(follower, F.col("next_id").eqNullSafe(F.col("j")) & (F.col("next_mark") == F.col("n")))
+    made = both.select("bucket", F.expr("concat(left(text, length(text) - length(text) div 3), left(follower, length(text) div 3))").alias("text"))
+    members = texts_of(rows.select("id", "text"), own).select(bucket_column("text").alias("bucket"), "text").unionByName(made)
     if not differing_in_bucket(members).isEmpty():
         raise RuntimeError("two texts share a 128-bit hash: use fingerprint(), which ranks them")
     like = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
