@@ -134,23 +134,23 @@ QUERIES = {
     "psi": lambda s, d: evaluate.psi(*drifted(s, d), "x", [10, 25, 50, 100]).select(F.round("psi", 6).alias("psi"), "drifted"),
     "ks_two_sample": lambda s, d: evaluate.ks_two_sample(*drifted(s, d), "x").select(F.round("d", 6).alias("d"), F.round("p_value", 6).alias("p_value")),
     "rolling_fpr": lambda s, d: evaluate.rolling_fpr(inc(s, d).groupBy(F.datediff(F.to_date("detected_at"), F.lit("1970-01-01")).alias("day")).agg(F.count_if("is_false_positive").alias("fp"), F.count("*").alias("n")), "day").withColumn("rate", F.round("rate", 6)),
-    "incident_financials": lambda s, d: fin(s, d).select("id", "severity", "archetype", "actual_mttr_minutes", "hourly_downtime_rate", "baseline_downtime_cost", "engineering_hours_saved", "engineering_cost_saved"),
+    "incident_financials": lambda s, d: fin(s, d).select("id", "severity", "archetype", "actual_mttr_minutes", "hourly_downtime_rate", "baseline_downtime_cost", "engineering_hours_saved", "engineering_cost_saved", "mttr_reduction_minutes", "downtime_savings_gross", "total_gross_value_delivered", "realized_net_savings"),
     "executive_kpis": lambda s, d: finance.executive_kpis(fin(s, d)),
     "service_impact": lambda s, d: finance.service_impact(fin(s, d)).select("service_id", "incidents", "critical", "downtime_minutes", "availability_pct", F.round("savings", 2).alias("savings")),
-    "monthly_trend": lambda s, d: finance.monthly_trend(fin(s, d)).select("month", "incidents", "critical", "high", "medium", "low", "hours_saved"),
-    "archetype_pareto": lambda s, d: finance.archetype_pareto(fin(s, d)).select("archetype", "incidents", "pct", "mean_reduction", F.round("savings", 2).alias("savings")),
+    "monthly_trend": lambda s, d: finance.monthly_trend(fin(s, d)).select("month", "incidents", "critical", "high", "medium", "low", "hours_saved", "gross_value"),
+    "archetype_pareto": lambda s, d: finance.archetype_pareto(fin(s, d)),
     "pareto_cumulative": lambda s, d: finance.pareto_cumulative(finance.archetype_pareto(fin(s, d))).select("archetype", F.round("cumulative_pct", 1).alias("cumulative_pct")),
     "dim_date": lambda s, d: finance.dim_date(s, "1995-01-01", "1998-12-31").join(inc(s, d).select(F.date_format("detected_at", "yyyyMMdd").cast("int").alias("date_key")).distinct(), "date_key", "left_semi"),
-    "view_executive_summary": lambda s, d: star(s, d, "view_executive_summary").select("total", "resolved", "fp_pct", "mttr"),
-    "view_service_exposure": lambda s, d: star(s, d, "view_service_exposure").select("service_id", "incidents", "mttr", "availability"),
-    "view_monthly_roi": lambda s, d: star(s, d, "view_monthly_roi").select("year", "month", "incidents", F.round("gross", 2).alias("gross")),
-    "view_archetype_pareto": lambda s, d: star(s, d, "view_archetype_pareto").select("archetype", "incidents", "pct"),
-    "bi_measures": lambda s, d: finance.bi_measures(fin(s, d)).select("incidents", "false_positives", "resolved", "critical_incidents", "fp_rate", "resolution_rate", "total_hours"),
-    "denormalised_fact": lambda s, d: finance.denormalised_fact(inc(s, d).select("id", "severity"), [(s.createDataFrame([("CRITICAL", 1), ("HIGH", 2), ("MEDIUM", 3)], "severity string, severity_rank int"), "severity")]),
-    "tableau_fields": lambda s, d: finance.tableau_fields(fin(s, d)).select("services", "critical_ids", "mean_reduction"),
+    "view_executive_summary": lambda s, d: star(s, d, "view_executive_summary"),
+    "view_service_exposure": lambda s, d: star(s, d, "view_service_exposure"),
+    "view_monthly_roi": lambda s, d: star(s, d, "view_monthly_roi"),
+    "view_archetype_pareto": lambda s, d: star(s, d, "view_archetype_pareto"),
+    "bi_measures": lambda s, d: finance.bi_measures(fin(s, d)),
+    "denormalised_fact": lambda s, d: finance.denormalised_fact(inc(s, d), [(s.createDataFrame([("CRITICAL", 1), ("HIGH", 2), ("MEDIUM", 3)], "severity string, severity_rank int"), "severity")]),
+    "tableau_fields": lambda s, d: finance.tableau_fields(fin(s, d)),
     "filter_incidents": lambda s, d: finance.filter_incidents(inc(s, d), "HIGH", "svc-3").select("id", "severity", "service_id"),
-    "financial_impact": lambda s, d: finance.financial_impact(finance.executive_kpis(fin(s, d))).select(F.round("downtime_savings", 2).alias("downtime_savings"), "rate_critical", "rate_low"),
-    "realisation_what_if": lambda s, d: finance.realisation_what_if(fin(s, d)).select("rate", F.round("net", 0).alias("net")),
+    "financial_impact": lambda s, d: finance.financial_impact(finance.executive_kpis(fin(s, d))),
+    "realisation_what_if": lambda s, d: finance.realisation_what_if(fin(s, d)),
     "period_filter": lambda s, d: finance.period_filter(inc(s, d), 90).select("id", "severity"),
     "stage_waterfall": lambda s, d: finance.stage_waterfall(s.read.parquet(f"{d}/events.parquet"), ["user_id"], "event_type", "ts"),
     "upsert_incidents": upserted,
@@ -162,7 +162,7 @@ QUERIES = {
     "active_investigations": lambda s, d: history.active_investigations(states(s, d), 15000, 3000).select("incident_id", "epoch", "status"),
     "patch_state": lambda s, d: history.patch_state(inc(s, d).selectExpr("id as incident_id", "status", "service_id"), inc(s, d).where("id % 4 = 0").selectExpr("id as incident_id", "'PATCHED' as status", "cast(null as string) as service_id")),
     "count_by_labels": lambda s, d: metrics.count_by_labels(req(s, d), ["kind", "status"]),
-    "histogram_buckets": lambda s, d: buckets(s, d).where("le < 1").select("kind", "le", "cum", "count", F.round("sum", 4).alias("sum")),
+    "histogram_buckets": lambda s, d: buckets(s, d).select("kind", "le", "cum", "count", F.round("sum", 4).alias("sum")),
     "rate_over_window": lambda s, d: metrics.rate_over_window(req(s, d), ["kind"], "epoch").withColumn("rate", F.round("rate", 8)),
     "range_rate": rates,
     "alert_rules": alerts,
@@ -180,7 +180,7 @@ FIN = """, f0 as (select *, case severity when 'CRITICAL' then 180000.0 when 'HI
   cast(case when is_false_positive then 5.0 when resolved_at is not null then greatest(1.0, epoch(resolved_at - detected_at) / 60.0) else 22.0 end as double) as m from incidents),
  f1 as (select *, case when is_false_positive then 0.0 else greatest(0.0, 90.0 - m) end as r, 1.5 * rate as bc, case when is_false_positive then 0.0 else m / 60 * rate end as ac from f0),
  fin as (select id, severity, service_id, coalesce(archetype, 'unclassified_anomaly') as archetype, detected_at, status, is_false_positive, round(m, 2) as actual_mttr_minutes, rate as hourly_downtime_rate, round(r, 2) as mttr_reduction_minutes, round(bc, 2) as baseline_downtime_cost,
-  round(greatest(0.0, bc - ac), 2) as downtime_savings_gross, round(r / 60 * 3, 2) as engineering_hours_saved, round(r / 60 * 3 * 95, 2) as engineering_cost_saved, round(greatest(0.0, bc - ac) + r / 60 * 3 * 95, 2) as total_gross_value_delivered from f1)"""
+  round(greatest(0.0, bc - ac), 2) as downtime_savings_gross, round(r / 60 * 3, 2) as engineering_hours_saved, round(r / 60 * 3 * 95, 2) as engineering_cost_saved, round(greatest(0.0, bc - ac) + r / 60 * 3 * 95, 2) as total_gross_value_delivered, round((greatest(0.0, bc - ac) + r / 60 * 3 * 95) * 0.25::double, 2) as realized_net_savings, round(ac, 2) as actual_downtime_cost from f1)"""
 
 
 def x(names, body):
@@ -240,26 +240,26 @@ ORACLES = {
     "ks_two_sample": x(["series"], """, v as (select x, count(*) filter (where id % 2 = 0) as a, count(*) filter (where id % 2 = 1) as b from series group by x), g as (select max(abs(u / n - w / m)) as d, max(n) * max(m) / (max(n) + max(m)) as nm from (select sum(a) over (order by x) as u, sum(b) over (order by x) as w, (sum(a) over ())::double as n, (sum(b) over ())::double as m from v))
         select round(any_value(d), 6) as d, round(least(1.0, greatest(0.0, sum(2 * power(-1, k - 1) * exp(-2.0 * k * k * nm * d * d)))), 6) as p_value from g, range(1, 6) t(k)"""),
     "rolling_fpr": x(["incidents"], ", dd as (select date_diff('day', date '1970-01-01', detected_at::date) as day, count(*) filter (where is_false_positive) as fp, count(*) as n from incidents group by 1), r as (select day, sum(fp) over w / (sum(n) over w)::double as rate from dd window w as (order by day range between 6 preceding and current row)) select day::int as day, round(rate, 6) as rate, rate > 0.05 as breach from r"),
-    "incident_financials": f("select id, severity, archetype, actual_mttr_minutes, hourly_downtime_rate, baseline_downtime_cost, engineering_hours_saved, engineering_cost_saved from fin"),
+    "incident_financials": f("select id, severity, archetype, actual_mttr_minutes, hourly_downtime_rate, baseline_downtime_cost, engineering_hours_saved, engineering_cost_saved, mttr_reduction_minutes, downtime_savings_gross, total_gross_value_delivered, realized_net_savings from fin"),
     "executive_kpis": f(""", k as (select count(*) as total_incidents, count(*) filter (where status = 'RESOLVED' and not is_false_positive) as resolved_incidents, count(*) filter (where is_false_positive) as false_positives, avg(case when not is_false_positive then actual_mttr_minutes end) as took, sum(engineering_hours_saved) as hours, sum(engineering_cost_saved) as labour,
         sum(downtime_savings_gross) as downtime, sum(total_gross_value_delivered) as gross, sum(round(total * 0.25::double, 2)) as net from (select fin.*, fin_raw.total from fin join (select id, greatest(0.0, bc - ac) + r / 60 * 3 * 95 as total from f1) fin_raw using (id)))
         select total_incidents, resolved_incidents, false_positives, round(false_positives * 100.0 / total_incidents, 2) as false_positive_pct, 90.0 as baseline_mttr, round(took, 2) as actual_mttr, round(90.0 - took, 2) as mttr_reduction, round((90.0 - took) * 100 / 90.0, 2) as mttr_reduction_pct, round(hours, 2) as hours_saved, round(labour, 2) as labour_saved,
         round(downtime, 2) as downtime_savings, round(gross, 2) as gross_value, round(net, 2) as net_savings, 15000.0 as platform_cost, round((net - 15000) * 100 / 15000, 2) as roi_pct, round(15000.0 * 365 / net, 1) as payback_days from k"""),
     "service_impact": f(f"select service_id, count(*) as incidents, count(*) filter (where severity = 'CRITICAL') as critical, round(coalesce(sum(case when not is_false_positive then actual_mttr_minutes end), 0.0), 2) as downtime_minutes, {AV} as availability_pct, round(sum(downtime_savings_gross), 2) as savings from fin group by 1"),
-    "monthly_trend": f("select strftime(detected_at, '%Y-%m') as month, count(*) as incidents, count(*) filter (where severity = 'CRITICAL') as critical, count(*) filter (where severity = 'HIGH') as high, count(*) filter (where severity = 'MEDIUM') as medium, count(*) filter (where severity = 'LOW') as low, round(sum(engineering_hours_saved), 2) as hours_saved from fin group by 1"),
-    "archetype_pareto": f("select archetype, count(*) as incidents, round(count(*) * 100.0 / sum(count(*)) over (), 2) as pct, round(avg(mttr_reduction_minutes), 2) as mean_reduction, round(sum(downtime_savings_gross), 2) as savings from fin group by 1"),
+    "monthly_trend": f("select strftime(detected_at, '%Y-%m') as month, count(*) as incidents, count(*) filter (where severity = 'CRITICAL') as critical, count(*) filter (where severity = 'HIGH') as high, count(*) filter (where severity = 'MEDIUM') as medium, count(*) filter (where severity = 'LOW') as low, round(sum(engineering_hours_saved), 2) as hours_saved, round(sum(total_gross_value_delivered), 2) as gross_value from fin group by 1"),
+    "archetype_pareto": f("select archetype, count(*) as incidents, round(count(*) * 100.0 / sum(count(*)) over (), 2) as pct, round(avg(mttr_reduction_minutes), 2) as mean_reduction, round(sum(downtime_savings_gross), 2) as savings, round(sum(baseline_downtime_cost), 2) as cost from fin group by 1"),
     "pareto_cumulative": f(", p as (select archetype, sum(downtime_savings_gross) as savings from fin group by 1) select archetype, round(sum(savings) over (order by savings desc, archetype rows unbounded preceding) * 100 / sum(savings) over (), 1) as cumulative_pct from p"),
     "dim_date": x(["incidents"], "select distinct strftime(d, '%Y%m%d')::int as date_key, year(d)::int as year, quarter(d)::int as quarter, month(d)::int as month, day(d)::int as day, week(d)::int as week, dayofweek(d) in (0, 6) as is_weekend from (select detected_at::date as d from incidents) where d between date '1995-01-01' and date '1998-12-31'"),
-    "view_executive_summary": f("select count(*) as total, count(*) filter (where status = 'RESOLVED') as resolved, round(count(*) filter (where is_false_positive) * 100.0 / count(*), 2) as fp_pct, round(avg(case when not is_false_positive then actual_mttr_minutes end), 2) as mttr from fin"),
-    "view_service_exposure": f("select 'svc-' || r::varchar as service_id, count(f.id) as incidents, round(avg(f.actual_mttr_minutes), 2) as mttr, greatest(99.0, round(100 - sum(case when f.is_false_positive then 0 else f.actual_mttr_minutes end) / 525600 * 100, 4)) as availability from range(30) t(r) left join fin f on f.service_id = 'svc-' || r::varchar group by 1"),
-    "view_monthly_roi": f("select year(detected_at)::int as year, month(detected_at)::int as month, count(*) as incidents, round(sum(total_gross_value_delivered), 2) as gross from fin where year(detected_at) between 1992 and 2000 group by 1, 2"),
-    "view_archetype_pareto": f("select archetype, count(*) as incidents, round(count(*) * 100.0 / (select count(*) from fin), 2) as pct from fin group by 1"),
-    "bi_measures": f("select count(*) as incidents, count(*) filter (where is_false_positive) as false_positives, count(*) filter (where status = 'RESOLVED') as resolved, count(*) filter (where severity = 'CRITICAL') as critical_incidents, round(count(*) filter (where is_false_positive) * 100.0 / count(*), 2) as fp_rate, round(count(*) filter (where status = 'RESOLVED') * 100.0 / count(*), 2) as resolution_rate, round(sum(engineering_hours_saved), 2) as total_hours from fin"),
-    "denormalised_fact": x(["incidents"], "select id, severity, case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 end as severity_rank from incidents"),
-    "tableau_fields": f("select count(distinct service_id) as services, count(distinct case when severity = 'CRITICAL' then id end) as critical_ids, round(avg(case when not is_false_positive then mttr_reduction_minutes end), 4) as mean_reduction from fin"),
+    "view_executive_summary": f("select count(*) as total, count(*) filter (where status = 'RESOLVED') as resolved, round(count(*) filter (where is_false_positive) * 100.0 / count(*), 2) as fp_pct, round(avg(case when not is_false_positive then actual_mttr_minutes end), 2) as mttr, round(sum(downtime_savings_gross), 2) as savings, round(sum(realized_net_savings), 2) as net from fin"),
+    "view_service_exposure": f("select 'svc-' || r::varchar as service_id, count(f.id) as incidents, round(avg(f.actual_mttr_minutes), 2) as mttr, round(sum(f.downtime_savings_gross), 2) as savings, greatest(99.0, round(100 - sum(case when f.is_false_positive then 0 else f.actual_mttr_minutes end) / 525600 * 100, 4)) as availability from range(30) t(r) left join fin f on f.service_id = 'svc-' || r::varchar group by 1"),
+    "view_monthly_roi": f("select year(detected_at)::int as year, month(detected_at)::int as month, count(*) as incidents, round(sum(total_gross_value_delivered), 2) as gross, round(sum(realized_net_savings), 2) as net from fin where year(detected_at) between 1992 and 2000 group by 1, 2"),
+    "view_archetype_pareto": f("select archetype, count(*) as incidents, round(count(*) * 100.0 / (select count(*) from fin), 2) as pct, round(sum(downtime_savings_gross), 2) as savings from fin group by 1"),
+    "bi_measures": f("select count(*) as incidents, count(*) filter (where is_false_positive) as false_positives, count(*) filter (where status = 'RESOLVED') as resolved, count(*) filter (where severity = 'CRITICAL') as critical_incidents, round(count(*) filter (where is_false_positive) * 100.0 / count(*), 2) as fp_rate, round(count(*) filter (where status = 'RESOLVED') * 100.0 / count(*), 2) as resolution_rate, round(sum(engineering_hours_saved), 2) as total_hours, count(*) filter (where severity = 'HIGH') as high_incidents, count(*) filter (where severity = 'MEDIUM') as medium_incidents, count(*) filter (where severity = 'LOW') as low_incidents, round(sum(total_gross_value_delivered), 2) as total_gross, round(sum(realized_net_savings), 2) as total_net, round(sum(downtime_savings_gross), 2) as total_downtime_savings, round(sum(engineering_cost_saved), 2) as total_labour, round(sum(baseline_downtime_cost), 2) as baseline_cost, round(sum(actual_downtime_cost), 2) as actual_cost, round(sum(total_gross_value_delivered) / count(*), 2) as value_per_incident from fin"),
+    "denormalised_fact": x(["incidents"], "select *, case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 end as severity_rank from incidents"),
+    "tableau_fields": f("select count(distinct service_id) as services, count(distinct case when severity = 'CRITICAL' then id end) as critical_ids, round(avg(case when not is_false_positive then mttr_reduction_minutes end), 4) as mean_reduction, round(sum(total_gross_value_delivered) * 0.25::double, 2) as net_at_aggregate from fin"),
     "filter_incidents": x(["incidents"], "select id, severity, service_id from incidents where severity = 'HIGH' and service_id = 'svc-3'"),
-    "financial_impact": f("select round(sum(downtime_savings_gross), 2) as downtime_savings, 180000.0 as rate_critical, 5000.0 as rate_low from fin"),
-    "realisation_what_if": f("select r / 10.0::double as rate, round(sum(total_gross_value_delivered) * (r / 10.0::double), 0) as net from fin, range(1, 11) t(r) group by r"),
+    "financial_impact": f("select round(sum(downtime_savings_gross), 2) as downtime_savings, round(sum(total_gross_value_delivered), 2) as gross_value, round(sum(realized_net_savings), 2) as net_savings, round((sum(realized_net_savings) - 15000) * 100 / 15000, 2) as roi_pct, round(15000 * 365 / sum(realized_net_savings), 1) as payback_days, 180000.0::double as rate_critical, 120000.0::double as rate_high, 25000.0::double as rate_medium, 5000.0::double as rate_low from fin"),
+    "realisation_what_if": f(", w as (select r / 10.0::double as rate, sum(total_gross_value_delivered) * (r / 10.0::double) as n from fin, range(1, 11) t(r) group by r) select rate, round(n, 2) as net, round((n - 15000) * 100 / 15000, 2) as roi_pct, round(15000 * 365 / n, 4) as payback_days from w"),
     "period_filter": x(["incidents"], "select id, severity from incidents where detected_at::date >= (select max(detected_at)::date from incidents) - 90"),
     "stage_waterfall": "select event_type, count(*) as n, round(avg(m), 4) as mean_minutes from (select event_type, epoch(lead(ts) over (partition by user_id order by ts, event_type) - ts) / 60 as m from events) where m is not null group by 1",
     "upsert_incidents": x(["incidents"], ", a as (select * from incidents), b as (select id + 3000 as id, id as src, severity from incidents where id % 3 = 0) select coalesce(a.id, b.id) as incident_id, coalesce('t' || a.id::varchar, 'n' || b.src::varchar) as title, coalesce(a.severity, b.severity) as severity, coalesce(a.id * 10, b.src * 10) as detected_at, case when b.id is not null then 'RESOLVED' else a.status end as status, case when b.id is not null then 0.9 else 0.5 end as confidence, case when b.id is not null then 'pm' end as postmortem, b.src as resolved_at from a full join b on a.id = b.id"),
@@ -270,7 +270,7 @@ ORACLES = {
     "active_investigations": x(["incidents"], "select incident_id, epoch, status from (select id % 2000 as incident_id, id as epoch, status, row_number() over (partition by id % 2000 order by id desc, status) as i from incidents) where i = 1 and epoch > 12000 and status <> 'RESOLVED'"),
     "patch_state": x(["incidents"], "select id as incident_id, case when id % 4 = 0 then 'PATCHED' else status end as status, service_id from incidents"),
     "count_by_labels": x(["requests"], "select kind, status, count(*) as n from requests group by 1, 2"),
-    "histogram_buckets": x(["requests"], f"{BUCKETS} select kind, le::double as le, cum, count, round(sum, 4) as sum from b where le < 1"),
+    "histogram_buckets": x(["requests"], f"{BUCKETS} select kind, le::double as le, cum, count, round(sum, 4) as sum from b"),
     "range_rate": x(["request_samples"], ", " + rate_sql("request_samples", "status_code", 60) + " select status_code, evaluated, round(rate, 9) as rate from request_samples_r"),
     "alert_rules": x([f"{n}_samples" for n in ("latency", "snapshot", "health", "grounding", "request")], ", " + alerts_sql()),
     "as_of": x(["health_samples"], f", {AS_OF} select subsystem, evaluated, value from gauges"),
