@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise_endpoint
 from ..operators import evaluate, finance, history, metrics, retrieve
-from .testbed import duck, load
+from ..operators.buckets import BucketedTable
+from .testbed import duck, load, scratch
 
 EDGES = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5]
 
@@ -57,6 +58,21 @@ def upserted(s, d):
     return history.upsert_incidents(*history_pair(s, d))
 
 
+def upserted_in_buckets(s, d):
+    """As upserted, in a table of buckets of which only those touched are written again."""
+    base, new = history_pair(s, d)
+    table = BucketedTable.create(base, scratch(s, "incidents"), "incident_id")
+    table.apply(new, history.upsert_incidents)
+    return table.read()
+
+
+def replaced_in_buckets(s, d):
+    new = children(s, d).where("incident_id >= 4000 and incident_id % 2 = 0").selectExpr("incident_id", "signal_id", "'new' as metric")
+    table = BucketedTable.create(children(s, d), scratch(s, "children"), "incident_id")
+    table.apply(new, history.replace_children)
+    return table.read()
+
+
 def children(s, d):
     return load(s, d, "signals").select("incident_id", "signal_id", "metric")
 
@@ -155,6 +171,8 @@ QUERIES = {
     "stage_waterfall": lambda s, d: finance.stage_waterfall(s.read.parquet(f"{d}/events.parquet"), ["user_id"], "event_type", "ts"),
     "upsert_incidents": upserted,
     "replace_children": replaced,
+    "upsert_incidents_bucketed": upserted_in_buckets,
+    "replace_children_bucketed": replaced_in_buckets,
     "incident_detail": detail,
     "similar_incidents": lambda s, d: similar(s, d).select("probe_id", "incident_id", "rank", "action"),
     "recent_incidents": lambda s, d: history.recent_incidents(inc(s, d).selectExpr("id as incident_id", "detected_at", "status")).select("incident_id", "status"),
@@ -283,3 +301,4 @@ ORACLES = {
     "latest_health": x(["requests"], "select kind, arg_max(case when status = 500 then 0 else 1 end, id) as value, arg_max(status = 500, id) as degraded from requests group by 1"),
     "threshold_alarm": x(["requests"], f"{RATIO} select window_start, count(*) over w = 3 and sum((ratio > 0.2)::int) over w = 3 as alarm from ra window w as (order by window_start rows between 2 preceding and current row)"),
 }
+ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("upsert_incidents", "replace_children")}
