@@ -176,7 +176,8 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
     edits = durable(pairs.where("own <> edit").join(crowded, pairs.edit == crowded.bucket, "left_semi").select(F.col("edit").alias("bucket"), "id", "mark", "next_id", "next_mark").distinct())
     need = edits.select(F.explode(F.array(F.struct("id", "mark"), F.struct(F.col("next_id").alias("id"), F.col("next_mark").alias("mark")))).alias("x"))
     need = durable(need.select(F.col("x.id").alias("wanted"), F.col("x.mark").alias("wanted_mark")).distinct())
-    texts = durable(rows.join(need, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("wanted_mark")), "left_semi").dropDuplicates(["id", "mark"]))
+    named = F.broadcast(need) if need.count() <= BROADCAST_IDS else need  # so that only the texts asked for move
+    texts = durable(rows.join(named, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("mark") == F.col("wanted_mark")), "left_semi").dropDuplicates(["id", "mark"]))
     self_ = texts.select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
     follower = texts.select(F.col("id").alias("j"), F.col("mark").alias("n"), F.col("text").alias("follower"))
     both = edits.join(self_, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).join(follower, F.col("next_id").eqNullSafe(F.col("j")) & (F.col("next_mark") == F.col("n")))
