@@ -312,7 +312,7 @@ def added_spans(text: str, w: Words, belief: np.ndarray, level: float = LEVEL) -
 def spans_of(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     """For each text the patterns' spans and those that the field adds."""
     base = [base_spans(t) for t in texts]
-    at = [k for k, (t, s) in enumerate(zip(texts, base, strict=True)) if t and s]  # without a span nothing is observed
+    at = [k for k, t in enumerate(texts) if t and OPEN.search(t)]
     out = [(s, []) for s in base]
     parts = [words_in(texts[k], base[k]) for k in at]
     if not parts:

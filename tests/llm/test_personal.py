@@ -119,3 +119,11 @@ def test_no_documents_and_none_to_learn_from(spark, docs):
     assert personal.span_index(docs.where("false")).collect() == []
     few = spark.createDataFrame([(1, "only words"), (2, None)], "doc_id long, text string")
     assert [(r.n_email, r.spans) for r in personal.span_index(few).orderBy("doc_id").collect()] == [(0, ""), (0, "")]
+
+
+def test_the_field_labels_texts_in_which_no_pattern_matches():
+    field = personal.taught([])
+    field.node[personal.features_of("555-3824"), personal.KINDS.index("phone") + 1] = 5.0
+    text = "call 555-3824 now"
+    assert personal.base_spans(text) == []
+    assert personal.spans_of([text, None, "", "only words", text], field) == [([], [(3, 5, 13)]), ([], []), ([], []), ([], []), ([], [(3, 5, 13)])]
