@@ -31,7 +31,8 @@ def semantic(s, d, k=15):
 
 
 def fused(s, d):
-    return retrieve.rrf_fuse(lexical(s, d), semantic(s, d))
+    index = TextIndex.build(corpus(s, d), scratch(s, "index"))
+    return retrieve.rrf_fuse(retrieve.search_lexical(index, probes(s, d), 15), retrieve.search_semantic(index, probes(s, d), 15))
 
 
 def markdown(s, d):
