@@ -224,10 +224,15 @@ def stateful(s):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Rows of a stand-in to a batch of a stream; the rows of a key in one batch are held in one task.
+BATCH = 500_000
+
+
 def sliced(s, df, name, slices=3):
-    """df as files of ascending ids, written one after the other, and read as a stream of one slice a batch."""
+    """df as files of ascending ids, written one after the other, and read as a stream of one slice a batch; more slices if there are many rows."""
     path = scratch(s, name)
-    top = df.agg(F.max("id")).first()[0] or 0
+    rows, top = df.agg(F.count("*"), F.max("id")).first()
+    slices, top = max(slices, -(-rows // BATCH)), top or 0
     for i in range(slices):
         lo, hi = top * i // slices, top * (i + 1) // slices + (i == slices - 1)
         df.where((F.col("id") >= lo) & (F.col("id") < hi)).coalesce(1).write.mode("append").parquet(path)

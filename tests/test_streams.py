@@ -76,3 +76,16 @@ def test_a_batch_run_twice_is_written_once(spark, feed):
     for state in ("one", "two"):  # a lost checkpoint makes the same batch again
         streaming.quarantine_stream(stream(DIRTY), judge, ["id"], f"{path}/valid", f"{path}/rejected", f"{path}/{state}", "service_id", "stamp", "id").awaitTermination()
     assert (spark.read.parquet(f"{path}/valid").count(), spark.read.parquet(f"{path}/rejected").agg(F.count_distinct("id")).first()[0], spark.read.parquet(f"{path}/rejected").count()) == (10, 10, 10)
+
+
+def test_batches_of_a_stand_in_stay_bounded(spark, monkeypatch):
+    """More rows are more slices of the stream, not larger ones."""
+    from telemara.plans import text
+
+    monkeypatch.setattr(text, "BATCH", 100, raising=False)
+    rows = spark.range(1050).selectExpr("id", "id * 2 as x")
+    path = text.scratch(spark, "bounded")
+    monkeypatch.setattr(text, "scratch", lambda s, name: path)
+    text.sliced(spark, rows, "bounded")
+    sizes = [r["count"] for r in spark.read.parquet(path).selectExpr("_metadata.file_path as f").groupBy("f").count().collect()]
+    assert sum(sizes) == 1050 and len(sizes) == 11 and max(sizes) <= 100
