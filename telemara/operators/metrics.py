@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,44 +32,78 @@ def rate_over_window(df: DataFrame, by, epoch, window_s=300) -> DataFrame:
     return df.groupBy(*by, start).agg((F.count("*") / window_s).alias("rate"))
 
 
+#: Evaluations of a span: what a task holds of a series at once, with what reaches into it.
+SPAN = 16_384
+
+
+def _in_spans(df: DataFrame, keys, first, last, length) -> DataFrame:
+    """df, each row once for every span of `length` from that of `first` to that of `last` (`_span`), and those of one key and span together (`_place`).
+
+    So what looks back or ahead by less than a span finds all it needs there, and a key of any length is many tasks. A later
+    grouping by `_place` and further columns moves no row again.
+    """
+    spread = df.withColumn("_span", F.explode(F.sequence(F.floor(first / length), F.floor(last / length))))
+    return spread.withColumn("_place", F.xxhash64(*keys, "_span")).repartition("_place")
+
+
+def _window_rates(t: np.ndarray, v: np.ndarray, ends: np.ndarray, step_s: int, window_s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times of those ends, multiples of step_s by their number, whose windows hold two samples or more, and their rates; t rises."""
+    pane = np.ceil(t / step_s).astype(np.int64)
+    a, z = np.searchsorted(pane, ends - window_s // step_s, side="right"), np.searchsorted(pane, ends, side="right") - 1
+    at = z > a
+    a, z, ends = a[at], z[at], ends[at] * step_s
+    if not len(ends):
+        return ends, np.zeros(0)
+    before, here = v[:-1], v[1:]
+    fall = np.r_[0.0, np.where((before > here) | (np.isnan(before) & ~np.isnan(here)), before, 0.0), 0.0]
+    with np.errstate(all="ignore"):
+        grown, span = v[z] - v[a] + np.add.reduceat(fall, np.stack([a + 1, z + 1], axis=1).ravel())[::2], t[z] - t[a]
+        mean = span / (z - a)
+        near = lambda x: np.where(x < mean * 1.1, x, mean / 2)
+        head = near(t[a] - (ends - window_s))
+        head = np.where((grown > 0) & (v[a] >= 0), np.fmin(head, span * v[a] / grown), head)
+        return ends, grown * (span + head + near(ends - t[z])) / span / window_s
+
+
 def range_rate(samples: DataFrame, by, epoch, value, window_s=300, step_s=60) -> DataFrame:
     """I3 for counter samples: (by, evaluated, rate), the increase a second over the last window_s seconds at each multiple of step_s.
 
     A window is (evaluated - window_s, evaluated]. A value below the one before it is a reset, which adds that one. The increase is
     carried on to the window's ends where a sample lies within 1.1 mean distances of them, else by half a mean distance,
     and never back beyond the time at which the counter was 0. Windows with fewer than two samples have no rate.
-    Samples of one step are summed up first, then sent to the window_s / step_s windows they are in.
+    Samples are sent once to their span of SPAN evaluations, and to the next if its windows reach back to them.
     """
     by, names = list(by), [f"_k{i}" for i in range(len(by))]
     rows = samples.where(F.col(value).isNotNull() & F.col(epoch).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(by, names, strict=True)], F.col(epoch).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
-    one = rows.groupBy(*names, "t").agg(F.max("v").alias("v"))  # of samples of one time the larger
-    past = running(one, names, ["t"], {"before": ("max", F.struct("t", "v"))})
-    fall = F.when(F.col("before.v") > F.col("v"), F.col("before.v")).otherwise(0.0)
-    pane = (F.ceil(F.col("t") / step_s) * step_s).cast("long")
-    first, last = F.min(F.struct("t", "v", "fall")), F.max(F.struct("t", "v"))
-    panes = past.withColumn("fall", fall).groupBy(*names, pane.alias("pane")).agg(F.count("*").alias("n"), F.sum("fall").alias("falls"), first.alias("first"), last.alias("last"))
-    seen = panes.select("*", F.explode(F.sequence(F.col("pane"), F.col("pane") + window_s - step_s, F.lit(step_s).cast("long"))).alias("evaluated"))
-    w = seen.groupBy(*names, "evaluated").agg(F.sum("n").alias("n"), F.sum("falls").alias("falls"), F.min("first").alias("a"), F.max("last").alias("z")).where("n > 1")
-    grown, span = F.col("z.v") - F.col("a.v") + F.col("falls") - F.col("a.fall"), F.col("z.t") - F.col("a.t")
-    mean = span / (F.col("n") - 1)
-    near = lambda x: F.when(x < mean * 1.1, x).otherwise(mean / 2)
-    head = near(F.col("a.t") - (F.col("evaluated") - window_s))
-    zero = F.when((grown > 0) & (F.col("a.v") >= 0), span * F.col("a.v") / grown)
-    reach = span + F.least(head, zero) + near(F.col("evaluated") - F.col("z.t"))
-    return w.select(*[F.col(n).alias(k) for k, n in zip(by, names, strict=True)], "evaluated", (grown * reach / span / window_s).alias("rate"))
+    panes, pane = window_s // step_s, F.ceil(F.col("t") / step_s)
+    length = max(SPAN, panes)
+    spread = _in_spans(rows, names, pane, pane + (panes - 1), length)
+    one = spread.groupBy("_place", "_span", *names, "t").agg(F.max("v").alias("v"))  # of samples of one time the larger
+
+    def rates(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        begin = table.column("_span")[0].as_py() * length
+        ends, rate = _window_rates(table.column("t").to_numpy(), table.column("v").to_numpy(), np.arange(begin, begin + length), step_s, window_s)
+        key = table.select(names).take(pa.array(np.zeros(len(ends), np.int64)))
+        return pa.table([*key.columns, pa.array(ends, pa.int64()), pa.array(rate, pa.float64())], names=[*names, "evaluated", "rate"])
+
+    schema = ", ".join([*[f"{n} {rows.schema[n].dataType.simpleString()}" for n in names], "evaluated long, rate double"])
+    return one.groupBy("_place", "_span", *names).applyInArrow(rates, schema).withColumnsRenamed(dict(zip(names, by, strict=True)))
 
 
 def as_of(samples: DataFrame, by, epoch, value, step_s=5, stale_s=300) -> DataFrame:
     """(by, evaluated, value): at each multiple of step_s the last sample of the key, if it is less than stale_s old.
 
     Of samples of one time the larger value counts. Each sample is sent to the evaluations from its own time up to the
-    next sample, so no evaluation is looked up.
+    next sample, so no evaluation is looked up; a next one that comes later than stale_s does not matter.
     """
-    by = list(by)
-    one = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(epoch).cast("double").alias("_t")).agg(F.max(value).alias("value"))
-    placed = running(one, by, [F.col("_t").desc()], {"_next": ("min", F.col("_t"))})
-    begin = F.ceil(F.col("_t") / step_s).cast("long")
-    end = F.ceil(F.least(F.coalesce("_next", F.lit(float("inf"))), F.col("_t") + stale_s) / step_s).cast("long") - 1
+    by, t = list(by), F.col("_t")
+    rows = samples.where(F.col(value).isNotNull() & F.col(epoch).isNotNull()).select(*by, F.col(epoch).cast("double").alias("_t"), F.col(value).alias("_v"))
+    length = max(SPAN * step_s, stale_s)
+    one = _in_spans(rows, by, t - stale_s, t, length).groupBy("_place", "_span", *by, "_t").agg(F.max("_v").alias("value"))
+    placed = one.withColumn("_next", F.lead("_t").over(Window.partitionBy("_place", "_span", *by).orderBy("_t"))).where(F.floor(t / length) == F.col("_span"))
+    begin = F.ceil(t / step_s).cast("long")
+    end = F.ceil(F.least(F.coalesce("_next", F.lit(float("inf"))), t + stale_s) / step_s).cast("long") - 1
     return placed.where(begin <= end).select(*by, F.explode(F.sequence(begin, end)).alias("evaluated"), "value").withColumn("evaluated", F.col("evaluated") * step_s)
 
 
@@ -102,13 +138,16 @@ def alert_state(series: DataFrame, by, epoch, predicate, for_s: int) -> DataFram
 def active_alerts(on: DataFrame, by, for_s: int, step_s: int = 5) -> DataFrame:
     """Pending or firing for each evaluation (by, evaluated) of on, at which a rule's condition held; any other is inactive.
 
-    An evaluation that is missing ends what has been held so far, as a condition without a value does.
+    An evaluation that is missing ends what has been held so far, as a condition without a value does. A span looks back
+    by for_s and a step: what has held since before that is firing, whenever it began.
     """
-    by = list(by)
-    seen = running(on, by, ["evaluated"], {"_before": ("max", F.col("evaluated"))})
-    begun = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("evaluated") - step_s), F.col("evaluated"))
-    held = running(seen, by, ["evaluated"], {"_since": ("max", begun)}, current=True)
-    return held.select(*by, "evaluated", F.when(F.col("evaluated") - F.col("_since") >= for_s, "firing").otherwise("pending").alias("state"))
+    by, at = list(by), F.col("evaluated")
+    length = max(SPAN * step_s, for_s + step_s)
+    w = Window.partitionBy("_place", "_span", *by).orderBy("evaluated")
+    before = F.lag("evaluated").over(w)
+    seen = _in_spans(on.select(*by, "evaluated"), by, at, at + (for_s + step_s), length).withColumn("_begun", F.when(before.isNull() | (before < at - step_s), at))
+    held = seen.withColumn("_since", F.max("_begun").over(w)).where(F.floor(at / length) == F.col("_span"))
+    return held.select(*by, "evaluated", F.when(at - F.col("_since") >= for_s, "firing").otherwise("pending").alias("state"))
 
 
 #: The rules' bounds and how long each must hold, in seconds.
@@ -121,7 +160,7 @@ def _share(rates: DataFrame, part) -> DataFrame:
 
 
 def _median_of(rates: DataFrame, q: float) -> DataFrame:
-    buckets = rates.groupBy("evaluated", "le").agg(F.sum("rate").alias("cum"))
+    buckets = rates.repartition("evaluated").groupBy("evaluated", "le").agg(F.sum("rate").alias("cum"))  # moved once for the sums and the windows
     return histogram_quantile(buckets, ["evaluated"], q).select("evaluated", F.col("quantile").alias("value"))
 
 
