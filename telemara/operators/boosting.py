@@ -2,7 +2,8 @@
 
 Rows are binned once and packed into blocks that carry their class scores. For each level of a round's trees, one for
 each class, every task adds up gradients by (class, node, feature, bin); the sums of a (class, node) meet in one further
-task, which gives back only the best cut. So the driver holds trees alone. Scores are brought up to date and written to
+task, which gives back only the best cut. The leaves of the last level need no histograms, only the sums of one feature.
+So the driver holds trees alone. Scores are brought up to date and written to
 the shared folder every few rounds; in between, tasks add the trees that a block has not seen.
 """
 
@@ -52,6 +53,19 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def level_sums(columns: np.ndarray, at: np.ndarray, nodes: list[int], g: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
+    """(node, g or h, feature, bin): sums over the rows at each of nodes, from two passes a feature; columns: bins by feature."""
+    place = np.full(int(at.max()) + 1, len(nodes))
+    place[nodes] = np.arange(len(nodes))
+    first = place[at] * most
+    made = np.empty((len(nodes), 2, len(columns), most))
+    for f, column in enumerate(columns):
+        cell = first + column
+        for i, weights in enumerate((g, h)):
+            made[:, i, f] = np.bincount(cell, weights, (len(nodes) + 1) * most)[:-most].reshape(-1, most)
+    return made
+
+
 def best_cut(g: np.ndarray, h: np.ndarray, l2: float, least: float):
     """(gain, feature, bin) of the best cut of a node from its histograms (feature, bin), or None; ties: the first."""
     gl, hl = g.cumsum(axis=1)[:, :-1], h.cumsum(axis=1)[:, :-1]
@@ -108,26 +122,23 @@ def boost_fit(df: DataFrame, features, label: str, classes: int, rounds: int = 3
         for level in range(depth + 1):
             sent = spark.sparkContext.broadcast((done[seen:], trees, open_))
 
-            def run(batches, sent=sent):
+            def run(batches, sent=sent, shown=width if level < depth else 1):
                 fresh, growing, wanted = sent.value
                 sums: dict = {}
                 for x, y, s in _unpacked(batches, width, classes):
                     p = softmax(_added(s, x, fresh))
-                    g, h = p - np.eye(classes)[y], p * (1 - p)
+                    g, h = np.ascontiguousarray((p - np.eye(classes)[y]).T), np.ascontiguousarray((p * (1 - p)).T)
+                    columns = np.ascontiguousarray(x.T[:shown]).astype(np.int64)
                     for k in range(classes):
                         at = leaf_of(growing[k], x)
-                        for node in np.unique(at):
-                            if (k, int(node)) in wanted:
-                                here = at == node
-                                hist = sums.setdefault((k, int(node)), np.zeros((2, width, most)))
-                                for f in range(width):
-                                    hist[0, f] += np.bincount(x[here, f], g[here, k], most)
-                                    hist[1, f] += np.bincount(x[here, f], h[here, k], most)
+                        nodes = [int(n) for n in np.unique(at) if (k, int(n)) in wanted]
+                        for node, hist in zip(nodes, level_sums(columns, at, nodes, g[k], h[k], most), strict=True):
+                            sums[k, node] = sums[k, node] + hist if (k, node) in sums else hist
                 for (k, node), hist in sums.items():
                     yield pa.RecordBatch.from_pydict({"k": [k], "node": [node], "body": [hist.tobytes()]}, schema=pa.schema([("k", pa.int32()), ("node", pa.int32()), ("body", pa.binary())]))
 
             def cut(key, pdf):
-                g, h = sum(np.frombuffer(b, np.float64) for b in pdf["body"]).reshape(2, width, most)
+                g, h = sum(np.frombuffer(b, np.float64) for b in pdf["body"]).reshape(2, -1, most)
                 best = best_cut(g, h, l2, least) if level < depth else None  # noqa: B023  called within the round
                 row = {"k": key[0], "node": key[1], "value": -rate * g[0].sum() / (h[0].sum() + l2), "gain": best[0] if best else 0.0, "feature": best[1] if best else -1, "bin": best[2] if best else -1}
                 return pd.DataFrame([row])
