@@ -85,10 +85,11 @@ def stratified_split(df: DataFrame, label, id, test=0.25, seed=42) -> DataFrame:
     """
     hashed = settled(df.withColumn("_h", F.crc32(F.concat_ws("-", F.col(id).cast("string"), F.lit(str(seed))))))
     take = lambda n: F.floor(n * F.lit(float(test)))
-    cuts = ranked_values(hashed, [label], "_h", lambda n: F.array(F.greatest(take(n) - 1, F.lit(0)))).select(F.col(label).alias("_l"), F.col("value").alias("_cut"), take(F.col("n")).alias("_take"))
-    cut = hashed.join(F.broadcast(settled(cuts)), F.col(label).eqNullSafe(F.col("_l")))  # a row a label
-    less = cut.groupBy("_l").agg(F.count_if(F.col("_h") < F.col("_cut")).alias("_less")).withColumnRenamed("_l", "_m")
-    known = cut.join(F.broadcast(settled(less)), F.col("_l").eqNullSafe(F.col("_m")))
+    narrow = settled(hashed.select(label, "_h"))  # read by every round of the selection
+    cuts = settled(ranked_values(narrow, [label], "_h", lambda n: F.array(F.greatest(take(n) - 1, F.lit(0)))).select(F.col(label).alias("_l"), F.col("value").alias("_cut"), take(F.col("n")).alias("_take")))  # a row a label
+    cut = lambda rows: rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l")))
+    less = cut(narrow).groupBy("_l").agg(F.count_if(F.col("_h") < F.col("_cut")).alias("_less")).withColumnRenamed("_l", "_m")
+    known = cut(hashed).join(F.broadcast(settled(less)), F.col("_l").eqNullSafe(F.col("_m")))
     sure, ties = known.where("_h <> _cut"), known.where("_h = _cut")
     tied = running(ties, ["_l"], [id], {"_n": ("sum", F.lit(1))}, current=True)
     both = sure.withColumn("is_test", F.expr("_h < _cut and _take > 0")).unionByName(tied.withColumn("is_test", F.expr("_less + _n <= _take")), allowMissingColumns=True)
@@ -146,6 +147,15 @@ def _depths(tree, x):
     return out
 
 
+def exact_percentile(df: DataFrame, value: str, q: float) -> float:
+    """As Spark's percentile, between the two nearest ranks, which are selected by counts: no task holds the values."""
+    at = (F.col("n") - 1) * F.lit(float(q))
+    rows = ranked_values(df, [], value, lambda n: F.array(F.floor(at), F.ceil(at))).collect()  # two rows at most
+    at, known = (rows[0].n - 1) * float(q), {r["rank"]: float(r.value) for r in rows}
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    return known[low] if known[low] == known[high] else (high - at) * known[low] + (at - low) * known[high]
+
+
 def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.05, seed=42):
     """Isolation trees, one a group, each grown in a task of its own from `sample` rows; the cut by contamination.
 
@@ -166,8 +176,7 @@ def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.
 
     grown = drawn.groupBy("tree").applyInPandas(build, "tree int, size int, body binary").collect()  # `trees` rows
     model = {"features": list(features), "size": max(r["size"] for r in grown), "trees": [pickle.loads(bytes(r["body"])) for r in sorted(grown, key=lambda r: r["tree"])]}
-    cut = _isolation(df, model).agg(F.percentile("iso_raw", 1 - contamination)).first()[0]
-    return model | {"cut": float(cut)}
+    return model | {"cut": exact_percentile(settled(_isolation(df, model).select("iso_raw")), "iso_raw", 1 - contamination)}
 
 
 def _isolation(df: DataFrame, model) -> DataFrame:

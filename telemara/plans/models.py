@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ARCHETYPES, encode_archetype, error_rate
 from ..operators import boosting, features, reconstruction
-from ..sources import settled
 from . import tiers
 
 FLAT = {
@@ -34,7 +33,7 @@ ROUNDS, DEPTH, EPOCHS, TREES = 12, 3, 30, 60
 def vectors(s, d):
     """The 41 features of all snapshots, with E6's split by a number that no two share."""
     whole = features.vector_features(telemetry(s, d), KEYS, ORDER)
-    return settled(features.stratified_split(whole.withColumn("sample", F.xxhash64(*AT)), "y", "sample"))
+    return features.stratified_split(whole.withColumn("sample", F.xxhash64(*AT)), "y", "sample")  # which keeps the rows itself
 
 
 def both(s, d):
