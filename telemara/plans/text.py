@@ -229,14 +229,21 @@ BATCH = 500_000
 
 
 def sliced(s, df, name, slices=3):
-    """df as files of ascending ids, written one after the other, and read as a stream of one slice a batch; more slices if there are many rows."""
+    """df as files of ascending ids, read as a stream of one slice a batch; more slices if there are many rows.
+
+    All slices are written in one pass, and then dated in their order, as a stream takes its files by their times.
+    """
     path = scratch(s, name)
     rows, top = df.agg(F.count("*"), F.max("id")).first()
-    slices, top = max(slices, -(-rows // BATCH)), top or 0
-    for i in range(slices):
-        lo, hi = top * i // slices, top * (i + 1) // slices + (i == slices - 1)
-        df.where((F.col("id") >= lo) & (F.col("id") < hi)).coalesce(1).write.mode("append").parquet(path)
-    return streaming.read_snapshot_stream(s, path, s.read.parquet(path).schema, 1)
+    slices = max(slices, -(-rows // BATCH))
+    if not rows:
+        df.coalesce(1).write.parquet(path)  # the file of a table without rows
+    else:
+        at = F.floor(F.col("id") / F.lit(max(top or 0, 1) / slices))
+        numbered = df.where("id is not null").withColumn("slice_", F.greatest(F.lit(0), F.least(F.lit(slices - 1), at)).cast("int"))
+        numbered.repartition(slices, "slice_").write.partitionBy("slice_").parquet(path)
+        sources.dated(s, [f"{path}/slice_={i}" for i in range(slices)])
+    return streaming.read_snapshot_stream(s, path, df.schema, 1).select(*df.columns)
 
 
 def event_stream(s, d):

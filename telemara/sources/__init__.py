@@ -44,6 +44,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dated(spark: SparkSession, folders: list[str]) -> None:
+    """Gives the files of each folder a later time than those of the folder before; a folder may be missing."""
+    hadoop, conf, now = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), None
+    for i, folder in enumerate(hadoop.Path(f) for f in folders):
+        files = folder.getFileSystem(conf)
+        for x in files.listStatus(folder) if files.exists(folder) else []:
+            now = now or (x.getModificationTime() // 1000 - len(folders)) * 1000
+            files.setTimes(x.getPath(), now + 1000 * i, -1)
+            if files.getFileStatus(x.getPath()).getModificationTime() != now + 1000 * i:
+                raise RuntimeError(f"the file system of {folder.toString()} keeps no times of its files")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext

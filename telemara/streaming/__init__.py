@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import warnings
+from contextlib import contextmanager
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -15,7 +16,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import features
 from ..operators.contract import MONOTONIC, split_quarantine
-from ..operators.detect import CRITICAL_11, ENGINE, Chart, Engine, chi_square_tail
+from ..operators.detect import CRITICAL_11, ENGINE, Chart, Engine, _middle, chi_square_tail
+
+
+@contextmanager
+def few_states(spark: SparkSession):
+    """A stream started in here keeps its state in two partitions a core at most: each batch opens and commits all of them."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def read_snapshot_stream(spark: SparkSession, path: str, schema, max_files: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -82,8 +95,19 @@ def cents(x: float) -> float:
     return float(Decimal(repr(float(x))).quantize(Decimal("0.01"), ROUND_HALF_UP)) + 0.0
 
 
-def severity(sigma: float) -> str:
-    return next((name for least, name in ((5, "CRITICAL"), (3.5, "HIGH"), (2.5, "MEDIUM")) if abs(sigma) >= least), "LOW")
+def all_cents(x: np.ndarray) -> np.ndarray:
+    """cents() of each value; only those that products of doubles cannot tell from a half go through decimals."""
+    scaled = np.abs(x) * 100
+    whole = np.floor(scaled)
+    out = np.copysign(whole + (scaled - whole > 0.5), x) / 100 + 0.0
+    near = np.flatnonzero(~(np.abs(scaled - whole - 0.5) > 1e-12 * (1 + scaled)))
+    out[near] = [cents(v) for v in x[near]]
+    return out
+
+
+def severities(sigma: np.ndarray) -> np.ndarray:
+    size = np.abs(sigma)
+    return np.select([size >= 5, size >= 3.5, size >= 2.5], ["CRITICAL", "HIGH", "MEDIUM"], "LOW")
 
 
 class Watch(StatefulProcessor):
@@ -103,21 +127,29 @@ class Watch(StatefulProcessor):
         past = {m: np.array(held["past"].get(m, []), float) for m in self.metrics}
         new = {m: pdf[m].to_numpy(float) for m in self.metrics}
         charts = [Chart(lam=lam, direction=way, state=st) for (_, lam, way), st in zip(e.ewma, held["charts"], strict=True)]
-        out: list[tuple] = []
         for at in range(0, len(pdf), 4096):
             part = {m: x[at : at + 4096] for m, x in new.items()}
-            out += self.signals(pdf.iloc[at : at + 4096], past, part, charts)
+            made = self.signals(pdf.iloc[at : at + 4096], past, part, charts)
             past = {m: np.concatenate([past[m], part[m]])[-e.window :] for m in self.metrics}
+            if made:
+                columns = {c: np.concatenate([x[c] for x in made]) for c in made[0]}
+                yield pd.DataFrame({self.key: [key[0]] * len(columns["id"])} | columns)
         self.state.update((json.dumps({"past": {m: x.tolist() for m, x in past.items()}, "charts": [c.state() for c in charts]}),))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=[self.key, "id", "metric", "detector", "emission", "observed", "baseline", "sigma", "severity", "explicit", "details"])
 
-    def signals(self, pdf, past, new, charts):
-        e, ids, out, n = self.engine, pdf["id"].tolist(), [], 0
+    def signals(self, pdf, past, new, charts) -> list[dict[str, np.ndarray]]:
+        """The columns of what each detector that fires finds in the rows."""
+        e, ids, out, n = self.engine, pdf["id"].to_numpy(), [], 0
 
         def put(flags, metric, detector, at, observed, baseline, sigma, grave, details, explicit=False):
-            for i in np.flatnonzero(flags):
-                text = json.dumps({k: v[i] if isinstance(v[i], str) else str(cents(v[i])) for k, v in details.items()}, separators=(",", ":"))
-                out.append((ids[i], metric, detector, at, cents(observed[i]), cents(baseline[i]), cents(sigma[i]), grave(i), explicit, text))
+            """grave and details are made of the rows that fire alone; details come as numbers or as texts."""
+            i = np.flatnonzero(flags)
+            if not len(i):
+                return
+            shown = {k: v(i) for k, v in details.items()}
+            each = [[f"{json.dumps(k)}:{json.dumps(x)}" for x in v] if isinstance(v, list) else [f'{json.dumps(k)}:"{x}"' for x in all_cents(v).tolist()] for k, v in shown.items()]
+            text = np.array(["{" + ",".join(x) + "}" for x in zip(*each, strict=True)], object)
+            same = lambda v: np.full(len(i), v, object)
+            out.append({"id": ids[i], "metric": same(metric), "detector": same(detector), "emission": np.full(len(i), at, np.int32), "observed": all_cents(observed[i]), "baseline": all_cents(baseline[i]), "sigma": all_cents(sigma[i]), "severity": grave(i).astype(object), "explicit": np.full(len(i), explicit), "details": text})
 
         beyond = lambda z, edge, way: {"upper": z >= edge, "lower": z <= -edge, "both": np.abs(z) >= edge}[way]
         with np.errstate(all="ignore"), warnings.catch_warnings():
@@ -126,19 +158,19 @@ class Watch(StatefulProcessor):
                 w, x = trailing(past[m], new[m], e.window, False), new[m]
                 mean, std = np.nanmean(w, axis=1), np.nanstd(w, axis=1, ddof=1)
                 z = (x - mean) / (std + 1e-6)
-                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.z_limit, way), m, "z_score", n, x, mean, z, lambda i, z=z: severity(z[i]), {"window_std": std})
+                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.z_limit, way), m, "z_score", n, x, mean, z, lambda i, z=z: severities(z[i]), {"window_std": lambda i, std=std: std[i]})
                 n += 1
             for m, way in e.mad:
                 w, x = trailing(past[m], new[m], e.window, False), new[m]
-                middle = np.nanmedian(w, axis=1)
-                mad = np.nanmedian(np.abs(w - middle[:, None]), axis=1)
+                middle = _middle(w)
+                mad = _middle(np.abs(w - middle[:, None]))
                 z = 0.6745 * (x - middle) / (mad + 1e-6)
-                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.mad_limit, way), m, "modified_z_score", n, x, middle, z, lambda i, z=z: severity(z[i]), {"window_mad": mad})
+                put((np.sum(~np.isnan(w), axis=1) >= e.min_samples) & beyond(z, e.mad_limit, way), m, "modified_z_score", n, x, middle, z, lambda i, z=z: severities(z[i]), {"window_mad": lambda i, mad=mad: mad[i]})
                 n += 1
             for (m, _, _), chart in zip(e.ewma, charts, strict=True):
                 z, flag, mean, low, high = (np.array(c) for c in zip(*chart.path(new[m].tolist()), strict=True))
                 off = z - mean
-                put(flag.astype(bool), m, "ewma", n, new[m], mean, off / np.maximum(1.0, 0.1 * np.abs(mean)), lambda i, off=off: severity(off[i]), {"ucl": high, "lcl": low})
+                put(flag.astype(bool), m, "ewma", n, new[m], mean, off / np.maximum(1.0, 0.1 * np.abs(mean)), lambda i, off=off: severities(off[i]), {"ucl": lambda i, high=high: high[i], "lcl": lambda i, low=low: low[i]})
                 n += 1
             if self.model is not None:
                 features, centre, inverse = self.model
@@ -147,8 +179,8 @@ class Watch(StatefulProcessor):
                 square = np.maximum(0.0, np.einsum("ij,ij->i", d @ inverse, d))
                 share = np.round(parts / (parts.sum(axis=1) + 1e-9)[:, None], 4)
                 far, edge = np.sqrt(square), math.sqrt(self.crit_sq)
-                details = {"p_value": [f"{chi_square_tail(s, len(features)):.2e}" for s in square], "top_contributor": [features[k] for k in share.argmax(axis=1)], "top_attribution_pct": [str(float(s)) for s in share.max(axis=1)]}
-                put((square >= self.crit_sq) & (far >= self.gate * edge), "multivariate_system_state", "mahalanobis", n, far, np.full(len(d), edge), far - edge, lambda i: "CRITICAL" if far[i] > self.gate * edge else "HIGH", details, True)
+                details = {"p_value": lambda i: [f"{chi_square_tail(s, len(features)):.2e}" for s in square[i]], "top_contributor": lambda i: [features[k] for k in share[i].argmax(axis=1)], "top_attribution_pct": lambda i: [str(float(s)) for s in share[i].max(axis=1)]}
+                put((square >= self.crit_sq) & (far >= self.gate * edge), "multivariate_system_state", "mahalanobis", n, far, np.full(len(d), edge), far - edge, lambda i: np.where(far[i] > self.gate * edge, "CRITICAL", "HIGH"), details, True)
             n += 1
             for a, b, expected in e.pairs:
                 x, y = trailing(past[a], new[a], e.pair_window, True), trailing(past[b], new[b], e.pair_window, True)
@@ -156,7 +188,7 @@ class Watch(StatefulProcessor):
                 r = np.nanmean((x - np.nanmean(x, axis=1)[:, None]) * (y - np.nanmean(y, axis=1)[:, None]), axis=1) / (sx * sy)
                 drift = np.abs(r - expected)
                 firm = (np.sum(~np.isnan(x), axis=1) >= e.min_samples) & (sx > 1e-6) & (sy > 1e-6)
-                put(firm & (drift >= e.drift_limit), f"correlation_{a}_vs_{b}", "correlation_drift", n, r, np.full(len(r), expected), 5 * drift, lambda i, drift=drift: "HIGH" if drift[i] > 0.8 else "MEDIUM", {"drift_delta": drift})
+                put(firm & (drift >= e.drift_limit), f"correlation_{a}_vs_{b}", "correlation_drift", n, r, np.full(len(r), expected), 5 * drift, lambda i, drift=drift: np.where(drift[i] > 0.8, "HIGH", "MEDIUM"), {"drift_delta": lambda i, drift=drift: drift[i]})
                 n += 1
         return out
 
@@ -284,7 +316,8 @@ def quarantine_stream(stream: DataFrame, judge, ids, valid: str, rejected: str,
         finally:
             kept.unpersist()
 
-    return checked.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with few_states(stream.sparkSession):
+        return checked.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Investigation(StatefulProcessor):
@@ -338,7 +371,8 @@ def windowed_counts(stream: DataFrame, ts: str, by, window: str = "5 minutes", l
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and reads back what it wrote."""
     spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with few_states(spark):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
 
@@ -346,7 +380,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 def run_until_idle(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """As run_to_table for a stream whose state has a time to live, which never ends by itself: it is stopped after a
     third batch in a row without rows (the first after a restart may be one of before), when all that is there has been read."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    with few_states(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
     try:
         while not query.awaitTermination(0.2):
             seen = {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
