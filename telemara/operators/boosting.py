@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import settled
+from ..sources import in_few, settled
 
 BLOCK = 8192
 #: Rounds of trees after which the scores of all rows are written anew.
@@ -34,36 +34,39 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, np.where(np.isnan(c), -np.inf, c), side="right") for e, c in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
 
 
+def _led(tree: list, bins: np.ndarray, at_leaf, i: int = 0):
+    """at_leaf of the node below node i that each row ends in; each node compares its feature's column once."""
+    if not isinstance(tree[i], tuple):
+        return at_leaf(i)
+    feature, cut, left, right = tree[i]
+    return np.where(bins.T[feature] <= cut, _led(tree, bins, at_leaf, left), _led(tree, bins, at_leaf, right))
+
+
 def leaf_of(tree: list, bins: np.ndarray) -> np.ndarray:
     """The node that each row ends in; a node is (feature, bin, left, right): left if the row's bin is at most bin, or a value."""
-    at = np.zeros(len(bins), np.int64)
-    for i, node in enumerate(tree):
-        if isinstance(node, tuple):
-            here = np.flatnonzero(at == i)
-            at[here] = np.where(bins[here, node[0]] <= node[1], node[2], node[3])
-    return at
+    return np.broadcast_to(_led(tree, bins, np.int64), len(bins))
 
 
 def values_of(tree: list, bins: np.ndarray) -> np.ndarray:
-    return np.array([0.0 if isinstance(n, tuple) else n for n in tree])[leaf_of(tree, bins)]
+    return np.broadcast_to(_led(tree, bins, lambda i: float(tree[i])), len(bins))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x = np.ascontiguousarray(x.T)  # class by class
+    x = np.exp(x - x.max(axis=0))
+    return (x / x.sum(axis=0)).T
 
 
 def level_sums(columns: np.ndarray, at: np.ndarray, nodes: list[int], g: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
     """(node, g or h, feature, bin): sums over the rows at each of nodes, from two passes a feature; columns: bins by feature."""
     place = np.full(int(at.max()) + 1, len(nodes))
     place[nodes] = np.arange(len(nodes))
-    first = place[at] * most
-    made = np.empty((len(nodes), 2, len(columns), most))
+    first, size = place[at] * most, (len(nodes) + 1) * most
+    made, cell = np.empty((len(columns), 2, size)), np.empty_like(first)
     for f, column in enumerate(columns):
-        cell = first + column
-        for i, weights in enumerate((g, h)):
-            made[:, i, f] = np.bincount(cell, weights, (len(nodes) + 1) * most)[:-most].reshape(-1, most)
-    return made
+        np.add(first, column, out=cell)
+        made[f, 0], made[f, 1] = np.bincount(cell, g, size), np.bincount(cell, h, size)
+    return np.ascontiguousarray(made[:, :, :-most].reshape(len(columns), 2, len(nodes), most).transpose(2, 1, 0, 3))
 
 
 def best_cut(g: np.ndarray, h: np.ndarray, l2: float, least: float):
@@ -91,14 +94,14 @@ def _packed(df: DataFrame, features, edges, label: str, classes: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({"bins": [binned(x[i : i + BLOCK], cuts).tobytes()], "y": [part.tobytes()], "scores": [np.zeros((len(part), classes)).tobytes()]}, schema=shape)
 
     known = df.where(F.col(label).isNotNull())
-    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
+    values = F.array(*[F.col(f).cast("double") for f in features])  # a null comes as NaN
     return known.select(values.alias("x"), F.col(label).cast("int").alias("y")).mapInArrow(run, "bins binary, y binary, scores binary")
 
 
 def _unpacked(batches, width: int, classes: int):
     for batch in batches:
         for b, y, s in zip(*batch.columns, strict=True):
-            yield np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, width), np.frombuffer(y.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float64).reshape(-1, classes)
+            yield np.asfortranarray(np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, width)), np.frombuffer(y.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float64).reshape(-1, classes)
 
 
 def _added(scores: np.ndarray, bins: np.ndarray, rounds: list) -> np.ndarray:
@@ -115,7 +118,7 @@ def boost_fit(df: DataFrame, features, label: str, classes: int, rounds: int = 3
     edges = edges or quantile_edges(df, features, bins)
     width, most = len(features), 1 + max((len(edges[f]) for f in features), default=0)
     spark, done, gains = df.sparkSession, [], np.zeros(width)
-    blocks, seen = settled(_packed(df, features, edges, label, classes)), 0
+    blocks, seen = settled(in_few(_packed(df, features, edges, label, classes))), 0
     for r in range(rounds):
         trees: list[list] = [[0.0] for _ in range(classes)]
         open_ = {(k, 0) for k in range(classes)}
@@ -128,7 +131,7 @@ def boost_fit(df: DataFrame, features, label: str, classes: int, rounds: int = 3
                 for x, y, s in _unpacked(batches, width, classes):
                     p = softmax(_added(s, x, fresh))
                     g, h = np.ascontiguousarray((p - np.eye(classes)[y]).T), np.ascontiguousarray((p * (1 - p)).T)
-                    columns = np.ascontiguousarray(x.T[:shown]).astype(np.int64)
+                    columns = x.T[:shown].astype(np.int64)  # x lies column by column
                     for k in range(classes):
                         at = leaf_of(growing[k], x)
                         nodes = [int(n) for n in np.unique(at) if (k, int(n)) in wanted]

@@ -41,13 +41,17 @@ def rolling_zscore(df: DataFrame, keys, order, value, window=60, min_samples=15,
     return stats.withColumns({"score": z, "mean": F.when(ready, F.col("mean")).otherwise(x), "std": F.when(ready, F.col("std")).otherwise(0.0)}).withColumn("flag", ready & _beyond(F.col("score"), threshold, direction)).drop("n")
 
 
-def in_blocks(df: DataFrame, keys, order, overlap: int, score, rows: int = 10_000) -> DataFrame:
+def in_blocks(df: DataFrame, keys, order, overlap: int, score, rows: int = 10_000, at: tuple[str, int] | None = None) -> DataFrame:
     """score(df, keys) of trailing windows that reach back `overlap` rows at most, for keys of any length.
 
     The rows are sorted by key and order, and cut into blocks of `rows`; each block gets the last `overlap` rows before
     it as well, whose results are dropped. So a key is the work of as many tasks as it has blocks.
+
+    at: a column that numbers rows as `order` sorts those of a key, and how far apart two neighbours of a key lie in it at
+    most. Blocks are then cut by it, and nothing needs to be sorted and numbered first.
     """
-    placed = numbered(df, *keys, *order, pos="at_")
+    placed = numbered(df, *keys, *order, pos="at_") if at is None else df.withColumn("at_", F.col(at[0]))
+    rows, overlap = (rows, overlap) if at is None else (rows * at[1], overlap * at[1])
     own, late = F.col("at_").cast("long") / rows, F.col("at_") % rows >= rows - overlap
     own = F.floor(own)
     sent = placed.withColumn("own_", own).withColumn("block_", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import settled
+from ..sources import settled, stored
 from .detect import in_blocks
 from .scan import ranked_values, running
 
@@ -52,13 +52,13 @@ def with_rolled_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({f"{m}_{a}": f"{m}_{b}" for m in ROLLING for a, b in (("mean", "roll_mean"), ("std", "roll_std"), ("diff", "delta"))})
 
 
-def vector_features(df: DataFrame, keys, order, window=10) -> DataFrame:
+def vector_features(df: DataFrame, keys, order, window=10, at=None) -> DataFrame:
     """E1 and E2 as one: df plus the 41 columns of VECTOR; a base metric that df lacks, or that is null, counts as 0.
 
-    Rolling values reach back window - 1 rows of the same key; keys of any length are many tasks.
+    Rolling values reach back window - 1 rows of the same key; keys of any length are many tasks. at: as for in_blocks().
     """
     base = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in BASE})
-    return with_rolled_names(in_blocks(with_ratios(base), keys, order, window - 1, lambda b, k: rolling_features(b, k, order, ROLLING, window)))
+    return with_rolled_names(in_blocks(with_ratios(base), keys, order, window - 1, lambda b, k: rolling_features(b, k, order, ROLLING, window), at=at))
 
 
 def standardise_fit(df: DataFrame, cols) -> dict:
@@ -83,14 +83,14 @@ def stratified_split(df: DataFrame, label, id, test=0.25, seed=42) -> DataFrame:
     Each label's hash to cut at is selected by counts, so no label's rows are brought together; only rows whose hash is
     that very one are numbered. Null labels are a label, null ids count as empty text.
     """
-    hashed = settled(df.withColumn("_h", F.crc32(F.concat_ws("-", F.col(id).cast("string"), F.lit(str(seed))))))
+    hashed = stored(df.withColumn("_h", F.crc32(F.concat_ws("-", F.col(id).cast("string"), F.lit(str(seed))))), "split")
     take = lambda n: F.floor(n * F.lit(float(test)))
-    narrow = settled(hashed.select(label, "_h"))  # read by every round of the selection
+    narrow = hashed.select(label, "_h")  # read by every round of the selection
     cuts = settled(ranked_values(narrow, [label], "_h", lambda n: F.array(F.greatest(take(n) - 1, F.lit(0)))).select(F.col(label).alias("_l"), F.col("value").alias("_cut"), take(F.col("n")).alias("_take")))  # a row a label
     cut = lambda rows: rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l")))
     less = cut(narrow).groupBy("_l").agg(F.count_if(F.col("_h") < F.col("_cut")).alias("_less")).withColumnRenamed("_l", "_m")
     known = cut(hashed).join(F.broadcast(settled(less)), F.col("_l").eqNullSafe(F.col("_m")))
-    sure, ties = known.where("_h <> _cut"), known.where("_h = _cut")
+    sure, ties = known.where("_h <> _cut"), settled(known.where("_h = _cut"))
     tied = running(ties, ["_l"], [id], {"_n": ("sum", F.lit(1))}, current=True)
     both = sure.withColumn("is_test", F.expr("_h < _cut and _take > 0")).unionByName(tied.withColumn("is_test", F.expr("_less + _n <= _take")), allowMissingColumns=True)
     return both.select(*[F.col(f"`{c}`") for c in df.columns], "is_test")
@@ -134,17 +134,28 @@ def _grow(x, rng, depth, limit):
     return int(f), float(cut), _grow(x[x[:, f] < cut], rng, depth + 1, limit), _grow(x[x[:, f] >= cut], rng, depth + 1, limit)
 
 
-def _depths(tree, x):
-    out = np.zeros(len(x))
-    stack = [(tree, np.arange(len(x)))]
-    while stack:
-        node, at = stack.pop()
+def _laid_out(tree, width: int):
+    """Feature, cut, low child and depth of a tree's nodes, and the steps to its last leaf. A high child follows the low one;
+    a leaf is its own low child, by a feature beyond the others that is always zero."""
+    nodes, levels, made = [tree], [0], []
+    for i, node in enumerate(nodes):  # which grows
         if len(node) == 1:
-            out[at] = node[0]
+            made.append((width, np.inf, i, node[0]))
         else:
-            low = x[at, node[0]] < node[1]
-            stack += [(node[2], at[low]), (node[3], at[~low])]
-    return out
+            made.append((node[0], node[1], len(nodes), 0.0))
+            nodes += node[2:]
+            levels += [levels[i] + 1] * 2
+    feature, cut, child, depth = zip(*made, strict=True)
+    return np.array(feature), np.array(cut), np.array(child), np.array(depth, dtype=float), max(levels)
+
+
+def _depths(laid, x):
+    """The depth of each row of x, whose last column is zero: all rows take a step at once."""
+    feature, cut, child, depth, steps = laid
+    flat, row, at = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.int64)
+    for _ in range(steps):
+        at = child.take(at) + ~(flat.take(row + feature.take(at)) < cut.take(at))
+    return depth.take(at)
 
 
 def exact_percentile(df: DataFrame, value: str, q: float) -> float:
@@ -156,18 +167,20 @@ def exact_percentile(df: DataFrame, value: str, q: float) -> float:
     return known[low] if known[low] == known[high] else (high - at) * known[low] + (at - low) * known[high]
 
 
-def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.05, seed=42):
+def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.05, seed=42, id=None):
     """Isolation trees, one a group, each grown in a task of its own from `sample` rows; the cut by contamination.
 
-    Give it nominal rows. A row is a candidate of a tree by a hash of its values and the tree's number, at a rate that
-    gives twice the sample; each tree takes those with the least hashes. So the trees depend on the rows alone.
+    Give it nominal rows. A row is a candidate of a tree by a hash of its id, or of its values if there is none, and the
+    tree's number, at a rate that gives twice the sample; each tree takes those with the least hashes. So the trees depend
+    on the rows alone. Without an id, rows of equal values are drawn together.
     """
     import pickle
 
     n = max(1, df.count())
     values = [F.col(f).cast("double").alias(f) for f in features]
-    every = df.select(*values, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    drawn = every.withColumn("h", F.xxhash64(*features, "tree", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < min(1.0, 2.0 * sample / n) * (1 << 30))
+    own = df.select(*values, F.xxhash64(*([id] if id else features)).alias("_own"))  # once a row, not once a tree
+    every = own.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = every.withColumn("h", F.xxhash64("_own", "tree", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < min(1.0, 2.0 * sample / n) * (1 << 30))
 
     def build(key, pdf):
         rng = np.random.default_rng(seed + int(key[0]))
@@ -181,13 +194,17 @@ def iforest_fit(df: DataFrame, features, trees=100, sample=256, contamination=0.
 
 def _isolation(df: DataFrame, model) -> DataFrame:
     """df plus iso_raw: 2 to the power of minus the mean depth of a row over the depth expected of the sample."""
-    sent = df.sparkSession.sparkContext.broadcast(model["trees"])
+    sent = df.sparkSession.sparkContext.broadcast([_laid_out(t, len(model["features"])) for t in model["trees"]])
     norm = max(_path_length(model["size"]), 1e-9)
 
     @F.pandas_udf("double")
     def score(cols: pd.DataFrame) -> pd.Series:
-        x = cols.to_numpy(float)
-        return pd.Series(np.power(2.0, -np.mean([_depths(t, x) for t in sent.value], axis=0) / norm))
+        x = np.zeros((len(cols), cols.shape[1] + 1))
+        x[:, :-1] = cols.to_numpy(float)
+        total = np.zeros(len(x))
+        for laid in sent.value:
+            total += _depths(laid, x)
+        return pd.Series(np.power(2.0, -total / len(sent.value) / norm))
 
     return df.withColumn("iso_raw", score(F.struct(*[F.col(f).cast("double").alias(f) for f in model["features"]])))
 

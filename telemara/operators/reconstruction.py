@@ -1,19 +1,22 @@
 """A leaky-ReLU autoencoder whose gradients are summed in tasks, round by round.
 
-Rows are packed once into blocks of float64 vectors, which Spark keeps. In each round every task runs its blocks of one
-batch through the network that the driver sent, and gives one row, the sum of its gradients; sums of many tasks are
-added up in further tasks first. The driver holds the parameters and their Adam moments, whatever the rows.
+Rows are packed once into blocks of float64 vectors, which Spark keeps batch by batch. A round reads the blocks of its batch
+alone: every task runs its own through the network that the driver sent, and gives one row, the sum of its gradients; sums
+of many tasks are added up in further tasks first. The driver holds the parameters and their Adam moments, whatever the rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import standardise, standardise_fit
+from ..sources import in_few, stored
+from .features import standardise_fit
 
 #: Vectors of a block at most; tasks from whose sums the driver takes one row each, more are added up in tasks.
 BLOCK, DIRECT = 4096, 64
@@ -66,8 +69,14 @@ def shaped(values: np.ndarray, like: dict) -> dict[str, np.ndarray]:
     return out
 
 
-def packed(df: DataFrame, features, batches: int) -> DataFrame:
-    """(batch, n, body): the vectors of df in blocks of one batch each; a row's batch is by a hash of its values."""
+def scaled(x: np.ndarray, features, scale: dict) -> np.ndarray:
+    """Rows of features by E4's scale: as standardise(), for a whole matrix; nulls have come as NaN."""
+    mean, deviation = (np.array([scale[f][i] for f in features]) for i in (0, 1))
+    return np.nan_to_num((x - mean) / deviation, nan=0.0, posinf=5.0, neginf=-5.0)
+
+
+def packed(df: DataFrame, features, batches: int, scale: dict | None = None) -> DataFrame:
+    """(batch, n, body): the vectors of df, by the scale if given, in blocks of one batch each; a row's batch is by a hash of its values."""
     values = F.array(*[F.col(f).cast("double") for f in features])
 
     def pack(chunks):
@@ -76,6 +85,7 @@ def packed(df: DataFrame, features, batches: int) -> DataFrame:
         shape = pa.schema([("batch", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
         for chunk in chunks:
             x = chunk.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+            x = x if scale is None else scaled(x, features, scale)
             of = chunk.column(0).to_numpy()
             for k in np.unique(of):
                 waiting.setdefault(int(k), []).append(x[of == k])
@@ -100,7 +110,6 @@ def summed_gradients(blocks: DataFrame, p: dict, tasks: int | None = None) -> tu
 
     tasks: how many blocks has, counted if not given.
     """
-    sent = blocks.sparkSession.sparkContext.broadcast(p)
     d, size = len(p["b4"]), flat(p).size + 1
 
     def run(batches):
@@ -108,7 +117,7 @@ def summed_gradients(blocks: DataFrame, p: dict, tasks: int | None = None) -> tu
         for batch in batches:
             for body in batch.column(0):
                 x = np.frombuffer(body.as_buffer(), np.float64).reshape(-1, d)
-                g, loss = gradients(sent.value, x)
+                g, loss = gradients(p, x)
                 total, n = total + np.r_[flat(g), loss], n + len(x)
         yield pa.RecordBatch.from_pydict({"body": [total.tobytes()], "n": [n]}, schema=pa.schema([("body", pa.binary()), ("n", pa.int64())]))
 
@@ -116,11 +125,33 @@ def summed_gradients(blocks: DataFrame, p: dict, tasks: int | None = None) -> tu
     if (blocks.rdd.getNumPartitions() if tasks is None else tasks) > DIRECT:
         sums = sums.repartition(DIRECT // 4).mapInArrow(lambda b: _summing(b, size), "body binary, n long")
     rows = sums.collect()
-    sent.unpersist()
     total = sum((np.frombuffer(bytes(r.body), np.float64) for r in rows), np.zeros(size))
     return total[:-1], float(total[-1]), sum(r.n for r in rows)
 
 
+def error_moments(blocks: DataFrame, p: dict) -> tuple[int, float, float]:
+    """Number of vectors of blocks, and mean and population deviation of their mean squared errors; a task gives one row."""
+    d, shape = len(p["b4"]), pa.schema([("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64())])
+
+    def joined(a, b):
+        n = a[0] + b[0]
+        return (n, a[1] + (b[1] - a[1]) * b[0] / n, a[2] + b[2] + (b[1] - a[1]) ** 2 * a[0] * b[0] / n) if n else a
+
+    def run(batches):
+        made = (0, 0.0, 0.0)
+        for batch in batches:
+            for body in batch.column(0):
+                x = np.frombuffer(body.as_buffer(), np.float64).reshape(-1, d)
+                mse = ((forward(p, x)[-1] - x) ** 2).mean(axis=1)
+                made = joined(made, (len(mse), float(mse.mean()), float(((mse - mse.mean()) ** 2).sum())))
+        yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(shape.names, made, strict=True)}, schema=shape)
+
+    made = (0, 0.0, 0.0)
+    for r in blocks.select("body").mapInArrow(run, "n long, mean double, m2 double").collect():
+        made = joined(made, tuple(r))
+    return made[0], made[1], float(np.sqrt(made[2] / max(1, made[0])))
+
+
 def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6, sigmas: float = 3.0, epochs: int = 30, batches: int = 8, rate: float = 0.02, seed: int = 42) -> dict:
     """An autoencoder of the standardised features of df, which holds nominal rows; threshold mean + sigmas deviations.
 
@@ -130,15 +161,15 @@ def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6,
     features = list(features)
     scale = standardise_fit(df, features)
     p = initial(len(features), hidden, latent, seed)
-    blocks = packed(standardise(df.select(*features), scale), features, batches).persist()
+    blocks = stored(packed(df.select(*features), features, batches, scale), "blocks", "batch")
+    parts = [in_few(blocks.where(F.col("batch") == k).select("body")).persist() for k in range(batches)]
     try:
-        parts = [blocks.where(F.col("batch") == k) for k in range(batches)]
-        tasks = blocks.rdd.getNumPartitions()
+        tasks = [part.rdd.getNumPartitions() for part in parts]
         w, first, second, t, losses = flat(p), np.zeros(flat(p).size), np.zeros(flat(p).size), 0, []
         for _ in range(epochs):
             total, rows = 0.0, 0
-            for part in parts:
-                g, loss, n = summed_gradients(part, shaped(w, p), tasks)
+            for part, k in zip(parts, tasks, strict=True):
+                g, loss, n = summed_gradients(part, shaped(w, p), k)
                 total, rows = total + loss, rows + n
                 if n:
                     g, t = g / n, t + 1
@@ -147,13 +178,14 @@ def autoencoder_fit(df: DataFrame, features, hidden: int = 16, latent: int = 6,
             losses.append(2 * total / max(1, rows * len(features)))
             if not rows:
                 break
+        n, mean, deviation = error_moments(reduce(DataFrame.unionByName, parts), shaped(w, p))
     finally:
-        blocks.unpersist()
+        for part in parts:
+            part.unpersist()
     model = {"features": features, "scale": scale, "weights": shaped(w, p), "mean": 0.0, "deviation": 1.0, "threshold": float("inf"), "losses": losses}
-    r = reconstruction_score(df, model).agg(F.avg("mse").alias("m"), F.stddev_pop("mse").alias("s")).first()
-    if r.m is None:
+    if not n:
         return model
-    return model | {"mean": r.m, "deviation": r.s + 1e-6, "threshold": r.m + sigmas * (r.s + 1e-6)}
+    return model | {"mean": mean, "deviation": deviation + 1e-6, "threshold": mean + sigmas * (deviation + 1e-6)}
 
 
 def reconstruction_score(df: DataFrame, model: dict) -> DataFrame:
@@ -162,17 +194,16 @@ def reconstruction_score(df: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def squares(cols: pd.DataFrame) -> pd.Series:
-        x = cols.to_numpy(float)
+        x = scaled(cols.to_numpy(float), features, model["scale"])
         return pd.Series(list((forward(sent.value, x)[-1] - x) ** 2))
 
-    names = [f"_x{i}" for i in range(len(features))]
-    scaled = standardise(df.withColumns({n: F.col(f).cast("double") for n, f in zip(names, features, strict=True)}), {n: model["scale"][f] for n, f in zip(names, features, strict=True)})
-    out = scaled.withColumn("_sq", squares(F.struct(*names))).withColumn("_sum", F.aggregate("_sq", F.lit(0.0), lambda s, v: s + v))
+    values = F.struct(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    out = df.withColumn("_sq", squares(values)).withColumn("_sum", F.aggregate("_sq", F.lit(0.0), lambda s, v: s + v))
     shares = F.zip_with(F.array(*[F.lit(f) for f in features]), "_sq", lambda n, v: F.struct((-v / (F.col("_sum") + 1e-9)).alias("minus"), n.alias("feature")))
     ranked = F.transform(F.array_sort(shares), lambda s: F.struct(s["feature"].alias("feature"), F.round(-s["minus"], 4).alias("share")))
     made = {"mse": F.col("_sum") / len(features), "attributions": ranked}
     made |= {"z_deviation": (made["mse"] - model["mean"]) / model["deviation"], "ae_flag": made["mse"] >= model["threshold"]}
-    return out.withColumns(made).drop("_sq", "_sum", *names)
+    return out.withColumns(made).drop("_sq", "_sum")
 
 
 def top_attributions(df: DataFrame, n: int = 4) -> DataFrame:

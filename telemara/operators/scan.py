@@ -2,7 +2,8 @@
 
 running(): a segmented prefix scan. Rows are sorted by key and order in ranges; each range is scanned alone, and what its
 first key brings along from earlier ranges is one row a range. ranked_values(): exact selection. Rows are counted below,
-between and above three pivots, and only those of the part that holds the wanted rank are looked at again.
+between and above three pivots, and only those of the part that holds the wanted rank are looked at again, until they are
+few enough to be sorted.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _parts(v: Column, low, mid, high) -> dict[str, Column]:
     return {"below": F.count_if(v < low), "at_low": F.count_if(v == low), "under": F.count_if((v > low) & (v < mid)), "at_mid": F.count_if((v == mid) & (mid > low)), "over": F.count_if((v > mid) & (v < high)), "at_high": F.count_if((v == high) & (high > mid)), "above": F.count_if(v > high)}
 
 
-def _by_pivots(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+def _by_pivots(rows: DataFrame, by: list[str], wanted: DataFrame, small: int = SMALL) -> DataFrame:
     """(by, rank, value) for wanted (by, rank, n) groups of many rows; rows: (by, v), v not null.
 
     open_ has a row for each group and rank not yet found: the value lies strictly between low and high (null: no bound)
@@ -63,17 +64,18 @@ def _by_pivots(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes)["v"]
     null = F.lit(None).cast(kind)
     open_ = settled(wanted.select(*by, "rank", null.alias("low"), null.alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("left")))
-    found, names = None, [f"_b{i}" for i in range(len(by))]
+    found, names, short = None, [f"_b{i}" for i in range(len(by))], None
+    within = (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high")))
     while not open_.isEmpty():
         state = F.broadcast(open_.withColumnsRenamed(dict(zip(by, names, strict=True))))
-        inside = rows.join(state, _same(zip(by, names, strict=True)) & (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high"))))
+        inside = rows.join(state, _same(zip(by, names, strict=True)) & within)
         held = [*names, "rank", "low", "high", "below", "left"]
         grid = inside.groupBy(*held).agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], 1000).alias("q"))
         at = F.least(F.lit(GRID), F.floor((F.col("rank") - F.col("below")) * GRID / F.col("left"))).cast("int")
         pick = lambda k: F.element_at("q", F.greatest(F.lit(1), F.least(F.lit(GRID + 1), at + k)))
         pivots = settled(grid.select(*held, pick(0).alias("p1"), pick(1).alias("p2"), pick(2).alias("p3")))
         sent = F.broadcast(pivots)
-        again = rows.join(sent, _same(zip(by, names, strict=True)) & (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high"))))
+        again = rows.join(sent, _same(zip(by, names, strict=True)) & within)
         counted = again.groupBy(*held, "p1", "p2", "p3").agg(*[c.alias(f"n_{k}") for k, c in _parts(F.col("v"), F.col("p1"), F.col("p2"), F.col("p3")).items()])
         upto, rest, part = F.col("below"), F.col("rank"), None
         bounds = {"below": ("low", "p1"), "at_low": "p1", "under": ("p1", "p2"), "at_mid": "p2", "over": ("p2", "p3"), "at_high": "p3", "above": ("p3", "high")}
@@ -85,8 +87,14 @@ def _by_pivots(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
         turned = settled(counted.select(*[F.col(a).alias(b) for a, b in zip(names, by, strict=True)], "rank", part.alias("x")).select(*by, "rank", "x.*"))
         done = turned.where("value is not null").select(*by, "rank", "value")
         found = done if found is None else found.unionByName(done)
-        open_ = turned.where("value is null").select(*by, "rank", "low", "high", "below", "left")
-    return found if found is not None else wanted.select(*by, "rank", null.alias("value")).where("false")
+        rest = turned.where("value is null").select(*by, "rank", "low", "high", "below", "left")
+        few = rest.where(F.col("left") <= small)
+        short, open_ = few if short is None else short.unionByName(few), rest.where(F.col("left") > small)
+    if found is None:
+        return wanted.select(*by, "rank", null.alias("value")).where("false")
+    last = rows.join(F.broadcast(short.withColumnsRenamed(dict(zip(by, names, strict=True)))), _same(zip(by, names, strict=True)) & within)
+    sorted_ = last.groupBy(*names, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("all"))  # `small` values at most
+    return found.unionByName(sorted_.select(*[F.col(a).alias(b) for a, b in zip(names, by, strict=True)], "rank", F.element_at("all", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value")))
 
 
 def ranked_values(df: DataFrame, by, value: str, ranks, small: int = SMALL) -> DataFrame:
@@ -109,6 +117,6 @@ def ranked_values(df: DataFrame, by, value: str, ranks, small: int = SMALL) -> D
     out = short.select(*by, "n", "rank", F.element_at("all", (F.col("rank") + 1).cast("int")).alias("value"))
     if large.isEmpty():
         return out
-    exact = _by_pivots(rows.join(crowded, there, "left_semi"), by, wanted.where(F.col("n") > small)).withColumnsRenamed(here)
+    exact = _by_pivots(rows.join(crowded, there, "left_semi"), by, wanted.where(F.col("n") > small), small).withColumnsRenamed(here)
     sizes = F.broadcast(large)
     return out.unionByName(exact.join(sizes, there).select(*by, "n", "rank", "value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ARCHETYPES, encode_archetype, error_rate
 from ..operators import boosting, features, reconstruction
+from ..sources import stored
 from . import tiers
 
 FLAT = {
@@ -20,24 +21,26 @@ FLAT = {
 
 def telemetry(s, d):
     """The snapshots of all tiers as flat rows (tier, service_id, epoch, pos, base metrics, label, y)."""
-    one = lambda name: tiers.QUERIES[name](s, d).withColumn("tier", F.lit(name.removeprefix("tier_")))
+    kept: dict = {}
+    one = lambda name: tiers.QUERIES[name](s, d, kept).withColumn("tier", F.lit(name.removeprefix("tier_")))
     whole = reduce(lambda a, b: a.unionByName(b), map(one, tiers.QUERIES))
     flat = whole.select("tier", "service_id", "epoch", "pos", *[F.col(v).cast("double").alias(k) for k, v in FLAT.items()], error_rate(F.col("http_2xx_count"), F.col("http_4xx_count"), F.col("http_5xx_count")).alias("app_error_rate"), "label")
     return flat.withColumn("y", encode_archetype(F.col("label")))
 
 
 KEYS, ORDER, AT = ["tier", "service_id"], ["epoch", "pos"], ["tier", "service_id", "epoch", "pos"]
+SERVICES = 5  # of a tier at most: the snapshots of one lie as many positions apart
 ROUNDS, DEPTH, EPOCHS, TREES = 12, 3, 30, 60
 
 
 def vectors(s, d):
     """The 41 features of all snapshots, with E6's split by a number that no two share."""
-    whole = features.vector_features(telemetry(s, d), KEYS, ORDER)
+    whole = features.vector_features(telemetry(s, d), KEYS, ORDER, at=("pos", SERVICES))
     return features.stratified_split(whole.withColumn("sample", F.xxhash64(*AT)), "y", "sample")  # which keeps the rows itself
 
 
 def both(s, d):
-    whole = vectors(s, d)
+    whole = stored(vectors(s, d), "vectors")  # read by every step of every model
     return whole.where("not is_test"), whole.where("is_test")
 
 
@@ -55,9 +58,13 @@ def importance(s, d):
     return boosting.gain_importance(s, boosted(both(s, d)[0]))
 
 
+def forest_of(nominal):
+    return features.iforest_fit(nominal, features.VECTOR, trees=TREES, contamination=0.03)
+
+
 def isolated(s, d):
     train, test = both(s, d)
-    return features.iforest_score(test, features.iforest_fit(train.where("y = 0"), features.VECTOR, trees=TREES, contamination=0.03)).select(*AT, "label", "iso_score", "iso_flag")
+    return features.iforest_score(test, forest_of(train.where("y = 0"))).select(*AT, "label", "iso_score", "iso_flag")
 
 
 def reconstructed(s, d):
@@ -69,7 +76,7 @@ def reconstructed(s, d):
 def ensemble(s, d):
     train, test = both(s, d)
     nominal = train.where("y = 0")
-    net, forest = reconstruction.autoencoder_fit(nominal, features.VECTOR, epochs=EPOCHS), features.iforest_fit(nominal, features.VECTOR, trees=TREES, contamination=0.03)
+    net, forest = reconstruction.autoencoder_fit(nominal, features.VECTOR, epochs=EPOCHS), forest_of(nominal)
     made = boosting.boost_classify(features.iforest_score(reconstruction.reconstruction_score(test, net), forest), boosted(train), list(ARCHETYPES))
     return features.ensemble_decision(made, net["threshold"]).select(*AT, "label", "predicted", "ensemble_score", "is_anomaly")
 

@@ -67,6 +67,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df, computed once and kept by columns in files of the shared folder, in folders by `by` if given; a reader takes the columns it needs alone."""
+    spark = df.sparkSession
+    folder = scratch(spark, name)
+    df.write.partitionBy(*by).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def in_few(df: DataFrame) -> DataFrame:
+    """df, whose rows are few and large, dealt evenly to two partitions a core, for steps that many rounds repeat."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(df: DataFrame, *order, pos: str = "pos") -> DataFrame:
     """df plus the position of each row in `order`: sorted in ranges, and only a row count of each range meets elsewhere."""
     return indexed(settled(df.orderBy(*order)), pos)
